@@ -1 +1,163 @@
-"""To come."""
+"""Licence scans: normalised text against licence templates, by the Dice coefficient over word bigrams.
+
+Texts and templates are lower-cased (A-Z) and cut into words of letters and digits. Compared are the whole text, each
+of its paragraphs, lines and sentences, as sets of word bigrams. Two sets of sizes a and b can reach a Dice coefficient
+t only if a is between b * t / (2 - t) and b * (2 - t) / t, so each unit meets only the templates of such sizes, and of
+these only those that share a bigram with it. Templates are a bounded parameter, sent with the function.
+
+Defined results: null and empty texts, and units of fewer than two words, match nothing. The best match is that with
+the highest coefficient, then the larger template, then the first name. Rows that repeat are reported each; extra
+columns are ignored.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterable
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .common import ALNUM_TABLE, blobs, map_batches
+
+THRESHOLD = 0.8
+MAX_TEMPLATES = 10_000
+
+_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE '
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
+)
+#: (licence, kind, text): notices and short licences in their public wording.
+TEMPLATES = [
+    ("MIT", "permissive", "Released under the MIT License."),
+    ("MIT", "permissive", "Licensed under the MIT License."),
+    ("MIT", "permissive", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _WARRANTY),
+    ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "permissive", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-3-Clause", "permissive", "Released under the BSD 3-Clause License."),
+    ("BSD-2-Clause", "permissive", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("ISC", "permissive", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("Zlib", "permissive", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
+    ("Unlicense", "public-domain", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("CC0-1.0", "public-domain", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("GPL-3.0", "copyleft", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "copyleft", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("GPL-2.0", "copyleft", "This work is licensed under the GNU General Public License, version 2."),
+    ("AGPL-3.0", "copyleft", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("LGPL-2.1", "copyleft", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "copyleft", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("CC-BY-4.0", "permissive", "Licensed under CC BY 4.0."),
+    ("CC-BY-4.0", "permissive", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-SA-4.0", "copyleft", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "copyleft", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "non-commercial", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-4.0", "non-commercial", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-ND-4.0", "no-derivatives", "Licensed under CC BY-ND 4.0."),
+    ("Proprietary", "proprietary", "All rights reserved."),
+]
+
+Bigrams = frozenset[tuple[bytes, bytes]]
+
+
+def bigrams(text: bytes) -> Bigrams:
+    words = text.translate(ALNUM_TABLE).split()
+    return frozenset(zip(words, words[1:], strict=False))
+
+
+def dice(a: Bigrams, b: Bigrams) -> float:
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0.0
+
+
+@dataclass(frozen=True)
+class Template:
+    name: str
+    kind: str
+    grams: Bigrams
+
+
+class Index:
+    """Templates by bigram; and for each size of a unit, the sizes that can reach the threshold."""
+
+    def __init__(self, templates: Iterable[tuple[str, str, str]], threshold: float):
+        self.threshold = threshold
+        self.templates = [Template(n, k, bigrams(t.encode())) for n, k, t in templates]
+        if len(self.templates) > MAX_TEMPLATES:
+            raise ValueError(f"{len(self.templates)} templates; at most {MAX_TEMPLATES} can be sent to every task")
+        self.by_gram: dict[tuple, list[int]] = {}
+        for k, t in enumerate(self.templates):
+            for g in t.grams:
+                self.by_gram.setdefault(g, []).append(k)
+        ratio = threshold / (2 - threshold)
+        sizes = [len(t.grams) for t in self.templates if t.grams]
+        self.least, self.most = (min(sizes) * ratio, max(sizes) / ratio) if sizes else (1, 0)
+        self.ratio = ratio
+        # every match holds a word that starts a bigram of a template
+        self.words = {g[0] for g in self.by_gram}
+
+    def best(self, grams: Bigrams) -> tuple[float, int, str, str] | None:
+        n = len(grams)
+        if not self.least <= n <= self.most or grams.isdisjoint(self.by_gram):
+            return None
+        shared: dict[int, int] = {}
+        for g in grams & self.by_gram.keys():
+            for k in self.by_gram[g]:
+                shared[k] = shared.get(k, 0) + 1
+        found = []
+        for k, both in shared.items():
+            t = self.templates[k]
+            m = len(t.grams)
+            if m * self.ratio <= n <= m / self.ratio and (d := 2 * both / (n + m)) >= self.threshold:
+                found.append((-d, -m, t.name, t.kind))
+        return min(found, default=None)
+
+
+_SENTENCE = re.compile(rb"(?<=[.!?])\s+")
+
+
+def units(text: bytes) -> Iterable[tuple[str, bytes]]:
+    """The whole text, its paragraphs, lines and sentences; a unit equal to a larger one is left out."""
+    yield "text", text
+    for paragraph in (blocks := text.split(b"\n\n")):
+        if len(blocks) > 1:
+            yield "paragraph", paragraph
+        for line in (lines := paragraph.split(b"\n")):
+            if len(lines) > 1:
+                yield "line", line
+            sentences = _SENTENCE.split(line)
+            if len(sentences) > 1:
+                for s in sentences:
+                    yield "sentence", s
+
+
+OUT = "doc_id long, license string, kind string, dice double, unit string, n_matches long, licenses array<string>"
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, *, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, license, kind, dice and unit of the best match (null and 0 without one), n_matches (units that match),
+    licenses (names found, sorted) for each row."""
+    index = Index(templates, threshold)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        out: dict = {k: [] for k in ("license", "kind", "dice", "unit", "n_matches", "licenses")}
+        for text in blobs(batch.column(1)):
+            best, names, n = None, set(), 0
+            if text and has_gram(text, index):
+                for unit, part in units(text):
+                    if found := index.best(bigrams(part)):
+                        n += 1
+                        names.add(found[2])
+                        best = min(best or (*found, unit), (*found, unit))
+            row = (best[2], best[3], -best[0], best[4]) if best else (None, None, 0.0, None)
+            for k, v in zip(out, (*row, n, sorted(names)), strict=True):
+                out[k].append(v)
+        return out | {"doc_id": batch.column(0)}
+
+    return map_batches(docs.select("doc_id", "text"), run, OUT)
+
+
+def has_gram(text: bytes, index: Index) -> bool:
+    """Whether the text holds any bigram of a template; most don't, and need no units."""
+    words = text.translate(ALNUM_TABLE).split()
+    by_gram, first = index.by_gram, index.words
+    return any(w in first and (w, words[k + 1]) in by_gram for k, w in enumerate(words[:-1]))

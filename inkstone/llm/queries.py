@@ -48,7 +48,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels)
     held_out = (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out")
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", held_out, "score", "predicted", "text_lang", "lang_threshold", "flagged")
+    return scored.select("doc_id", held_out, "score", "predicted", "lang_threshold", "flagged")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +72,7 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), length=50).drop("kept")
+    return suffix_dedup.remove_repeats(load(spark, sf_dir, "documents"), length=50)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

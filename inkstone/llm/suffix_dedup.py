@@ -1 +1,443 @@
-"""To come."""
+"""Removal of repeated byte strings by suffix sorting.
+
+Of each text (UTF-8 bytes; null: empty) every byte goes that is covered by a string of `length` bytes which also starts
+in a document with a smaller doc_id. All is judged on the input.
+
+Only suffixes that can matter are sorted. Each window of `length` bytes has an anchor: the place of the least hash among
+its runs of GRAM bytes, which depends on the window's bytes alone, so equal windows have equal anchors at equal places.
+1. Each document gives the hashes of its anchors, packed into one blob for each bucket of hashes; a bucket returns those
+   that several documents hold.
+2. Documents meet their shared anchors and cut out, for each, the bytes of the windows that it is the anchor of.
+3. A bucket of these cuts sorts the windows' suffixes by deep-shallow sorting: multikey quicksort over symbols of eight
+   bytes to SHALLOW bytes, all groups of a level at once; groups that still agree are ordered by blind tries: a group's
+   members hang on the path of its first one, at the depth where they leave it and by the byte with which they do, and
+   each such bunch becomes a group of the next round. What agrees over `length` bytes is one string; its smallest
+   doc_id keeps it, every other document's windows of it are removed.
+
+Whole copies of a text with a smaller doc_id are found by a hash and need no suffixes. Groups stay small for any input:
+equal cuts within a task are settled there, and an anchor which HOT documents of one task hold, or COLD of all, is cut
+into single windows that are dealt by their own bytes.
+
+Defined results: texts under `length` bytes lose nothing. Rows that repeat a doc_id don't remove each other's bytes and
+are reported each. Rows without doc_id are reported unchanged and remove nothing. Extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import arrow_schema, blobs, map_batches, mix64, record_batch, runs_of, staged
+
+GRAM, SHALLOW = 16, 16
+HOT, COLD = 64, 20_000
+#: Anchors or bytes of cuts that a task gathers before it hands them on.
+FLUSH = 1_500_000
+CELLS = 1 << 20
+
+
+# --- anchors --------------------------------------------------------------------------------------------------------
+
+
+def words_at(buf: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, big-endian, so that numbers sort as the bytes do."""
+    n = len(buf) - 7
+    return np.ndarray((max(n, 0),), ">u8", buf, strides=(1,)).astype(np.uint64)
+
+
+def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each anchor of a text its hash, the first window it stands for and how many follow one another."""
+    windows = len(text) - length + 1
+    if windows <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    w = words_at(np.frombuffer(text, np.uint8))
+    h = mix64(w[: len(w) - GRAM + 8] * np.uint64(0x9E3779B97F4A7C15) + mix64(w[GRAM - 8 :]))
+    span = length - GRAM + 1
+    # the hash's upper half and the place: least hash first, leftmost of equal ones
+    least = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
+    width = 1
+    while 2 * width <= span:
+        least = np.minimum(least[:-width], least[width:])
+        width *= 2
+    if width < span:
+        least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
+    place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    return h[place[first]], first, np.diff(np.append(first, len(place)))
+
+
+def _narrow(docs: np.ndarray) -> bytes:
+    small = len(docs) and docs.min() >= -(1 << 31) and docs.max() < 1 << 31
+    return (b"4" if small else b"8") + docs.astype("<i4" if small else "<i8").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<i4" if raw[:1] == b"4" else "<i8", offset=1).astype(np.int64)
+
+
+def _by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    bucket = (keys >> np.uint64(20)) % np.uint64(n)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(n + 1).astype(np.uint64))
+    for k in range(n):
+        if cuts[k] < cuts[k + 1]:
+            yield k, order[cuts[k] : cuts[k + 1]]
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin, and the end."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.append(np.flatnonzero(new), n)
+
+
+SHARED = "doc long, hash long, hot boolean"
+
+
+def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """doc, hash, hot: the anchors that several documents hold, of documents in docs (doc, text)."""
+    packed = "bucket int, hashes binary, docs binary, hot binary"
+    target = arrow_schema(packed)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list) -> Iterator[pa.RecordBatch]:
+            hashes, own = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+            order = np.lexsort((own, hashes))
+            hashes, own = hashes[order], own[order]
+            once = _runs(hashes, own)[:-1]
+            hashes, own = hashes[once], own[once]
+            cuts = _runs(hashes)
+            size = np.repeat(np.diff(cuts), np.diff(cuts))
+            hot = size >= HOT
+            rows: dict = {k: [] for k in ("bucket", "hashes", "docs", "hot")}
+            # hot ones are known to be shared: the bucket hears of two of them, their documents at once
+            place = np.arange(len(hashes)) - np.repeat(cuts[:-1], np.diff(cuts))
+            sent = ~hot | (place == 0) | (place == size - 1)
+            at = np.flatnonzero(sent)
+            for k, some in _by_bucket(hashes[at], buckets):
+                some = at[some]
+                for name, v in zip(rows, (k, hashes[some].tobytes(), _narrow(own[some]), np.packbits(hot[some]).tobytes()), strict=True):
+                    rows[name].append(v)
+            at = np.flatnonzero(hot & ~sent)
+            for k in range(0, len(at), 1 << 16):
+                some = at[k : k + (1 << 16)]
+                for name, v in zip(rows, (-1 - int(hashes[some[0]] % np.uint64(buckets)), hashes[some].tobytes(), _narrow(own[some]), b""), strict=True):
+                    rows[name].append(v)
+            yield record_batch(rows, target)
+
+        held, size = [], 0
+        for b in batches:
+            for doc, text in zip(b.column(0).to_pylist(), blobs(b.column(1)), strict=True):
+                hashes = anchors_of(text or b"", length)[0]
+                held.append((hashes, np.full(len(hashes), doc, np.int64)))
+                size += len(hashes)
+                if size >= FLUSH:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    answer = arrow_schema(SHARED)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(hashes: np.ndarray, own: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
+            return record_batch({"doc": own, "hash": hashes.view(np.int64), "hot": hot}, answer)
+
+        def shared(held: list) -> Iterator[pa.RecordBatch]:
+            hashes, own, hot = (np.concatenate([x[c] for x in held]) for c in range(3))
+            order = np.lexsort((own, hashes))
+            hashes, own, hot = hashes[order], own[order], hot[order]
+            cuts = _runs(hashes)
+            sizes = np.diff(cuts)
+            several = own[cuts[1:] - 1] != own[cuts[:-1]]
+            heat = (np.add.reduceat(hot, cuts[:-1]) > 0) | (sizes > COLD)
+            keep = np.repeat(several, sizes)
+            yield rows(hashes[keep], own[keep], np.repeat(heat, sizes)[keep])
+
+        held, current = [], None
+        for b in batches:
+            for bucket, raw, own, hot in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                hashes, own = np.frombuffer(raw, np.uint64), _wide(own)
+                if bucket < 0:
+                    yield rows(hashes, own, np.ones(len(own), bool))
+                    continue
+                if held and bucket != current:
+                    yield from shared(held)
+                    held = []
+                current = bucket
+                held.append((hashes, own, np.unpackbits(np.frombuffer(hot, np.uint8))[: len(own)].astype(bool)))
+        if held:
+            yield from shared(held)
+
+    blobs_ = docs.select("doc", "text").mapInArrow(pack, packed)
+    return blobs_.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, SHARED)
+
+
+# --- cuts -----------------------------------------------------------------------------------------------------------
+
+CUTS = "bucket int, doc binary, tag binary, start binary, size binary, bytes binary"
+SPANS = "doc long, tag long, start long, stop long"
+
+
+def cuts_of(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Blobs of cuts by bucket, or under bucket -1 the spans that are settled already (start and size), for docs
+    (doc, tag, text)."""
+    target = arrow_schema(CUTS)
+    none = F.lit(None)
+    rows = shared.select("doc", F.lit(0).alias("kind"), "hash", "hot", none.cast("long").alias("tag"), none.cast("string").alias("text"))
+    texts = docs.select("doc", F.lit(1).alias("kind"), none.cast("long").alias("hash"), none.cast("boolean").alias("hot"), "tag", "text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(held: list) -> Iterator[pa.RecordBatch]:
+            held.sort(key=lambda x: (x[0], x[1], x[2]))  # hash, bytes, doc
+            out: dict = {f.name: [] for f in target}
+
+            def put(bucket: int, some: list, with_bytes: bool) -> None:
+                numbers = [np.array([x[c] for x in some], np.int64) for c in (2, 3, 4)]
+                size = np.array([x[5] for x in some], np.int32)
+                values = (bucket, *(x.tobytes() for x in numbers), size.tobytes(), b"".join(x[1] for x in some) if with_bytes else b"")
+                for f, v in zip(target, values, strict=True):
+                    out[f.name].append(v)
+
+            kept, settled, last = [], [], None
+            for x in held:
+                if last is not None and x[0] == last[0] and x[1] == last[1] and x[2] > last[2]:
+                    settled.append((*x[:5], x[5] + length - 1))
+                else:
+                    kept.append(x)
+                    if last is None or x[0] != last[0] or x[1] != last[1]:
+                        last = x
+            if kept:
+                for k, some in _by_bucket(np.array([x[0] for x in kept], np.uint64), buckets):
+                    put(k, [kept[i] for i in some], True)
+            for k in range(0, len(settled), 1 << 16):
+                put(-1 - settled[k][0] % buckets, settled[k : k + (1 << 16)], False)
+            yield record_batch(out, target)
+
+        held, size = [], 0
+        known, doc_now = {}, None
+        for b in batches:
+            columns = (*(b.column(c).to_pylist() for c in range(5)), blobs(b.column(5)))
+            for doc, kind, h, hot, tag, text in zip(*columns, strict=True):
+                if doc != doc_now:
+                    known, doc_now = {}, doc
+                if kind == 0:
+                    known[h & 0xFFFFFFFFFFFFFFFF] = known.get(h & 0xFFFFFFFFFFFFFFFF, False) or hot
+                    continue
+                if not known:
+                    continue
+                for h, start, n in zip(*(x.tolist() for x in anchors_of(text or b"", length)), strict=True):
+                    heat = known.get(h)
+                    if heat is None:
+                        continue
+                    if heat:  # by single windows, dealt by their bytes
+                        for i in range(start, start + n):
+                            window = text[i : i + length]
+                            held.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"), window, doc, tag, i, 1))
+                    else:
+                        held.append((h, text[start : start + n + length - 1], doc, tag, start, n))
+                    size += n + 100
+                    if size >= 10 * FLUSH:
+                        yield from flush(held)
+                        held, size = [], 0
+        if held:
+            yield from flush(held)
+
+    both = rows.unionByName(texts).repartition("doc").sortWithinPartitions("doc", "kind", "hash")
+    return both.mapInArrow(cut, CUTS)
+
+
+# --- suffix sorting -------------------------------------------------------------------------------------------------
+
+
+def deep_shallow_sort(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of buf that start at the given places, by their first `length` bytes; and where in this
+    order a new string begins, and the end."""
+    n = len(at)
+    order, group = np.arange(n), np.zeros(n, np.int64)
+    words = words_at(np.concatenate([buf, np.zeros(8, np.uint8)]))
+    shallow = min(SHALLOW, length // 8 * 8)
+    active = np.arange(n)  # places in the order whose group has several members
+    for depth in range(0, shallow, 8):  # multikey quicksort, a symbol of eight bytes a level, all groups at once
+        symbol = words[at[order[active]] + depth]
+        moved = np.lexsort((symbol, group[active])) if depth else np.argsort(symbol)
+        order[active] = order[active][moved]
+        symbol = symbol[moved]
+        starts = _runs(group[active], symbol)
+        group[active] = np.repeat(active[starts[:-1]], np.diff(starts))
+        active = active[np.repeat(np.diff(starts) > 1, np.diff(starts))]
+    left = length - shallow
+    while len(active) and left:  # blind tries over what still agrees
+        pivot = at[order[group[active]]] + shallow
+        own = at[order[active]] + shallow
+        lcp = np.full(len(active), left)
+        alive = np.arange(len(active))
+        for d in range(0, left, 8):
+            # compare eight bytes at a time; the last word reaches back so that it ends with the string
+            d = min(d, left - 8) if left >= 8 else d
+            x, y = words[own[alive] + d], words[pivot[alive] + d]
+            if left < 8:
+                cut = np.uint64(8 * (8 - left))
+                x, y = x >> cut, y >> cut
+            differ = x != y
+            if differ.any():
+                bits = x[differ] ^ y[differ]
+                upper = bits >> np.uint64(32)
+                half = np.where(upper > 0, upper, bits & np.uint64(0xFFFFFFFF)).astype(np.float64)
+                high = np.frexp(half)[1] - 1 + np.where(upper > 0, 32, 0)  # the highest bit that differs
+                width = 8 if left >= 8 else left
+                lcp[alive[differ]] = d + width - 1 - high // 8
+                alive = alive[~differ]
+        equal = lcp >= left
+        safe = np.minimum(lcp, left - 1)
+        byte, base = buf[own + safe], buf[pivot + safe]
+        # before the first member: what leaves earliest; after it: what leaves latest
+        rank = np.where(equal, 0, np.where(byte < base, lcp - left - 1, left + 1 - lcp))
+        moved = np.lexsort((byte, rank, group[active]))
+        order[active] = order[active][moved]
+        rank, byte, equal = rank[moved], np.where(equal[moved], 0, byte[moved]), equal[moved]
+        starts = _runs(group[active], rank, byte)
+        sizes = np.diff(starts)
+        group[active] = np.repeat(active[starts[:-1]], sizes)
+        active = active[np.repeat(sizes > 1, sizes) & ~equal]
+    return order, _runs(group)
+
+
+def repeated_spans(cuts: DataFrame, length: int) -> DataFrame:
+    """doc, tag, start, stop: what is removed, from blobs of cuts."""
+    target = arrow_schema(SPANS)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def spans(held: list) -> Iterator[pa.RecordBatch]:
+            doc, tag, start = (np.concatenate([np.frombuffer(x[c], np.int64) for x in held]) for c in range(3))
+            size = np.concatenate([np.frombuffer(x[3], np.int32) for x in held]).astype(np.int64)
+            buf = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
+            begin = np.concatenate([[0], np.cumsum(size + length - 1)[:-1]])
+            which = np.repeat(np.arange(len(size)), size)
+            inner = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+            order, strings = deep_shallow_sort(buf, begin[which] + inner, length)
+            own = doc[which][order]
+            least = np.repeat(np.minimum.reduceat(own, strings[:-1]), np.diff(strings))
+            gone = np.zeros(len(which), bool)
+            gone[order] = own > least
+            # windows of one cut that follow one another make one span
+            at = np.flatnonzero(gone)
+            if len(at):
+                runs = _runs(which[at], at - np.arange(len(at)))
+                a, z = at[runs[:-1]], at[runs[1:] - 1]
+                yield record_batch({"doc": doc[which[a]], "tag": tag[which[a]], "start": start[which[a]] + inner[a], "stop": start[which[z]] + inner[z] + length}, target)
+
+        held, current = [], None
+        for b in batches:
+            for bucket, *row in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
+                if bucket < 0:
+                    own, tag, start = (np.frombuffer(x, np.int64) for x in row[:3])
+                    yield record_batch({"doc": own, "tag": tag, "start": start, "stop": start + np.frombuffer(row[3], np.int32)}, target)
+                    continue
+                if held and bucket != current:
+                    yield from spans(held)
+                    held = []
+                current = bucket
+                held.append(row)
+        if held:
+            yield from spans(held)
+
+    return cuts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, SPANS)
+
+
+# --- the operator ---------------------------------------------------------------------------------------------------
+
+
+def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text.cast("binary")).alias("tag"), text.alias("text"))
+
+
+def removal(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Digests of all rows (doc, tag, n_bytes, sha, copy: whether it is a whole copy), and the spans removed from the
+    others, by doc and tag."""
+    rows = _tagged(docs)
+    data = F.col("text").cast("binary")
+    digests = staged(rows.select("doc", "tag", F.octet_length("text").alias("n_bytes"), F.unhex(F.md5(data)).alias("hash"), F.unhex(F.sha2(data, 256)).alias("sha")), "suffix-digests")
+    firsts = digests.groupBy("hash").agg(F.min("doc").alias("least"))
+    digests = digests.join(firsts, "hash", "left").withColumn("copy", F.coalesce((F.col("doc") > F.col("least")) & (F.col("n_bytes") >= length), F.lit(False)))
+    digests = staged(digests.select("doc", "tag", "n_bytes", "sha", "copy"), "suffix-digests")
+    # numbers of buckets follow the input, so that one holds some MB
+    size = digests.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    buckets = int(min(1 << 20, max(16, size // (4 << 20))))
+    real = rows.where("doc is not null and octet_length(text) >= %d" % length)
+    shared = shared_anchors(real, length, buckets)
+    shared = shared.join(digests.where("copy").select("doc").distinct(), "doc", "left_anti")
+    spans = repeated_spans(cuts_of(real, shared, length, buckets), length)
+    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    return digests, staged(spans, "suffix-spans")
+
+
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+
+
+def _cell() -> F.Column:
+    return F.pmod(F.xxhash64("doc", "tag"), F.lit(CELLS)).cast("int")
+
+
+def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans (maximal runs removed), kept_sha256 for each row; with with_text also kept
+    (the bytes that are left)."""
+    digests, spans = removal(docs, length)
+    # texts move only where something is cut out; at most CELLS values are broadcast to tell most of the others
+    cells = spans.select(_cell().alias("cell")).distinct()
+    texts = _tagged(docs).where("doc is not null").withColumn("cell", _cell())
+    texts = texts.join(F.broadcast(cells), "cell", "left_semi").select("doc", "tag", "text")
+    found = spans.join(texts.dropDuplicates(["doc", "tag"]), ["doc", "tag"])
+    flat = found.select("doc", "tag", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        out: dict = {k: [] for k in ("n_removed", "n_spans", "kept")}
+        for text, starts, stops in zip(blobs(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            spans, left, at = _merge(list(zip(starts, stops, strict=True))), [], 0
+            for a, b in spans:
+                left.append(text[at:a])
+                at = b
+            left.append(text[at:])
+            out["n_removed"].append(sum(b - a for a, b in spans))
+            out["n_spans"].append(len(spans))
+            out["kept"].append(b"".join(left))
+        return out | {"doc": batch.column(0), "tag": batch.column(1)}
+
+    done = map_batches(flat, cut, "doc long, tag long, n_removed long, n_spans long, kept binary")
+    done = done.withColumn("cut_sha", F.unhex(F.sha2("kept", 256)))
+    if not with_text:
+        done = done.drop("kept")
+    rows = digests.join(done, ["doc", "tag"], "left")
+    nothing = F.unhex(F.sha2(F.lit("").cast("binary"), 256))
+    copy = F.col("copy")
+    columns = [
+        F.col("doc").alias("doc_id"),
+        F.col("n_bytes").cast("long").alias("n_bytes"),
+        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.lower(F.hex(F.when(copy, nothing).otherwise(F.coalesce("cut_sha", "sha")))).alias("kept_sha256"),
+    ]
+    if with_text:
+        whole = _tagged(docs).dropDuplicates(["doc", "tag"]).select("doc", "tag", F.col("text").cast("binary").alias("whole"))
+        rows = rows.join(whole, F.expr("true") & rows["doc"].eqNullSafe(whole["doc"]) & (rows["tag"] == whole["tag"])).drop(whole["doc"], whole["tag"])
+        columns.append(F.when(copy, F.lit("").cast("binary")).otherwise(F.coalesce("kept", "whole")).alias("kept"))
+    return rows.select(*columns)
