@@ -1,11 +1,485 @@
-"""All registered queries of the engine and their SQL."""
+"""All registered queries of the engine, each with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import clean, tokens
+from ..functions.constants import BANNED_WORDS
+from ..operators import corpus, distance, evaluate, lexicon, rank
+from ..operators import features as ft
+from ..operators.sentences import sentences
+from . import sql as S
 
-def oracle_sql() -> dict:
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(text: str | None = None):
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if text:
+            _SQL[f.__name__] = text
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def keyed(df: DataFrame, key: Column | str) -> DataFrame:
+    return df.select((F.col(key) if isinstance(key, str) else key).alias("k"), "text")
+
+
+BY_SOURCE = "src AS (SELECT source AS k, doc_id AS row, text FROM documents)"
+BY_DOC = "src AS (SELECT doc_id AS k, doc_id AS row, text FROM documents)"
+
+#: Formulaic additions by doc_id, since plain documents have none.
+ADDED = [
+    "",
+    " We delve into a rich tapestry of robust ideas, and it's worth noting the framework.",
+    " Furthermore, at the end of the day, implementation matters.",
+    " A holistic approach plays a pivotal role in the ecosystem of innovative, vibrant, diverse paradigms.",
+    " " + "again and again and " * 12 + "again.",
+    " The landscape of leverage.",
+]
+ADDED_SQL = "text || [" + ", ".join(S.q(a) for a in ADDED) + f"][1 + doc_id % {len(ADDED)}]"
+
+
+def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    added = F.element_at(F.array(*[F.lit(a) for a in ADDED]), (F.col("doc_id") % len(ADDED) + 1).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", "source", "lang", F.concat("text", added).alias("text"))
+
+
+MARKED = f"marked AS (SELECT doc_id, source, lang, {ADDED_SQL} AS text FROM documents)"
+
+
+@query(
+    f"SELECT doc_id, CAST(len({S.words('text')}) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS chars, CAST(len({S.plain('text')}) AS BIGINT) AS plain_words, "
+    "CAST(len(list_filter(string_split(replace(replace(text, '!', '.'), '?', '.'), '.'), lambda s: true)) - CASE WHEN regexp_matches(text, '[.!?]\\z') OR text = '' THEN 1 ELSE 0 END AS BIGINT) AS terminated FROM documents"
+)
+def q01_word_stats(spark, sf_dir):
+    t = F.col("text")
+    return docs(spark, sf_dir).select(
+        "doc_id",
+        tokens.unicode_word_count(t).cast("long").alias("words"),
+        F.length(t).cast("long").alias("chars"),
+        tokens.plain_word_count(t).cast("long").alias("plain_words"),
+        tokens.terminated_sentence_count(t).cast("long").alias("terminated"),
+    )
+
+
+@query(f"""WITH {BY_SOURCE}, {S.counts_cte('src').strip()},
+r AS (SELECT k, CAST(sum(n) AS BIGINT) AS t, count(*) AS v, CAST(sum(n * n) AS BIGINT) AS s2, count(*) FILTER (WHERE n = 1) AS v1, count(*) FILTER (WHERE n = 2) AS v2 FROM wc GROUP BY k)
+SELECT k AS source, t AS tokens, v AS types, {S.RICH} FROM r""")
+def q02_richness_by_source(spark, sf_dir):
+    return ft.richness(ft.word_counts(keyed(docs(spark, sf_dir), "source"))).withColumnRenamed("k", "source")
+
+
+@query(f"""WITH {BY_SOURCE}, {S.counts_cte('src').strip()}
+SELECT k AS source, word, n, round(CAST(n AS DOUBLE) / total, 6) AS freq FROM wc JOIN (SELECT k, sum(n) AS total FROM wc GROUP BY k) USING (k)
+WHERE word IN ({S.literals(S.FUNCTION_WORDS)})""")
+def q03_function_words(spark, sf_dir):
+    return ft.function_words(ft.word_counts(keyed(docs(spark, sf_dir), "source"))).withColumnRenamed("k", "source")
+
+
+@query("""SELECT source, gram, n, rank FROM (SELECT source, gram, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, gram) AS rank
+FROM (SELECT source, s[i] || s[i + 1] || s[i + 2] AS gram FROM (SELECT source, s, unnest(range(1, len(s) - 1)) AS i FROM (SELECT source, string_split(lower(text), '') AS s FROM documents)))
+GROUP BY source, gram) WHERE rank <= 500""")
+def q04_trigram_top500(spark, sf_dir):
+    return ft.top_trigrams(ft.trigrams(keyed(docs(spark, sf_dir), "source"))).withColumnRenamed("k", "source")
+
+
+@query("SELECT doc_id, " + ", ".join(
+    f"round(CASE WHEN w > 0 THEN {f('text')} * 1000.0 / w ELSE 0 END, 6) AS {m}" for m, f in S.MARKS_SQL.items()
+) + f" FROM (SELECT doc_id, text, len({S.words('text')}) AS w FROM documents)")
+def q05_punctuation(spark, sf_dir):
+    rows = docs(spark, sf_dir).select(
+        F.col("doc_id").alias("k"), tokens.unicode_word_count(F.col("text")).alias("n_words"), *[c.alias(m) for m, c in ft.punctuation_counts(F.col("text")).items()]
+    )
+    return ft.punctuation(rows).withColumnRenamed("k", "doc_id")
+
+
+@query(f"""WITH {BY_DOC}, {S.sentences_cte('src').strip()}
+SELECT k AS doc_id, row_number() OVER (PARTITION BY k ORDER BY sid) - 1 AS pos, sentence, CAST(len({S.words('sentence')}) AS BIGINT) AS words FROM sents""")
+def q06_sentences(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("pos", "sentence"))
+    return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "sentence", tokens.unicode_word_count(F.col("sentence")).cast("long").alias("words"))
+
+
+_HIST = ", ".join(f"round(CAST({b} AS DOUBLE) / count(*) FILTER (WHERE len > 0), 6)" for b in S.bins("len"))
+
+
+@query(f"""WITH {BY_SOURCE}, {S.sentences_cte('src').strip()}, l AS (SELECT k, len({S.words('sentence')}) AS len FROM sents)
+SELECT k AS source, round(CAST(sum(len) AS DOUBLE) / count(*) FILTER (WHERE len > 0), 6) AS mean,
+round(sqrt((count(*) FILTER (WHERE len > 0) * sum(len * len) - sum(len) * sum(len)) / (CAST(count(*) FILTER (WHERE len > 0) AS DOUBLE) * count(*) FILTER (WHERE len > 0))), 6) AS sd,
+[{_HIST}] AS histogram FROM l GROUP BY k""")
+def q07_sentence_histogram(spark, sf_dir):
+    return ft.sentence_shape(ft.sums(keyed(docs(spark, sf_dir), "source"))).withColumnRenamed("k", "source")
+
+
+_DOC_STYLE = f"WITH {BY_DOC}, {S.style_cte('src', 'a').strip()}"
+
+
+@query(f"{_DOC_STYLE} SELECT k AS doc_id, flesch_kincaid, coleman_liau, ari, avg_syllables FROM a_dense")
+def q08_readability(spark, sf_dir):
+    return ft.readability(ft.sums(keyed(docs(spark, sf_dir), "doc_id"))).withColumnRenamed("k", "doc_id")
+
+
+@query(f"""WITH {BY_SOURCE}, {S.counts_cte('src').strip()}, t AS (SELECT k, sum(n) AS total, count(*) AS vocabulary_size FROM wc GROUP BY k)
+SELECT k AS source, vocabulary_size, list_sort(list_filter([{S.BANNED}], lambda b: NOT list_contains(list(word), b))) AS banned,
+coalesce(list_sort(list(word) FILTER (WHERE n > 3 AND strlen(word) > 4 AND CAST(n AS DOUBLE) / total > 0.001)), []) AS preferred
+FROM wc JOIN t USING (k) GROUP BY k, vocabulary_size""")
+def q09_vocabulary(spark, sf_dir):
+    return ft.vocabulary(ft.word_counts(keyed(docs(spark, sf_dir), "source"))).withColumnRenamed("k", "source")
+
+
+@query(f"SELECT page_id, {S.html_strip('html')} AS text FROM pages")
+def q10_html_strip(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", clean.strip_html_tags(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, {S.tracking('url')} AS url FROM pages")
+def q11_tracking_params(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", clean.strip_tracking(F.col("url")).alias("url"))
+
+
+@query(f"SELECT page_id, t AS text FROM ({S.clean_steps('html', 'pages', 'page_id')})")
+def q12_clean_chain(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", clean.clean(F.col("html")).alias("text"))
+
+
+@query("SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
+def q13_dedupe(spark, sf_dir):
+    return corpus.dedupe(docs(spark, sf_dir))
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) <= (SELECT greatest(ceil(count(*) * 0.1), 1) FROM documents) AS held_out FROM documents")
+def q14_holdout_split(spark, sf_dir):
+    return corpus.holdout_split(docs(spark, sf_dir).select("doc_id"), 0.1)
+
+
+@query(f"SELECT coalesce(lang, 'none') AS context, count(*) AS samples, CAST(sum(len({S.words('text')})) AS BIGINT) AS words FROM documents GROUP BY 1")
+def q15_ingest_report(spark, sf_dir):
+    return corpus.report(docs(spark, sf_dir), "lang")
+
+
+@query(f"WITH {MARKED} SELECT doc_id, round(CAST({S.slop('text', f'len({S.words("text")})')} AS DOUBLE), 6) AS slop FROM marked")
+def q16_slop_canonical(spark, sf_dir):
+    return marked(spark, sf_dir).select("doc_id", F.round(distance.slop(F.col("text")).cast("double"), 6).alias("slop"))
+
+
+@query(f"WITH {MARKED} SELECT doc_id, round(CAST({S.slop_presence('text')} AS DOUBLE), 6) AS slop FROM marked")
+def q17_slop_presence(spark, sf_dir):
+    return marked(spark, sf_dir).select("doc_id", F.round(distance.slop_presence(F.col("text")).cast("double"), 6).alias("slop"))
+
+
+@query(f"WITH {MARKED} SELECT doc_id, round(CAST({S.repetition('text')} AS DOUBLE), 6) AS repetition FROM marked")
+def q18_repetition(spark, sf_dir):
+    return marked(spark, sf_dir).select("doc_id", F.round(ft.repetition(F.col("text")).cast("double"), 6).alias("repetition"))
+
+
+_REASONS = f"""list_concat(list_transform(list_filter([{S.literals(S.BANNED_PHRASES)}], lambda p: contains(low, p)), lambda p: 'phrase: ' || p),
+list_filter([CASE WHEN nw > 3 THEN 'formulaic words: ' || nw END, CASE WHEN n < 10 THEN 'too short' END, CASE WHEN n > 20 AND rep > 0.4 THEN 'repetition' END], lambda x: x IS NOT NULL))"""
+
+
+@query(f"""WITH {MARKED}, m AS (SELECT doc_id, lower(text) AS low, len({S.plain('text')}) AS n, {S.repetition('text')} AS rep,
+len(list_filter([{S.literals([w for w in BANNED_WORDS if w not in S.AUTHOR_VALID])}], lambda w: contains(lower(text), w))) AS nw FROM marked)
+SELECT doc_id, reasons, len(reasons) = 0 AS passed FROM (SELECT doc_id, {_REASONS} AS reasons FROM m)""")
+def q19_filter(spark, sf_dir):
+    rows = marked(spark, sf_dir).select("doc_id", rank.rejections(F.col("text")).alias("reasons"))
+    return rows.withColumn("passed", F.size("reasons") == 0)
+
+
+def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user turn with the assistant turn after it."""
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    said = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
+    return asked.join(said, ["conv_id", "turn"])
+
+
+EXCHANGES = """ex AS (SELECT a.conv_id, a.turn, a.text AS prompt, b.text AS output FROM conversations a JOIN conversations b
+ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant')"""
+
+
+@query(f"WITH {EXCHANGES} SELECT conv_id, turn, round({S.relevance('prompt', 'output')}, 6) AS relevance FROM ex")
+def q20_relevance(spark, sf_dir):
+    return exchanges(spark, sf_dir).select("conv_id", "turn", F.round(rank.relevance(F.col("prompt"), F.col("output")), 6).alias("relevance"))
+
+
+def own_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select(F.col("doc_id").alias("k"), F.col("source").alias("p"))
+
+
+_FW = f"k, word, n FROM wc WHERE word IN ({S.literals(S.FUNCTION_WORDS)})"
+
+
+@query(f"""WITH {BY_DOC}, {S.counts_cte('src').strip()}, pairs AS (SELECT doc_id AS k, source AS p FROM documents),
+a AS (SELECT {_FW}), b AS (SELECT source AS k, word, sum(n) AS n FROM a JOIN documents ON doc_id = k GROUP BY ALL),
+{S.cosine_cte('c', 'a', 'b', 'word').strip()} SELECT k AS doc_id, p AS source, d AS distance FROM c""")
+def q21_function_word_distance(spark, sf_dir):
+    counts = ft.word_counts(keyed(docs(spark, sf_dir), "doc_id")).where(F.col("word").isin(sorted(set(S.FUNCTION_WORDS))))
+    pairs = own_source(spark, sf_dir)
+    profile = counts.join(pairs, "k").groupBy(F.col("p").alias("k"), "word").agg(F.sum("n").alias("n"))
+    return distance.cosine_distance(counts, profile, pairs, "word").select(F.col("k").alias("doc_id"), F.col("p").alias("source"), "distance")
+
+
+_SOURCE_STYLE = f"""WITH {BY_SOURCE}, whole AS (SELECT 'corpus' AS k, doc_id AS row, text FROM documents),
+{S.style_cte('src', 'a').strip()}, {S.style_cte('whole', 'b').strip()}, pairs AS (SELECT DISTINCT source AS k, 'corpus' AS p FROM documents)"""
+
+
+def source_styles(spark: SparkSession, sf_dir: str) -> tuple[distance.Style, distance.Style, DataFrame]:
+    rows = docs(spark, sf_dir)
+    pairs = rows.select(F.col("source").alias("k")).distinct().withColumn("p", F.lit("corpus"))
+    return distance.Style.of(keyed(rows, "source")), distance.Style.of(keyed(rows, F.lit("corpus"))), pairs
+
+
+@query(f"{_SOURCE_STYLE}, {S.cosine_cte('c', 'a_grams', 'b_grams', 'gram').strip()} SELECT k AS source, d AS distance FROM c")
+def q22_trigram_distance(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    own = ft.trigrams(keyed(rows, "source"))
+    every = own.groupBy(F.lit("corpus").alias("k"), "gram").agg(F.sum("n").alias("n"))
+    pairs = rows.select(F.col("source").alias("k")).distinct().withColumn("p", F.lit("corpus"))
+    return distance.cosine_distance(ft.top_trigrams(own), ft.top_trigrams(every), pairs, "gram").select(F.col("k").alias("source"), "distance")
+
+
+@query(f"{_SOURCE_STYLE} SELECT x.k AS source, round({S.emd('x.histogram', 'y.histogram')}, 6) AS distance FROM a_dense x, b_dense y")
+def q23_sentence_emd(spark, sf_dir):
+    sums = ft.sums(keyed(docs(spark, sf_dir), "source"))
+    every = sums.groupBy(F.lit("corpus").alias("k")).agg(*[F.sum(c).alias(c) for c in ft.SUMS])
+    one = ft.sentence_shape(every).select(F.col("histogram").alias("whole"))  # a single row
+    rows = ft.sentence_shape(sums).crossJoin(F.broadcast(one))
+    return rows.select(F.col("k").alias("source"), F.round(distance.histogram_emd(F.col("histogram"), F.col("whole")), 6).alias("distance"))
+
+
+@query(f"{_SOURCE_STYLE}, {S.distance_cte('a', 'b', None).strip()} SELECT k AS source, {', '.join(S.DISTANCE_WEIGHTS)}, slop, base, overall FROM dist")
+def q24_distance(spark, sf_dir):
+    texts, profiles, pairs = source_styles(spark, sf_dir)
+    return distance.distances(texts, profiles, pairs).drop("p").withColumnRenamed("k", "source")
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of conversations as candidates, by a prompt: prompt_id, candidate_index, prompt, output."""
+    rows = exchanges(spark, sf_dir)
+    return rows.select(
+        (F.col("conv_id") % 40).alias("prompt_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("candidate_index"), "prompt", "output"
+    )
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with distance from the corpus, relevance, repetition, rank score and whether they pass."""
+    rows = candidates(spark, sf_dir)
+    texts = rows.select(F.col("candidate_index").alias("k"), F.col("output").alias("text"))
+    slops = texts.select("k", distance.slop(F.col("text")).alias("slop"))
+    every = docs(spark, sf_dir)
+    pairs = texts.select("k", F.lit("corpus").alias("p"))
+    found = distance.distances(distance.Style.of(texts), distance.Style.of(keyed(every, F.lit("corpus"))), pairs, slops)
+    out = F.col("output")
+    rows = rows.select(
+        "prompt_id", F.col("candidate_index").alias("k"),
+        F.round(rank.relevance(F.col("prompt"), out), 6).alias("relevance"),
+        F.round(ft.repetition(out), 6).alias("repetition"),
+        (F.size(rank.rejections(out)) == 0).alias("passed"),
+    )
+    rows = rows.join(found.select("k", F.col("overall").alias("distance"), "slop"), "k")
+    score = rank.rank_score(F.col("distance"), F.col("relevance"), F.col("slop"), F.col("repetition"))
+    return rows.withColumn("rank_score", F.round(score, 6)).withColumnRenamed("k", "candidate_index")
+
+
+_SCORED = f"""WITH {EXCHANGES}, cand AS (SELECT conv_id % 40 AS prompt_id, conv_id * 1000 + turn AS candidate_index, prompt, output FROM ex),
+src AS (SELECT candidate_index AS k, candidate_index AS row, output AS text FROM cand), whole AS (SELECT 'corpus' AS k, doc_id AS row, text FROM documents),
+{S.style_cte('src', 'a').strip()}, {S.style_cte('whole', 'b').strip()}, pairs AS (SELECT k, 'corpus' AS p FROM src),
+sl AS (SELECT k, {S.slop('text', f'len({S.words("text")})')} AS slop FROM src),
+{S.distance_cte('a', 'b', 'sl').strip()},
+measured AS (SELECT prompt_id, candidate_index, round({S.relevance('prompt', 'output')}, 6) AS relevance, round(CAST({S.repetition('output')} AS DOUBLE), 6) AS repetition,
+  lower(output) AS low, len({S.plain('output')}) AS n, {S.repetition('output')} AS rep,
+  len(list_filter([{S.literals([w for w in BANNED_WORDS if w not in S.AUTHOR_VALID])}], lambda w: contains(lower(output), w))) AS nw FROM cand),
+scored AS (SELECT m.prompt_id, m.candidate_index, relevance, repetition, len({_REASONS}) = 0 AS passed, d.overall AS distance, d.slop AS slop,
+  round(least(greatest(d.overall + 0.25 * (1 - relevance) * (1 - relevance) + 0.10 * d.slop + 0.10 * repetition, 0), 1.5), 6) AS rank_score
+  FROM measured m JOIN dist d ON d.k = m.candidate_index)"""
+
+
+@query(f"{_SCORED} SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY rank_score, candidate_index) AS rank FROM scored")
+def q25_rank(spark, sf_dir):
+    return rank.rank(scored(spark, sf_dir))
+
+
+@query(f"""{_SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY distance, candidate_index) - 1 AS at, count(*) OVER (PARTITION BY prompt_id) AS n FROM scored),
+p AS (SELECT a.prompt_id, a.candidate_index AS chosen, b.candidate_index AS rejected, a.distance AS chosen_distance, b.distance AS rejected_distance, a.relevance AS chosen_relevance,
+round(b.distance - a.distance, 6) AS margin FROM o a JOIN o b ON a.prompt_id = b.prompt_id AND a.at = 0 AND b.at = a.n // 2 AND a.n >= 2)
+SELECT * FROM p WHERE margin >= 0.03 AND chosen_relevance >= 0.3""")
+def q26_pairs(spark, sf_dir):
+    return rank.mine_pairs(scored(spark, sf_dir))
+
+
+@query(f"""{_SCORED} SELECT prompt_id, candidate_index, rank_score, passed, candidates FROM (SELECT *, count(*) OVER (PARTITION BY prompt_id) AS candidates,
+row_number() OVER (PARTITION BY prompt_id ORDER BY NOT passed, rank_score, candidate_index) AS r FROM scored) WHERE r = 1""")
+def q27_choose(spark, sf_dir):
+    return rank.choose(scored(spark, sf_dir))
+
+
+_TRIM = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$"
+_ENTITIES = f"""ents AS (SELECT term, count(*) AS n FROM (
+  SELECT unnest(list_filter(list_concat(r2, r3, r4, s1), lambda t: strlen(t) >= 3)) AS term FROM (SELECT
+    {', '.join(f"list_transform(list_filter(range(1, len(w) - {k - 2}), lambda i: {' AND '.join(f'regexp_matches(w[i + {j}], {S.q(chr(94) + chr(92) + 'p{Lu}')})' for j in range(k))}), lambda i: {' || chr(32) || '.join(f'w[i + {j}]' for j in range(k))}) AS r{k}" for k in (2, 3, 4))},
+    list_transform(list_filter(range(2, len(w) + 1), lambda i: regexp_matches(w[i], '^\\p{{Lu}}') AND strlen(w[i]) >= 3 AND NOT regexp_matches(raw[i - 1], '[.!?]$') AND lower(w[i]) NOT IN ({S.STOP})), lambda i: w[i]) AS s1
+  FROM (SELECT raw, list_transform(raw, lambda x: regexp_replace(x, {S.q(_TRIM)}, '', 'g')) AS w FROM (SELECT {S.plain('text')} AS raw FROM documents)))) GROUP BY term HAVING count(*) >= 3)"""
+_FREQUENT = f"""total AS (SELECT sum(len({S.plain('text')})) AS total FROM documents),
+bare AS (SELECT {S.bare_word('x')} AS term FROM (SELECT unnest({S.plain('text')}) AS x FROM documents)),
+freq AS (SELECT * FROM (SELECT term, n, round(greatest(ln(CAST(n AS DOUBLE) / total * 10000.0), 0), 6) AS score FROM (SELECT term, count(*) AS n FROM bare
+  WHERE strlen(term) >= 3 AND term NOT IN ({S.STOP}) AND NOT regexp_matches(term, '^\\p{{N}}+$') GROUP BY term HAVING count(*) >= 3), total) WHERE score > 0.5)"""
+
+
+@query(f"WITH {_ENTITIES} SELECT * FROM ents")
+def q28_lexicon_entities(spark, sf_dir):
+    return lexicon.entities(docs(spark, sf_dir))
+
+
+@query(f"WITH {_FREQUENT} SELECT * FROM freq")
+def q29_lexicon_words(spark, sf_dir):
+    return lexicon.frequent_words(docs(spark, sf_dir))
+
+
+@query(f"""WITH {_ENTITIES}, {_FREQUENT}, u AS (SELECT lower(term) AS term, 0 AS kind, -CAST(n AS DOUBLE) AS w FROM ents UNION ALL SELECT lower(term), 1, -score FROM freq),
+f AS (SELECT term, kind, w, row_number() OVER (PARTITION BY term ORDER BY kind, w) AS r FROM u)
+SELECT * FROM (SELECT row_number() OVER (ORDER BY kind, w, term) AS rank, term FROM f WHERE r = 1) WHERE rank <= 200""")
+def q30_lexicon(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    return lexicon.merge(lexicon.entities(rows), lexicon.frequent_words(rows))
+
+
+#: A lexicon as a file would give it: whole words, phrases, and one with a mark in it.
+LEXICON = ["the", "erst", "and the", "of a", "thin", "le", "une", "der", "enre", "que", "ein", "zzz", "c++"]
+_WHOLE = lambda t, term: f"regexp_matches({t}, '(^|[^\\p{{L}}\\p{{N}}])' || regexp_escape({term}) || '($|[^\\p{{L}}\\p{{N}}])')"
+
+
+@query(f"""WITH {EXCHANGES}, l AS (SELECT conv_id, turn, lower(output) AS o, list_filter([{S.literals(LEXICON)}], lambda t: NOT {_WHOLE('lower(prompt)', 't')}) AS free FROM ex),
+m AS (SELECT *, list_filter(free, lambda t: {_WHOLE('o', 't')}) AS leaked FROM l)
+SELECT conv_id, turn, leaked, CAST(len(free) AS BIGINT) AS checkable, round(CASE WHEN len(free) > 0 THEN CAST(len(leaked) AS DOUBLE) / len(free) ELSE 0 END, 6) AS leakage FROM m""")
+def q31_leakage(spark, sf_dir):
+    rows = lexicon.leakage(exchanges(spark, sf_dir), LEXICON)
+    return rows.select("conv_id", "turn", "leaked", F.col("checkable").cast("long").alias("checkable"), "leakage")
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation records: labelled documents, by combo of language and quality, with measures of their own."""
+    d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    x = F.col("doc_id")
+    return d.select(
+        x, F.concat_ws(" + ", "lang", F.col("quality").cast("string")).alias("combo"), "source",
+        evaluate.bucket_of(F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (x % 5 + 1).cast("int"))).alias("bucket"),
+        F.when(F.col("toxic") == 1, "failed").otherwise("ok").alias("status"),
+        ((x * 37 % 1000) / 1000.0).cast("double").alias("distance"), ((x * 11 % 100) / 1000.0).cast("double").alias("leakage"),
+        ((x * 7 % 50) / 100.0).cast("double").alias("terminal"), ((x * 3 % 40) / 100.0).cast("double").alias("structural"),
+    )
+
+
+CATEGORIES = ["travel", "canon-adjacent", "longform", "shortform", "technology"]
+_RECORDS = f"""rec AS (SELECT doc_id, lang || ' + ' || quality AS combo, source, CASE WHEN c IN ('canon-adjacent', 'longform', 'shortform') THEN c ELSE 'off-domain' END AS bucket,
+CASE WHEN toxic = 1 THEN 'failed' ELSE 'ok' END AS status, (doc_id * 37 % 1000) / CAST(1000 AS DOUBLE) AS distance, (doc_id * 11 % 100) / CAST(1000 AS DOUBLE) AS leakage,
+(doc_id * 7 % 50) / CAST(100 AS DOUBLE) AS terminal, (doc_id * 3 % 40) / CAST(100 AS DOUBLE) AS structural
+FROM (SELECT *, [{S.literals(CATEGORIES)}][1 + doc_id % 5] AS c FROM documents JOIN labels USING (doc_id)))"""
+_AVG = lambda x: f"round(CAST(sum(CAST({x} AS DECIMAL(20,6))) FILTER (WHERE status = 'ok') AS DOUBLE) / nullif(count(*) FILTER (WHERE status = 'ok'), 0), 6)"
+_STATS = f"""count(*) FILTER (WHERE status = 'ok') AS count, count(*) FILTER (WHERE status = 'failed') AS failed, {_AVG('distance')} AS mean_distance,
+round(quantile_cont(distance, 0.5) FILTER (WHERE status = 'ok'), 6) AS median_distance, round(var_pop(distance) FILTER (WHERE status = 'ok'), 6) AS variance_distance,
+{_AVG('leakage')} AS mean_leakage, max(leakage) FILTER (WHERE status = 'ok') AS worst_leakage, {_AVG('terminal')} AS mean_terminal, {_AVG('structural')} AS mean_structural"""
+_BUCKETS = f"""{_RECORDS}, every AS (SELECT *, 'overall' AS b FROM rec UNION ALL SELECT *, bucket AS b FROM rec),
+frame AS (SELECT DISTINCT combo, unnest(['overall', {S.literals(evaluate.STANDARD_BUCKETS)}]) AS b FROM rec),
+stats AS (SELECT combo, b, {_STATS} FROM every GROUP BY combo, b),
+buckets AS (SELECT frame.combo, frame.b AS bucket, coalesce(count, 0) AS count, coalesce(failed, 0) AS failed, mean_distance, median_distance, variance_distance, mean_leakage, worst_leakage, mean_terminal, mean_structural
+  FROM frame LEFT JOIN stats ON stats.combo = frame.combo AND stats.b = frame.b)"""
+
+
+@query(f"""WITH {_RECORDS} SELECT {', '.join(f"round(CAST(sum(CAST({m} AS DECIMAL(20,6))) AS DOUBLE) / count(*), 6) AS mean_{m}" for m in ('distance', 'leakage', 'terminal', 'structural'))},
+round(quantile_cont(distance, 0.5), 6) AS median_distance, count(DISTINCT source) AS prompts, count(*) AS records FROM rec""")
+def q32_eval_summary(spark, sf_dir):
+    return evaluate.summary(records(spark, sf_dir), ["distance", "leakage", "terminal", "structural"], prompt="source")
+
+
+@query(f"WITH {_BUCKETS} SELECT * FROM buckets")
+def q33_bucket_rollup(spark, sf_dir):
+    return evaluate.buckets(records(spark, sf_dir))
+
+
+@query(f"""WITH {_BUCKETS}, g0 AS (SELECT o.*, coalesce(x.mean_leakage, o.mean_leakage) AS off_domain_leakage, o.mean_terminal + o.mean_structural AS voice FROM buckets o
+LEFT JOIN buckets x ON x.combo = o.combo AND x.bucket = 'off-domain' AND x.count > 0 WHERE o.bucket = 'overall' AND o.count > 0),
+g1 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY off_domain_leakage, combo) AS r1, count(*) OVER () AS n1 FROM g0) WHERE r1 <= least(n1, greatest(n1 // 2 + 1, 2))),
+g2 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY voice, combo) AS r2, count(*) OVER () AS n2 FROM g1) WHERE r2 <= least(n2, greatest(n2 // 2 + 1, 2)))
+SELECT combo, off_domain_leakage, round(voice, 6) AS voice, mean_distance AS overall_distance FROM g2 ORDER BY mean_distance, combo LIMIT 1""")
+def q34_winner(spark, sf_dir):
+    return evaluate.winner(evaluate.buckets(records(spark, sf_dir)))
+
+
+@query(f"""WITH d AS (SELECT source, text, len({S.plain('text')}) AS w, length(text) AS c, list_filter(string_split_regex(text, '[.!?]'), lambda s: regexp_matches(s, {S.q(S.NOT_SPACE)})) AS s FROM documents),
+l AS (SELECT source, len({S.plain('x')}) AS n FROM (SELECT source, unnest(s) AS x FROM d)),
+sums AS (SELECT source, count(*) AS m, sum(n) AS t, sum(n * n) AS q FROM l GROUP BY source),
+v AS (SELECT source, count(DISTINCT w) AS vocabulary FROM (SELECT source, lower(regexp_replace(x, '[^\\p{{L}}]', '', 'g')) AS w FROM (SELECT source, unnest({S.plain('text')}) AS x FROM documents)) WHERE w <> '' GROUP BY source)
+SELECT source, count(*) AS files, CAST(sum(w) AS BIGINT) AS words, CAST(sum(c) AS BIGINT) AS chars, round(CAST(any_value(t) AS DOUBLE) / any_value(m), 6) AS sentence_mean,
+round(sqrt((any_value(m) * any_value(q) - any_value(t) * any_value(t)) / (CAST(any_value(m) AS DOUBLE) * any_value(m))), 6) AS sentence_sd, any_value(vocabulary) AS vocabulary
+FROM d JOIN sums USING (source) JOIN v USING (source) GROUP BY source""")
+def q35_profile_info(spark, sf_dir):
+    return corpus.profile_info(docs(spark, sf_dir), "source").withColumnRenamed("k", "source")
+
+
+@query(f"""SELECT doc_id, sha256(text) AS text_sha, CAST(len({S.words('text')}) AS BIGINT) AS words FROM documents WHERE len({S.words('text')}) >= 20""")
+def q36_training_rows(spark, sf_dir):
+    rows = corpus.training_rows(docs(spark, sf_dir), "chat")
+    shape = "struct<messages:array<struct<role:string,content:string>>>"
+    content = F.from_json("row", shape)["messages"][1]["content"]
+    return rows.select("doc_id", F.sha2(content.cast("binary"), 256).alias("text_sha"), tokens.unicode_word_count(content).cast("long").alias("words"))
+
+
+@query()
+def q37_chunks(spark, sf_dir):
+    return corpus.chunk(docs(spark, sf_dir), 200, paragraph="\n")
+
+
+@query(f"""{_SOURCE_STYLE} SELECT k AS source, n_words, n_chars, mean, sd, histogram, {', '.join(S.MARKS_SQL)}, flesch_kincaid, coleman_liau, ari, avg_syllables, ttr, yule_k, hapax, dis, simpson FROM a_dense""")
+def q38_fingerprint(spark, sf_dir):
+    return distance.Style.of(keyed(docs(spark, sf_dir), "source")).dense.withColumnRenamed("k", "source").drop("tokens", "types")
+
+
+@query(f"""WITH {BY_DOC}, {S.sentences_cte('src').strip()}, v AS (SELECT source AS k, len({S.words('sentence')}) AS n FROM sents JOIN documents ON doc_id = k),
+o AS (SELECT k, list_sort(list(n)) AS l, avg(n) AS mean, sum(n) AS s, sum(n * n) AS q, count(*) AS c FROM v WHERE n > 0 GROUP BY k)
+SELECT k AS source, round(CAST(s AS DOUBLE) / c, 6) AS mean, round(sqrt((c * q - s * s) / (CAST(c AS DOUBLE) * c)), 6) AS sd, CAST(l[c // 2 + 1] AS BIGINT) AS median, CAST(l[least(c * 95 // 100, c - 1) + 1] AS BIGINT) AS p95 FROM o""")
+def q39_sentence_lengths(spark, sf_dir):
+    rows = docs(spark, sf_dir).select(F.col("source").alias("k"), F.explode(sentences(F.col("text"))).alias("s"))
+    values = rows.select("k", tokens.unicode_word_count(F.col("s")).cast("long").alias("n")).where("n > 0")
+    return ft.length_stats(values).withColumnRenamed("k", "source")
+
+
+@query(f"""{_SCORED}, o AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY distance, candidate_index) - 1 AS at, count(*) OVER (PARTITION BY prompt_id) AS n FROM scored),
+p AS (SELECT a.relevance AS rel, round(b.distance - a.distance, 6) AS margin FROM o a JOIN o b ON a.prompt_id = b.prompt_id AND a.at = 0 AND b.at = a.n // 2 AND a.n >= 2)
+SELECT count(*) AS pairs, round(avg(margin), 6) AS avg_margin, min(margin) AS min_margin, max(margin) AS max_margin FROM p WHERE margin >= 0.03 AND rel >= 0.3""")
+def q40_pair_stats(spark, sf_dir):
+    return rank.pair_stats(rank.mine_pairs(scored(spark, sf_dir)))
+
+
+
+@query(f"""WITH {BY_SOURCE}, {S.counts_cte('src').strip()}, used AS (SELECT k, list_filter([{S.BANNED}], lambda b: NOT list_contains(list(word), b)) AS banned FROM wc GROUP BY k)
+SELECT k AS source, unnest(list_sort(list_distinct(list_concat(banned, [{S.literals([w for w in BANNED_WORDS if w not in S.AUTHOR_VALID])}])))) AS word, CAST(-4.0 AS DOUBLE) AS bias FROM used""")
+def q41_logit_bias(spark, sf_dir):
+    rows = keyed(docs(spark, sf_dir), "source")
+    sums = rows.groupBy("k").agg(
+        F.sum(tokens.unicode_word_count(F.col("text"))).alias("n_words"), *[F.sum(c).alias(m) for m, c in ft.punctuation_counts(F.col("text")).items()]
+    )
+    bias = rank.logit_bias(ft.vocabulary(ft.word_counts(rows)), ft.punctuation(sums).select("k", "em_dash"))
+    return bias.select(F.col("k").alias("source"), F.explode("bias").alias("word", "bias")).withColumn("bias", F.col("bias").cast("double"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
