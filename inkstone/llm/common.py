@@ -72,6 +72,38 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], sc
     return df.mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows of df for which keep gives true, with all columns as they are; nothing moves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(keep(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+CELLS = 1 << 20
+
+
+def cell(*columns: Column) -> Column:
+    """One of CELLS cells by hash. A set of cells has a fixed largest size, so it may be broadcast to tell early which
+    rows cannot matter."""
+    return F.pmod(F.xxhash64(*columns), F.lit(CELLS)).cast("int")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in gone (gone_id), with all their columns. Only rows in a cell of a gone one
+    are shuffled."""
+    gone = staged(gone.select("gone_id").distinct(), "gone")
+    cells = F.broadcast(gone.select(cell(F.col("gone_id")).alias("gone_cell")).distinct())
+    same = cell(docs["doc_id"]) == cells["gone_cell"]
+    maybe = docs.join(cells, same, "left_semi")
+    return docs.join(cells, same, "left_anti").unionByName(
+        maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+    )
+
+
 def arrow_schema(schema: str) -> pa.Schema:
     kinds = {
         "long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(),

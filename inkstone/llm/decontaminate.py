@@ -20,10 +20,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, arrow_schema, blobs, map_batches, record_batch
+from .common import ALNUM_TABLE, arrow_schema, blobs, keep_rows, map_batches, record_batch, staged
 
 SIZE = 10
 #: Windows sent to a task at once: some 60 MB at 10 words each.
@@ -108,25 +109,27 @@ def merged(ranges: list[int]) -> list[int]:
 OUT = "doc_id long, n_words long, n_hit long, spans array<int>, items array<string>"
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_words, n_hit, spans (word starts and ends in turn, merged), items (sorted as strings) for each row."""
-    from .common import staged
-
+def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, block: int) -> Iterator[Broadcast]:
+    """For each block of windows, items by window and places by prefix token."""
     windows = _windows(benchmark, size)
-    n = windows.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, -(-windows.count() // block))
     if blocks > 1:
         windows = staged(windows, "decontam-windows")
     part = F.pmod(F.xxhash64("window"), F.lit(blocks))
-    rows = docs.select("doc_id", "text")
     for k in range(blocks):
-        # at most about `block` distinct windows, whatever the size of the benchmark
+        # about `block` distinct windows at most, whatever the size of the benchmark
         own = windows.where(part == k).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
         table = {tuple(r["window"].encode().split(b" ")): tuple(r["items"]) for r in own.collect()}
         counts = word_counts(docs, frozenset(w for t in table for w in t))
-        index = prefix_index(table, counts)
-        shared = docs.sparkSession.sparkContext.broadcast((table, index))
-        first, last = k == 0, k == blocks - 1
+        yield docs.sparkSession.sparkContext.broadcast((table, prefix_index(table, counts)))
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_words, n_hit, spans (word starts and ends in turn, merged), items (sorted as strings) for each row."""
+    rows = docs.select("doc_id", "text")
+    indexes = list(_indexes(docs, benchmark, size, block))
+    for k, shared in enumerate(indexes):
+        first, last = k == 0, k == len(indexes) - 1
 
         def run(batch: pa.RecordBatch, shared=shared, first=first, last=last) -> dict:
             table, index = shared.value
@@ -150,5 +153,12 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, b
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE) -> DataFrame:
     """The rows of docs without a benchmark window, with all their columns."""
-    bad = benchmark_hits(docs, benchmark, size=size).where("n_hit > 0").select(F.col("doc_id").alias("_bad_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]), "left_anti")
+    for shared in _indexes(docs, benchmark, size, BLOCK):
+
+        def clean(batch: pa.RecordBatch, shared=shared) -> list[bool]:
+            table, index = shared.value
+            texts = blobs(batch.column(batch.schema.names.index("text")))
+            return [not hits_of(words_of(t), table, index)[0] for t in texts]
+
+        docs = keep_rows(docs, clean)
+    return docs

@@ -18,19 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged
-
-CELLS = 1 << 20
+from .common import ascii_lower, cell, staged, without
 
 
 def _normal(text: Column) -> Column:
     return ascii_lower(F.coalesce(text, F.lit("")))
 
 
-def _cell(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(CELLS)).cast("int")
-
-
 def exact_groups(docs: DataFrame, *, keep: str = "max") -> DataFrame:
     """doc_id, keep_id (largest doc_id of the group, or smallest with keep="min"), group_size, kept, text_sha256."""
     choose = {"max": F.max, "min": F.min}[keep]
@@ -44,11 +38,11 @@ def exact_groups(docs: DataFrame, *, keep: str = "max") -> DataFrame:
         "exact-digests",
     )
     repeated = digests.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = repeated.select(_cell(F.col("hash")).alias("cell")).distinct()
+    cells = repeated.select(cell(F.col("hash")).alias("cell")).distinct()
     # the aggregates need the bytes of a text only; equal bytes make one variant of a hash
     variants = (
         rows.withColumn("hash", F.unhex(F.md5(F.col("body").cast("binary"))))
-        .withColumn("cell", _cell(F.col("hash")))
+        .withColumn("cell", cell(F.col("hash")))
         .join(F.broadcast(cells), "cell", "left_semi")
         .groupBy("hash", "body")
         .agg(choose("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -68,7 +62,5 @@ def exact_groups(docs: DataFrame, *, keep: str = "max") -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, *, keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that repeat a kept doc_id with an equal text stay
-    with it."""
-    kept = exact_groups(docs, keep=keep).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """The rows of docs that stay, with all their columns. Rows that repeat a kept doc_id stay with it."""
+    return without(docs, exact_groups(docs, keep=keep).where("not kept").select(F.col("doc_id").alias("gone_id")))
