@@ -57,7 +57,7 @@ def cosine_distance(a: DataFrame, b: DataFrame, pairs: DataFrame, term: str) ->
     dots = left.join(right, ["p", term]).groupBy("k", "p").agg(F.sum(n("a") * n("b")).alias("dot"))
     joined = pairs.join(na, "k", "left").join(nb, "p", "left").join(dots, ["k", "p"], "left")
     cosine = F.coalesce("dot", F.lit(0.0)) / (F.sqrt("norm_a") * F.sqrt("norm_b"))
-    return joined.select("k", "p", rounded(F.coalesce(clamp(1.0 - cosine), F.lit(0.5))).alias("distance"))
+    return joined.select("k", "p", rounded(F.when(cosine.isNull(), 0.5).otherwise(clamp(1.0 - cosine))).alias("distance"))
 
 
 def histogram_emd(a: Column, b: Column) -> Column:

@@ -140,7 +140,7 @@ def cosine_cte(name: str, a: str, b: str, term: str) -> str:
     """{name}(k, p, d) from pairs(k, p)."""
     return f"""
 {name}_dot AS (SELECT pairs.k, pairs.p, sum(CAST(x.n AS DOUBLE) * y.n) AS dot FROM pairs JOIN {a} x ON x.k = pairs.k JOIN {b} y ON y.k = pairs.p AND y.{term} = x.{term} GROUP BY ALL),
-{name} AS (SELECT pairs.k, pairs.p, round(coalesce(least(greatest(1.0 - coalesce(dot, 0) / (sqrt(na) * sqrt(nb)), 0), 1), 0.5), 6) AS d FROM pairs
+{name} AS (SELECT pairs.k, pairs.p, round(CASE WHEN na IS NULL OR nb IS NULL THEN 0.5 ELSE least(greatest(1.0 - coalesce(dot, 0) / (sqrt(na) * sqrt(nb)), 0), 1) END, 6) AS d FROM pairs
     LEFT JOIN (SELECT k, sum(CAST(n AS DOUBLE) * n) AS na FROM {a} GROUP BY k) xa ON xa.k = pairs.k
     LEFT JOIN (SELECT k, sum(CAST(n AS DOUBLE) * n) AS nb FROM {b} GROUP BY k) xb ON xb.k = pairs.p
     LEFT JOIN {name}_dot z ON z.k = pairs.k AND z.p = pairs.p)"""
