@@ -18,6 +18,28 @@ from . import features as ft
 from .features import rounded
 
 
+@dataclass
+class Counts:
+    """What a style is made of, by k. Counts add up, so a larger key's are had from smaller ones' without the texts."""
+
+    sums: DataFrame
+    words: DataFrame
+    grams: DataFrame
+
+    @classmethod
+    def of(cls, texts: DataFrame) -> Counts:
+        return cls(ft.sums(texts), ft.word_counts(texts), ft.trigrams(texts))
+
+    def merged(self, key: Column) -> Counts:
+        """Summed by a coarser key, given in terms of k."""
+        n = F.sum("n").alias("n")
+        return Counts(
+            self.sums.groupBy(key.alias("k")).agg(*[F.sum(c).alias(c) for c in ft.SUMS]),
+            self.words.groupBy(key.alias("k"), "word").agg(n),
+            self.grams.groupBy(key.alias("k"), "gram").agg(n),
+        )
+
+
 @dataclass
 class Style:
     """Style tables by k: dense measures, counts of function words, and the most frequent trigrams."""
@@ -27,19 +49,14 @@ class Style:
     grams: DataFrame
 
     @classmethod
-    def of(cls, texts: DataFrame) -> Style:
-        sums = ft.sums(texts)
-        counts = ft.word_counts(texts)
-        dense = (
-            sums.select("k", "n_words", "n_chars")
-            .join(ft.sentence_shape(sums), "k")
-            .join(ft.punctuation(sums), "k")
-            .join(ft.readability(sums), "k")
-            .join(ft.richness(counts), "k", "left")
-            .fillna(0, ["ttr", "yule_k", "hapax", "dis", "simpson"])
-        )
-        words = counts.where(F.col("word").isin(sorted(set(FUNCTION_WORDS))))
-        return cls(dense, words, ft.top_trigrams(ft.trigrams(texts)).select("k", "gram", "n"))
+    def of(cls, texts: DataFrame | Counts) -> Style:
+        counts = texts if isinstance(texts, Counts) else Counts.of(texts)
+        # one projection of the sums: the texts are gone through once
+        measures = [*ft.shape_columns(), *ft.punctuation_columns(), *ft.readability_columns()]
+        dense = counts.sums.select("k", "n_words", "n_chars", *measures).join(ft.richness(counts.words), "k", "left")
+        dense = dense.fillna(0, ["ttr", "yule_k", "hapax", "dis", "simpson"])
+        words = counts.words.where(F.col("word").isin(sorted(set(FUNCTION_WORDS))))
+        return cls(dense, words, ft.top_trigrams(counts.grams).select("k", "gram", "n"))
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:

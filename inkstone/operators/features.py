@@ -170,35 +170,45 @@ def top_trigrams(grams: DataFrame, limit: int = 500) -> DataFrame:
     return grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
-def punctuation(sums: DataFrame) -> DataFrame:
+def punctuation_columns() -> list[Column]:
     """Marks by 1000 words."""
-    return sums.select("k", *[rounded(ratio(F.col(m) * 1000.0, F.col("n_words"))).alias(m) for m in MARKS])
+    return [rounded(ratio(F.col(m) * 1000.0, F.col("n_words"))).alias(m) for m in MARKS]
 
 
-def readability(sums: DataFrame) -> DataFrame:
+def readability_columns() -> list[Column]:
     w, s, c, y = (F.col(x) for x in ("n_words", "n_sentences", "n_letters", "n_syllables"))
     has = (w > 0) & (s > 0)
     measure = lambda x: rounded(F.when(has, x).otherwise(0.0))
-    return sums.select(
-        "k",
+    return [
         measure(0.39 * (w / s) + 11.8 * (y / w) - 15.59).alias("flesch_kincaid"),
         measure(0.0588 * (c * 100.0 / w) - 0.296 * (s * 100.0 / w) - 15.8).alias("coleman_liau"),
         measure(4.71 * (c / w) + 0.5 * (w / s) - 21.43).alias("ari"),
         measure(y / w).alias("avg_syllables"),
-    )
+    ]
 
 
-def sentence_shape(sums: DataFrame) -> DataFrame:
+def shape_columns() -> list[Column]:
     """Mean and deviation of sentence lengths, and the histogram as shares."""
     n, total, squares = F.col("n_lengths"), F.col("sum_lengths"), F.col("sum_squares")
     bins = [rounded(ratio(F.col(f"bin{i}"), n)) for i in range(len(HISTOGRAM_EDGES))]
     variance = (n * squares - total * total) / (n.cast("double") * n)
-    return sums.select(
-        "k",
+    return [
         rounded(ratio(total, n)).alias("mean"),
         rounded(F.when(n > 0, F.sqrt(F.greatest(variance, F.lit(0.0)))).otherwise(0.0)).alias("sd"),
         F.array(*bins).alias("histogram"),
-    )
+    ]
+
+
+def punctuation(sums: DataFrame) -> DataFrame:
+    return sums.select("k", *punctuation_columns())
+
+
+def readability(sums: DataFrame) -> DataFrame:
+    return sums.select("k", *readability_columns())
+
+
+def sentence_shape(sums: DataFrame) -> DataFrame:
+    return sums.select("k", *shape_columns())
 
 
 def length_stats(values: DataFrame) -> DataFrame:

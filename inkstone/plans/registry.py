@@ -241,7 +241,8 @@ _SOURCE_STYLE = f"""WITH {BY_SOURCE}, whole AS (SELECT 'corpus' AS k, doc_id AS
 def source_styles(spark: SparkSession, sf_dir: str) -> tuple[distance.Style, distance.Style, DataFrame]:
     rows = docs(spark, sf_dir)
     pairs = rows.select(F.col("source").alias("k")).distinct().withColumn("p", F.lit("corpus"))
-    return distance.Style.of(keyed(rows, "source")), distance.Style.of(keyed(rows, F.lit("corpus"))), pairs
+    counts = distance.Counts.of(keyed(rows, "source"))
+    return distance.Style.of(counts), distance.Style.of(counts.merged(F.lit("corpus"))), pairs
 
 
 @query(f"{_SOURCE_STYLE}, {S.cosine_cte('c', 'a_grams', 'b_grams', 'gram').strip()} SELECT k AS source, d AS distance FROM c")
