@@ -5,18 +5,20 @@ in a document with a smaller doc_id. All is judged on the input.
 
 Only suffixes that can matter are sorted. Each window of `length` bytes has an anchor: the place of the least hash among
 its runs of GRAM bytes, which depends on the window's bytes alone, so equal windows have equal anchors at equal places.
-1. Each document gives the hashes of its anchors, packed into one blob for each bucket of hashes; a bucket returns those
-   that several documents hold.
-2. Documents meet their shared anchors and cut out, for each, the bytes of the windows that it is the anchor of.
-3. A bucket of these cuts sorts the windows' suffixes by deep-shallow sorting: multikey quicksort over symbols of eight
+The windows of one anchor follow one another; their bytes together are its cut.
+1. Each document gives the hash of each anchor and of its cut, packed into one blob for each bucket of anchors. A bucket
+   answers which cuts a document with a smaller doc_id has too: all their windows go (by hashes of 39 bits or more for
+   the anchor and 48 for the cut). It also answers which anchors several documents have with different cuts.
+2. Documents meet these answers, and give the bytes of those other cuts, the first document's for each.
+3. A bucket of cuts sorts the windows' suffixes by deep-shallow sorting: multikey quicksort over symbols of eight
    bytes to SHALLOW bytes, all groups of a level at once; groups that still agree are ordered by blind tries: a group's
    members hang on the path of its first one, at the depth where they leave it and by the byte with which they do, and
    each such bunch becomes a group of the next round. What agrees over `length` bytes is one string; its smallest
    doc_id keeps it, every other document's windows of it are removed.
 
 Whole copies of a text with a smaller doc_id are found by a hash and need no suffixes. Groups stay small for any input:
-equal cuts within a task are settled there, and an anchor which HOT documents of one task hold, or COLD of all, is cut
-into single windows that are dealt by their own bytes.
+equal cuts within a task are settled there, and an anchor with more than COLD different cuts is cut into single windows
+that are dealt by their own bytes.
 
 Defined results: texts under `length` bytes lose nothing. Rows that repeat a doc_id don't remove each other's bytes and
 are reported each. Rows without doc_id are reported unchanged and remove nothing. Extra columns are ignored.
@@ -29,16 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blobs, map_batches, mix64, record_batch, runs_of, staged
+from .common import CELLS, Words, arrow_schema, blobs, map_batches, mix64, record_batch, staged
 
 GRAM, SHALLOW = 16, 16
-HOT, COLD = 64, 20_000
+COLD = 4096
 #: Anchors or bytes of cuts that a task gathers before it hands them on.
 FLUSH = 1_500_000
-CELLS = 1 << 20
 
 
 # --- anchors --------------------------------------------------------------------------------------------------------
@@ -71,17 +73,19 @@ def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return h[place[first]], first, np.diff(np.append(first, len(place)))
 
 
-def _narrow(docs: np.ndarray) -> bytes:
-    small = len(docs) and docs.min() >= -(1 << 31) and docs.max() < 1 << 31
-    return (b"4" if small else b"8") + docs.astype("<i4" if small else "<i8").tobytes()
+def _planes(values: np.ndarray) -> bytes:
+    """Bytes of numbers by significance: those that are alike stand together and compress."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
 
-def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<i4" if raw[:1] == b"4" else "<i8", offset=1).astype(np.int64)
+def _unplanes(raw: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def _by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    bucket = (keys >> np.uint64(20)) % np.uint64(n)
+    """Places of the keys of each bucket, in order."""
+    bucket = (keys >> np.uint64(32)) % np.uint64(n)
     order = np.argsort(bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(n + 1).astype(np.uint64))
     for k in range(n):
@@ -99,86 +103,111 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-SHARED = "doc long, hash long, hot boolean"
+_LOW = np.uint64(0xFFFFFFFF)
+_CUT = np.uint64((1 << 48) - 1)
 
 
-def shared_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """doc, hash, hot: the anchors that several documents hold, of documents in docs (doc, text)."""
-    packed = "bucket int, hashes binary, docs binary, hot binary"
-    target = arrow_schema(packed)
+def cut_hashes(text: bytes, first: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """48-bit hashes of the bytes of each anchor's windows."""
+    words = Words.__new__(Words)
+    words.buf = np.frombuffer(text, np.uint8)
+    return words.hasher()(first, first + n + length - 1) & _CUT
+
+
+def _ids(hashes: np.ndarray, cuts: np.ndarray, buckets: int) -> np.ndarray:
+    """What names an anchor with its cut, from what is sent of them."""
+    bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
+    return mix64(mix64((bucket << np.uint64(32)) | (hashes & _LOW)) + cuts)
+
+
+GONE, BYTES, WINDOWS = 0, 1, 2
+ANSWERS = "doc long, id long, answer int"
+
+
+def anchor_answers(docs: DataFrame, length: int, buckets: int) -> DataFrame:
+    """doc, id, answer: of docs (doc, text), the anchors whose windows all go (GONE), and those whose bytes are needed,
+    as one cut (BYTES) or as single windows (WINDOWS)."""
+    packed = "bucket int, hashes binary, cuts binary, docs binary"
+    target, answer = arrow_schema(packed), arrow_schema(ANSWERS)
+
+    def firsts(hashes: np.ndarray, cuts: np.ndarray, own: np.ndarray) -> tuple:
+        """All sorted and once each; and whether each has the smallest doc of its anchor and cut."""
+        order = np.lexsort((own, cuts, hashes))
+        hashes, cuts, own = hashes[order], cuts[order], own[order]
+        once = _runs(hashes, cuts, own)[:-1]
+        hashes, cuts, own = hashes[once], cuts[once], own[once]
+        first = np.zeros(len(own), bool)
+        first[_runs(hashes, cuts)[:-1]] = True
+        return hashes, cuts, own, first
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> Iterator[pa.RecordBatch]:
-            hashes, own = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            order = np.lexsort((own, hashes))
-            hashes, own = hashes[order], own[order]
-            once = _runs(hashes, own)[:-1]
-            hashes, own = hashes[once], own[once]
-            cuts = _runs(hashes)
-            size = np.repeat(np.diff(cuts), np.diff(cuts))
-            hot = size >= HOT
-            rows: dict = {k: [] for k in ("bucket", "hashes", "docs", "hot")}
-            # hot ones are known to be shared: the bucket hears of two of them, their documents at once
-            place = np.arange(len(hashes)) - np.repeat(cuts[:-1], np.diff(cuts))
-            sent = ~hot | (place == 0) | (place == size - 1)
-            at = np.flatnonzero(sent)
+            hashes, cuts, own, first = firsts(*(np.concatenate([x[c] for x in held]) for c in range(3)))
+            rows: dict = {k: [] for k in ("bucket", "hashes", "cuts", "docs")}
+            at = np.flatnonzero(first)
             for k, some in _by_bucket(hashes[at], buckets):
                 some = at[some]
-                for name, v in zip(rows, (k, hashes[some].tobytes(), _narrow(own[some]), np.packbits(hot[some]).tobytes()), strict=True):
+                some = some[np.argsort(hashes[some] & _LOW, kind="stable")]
+                low = (hashes[some] & _LOW).astype(np.uint32)
+                six = np.ascontiguousarray(cuts[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+                values = k, _planes(np.diff(low, prepend=np.uint32(0))), six.tobytes(), _planes(own[some])
+                for name, v in zip(rows, values, strict=True):
                     rows[name].append(v)
-            at = np.flatnonzero(hot & ~sent)
+            at = np.flatnonzero(~first)  # settled here
             for k in range(0, len(at), 1 << 16):
                 some = at[k : k + (1 << 16)]
-                for name, v in zip(rows, (-1 - int(hashes[some[0]] % np.uint64(buckets)), hashes[some].tobytes(), _narrow(own[some]), b""), strict=True):
+                ids = _ids(hashes[some], cuts[some], buckets)
+                for name, v in zip(rows, (-1 - int(ids[0] % np.uint64(1 << 20)), ids.tobytes(), b"", own[some].tobytes()), strict=True):
                     rows[name].append(v)
             yield record_batch(rows, target)
 
         held, size = [], 0
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), blobs(b.column(1)), strict=True):
-                hashes = anchors_of(text or b"", length)[0]
-                held.append((hashes, np.full(len(hashes), doc, np.int64)))
-                size += len(hashes)
+                text = text or b""
+                hashes, start, n = anchors_of(text, length)
+                if len(hashes):
+                    held.append((hashes, cut_hashes(text, start, n, length), np.full(len(hashes), doc, np.int64)))
+                    size += len(hashes)
                 if size >= FLUSH:
                     yield from flush(held)
                     held, size = [], 0
         if held:
             yield from flush(held)
 
-    answer = arrow_schema(SHARED)
-
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(hashes: np.ndarray, own: np.ndarray, hot: np.ndarray) -> pa.RecordBatch:
-            return record_batch({"doc": own, "hash": hashes.view(np.int64), "hot": hot}, answer)
-
-        def shared(held: list) -> Iterator[pa.RecordBatch]:
-            hashes, own, hot = (np.concatenate([x[c] for x in held]) for c in range(3))
-            order = np.lexsort((own, hashes))
-            hashes, own, hot = hashes[order], own[order], hot[order]
-            cuts = _runs(hashes)
-            sizes = np.diff(cuts)
-            several = own[cuts[1:] - 1] != own[cuts[:-1]]
-            heat = (np.add.reduceat(hot, cuts[:-1]) > 0) | (sizes > COLD)
-            keep = np.repeat(several, sizes)
-            yield rows(hashes[keep], own[keep], np.repeat(heat, sizes)[keep])
+        def answers(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
+            hashes, cuts, own, first = firsts(*(np.concatenate([x[c] for x in held]) for c in range(3)))
+            ids = _ids((np.uint64(bucket) << np.uint64(32)) | hashes, cuts, buckets)
+            groups = _runs(hashes)
+            sizes = np.diff(groups)
+            leaders = np.add.reduceat(first.astype(np.int64), groups[:-1])
+            low = np.minimum.reduceat(np.where(first, own, np.iinfo(np.int64).max), groups[:-1])
+            high = np.maximum.reduceat(np.where(first, own, np.iinfo(np.int64).min), groups[:-1])
+            needed = np.repeat((leaders > 1) & (low < high), sizes) & first
+            kind = np.where(first, np.where(np.repeat(leaders > COLD, sizes), WINDOWS, BYTES), GONE).astype(np.int32)
+            keep = ~first | needed
+            yield record_batch({"doc": own[keep], "id": ids[keep].view(np.int64), "answer": kind[keep]}, answer)
 
         held, current = [], None
         for b in batches:
-            for bucket, raw, own, hot in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                hashes, own = np.frombuffer(raw, np.uint64), _wide(own)
+            for bucket, low, six, own in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if bucket < 0:
-                    yield rows(hashes, own, np.ones(len(own), bool))
+                    own = np.frombuffer(own, np.int64)
+                    yield record_batch({"doc": own, "id": np.frombuffer(low, np.int64), "answer": np.zeros(len(own), np.int32)}, answer)
                     continue
                 if held and bucket != current:
-                    yield from shared(held)
+                    yield from answers(current, held)
                     held = []
                 current = bucket
-                held.append((hashes, own, np.unpackbits(np.frombuffer(hot, np.uint8))[: len(own)].astype(bool)))
+                cuts = np.zeros((len(six) // 6, 8), np.uint8)
+                cuts[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
+                held.append((np.cumsum(_unplanes(low, "<u4"), dtype=np.uint64), cuts.view("<u8").ravel(), _unplanes(own, "<i8")))
         if held:
-            yield from shared(held)
+            yield from answers(current, held)
 
-    blobs_ = docs.select("doc", "text").mapInArrow(pack, packed)
-    return blobs_.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, SHARED)
+    rows = docs.select("doc", "text").mapInArrow(pack, packed)
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, ANSWERS)
 
 
 # --- cuts -----------------------------------------------------------------------------------------------------------
@@ -187,71 +216,97 @@ CUTS = "bucket int, doc binary, tag binary, start binary, size binary, bytes bin
 SPANS = "doc long, tag long, start long, stop long"
 
 
-def cuts_of(docs: DataFrame, shared: DataFrame, length: int, buckets: int) -> DataFrame:
-    """Blobs of cuts by bucket, or under bucket -1 the spans that are settled already (start and size), for docs
+def _squeezed(docs: DataFrame) -> DataFrame:
+    """doc, tag, data: texts compressed, for the way through a shuffle."""
+
+    def squeeze(batch: pa.RecordBatch) -> dict:
+        pack = zstandard.ZstdCompressor(level=3)
+        return {"doc": batch.column(0), "tag": batch.column(1), "data": [pack.compress(t or b"") for t in blobs(batch.column(2))]}
+
+    return map_batches(docs.select("doc", "tag", "text"), squeeze, "doc long, tag long, data binary")
+
+
+def _unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Blobs of cuts by bucket, or under buckets below 0 the spans that are settled already (start and size), for docs
     (doc, tag, text)."""
     target = arrow_schema(CUTS)
     none = F.lit(None)
-    rows = shared.select("doc", F.lit(0).alias("kind"), "hash", "hot", none.cast("long").alias("tag"), none.cast("string").alias("text"))
-    texts = docs.select("doc", F.lit(1).alias("kind"), none.cast("long").alias("hash"), none.cast("boolean").alias("hot"), "tag", "text")
+    rows = answers.select("doc", F.lit(0).alias("kind"), "id", "answer", none.cast("long").alias("tag"), none.cast("binary").alias("data"))
+    texts = _squeezed(docs).select("doc", F.lit(1).alias("kind"), none.cast("long").alias("id"), none.cast("int").alias("answer"), "tag", "data")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda x: (x[0], x[1], x[2]))  # hash, bytes, doc
             out: dict = {f.name: [] for f in target}
-
-            def put(bucket: int, some: list, with_bytes: bool) -> None:
-                numbers = [np.array([x[c] for x in some], np.int64) for c in (2, 3, 4)]
-                size = np.array([x[5] for x in some], np.int32)
-                values = (bucket, *(x.tobytes() for x in numbers), size.tobytes(), b"".join(x[1] for x in some) if with_bytes else b"")
-                for f, v in zip(target, values, strict=True):
-                    out[f.name].append(v)
-
-            kept, settled, last = [], [], None
+            kept, last = [], None
             for x in held:
                 if last is not None and x[0] == last[0] and x[1] == last[1] and x[2] > last[2]:
-                    settled.append((*x[:5], x[5] + length - 1))
+                    settled.append((x[2], x[3], x[4], x[5] + length - 1))
                 else:
                     kept.append(x)
                     if last is None or x[0] != last[0] or x[1] != last[1]:
                         last = x
             if kept:
                 for k, some in _by_bucket(np.array([x[0] for x in kept], np.uint64), buckets):
-                    put(k, [kept[i] for i in some], True)
+                    some = [kept[i] for i in some]
+                    numbers = [_planes(np.array([x[c] for x in some], np.int64)) for c in (2, 3, 4)]
+                    values = (k, *numbers, _planes(np.array([x[5] for x in some], np.int32)), b"".join(x[1] for x in some))
+                    for f, v in zip(target, values, strict=True):
+                        out[f.name].append(v)
             for k in range(0, len(settled), 1 << 16):
-                put(-1 - settled[k][0] % buckets, settled[k : k + (1 << 16)], False)
+                some = settled[k : k + (1 << 16)]
+                numbers = [_planes(np.array([x[c] for x in some], np.int64)) for c in range(3)]
+                values = (-1 - some[0][0] % (1 << 20), *numbers, _planes(np.array([x[3] for x in some], np.int32)), b"")
+                for f, v in zip(target, values, strict=True):
+                    out[f.name].append(v)
+            settled.clear()
             yield record_batch(out, target)
 
-        held, size = [], 0
+        held, settled, size = [], [], 0
         known, doc_now = {}, None
         for b in batches:
-            columns = (*(b.column(c).to_pylist() for c in range(5)), blobs(b.column(5)))
-            for doc, kind, h, hot, tag, text in zip(*columns, strict=True):
+            columns = (b.column(c).to_pylist() for c in range(6))
+            for doc, kind, name, answer, tag, data in zip(*columns, strict=True):
                 if doc != doc_now:
                     known, doc_now = {}, doc
                 if kind == 0:
-                    known[h & 0xFFFFFFFFFFFFFFFF] = known.get(h & 0xFFFFFFFFFFFFFFFF, False) or hot
+                    known[name] = max(known.get(name, GONE), answer)
                     continue
                 if not known:
                     continue
-                for h, start, n in zip(*(x.tolist() for x in anchors_of(text or b"", length)), strict=True):
-                    heat = known.get(h)
-                    if heat is None:
-                        continue
-                    if heat:  # by single windows, dealt by their bytes
-                        for i in range(start, start + n):
+                text = _unsqueezed(data)
+                hashes, first, n = anchors_of(text, length)
+                ids = _ids(hashes, cut_hashes(text, first, n, length), buckets).view(np.int64)
+                at = [k for k, x in enumerate(ids.tolist()) if x in known]
+                spans: list[list[int]] = []
+                for h, x, start, m in zip(*(v[at].tolist() for v in (hashes, ids, first, n)), strict=True):
+                    if known[x] == GONE:
+                        stop = start + m + length - 1
+                        if spans and start <= spans[-1][1]:
+                            spans[-1][1] = stop
+                        else:
+                            spans.append([start, stop])
+                    elif known[x] == BYTES:
+                        held.append((h, text[start : start + m + length - 1], doc, tag, start, m))
+                        size += m + 100
+                    else:  # by single windows, dealt by their bytes
+                        for i in range(start, start + m):
                             window = text[i : i + length]
                             held.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"), window, doc, tag, i, 1))
-                    else:
-                        held.append((h, text[start : start + n + length - 1], doc, tag, start, n))
-                    size += n + 100
-                    if size >= 10 * FLUSH:
-                        yield from flush(held)
-                        held, size = [], 0
-        if held:
+                        size += m * 100
+                settled += [(doc, tag, a, z - a) for a, z in spans]
+                size += 50 * len(spans)
+                if size >= 10 * FLUSH:
+                    yield from flush(held)
+                    held, size = [], 0
+        if held or settled:
             yield from flush(held)
 
-    both = rows.unionByName(texts).repartition("doc").sortWithinPartitions("doc", "kind", "hash")
+    both = rows.unionByName(texts).repartition("doc").sortWithinPartitions("doc", "kind")
     return both.mapInArrow(cut, CUTS)
 
 
@@ -317,8 +372,8 @@ def repeated_spans(cuts: DataFrame, length: int) -> DataFrame:
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def spans(held: list) -> Iterator[pa.RecordBatch]:
-            doc, tag, start = (np.concatenate([np.frombuffer(x[c], np.int64) for x in held]) for c in range(3))
-            size = np.concatenate([np.frombuffer(x[3], np.int32) for x in held]).astype(np.int64)
+            doc, tag, start = (np.concatenate([_unplanes(x[c], "<i8") for x in held]) for c in range(3))
+            size = np.concatenate([_unplanes(x[3], "<i4") for x in held]).astype(np.int64)
             buf = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
             begin = np.concatenate([[0], np.cumsum(size + length - 1)[:-1]])
             which = np.repeat(np.arange(len(size)), size)
@@ -339,8 +394,8 @@ def repeated_spans(cuts: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for bucket, *row in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
                 if bucket < 0:
-                    own, tag, start = (np.frombuffer(x, np.int64) for x in row[:3])
-                    yield record_batch({"doc": own, "tag": tag, "start": start, "stop": start + np.frombuffer(row[3], np.int32)}, target)
+                    own, tag, start = (_unplanes(x, "<i8") for x in row[:3])
+                    yield record_batch({"doc": own, "tag": tag, "start": start, "stop": start + _unplanes(row[3], "<i4")}, target)
                     continue
                 if held and bucket != current:
                     yield from spans(held)
@@ -384,9 +439,9 @@ def removal(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     size = digests.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
     buckets = int(min(1 << 20, max(16, size // (4 << 20))))
     real = rows.where("doc is not null and octet_length(text) >= %d" % length)
-    shared = shared_anchors(real, length, buckets)
-    shared = shared.join(digests.where("copy").select("doc").distinct(), "doc", "left_anti")
-    spans = repeated_spans(cuts_of(real, shared, length, buckets), length)
+    answers = anchor_answers(real, length, buckets)
+    answers = answers.join(digests.where("copy").select("doc").distinct(), "doc", "left_anti")
+    spans = repeated_spans(cuts_of(real, answers, length, buckets), length)
     spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return digests, staged(spans, "suffix-spans")
 
@@ -405,13 +460,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False
     # texts move only where something is cut out; at most CELLS values are broadcast to tell most of the others
     cells = spans.select(_cell().alias("cell")).distinct()
     texts = _tagged(docs).where("doc is not null").withColumn("cell", _cell())
-    texts = texts.join(F.broadcast(cells), "cell", "left_semi").select("doc", "tag", "text")
+    texts = _squeezed(texts.join(F.broadcast(cells), "cell", "left_semi"))
     found = spans.join(texts.dropDuplicates(["doc", "tag"]), ["doc", "tag"])
-    flat = found.select("doc", "tag", "text", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
+    flat = found.select("doc", "tag", "data", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
 
     def cut(batch: pa.RecordBatch) -> dict:
         out: dict = {k: [] for k in ("n_removed", "n_spans", "kept")}
-        for text, starts, stops in zip(blobs(batch.column(2)), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        for data, starts, stops in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
+            text = _unsqueezed(data)
             spans, left, at = _merge(list(zip(starts, stops, strict=True))), [], 0
             for a, b in spans:
                 left.append(text[at:a])
