@@ -216,6 +216,10 @@ CUTS = "bucket int, doc binary, tag binary, start binary, size binary, bytes bin
 SPANS = "doc long, tag long, start long, stop long"
 
 
+def _unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _squeezed(docs: DataFrame) -> DataFrame:
     """doc, tag, data: texts compressed, for the way through a shuffle."""
 
@@ -226,13 +230,9 @@ def _squeezed(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc", "tag", "text"), squeeze, "doc long, tag long, data binary")
 
 
-def _unsqueezed(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
-
-
-def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int) -> DataFrame:
+def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int, copies: DataFrame | None = None) -> DataFrame:
     """Blobs of cuts by bucket, or under buckets below 0 the spans that are settled already (start and size), for docs
-    (doc, tag, text)."""
+    (doc, tag, text) but copies (doc)."""
     target = arrow_schema(CUTS)
     none = F.lit(None)
     rows = answers.select("doc", F.lit(0).alias("kind"), "id", "answer", none.cast("long").alias("tag"), none.cast("binary").alias("data"))
@@ -241,6 +241,7 @@ def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int) -> D
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(held: list) -> Iterator[pa.RecordBatch]:
             held.sort(key=lambda x: (x[0], x[1], x[2]))  # hash, bytes, doc
+            pack = zstandard.ZstdCompressor(level=3)
             out: dict = {f.name: [] for f in target}
             kept, last = [], None
             for x in held:
@@ -254,7 +255,7 @@ def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int) -> D
                 for k, some in _by_bucket(np.array([x[0] for x in kept], np.uint64), buckets):
                     some = [kept[i] for i in some]
                     numbers = [_planes(np.array([x[c] for x in some], np.int64)) for c in (2, 3, 4)]
-                    values = (k, *numbers, _planes(np.array([x[5] for x in some], np.int32)), b"".join(x[1] for x in some))
+                    values = (k, *numbers, _planes(np.array([x[5] for x in some], np.int32)), pack.compress(b"".join(x[1] for x in some)))
                     for f, v in zip(target, values, strict=True):
                         out[f.name].append(v)
             for k in range(0, len(settled), 1 << 16):
@@ -267,12 +268,14 @@ def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int) -> D
             yield record_batch(out, target)
 
         held, settled, size = [], [], 0
-        known, doc_now = {}, None
+        known, doc_now, copy = {}, None, False
         for b in batches:
             columns = (b.column(c).to_pylist() for c in range(6))
             for doc, kind, name, answer, tag, data in zip(*columns, strict=True):
                 if doc != doc_now:
-                    known, doc_now = {}, doc
+                    known, doc_now, copy = {}, doc, kind < 0
+                if copy:
+                    continue
                 if kind == 0:
                     known[name] = max(known.get(name, GONE), answer)
                     continue
@@ -306,7 +309,11 @@ def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int) -> D
         if held or settled:
             yield from flush(held)
 
-    both = rows.unionByName(texts).repartition("doc").sortWithinPartitions("doc", "kind")
+    both = rows.unionByName(texts)
+    if copies is not None:
+        # a row before all others tells that a document needs nothing; so answers move once only
+        both = both.unionByName(copies.select("doc", F.lit(-1).alias("kind")), allowMissingColumns=True)
+    both = both.repartition("doc").sortWithinPartitions("doc", "kind")
     return both.mapInArrow(cut, CUTS)
 
 
@@ -374,7 +381,7 @@ def repeated_spans(cuts: DataFrame, length: int) -> DataFrame:
         def spans(held: list) -> Iterator[pa.RecordBatch]:
             doc, tag, start = (np.concatenate([_unplanes(x[c], "<i8") for x in held]) for c in range(3))
             size = np.concatenate([_unplanes(x[3], "<i4") for x in held]).astype(np.int64)
-            buf = np.frombuffer(b"".join(x[4] for x in held), np.uint8)
+            buf = np.frombuffer(b"".join(_unsqueezed(x[4]) for x in held), np.uint8)
             begin = np.concatenate([[0], np.cumsum(size + length - 1)[:-1]])
             which = np.repeat(np.arange(len(size)), size)
             inner = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
@@ -440,8 +447,8 @@ def removal(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     buckets = int(min(1 << 20, max(16, size // (4 << 20))))
     real = rows.where("doc is not null and octet_length(text) >= %d" % length)
     answers = anchor_answers(real, length, buckets)
-    answers = answers.join(digests.where("copy").select("doc").distinct(), "doc", "left_anti")
-    spans = repeated_spans(cuts_of(real, answers, length, buckets), length)
+    copies = digests.where("copy").select("doc").distinct()
+    spans = repeated_spans(cuts_of(real, answers, length, buckets, copies), length)
     spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return digests, staged(spans, "suffix-spans")
 
