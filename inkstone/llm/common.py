@@ -60,25 +60,31 @@ def blobs(column: pa.Array) -> list:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """mapInArrow with one output batch for each input batch, given as columns by name."""
+def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
+    """mapInArrow with one output batch, given as columns by name, for each part of an input batch."""
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := rows(batch)) is not None:
-                yield record_batch(out, target)
+            for part in slices(batch):
+                yield record_batch(rows(part), target)
 
     return df.mapInArrow(run, schema)
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts, so that what is made from one at a time stays small."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
 def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
     """The rows of df for which keep gives true, with all columns as they are; nothing moves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(keep(batch), pa.bool_()))
+            for part in slices(batch):
+                yield part.filter(pa.array(keep(part), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -195,7 +201,7 @@ class Words:
         return lambda starts, ends: mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def runs_of(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def runs_of(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows with up to `limit` bytes together, or one row."""
     lo, size = 0, 0
     for k, t in enumerate(texts):

@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blobs, map_batches, mix64, record_batch, runs_of, staged
+from .common import arrow_schema, blobs, map_batches, mix64, record_batch, runs_of, slices, staged
 
 LENGTH, END = 2048, 1
 DIMS, AXES, BITS = 1024, 4, 10
+#: Pre-tokens that a process remembers, some 100 MB.
+KNOWN = 800_000
 #: Bits of the key below the Hilbert number, hashed from doc_id.
 LOW = 63 - AXES * BITS
 
@@ -135,7 +137,7 @@ class Encoder:
         words.buf = low
         hashes = words.hasher()(starts, ends)
         unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.n_known + len(unique) > 1_500_000:
+        if self.n_known + len(unique) > KNOWN:
             self.reset()
         known, keys = self.known, unique.tolist()
         new = [k for k, h in enumerate(keys) if h not in known]
@@ -270,7 +272,7 @@ def pack(docs: DataFrame, path: str, *, length: int = LENGTH, per_range: int = 4
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, place = None, 0
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             out: list[tuple] = []
             ids_out: list[bytes] = []
             rows = zip(*(b.column(k).to_pylist() for k in range(5)), strict=True)
