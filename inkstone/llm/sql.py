@@ -38,4 +38,38 @@ g AS (SELECT doc_id, body, max(doc_id) OVER (PARTITION BY body) AS keep_id, coun
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
 """
 
-ORACLE_SQL = {"op3_decontaminate": OP3, "op8_url_filter": OP8, "op9_exact_dedup": OP9}
+OP1 = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+e AS (SELECT *, regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') AS body,
+      regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'), '<(\\*)\|', '<\\\1|', 'g') AS head FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|im_start|>' || head || chr(10) || body || '<|im_end|>' || chr(10))) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (WHERE role = 'assistant') AS n_examples
+FROM e GROUP BY conv_id
+"""
+
+OP5 = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s FROM docs),
+firsts AS (SELECT s, min(doc_id) AS rep FROM (SELECT doc_id, list_sort(s) AS s FROM sets) GROUP BY s),
+grams AS (SELECT rep, len(s) AS n, unnest(s) AS g FROM firsts WHERE len(s) > 0),
+links AS (SELECT a.rep AS a, b.rep AS b FROM grams a JOIN grams b ON a.g = b.g AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+          GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS node, a AS seen FROM edges UNION SELECT node, b FROM reach JOIN edges ON seen = a),
+labels AS (SELECT node, min(seen) AS label FROM reach GROUP BY node),
+found AS (SELECT doc_id, len(sets.s) AS n, CASE WHEN len(sets.s) = 0 THEN doc_id ELSE coalesce(label, rep) END AS component_id
+          FROM sets JOIN firsts ON list_sort(sets.s) = firsts.s LEFT JOIN labels ON node = rep)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM found
+"""
+
+ORACLE_SQL = {
+    "op1_chat_format": OP1,
+    "op3_decontaminate": OP3,
+    "op5_near_dedup": OP5,
+    "op8_url_filter": OP8,
+    "op9_exact_dedup": OP9,
+}
