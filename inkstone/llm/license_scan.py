@@ -1,19 +1,27 @@
 """Licence scans: normalised text against licence templates, by the Dice coefficient over word bigrams.
 
 Texts and templates are lower-cased (A-Z) and cut into words of letters and digits. Compared are the whole text, each
-of its paragraphs, lines and sentences, as sets of word bigrams. Two sets of sizes a and b can reach a Dice coefficient
-t only if a is between b * t / (2 - t) and b * (2 - t) / t, so each unit meets only the templates of such sizes, and of
-these only those that share a bigram with it. Templates are a bounded parameter, sent with the function.
+of its paragraphs, lines and sentences, and all windows of its words wherever they begin and end, as sets of word
+bigrams. Two sets of sizes a and b can reach a Dice coefficient t only if a is between b * t / (2 - t) and
+b * (2 - t) / t, and share at least b * t / (2 - t) bigrams. So a text is searched only for templates of which it holds
+as many bigrams; a unit meets only templates of such sizes that share a bigram with it. Templates are a bounded
+parameter, sent with the function.
+
+The best windows of a template begin and end with a bigram of it that they hold once, so no others are looked at: for
+each such begin, up to where the bigram comes again or the window holds too many bigrams. Of windows that overlap, the
+better one stays, unless they are of different licences and most bigrams found are not in the other's template.
 
 Defined results: null and empty texts, and units of fewer than two words, match nothing. The best match is that with
-the highest coefficient, then the larger template, then the first name. Rows that repeat are reported each; extra
+the highest coefficient, then the larger template, then the first name, then a unit rather than a window. A window is
+counted in n_matches unless it overlaps a unit that matches the same licence. Rows that repeat are reported each; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -95,6 +103,17 @@ class Index:
         # every match holds a word that starts a bigram of a template
         self.words = {g[0] for g in self.by_gram}
 
+    def held(self, words: list[bytes]) -> list[int]:
+        """The templates of which the words hold enough bigrams for a match of any part of them."""
+        by_gram, first = self.by_gram, self.words
+        grams = {g for k, w in enumerate(words[:-1]) if w in first and (g := (w, words[k + 1])) in by_gram}
+        shared: dict[int, int] = {}
+        for g in grams:
+            for k in by_gram[g]:
+                shared[k] = shared.get(k, 0) + 1
+        # dice as it is computed below for the best set with these bigrams, the set of them alone
+        return sorted(k for k, both in shared.items() if 2 * both / (both + len(self.templates[k].grams)) >= self.threshold)
+
     def best(self, grams: Bigrams) -> tuple[float, int, str, str] | None:
         n = len(grams)
         if not self.least <= n <= self.most or grams.isdisjoint(self.by_gram):
@@ -113,51 +132,122 @@ class Index:
 
 
 _SENTENCE = re.compile(rb"(?<=[.!?])\s+")
+_WORD = re.compile(rb"[^ ]+")
 
 
-def units(text: bytes) -> Iterable[tuple[str, bytes]]:
-    """The whole text, its paragraphs, lines and sentences; a unit equal to a larger one is left out."""
-    yield "text", text
+def places(text: bytes) -> Iterator[tuple[str, int, int]]:
+    """Where the units of a text begin and end."""
+    yield "text", 0, len(text)
+    at = 0
     for paragraph in (blocks := text.split(b"\n\n")):
         if len(blocks) > 1:
-            yield "paragraph", paragraph
+            yield "paragraph", at, at + len(paragraph)
+        start = at
         for line in (lines := paragraph.split(b"\n")):
             if len(lines) > 1:
-                yield "line", line
-            sentences = _SENTENCE.split(line)
-            if len(sentences) > 1:
-                for s in sentences:
-                    yield "sentence", s
+                yield "line", start, start + len(line)
+            gaps = [m.span() for m in _SENTENCE.finditer(line)]
+            if gaps:
+                for (_, a), (z, _) in zip([(0, 0), *gaps], [*gaps, (len(line), 0)], strict=True):
+                    yield "sentence", start + a, start + z
+            start += len(line) + 1
+        at += len(paragraph) + 2
+
+
+def units(text: bytes) -> Iterable[tuple[str, bytes]]:
+    """The whole text, its paragraphs, lines and sentences; a unit equal to a larger one is left out."""
+    return ((unit, text[a:z]) for unit, a, z in places(text))
+
+
+def search(grams: list, t: Template, threshold: float, lo: int, hi: int) -> list[tuple[float, int, int]]:
+    """(-dice, start, stop) of windows of the bigrams lo to hi that match the template and don't overlap, the best first."""
+    own, m, found = t.grams, len(t.grams), []
+    ranges = [(lo, hi)]
+    while ranges:
+        lo, hi = ranges.pop()
+        hits = [p for p in range(lo, hi) if grams[p] in own]
+        most = len({grams[p] for p in hits})
+        if not most or 2 * most / (most + m) < threshold:
+            continue
+        some, again = [], {}
+        for a in reversed(hits):
+            seen, both, best = set(), 0, None
+            for p in range(a, again.get(grams[a], hi)):
+                if (g := grams[p]) in seen:
+                    continue
+                seen.add(g)
+                if g in own:
+                    both += 1
+                    d = 2 * both / (len(seen) + m)
+                    if d >= threshold and (best is None or -d < best[0]):
+                        best = (-d, a, p + 1)
+                elif 2 * most / (len(seen) - both + most + m) < threshold:
+                    break
+            again[grams[a]] = a
+            if best:
+                some.append(best)
+        taken: list[tuple[int, int]] = []
+        used = bytearray(hi - lo)
+        for d, a, z in sorted(some):
+            if not any(used[a - lo : z - lo]):
+                used[a - lo : z - lo] = b"\1" * (z - a)
+                taken.append((a, z))
+                found.append((d, a, z))
+        if taken:  # what lies between may hold shorter ones
+            taken.sort()
+            ranges += [(x, y) for x, y in zip([lo, *(z for _, z in taken)], [*(a for a, _ in taken), hi], strict=True) if x < y]
+    return sorted(found)
+
+
+def windows(words: list[bytes], held: list[int], index: Index) -> list[tuple[float, int, str, str, int, int]]:
+    """-dice, -size, licence, kind, and first and last word of the windows that match, the best first."""
+    grams = list(zip(words, words[1:], strict=False))
+    found = []
+    for k in held:
+        t = index.templates[k]
+        found += [(d, -len(t.grams), t.name, t.kind, a, z, k) for d, a, z in search(grams, t, index.threshold, 0, len(grams))]
+    out, owners = [], {}
+    for *row, a, z, k in sorted(found):
+        own = index.templates[k].grams & set(grams[a:z])
+        better = {x for p in range(a, z) for x in owners.get(p, ())}
+        if any(index.templates[x].name == row[2] or 2 * len(own & index.templates[x].grams) >= len(own) for x in better):
+            continue
+        for p in range(a, z):
+            owners.setdefault(p, []).append(k)
+        out.append((*row, a, z))
+    return out
 
 
 OUT = "doc_id long, license string, kind string, dice double, unit string, n_matches long, licenses array<string>"
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, *, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license, kind, dice and unit of the best match (null and 0 without one), n_matches (units that match),
-    licenses (names found, sorted) for each row."""
+    """doc_id, license, kind, dice and unit of the best match (null and 0 without one), n_matches (units that match, and
+    windows apart from them), licenses (names found, sorted) for each row."""
     index = Index(templates, threshold)
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict = {k: [] for k in ("license", "kind", "dice", "unit", "n_matches", "licenses")}
         for text in blobs(batch.column(1)):
             best, names, n = None, set(), 0
-            if text and has_gram(text, index):
-                for unit, part in units(text):
-                    if found := index.best(bigrams(part)):
+            words = text.translate(ALNUM_TABLE).split() if text else []
+            if held := index.held(words):
+                starts = [m.start() for m in _WORD.finditer(text.translate(ALNUM_TABLE))]
+                covered: dict[str, bytearray] = {}
+                for unit, a, z in places(text):
+                    if found := index.best(bigrams(text[a:z])):
                         n += 1
                         names.add(found[2])
                         best = min(best or (*found, unit), (*found, unit))
+                        a, z = bisect_left(starts, a), bisect_left(starts, z) - 1
+                        covered.setdefault(found[2], bytearray(len(words)))[a:z] = b"\1" * (z - a)
+                for *found, a, z in windows(words, held, index):
+                    n += not any(covered.get(found[2], b"")[a:z])
+                    names.add(found[2])
+                    best = min(best or (*found, "window"), (*found, "window"))
             row = (best[2], best[3], -best[0], best[4]) if best else (None, None, 0.0, None)
             for k, v in zip(out, (*row, n, sorted(names)), strict=True):
                 out[k].append(v)
         return out | {"doc_id": batch.column(0)}
 
     return map_batches(docs.select("doc_id", "text"), run, OUT)
-
-
-def has_gram(text: bytes, index: Index) -> bool:
-    """Whether the text holds any bigram of a template; most don't, and need no units."""
-    words = text.translate(ALNUM_TABLE).split()
-    by_gram, first = index.by_gram, index.words
-    return any(w in first and (w, words[k + 1]) in by_gram for k, w in enumerate(words[:-1]))

@@ -347,6 +347,60 @@ def test_licenses(spark):
     assert license_scan.scan(documents(spark, [])).count() == 0
 
 
+MIT_FILE = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE."""
+APACHE_HEADER = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License."""
+
+
+def test_licenses_inside_long_texts(spark):
+    other = lambda n, k: "\n\n".join(" ".join(f"w{k}x{i}y{j}" for j in range(20)) for i in range(n))
+    inside = lambda *notices: "\n\n".join(x for k, t in enumerate(notices) for x in (other(40, k), t)) + "\n\n" + other(40, "z")
+    line = "This work is licensed under the GNU General Public License, version 2."
+    rows = [(1, inside(MIT_FILE)), (2, inside(APACHE_HEADER.replace("#\n", "\n"))), (3, inside(MIT_FILE, APACHE_HEADER, MIT_FILE)), (4, "so it says " + line[:-1] + " as far as known"), (5, line), (6, inside("Copyright X. All rights reserved.\n" + MIT_FILE)), (7, inside(MIT_FILE[:200])), (8, "see all rights reserved here, and all rights reserved there")]
+    got = {r["doc_id"]: (r["license"], r["unit"], r["n_matches"], r["licenses"]) for r in license_scan.scan(documents(spark, rows)).collect()}
+    assert got[1] == ("MIT", "window", 1, ["MIT"])
+    assert got[2][0] == "Apache-2.0" and got[2][3] == ["Apache-2.0"]
+    assert got[3][2:] == (4, ["Apache-2.0", "MIT"])  # two windows, and the header as a paragraph and by its first line
+    assert got[4] == ("GPL-2.0", "window", 1, ["GPL-2.0"]) and got[5] == ("GPL-2.0", "text", 1, ["GPL-2.0"])
+    assert got[6][3] == ["MIT", "Proprietary"]
+    assert got[7] == (None, None, 0, [])
+    assert got[8] == ("Proprietary", "window", 2, ["Proprietary"])
+
+
+def test_best_windows_match_brute_force():
+    rng = random.Random(4)
+    for _ in range(300):
+        make = lambda n: " ".join(rng.choice("abcdefg") for _ in range(n))  # noqa: B023, E731
+        index = license_scan.Index([(f"T{k}", "x", make(rng.randint(2, 9))) for k in range(3)], 0.8)
+        words = make(rng.randint(0, 40)).encode().split()
+        found = license_scan.windows(words, index.held(words), index)
+        every = (license_scan.dice(license_scan.bigrams(b" ".join(words[i:j])), t.grams) for t in index.templates for i in range(len(words)) for j in range(i + 2, len(words) + 1))
+        best = max(every, default=0)
+        assert max((-f[0] for f in found), default=0) == (best if best >= 0.8 else 0)
+
+
 # --- toxicity ---
 
 
