@@ -98,16 +98,20 @@ def cell(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(CELLS)).cast("int")
 
 
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is not in gone (gone_id), with all their columns. Only rows in a cell of a gone one
-    are shuffled."""
-    gone = staged(gone.select("gone_id").distinct(), "gone")
+def text_key(text: Column) -> Column:
+    """128-bit hash of a text; null is a key of its own."""
+    return F.unhex(F.md5(text.cast("binary")))
+
+
+def without(docs: DataFrame, gone: DataFrame, key: Callable[[Column], Column] = text_key) -> DataFrame:
+    """The rows of docs whose doc_id and key of the text are not together in gone (gone_id, gone_key), with all their
+    columns; null equals null. Only rows in a cell of a gone doc_id are shuffled."""
+    gone = staged(gone.select("gone_id", "gone_key").distinct(), "gone")
     cells = F.broadcast(gone.select(cell(F.col("gone_id")).alias("gone_cell")).distinct())
     same = cell(docs["doc_id"]) == cells["gone_cell"]
     maybe = docs.join(cells, same, "left_semi")
-    return docs.join(cells, same, "left_anti").unionByName(
-        maybe.join(gone, maybe["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
-    )
+    both = maybe["doc_id"].eqNullSafe(gone["gone_id"]) & key(maybe["text"]).eqNullSafe(gone["gone_key"])
+    return docs.join(cells, same, "left_anti").unionByName(maybe.join(gone, both, "left_anti"))
 
 
 def arrow_schema(schema: str) -> pa.Schema:

@@ -62,5 +62,8 @@ def exact_groups(docs: DataFrame, *, keep: str = "max") -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame, *, keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows that repeat a kept doc_id stay with it."""
-    return without(docs, exact_groups(docs, keep=keep).where("not kept").select(F.col("doc_id").alias("gone_id")))
+    """The rows of docs that stay, with all their columns. Rows that repeat a kept doc_id stay with it, and a row goes
+    only where its own text is a copy, whatever other rows without doc_id or with the same one hold."""
+    gone = exact_groups(docs, keep=keep).where("not kept")
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.unhex("text_sha256").alias("gone_key"))
+    return without(docs, gone, lambda text: F.unhex(F.sha2(_normal(text).cast("binary"), 256)))

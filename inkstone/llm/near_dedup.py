@@ -21,8 +21,8 @@ registers into sub-buckets, in which a pair at the threshold meets with a chance
 Texts are compared in groups of one document with up to 256 others, so that no document gathers all its pairs.
 
 Defined results: null and empty texts, or such without words, have no shingles, are linked with nothing and kept. Texts
-with fewer words than a shingle has are one shingle. Rows that repeat a doc_id are each reported with its component.
-Rows without doc_id are reported with a null component and kept. Extra columns are ignored.
+with fewer words than a shingle has are one shingle. Rows that repeat a doc_id are each reported with the component of
+their own text. Rows without doc_id are reported with a null component and kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, arrow_schema, blobs, cell, map_batches, mix64, record_batch, runs_of, staged, without
+from .common import NOT_SPACE, Words, arrow_schema, blobs, cell, map_batches, mix64, record_batch, runs_of, staged, text_key, without
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -115,9 +115,11 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             "n": [len(s) for s in sets],
             "set_key": [hashlib.md5(s).digest() if len(s) else None for s in sets],
             "registers": [sketch(s).tobytes() if len(s) else None for s in sets],
+            "text_key": batch.column(2),
         }
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n long, set_key binary, registers binary")
+    schema = "doc_id long, n long, set_key binary, registers binary, text_key binary"
+    return map_batches(docs.select("doc_id", "text", text_key(F.col("text")).alias("text_key")), run, schema)
 
 
 # --- candidates -----------------------------------------------------------------------------------------------------
@@ -324,7 +326,7 @@ def unresolved(near: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFr
 
     ordered = rows.select("key", "doc", "n", "label", "registers").repartition("key").sortWithinPartitions("key", "doc")
     some = staged(ordered.mapInArrow(likely_rows, schema), "near-active")
-    texts = _texts(some.select("doc").distinct(), docs)
+    texts = _texts(some.select("doc").distinct(), reps, docs)
     ordered = some.join(texts, "doc").select("key", "doc", "n", "label", "text").repartition("key").sortWithinPartitions("key", "doc")
     return ordered.mapInArrow(prove, "a long, b long").distinct()
 
@@ -332,18 +334,20 @@ def unresolved(near: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFr
 # --- proof and components -------------------------------------------------------------------------------------------
 
 
-def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+def _texts(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """doc, text of the wanted ones, once each. At most CELLS values are broadcast: they keep most texts out of the
     shuffle, the join does the rest."""
-    cells = wanted.select(cell(F.col("doc")).alias("cell")).distinct()
-    texts = docs.select(F.col("doc_id").alias("doc"), "text").where("doc is not null")
-    texts = texts.withColumn("cell", cell(F.col("doc"))).join(F.broadcast(cells), "cell", "left_semi").select("doc", "text")
-    return staged(texts.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "near-texts")
+    wanted = staged(reps.select("doc", "own", "text_key").join(wanted, "doc", "left_semi"), "near-wanted")
+    cells = wanted.select(cell(F.col("own")).alias("cell")).distinct()
+    texts = docs.select(F.col("doc_id").alias("own"), "text").where("own is not null")
+    texts = texts.withColumn("cell", cell(F.col("own"))).join(F.broadcast(cells), "cell", "left_semi")
+    texts = texts.select("own", text_key(F.col("text")).alias("text_key"), "text")
+    return staged(texts.join(wanted, ["own", "text_key"]).select("doc", "text").dropDuplicates(["doc"]), "near-texts")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
     """a, b of the pairs whose full shingle sets reach the similarity, in percent."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), docs)
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), reps, docs)
     groups = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / 256).cast("int").alias("chunks"))
     left = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     left = left.join(texts.select(F.col("doc").alias("a"), "text"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
@@ -402,14 +406,30 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept for each row; similarity in percent."""
+    return _judged(docs, words, similarity).drop("text_key")
+
+
+def _judged(docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """What near_duplicates gives, and text_key."""
     all_sketches = staged(sketches(docs, words), "near-sketches")
     some = all_sketches.where("set_key is not null and doc_id is not null")
-    classes = some.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    classes = staged(classes, "near-classes")
+    classes = staged(some.groupBy("set_key").agg(F.min("doc_id").alias("own")), "near-classes")
+    # a class is named by its doc_id; if that stands for several classes, all but one are named by a hash
+    shared = staged(
+        classes.groupBy("own").agg(F.min("set_key").alias("named"), F.count(F.lit(1)).alias("k")).where("k > 1").select("own", "named"),
+        "near-shared",
+    )
+    repeats = not shared.isEmpty()
+    if repeats:
+        hashed = F.col("named").isNotNull() & (F.col("set_key") != F.col("named"))
+        classes = classes.join(shared, "own", "left").withColumn("rep", F.when(hashed, F.xxhash64("own", "set_key")).otherwise(F.col("own")))
+        classes = staged(classes.select("set_key", "own", "rep"), "near-classes")
+    else:
+        classes = classes.withColumn("rep", F.col("own"))
     reps = staged(
-        some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+        some.join(classes.select(F.col("own").alias("doc_id"), "set_key", "rep"), ["doc_id", "set_key"])
         .dropDuplicates(["doc_id", "set_key"])
-        .select(F.col("doc_id").alias("doc"), "n", "registers"),
+        .select(F.col("rep").alias("doc"), "n", "registers", F.col("doc_id").alias("own"), "text_key"),
         "near-reps",
     )
     near = staged(buckets(reps), "near-buckets")
@@ -424,26 +444,29 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) ->
     most = degree.join(hubs, "other").groupBy("doc").agg(F.max_by(F.struct("a", "b"), F.struct("degree", -F.col("other"))).alias("p"))
     best = sides.groupBy("doc").agg(F.max_by(F.struct("a", "b"), F.struct("guess", -F.col("a"), -F.col("b"))).alias("p"))
     tried = staged(best.unionByName(most).select("p.a", "p.b").distinct(), "near-tried")
-    links = staged(verified(tried, docs, words, similarity), "near-links")
+    links = staged(verified(tried, reps, docs, words, similarity), "near-links")
     labels = components(links)
 
     # then the other proposed ones between different components, and at last all others that share a bucket
     more = staged(apart(guesses.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels), "near-more")
-    for find in (lambda: verified(more, docs, words, similarity), lambda: unresolved(near, reps, labels, docs, words, similarity)):
+    for find in (lambda: verified(more, reps, docs, words, similarity), lambda: unresolved(near, reps, labels, docs, words, similarity)):
         new = staged(find(), "near-links")
         if not new.isEmpty():
             links = links.unionByName(new)
             labels = components(links)
 
-    found = all_sketches.select("doc_id", "n", "set_key").join(classes, "set_key", "left")
+    if repeats:  # the smallest name in a component need not be its smallest doc_id
+        least = labels.join(reps.select(F.col("doc").alias("node"), "own"), "node").groupBy("label").agg(F.min("own").alias("least"))
+        labels = labels.join(least, "label").select("node", F.col("least").alias("label"))
+    found = all_sketches.select("doc_id", "n", "set_key", "text_key").join(classes, "set_key", "left")
     found = found.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "rep", "doc_id"))
-    return found.select(
-        "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "own", "doc_id"))
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "text_key")
 
 
 def near_dedup(docs: DataFrame, *, words: int = 5, similarity: int = 80) -> DataFrame:
-    """The rows of docs that are kept, one document of each component, with all their columns."""
-    gone = near_duplicates(docs, words=words, similarity=similarity).where("not kept")
-    return without(docs, gone.select(F.col("doc_id").alias("gone_id")))
+    """The rows of docs that are kept, one document of each component, with all their columns. A row goes only where its
+    own text is a near copy, whatever other rows with its doc_id hold."""
+    gone = _judged(docs, words, similarity).where("not kept")
+    return without(docs, gone.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")))

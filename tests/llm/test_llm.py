@@ -79,6 +79,16 @@ def test_exact_dedup_odd_rows(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2]
 
 
+def test_exact_dedup_drops_rows_not_ids(spark):
+    rows = [(2, "b"), (None, "B"), (None, "unique"), (None, None), (3, ""), (5, "b"), (5, "own"), (1, "c"), (1, "d"), (0, "d")]
+    docs = documents(spark, rows)
+    order = lambda found: sorted(found, key=lambda r: tuple((x is None, x) for x in r))
+    kept = [(r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(docs, keep="min").collect()]
+    assert order(kept) == order([(2, "b"), (None, "unique"), (3, ""), (5, "own"), (1, "c"), (0, "d")])
+    kept = [(r["doc_id"], r["text"]) for r in exact_dedup.exact_dedup(docs, keep="max").collect()]
+    assert order(kept) == order([(None, "unique"), (3, ""), (5, "b"), (5, "own"), (1, "c"), (1, "d")])
+
+
 # --- near-duplicates ---
 
 
@@ -130,6 +140,20 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dedup.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_drops_rows_not_ids(spark, words):
+    rng = random.Random(12)
+    make = lambda: " ".join(rng.choice(words) for _ in range(80))
+    a, b, c, d, e = (make() for _ in range(5))
+    near = lambda t: t + " more"
+    # 5 repeats with a copy and a text of its own; 7 stands for two texts, one near to that of 6; 9 for two near each other
+    rows = [(1, a), (5, a), (5, b), (6, c), (7, near(c)), (7, d), (9, e), (9, near(e)), (None, a), (None, ""), (8, near(d))]
+    docs = documents(spark, rows)
+    got = collections.Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == collections.Counter([(1, 1, True), (5, 1, False), (5, 5, True), (6, 6, True), (7, 6, False), (7, 7, True), (9, 9, True), (9, 9, True), (None, None, True), (None, None, True), (8, 7, False)])
+    kept = collections.Counter((r["doc_id"], r["text"]) for r in near_dedup.near_dedup(docs).collect())
+    assert kept == collections.Counter(r for r in rows if r not in [(5, a), (7, near(c)), (8, near(d))])
+
+
 def test_sketches():
     rng = np.random.default_rng(1)
     for j in (0.5, 0.8, 0.95):
