@@ -13,11 +13,14 @@ tries its best pair; what is connected already needs no proof again. Components
 pointer jumping, all in tables. To lose no link, buckets that still hold several components are gone through once
 more: within them, rows of different components are compared by sketch, and what passes is verified too.
 
-A pair at the threshold 0.8 misses all BANDS bands with a chance of about 1e-7 (1 - 0.8**5) ** 40, and is dropped by
-the estimate with one of about 1e-7; that is all that keeps the result from being exact.
+A pair at the threshold 0.8 misses all BANDS bands with a chance of 1.3e-7 (1 - 0.8**5) ** 40, and is dropped by the
+estimate with one of 1.2e-6 at most, reckoned from the registers that agree alone; with what is said below of large
+buckets, that is all that keeps the result from being exact.
 
 A bucket holds unlimited rows: it streams. In the second pass a bucket of more than CAP rows is first split by further
-registers into sub-buckets, in which a pair at the threshold meets with a chance over 0.999 in each shared bucket.
+registers into sub-buckets. These are other registers than the bucket's own, and others for each band, so that a pair
+at the threshold misses all of them with a chance of 5e-8 (1 - 0.8**4) ** 32 in each shared bucket. A pair is left to
+the first bucket that it shares and that is not split.
 Texts are compared in groups of one document with up to 256 others, so that no document gathers all its pairs.
 
 Defined results: null and empty texts, or such without words, have no shingles, are linked with nothing and kept. Texts
@@ -40,7 +43,7 @@ from .common import NOT_SPACE, Words, arrow_schema, blobs, cell, map_batches, mi
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
-CAP, SUB_BANDS, SUB_ROWS = 20_000, 16, 4
+CAP, SUB_BANDS, SUB_ROWS = 20_000, 32, 4
 #: Low bits of a bucket's key, which hold its band.
 BAND_BITS = 6
 
@@ -230,9 +233,15 @@ def first_seen(equal: np.ndarray, band: int) -> np.ndarray:
     return equal.argmax(1) >= band
 
 
-def _blocks(docs: np.ndarray, n: np.ndarray, label: np.ndarray, regs: np.ndarray, band: int, similarity: int) -> Iterator[tuple]:
+def sub_start(band: int | Column, j: int) -> int | Column:
+    """The first register of a band's sub-band j, with registers counted in a circle from the band's end on."""
+    return (ROWS * (band + 1) + (REGISTERS - ROWS) // SUB_BANDS * j) % REGISTERS
+
+
+def _blocks(docs: np.ndarray, n: np.ndarray, label: np.ndarray, regs: np.ndarray, split: np.ndarray, band: int, similarity: int) -> Iterator[tuple]:
     """Pairs of places of a bucket's rows that are in different components, whose sizes fit, whose estimate passes, and
-    that share no band before this one; some at a time."""
+    that share no band before this one whose bucket is whole (split: a bit for each band where it is not); some at a
+    time."""
     least = similarity / 100 - margin(similarity / 100)
     for i in range(0, len(docs), 512):
         for j in range(i, len(docs), 512):
@@ -247,6 +256,7 @@ def _blocks(docs: np.ndarray, n: np.ndarray, label: np.ndarray, regs: np.ndarray
                 more, less = regs[s] > regs[t], regs[s] < regs[t]
                 ok = estimate(more.sum(1), less.sum(1), n[s], n[t]) >= least
                 equal = ~(more[ok] | less[ok]).reshape(-1, BANDS, ROWS).any(2)
+                equal &= (split[s][ok][:, None] >> np.arange(BANDS)) & 1 == 0
                 ok[ok] = first_seen(equal, band)
                 if ok.any():
                     yield s[ok], t[ok]
@@ -281,29 +291,37 @@ def unresolved(near: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFr
     label = labels.select(F.col("node").alias("doc"), "label")
     rows = near.select("key", "doc", "n").join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
-    mixed = mixed.where("lo < hi").select("key", "size")
+    mixed = staged(mixed.where("lo < hi").select("key", "size"), "near-mixed")
+    large = mixed.where(F.col("size") > CAP)
     rows = rows.join(mixed, "key").join(reps.select("doc", "registers"), "doc")
-    # sub-buckets go as of band 0, so that each gives out all its pairs
-    part = lambda j: F.xxhash64("key", F.lit(j), F.substring("registers", 1 + 2 * j * 12, 2 * SUB_ROWS))
-    parts = F.array(*[F.shiftleft(part(j), BAND_BITS) for j in range(SUB_BANDS)])
-    rows = rows.withColumn("key", F.explode(F.when(F.col("size") > CAP, parts).otherwise(F.array("key"))))
-    schema = "key long, doc long, n long, label long"
+    if large.isEmpty():
+        rows = rows.withColumn("split", F.lit(0).cast("long"))
+    else:
+        band = F.col("key").bitwiseAND(F.lit(_BAND))
+        bits = near.select("key", "doc").join(large, "key").groupBy("doc").agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & {_BAND} as int))")).alias("split"))
+        rows = rows.join(bits, "doc", "left").withColumn("split", F.coalesce("split", F.lit(0).cast("long")))
+        # sub-buckets go as of band 0, so that each gives out all its pairs
+        circle = F.concat("registers", "registers")
+        part = lambda j: F.xxhash64("key", F.lit(j), F.substring(circle, (1 + 2 * sub_start(band, j)).cast("int"), F.lit(2 * SUB_ROWS)))
+        parts = F.array(*[F.shiftleft(part(j), BAND_BITS) for j in range(SUB_BANDS)])
+        rows = rows.withColumn("key", F.explode(F.when(F.col("size") > CAP, parts).otherwise(F.array("key"))))
+    schema = "key long, doc long, n long, label long, split long"
     active, link = arrow_schema(schema), arrow_schema("a long, b long")
 
     def likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in _by_key(batches):
-            doc, n, own = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in (1, 2, 3))
-            regs = np.frombuffer(b"".join(x for h in held for x in h.column(4).to_pylist()), "<u2").reshape(-1, REGISTERS)
+            doc, n, own, split = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in (1, 2, 3, 4))
+            regs = np.frombuffer(b"".join(x for h in held for x in h.column(5).to_pylist()), "<u2").reshape(-1, REGISTERS)
             hit = np.zeros(len(doc), bool)
-            for s, t in _blocks(doc, n, own, regs, key & _BAND, similarity):
+            for s, t in _blocks(doc, n, own, regs, split, key & _BAND, similarity):
                 hit[s] = hit[t] = True
             if hit.any():
-                yield record_batch({"key": np.full(hit.sum(), key), "doc": doc[hit], "n": n[hit], "label": own[hit]}, active)
+                yield record_batch({"key": np.full(hit.sum(), key), "doc": doc[hit], "n": n[hit], "label": own[hit], "split": split[hit]}, active)
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, held in _by_key(batches):
-            doc, n, own = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in (1, 2, 3))
-            sets = shingle_sets([x or b"" for h in held for x in blobs(h.column(4))], words)
+            doc, n, own, split = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in (1, 2, 3, 4))
+            sets = shingle_sets([x or b"" for h in held for x in blobs(h.column(5))], words)
             regs = np.stack([sketch(s) for s in sets])
             joined = {int(x): int(x) for x in own}  # components joined by links found here
 
@@ -313,7 +331,7 @@ def unresolved(near: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFr
                 return x
 
             found = []
-            for s, t in _blocks(doc, n, own, regs, key & _BAND, similarity):
+            for s, t in _blocks(doc, n, own, regs, split, key & _BAND, similarity):
                 for i, j in zip(s.tolist(), t.tolist(), strict=True):
                     a, b = root(int(own[i])), root(int(own[j]))
                     if a != b:
@@ -324,10 +342,10 @@ def unresolved(near: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFr
             if found:
                 yield record_batch(dict(zip(("a", "b"), zip(*found), strict=True)), link)
 
-    ordered = rows.select("key", "doc", "n", "label", "registers").repartition("key").sortWithinPartitions("key", "doc")
+    ordered = rows.select("key", "doc", "n", "label", "split", "registers").repartition("key").sortWithinPartitions("key", "doc")
     some = staged(ordered.mapInArrow(likely_rows, schema), "near-active")
     texts = _texts(some.select("doc").distinct(), reps, docs)
-    ordered = some.join(texts, "doc").select("key", "doc", "n", "label", "text").repartition("key").sortWithinPartitions("key", "doc")
+    ordered = some.join(texts, "doc").select("key", "doc", "n", "label", "split", "text").repartition("key").sortWithinPartitions("key", "doc")
     return ordered.mapInArrow(prove, "a long, b long").distinct()
 
 

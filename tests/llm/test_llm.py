@@ -133,6 +133,21 @@ def test_large_buckets_are_split(spark, corpus, monkeypatch):
     assert got == brute_components(corpus, 2, 80)
 
 
+def test_split_buckets_lose_no_pair():
+    assert (1 - 0.8**near_dedup.SUB_ROWS) ** near_dedup.SUB_BANDS < 1e-7
+    for band in range(near_dedup.BANDS):
+        used = [(near_dedup.sub_start(band, j) + r) % near_dedup.REGISTERS for j in range(near_dedup.SUB_BANDS) for r in range(near_dedup.SUB_ROWS)]
+        own = set(range(band * near_dedup.ROWS, (band + 1) * near_dedup.ROWS))
+        assert len(set(used)) == len(used) and own.isdisjoint(used)
+    # bands 0 and 3 agree, others don't: the pair is left to band 3 where band 0 is split, and to no later one
+    regs = np.full((2, near_dedup.REGISTERS), 7, "<u2")
+    regs[1, [k for k in range(0, near_dedup.REGISTERS, near_dedup.ROWS) if k not in (0, 3 * near_dedup.ROWS)]] += 1
+    row = np.array([1, 2]), np.array([50, 50]), np.array([1, 2]), regs
+    found = lambda split, band: len(list(near_dedup._blocks(*row, np.full(2, split), band, 80)))
+    assert [found(0, 0), found(0, 3)] == [1, 0]
+    assert [found(1, 3), found(1, 4), found(1, 0)] == [1, 0, 1]
+
+
 def test_near_duplicates_odd_rows(spark):
     docs = documents(spark, [(3, "a b c"), (3, "a b c"), (1, "A B C"), (None, "a b c"), (7, None), (8, "")])
     got = sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in near_dedup.near_duplicates(docs, words=2).collect())
