@@ -232,7 +232,7 @@ def _squeezed(docs: DataFrame) -> DataFrame:
 
 def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int, copies: DataFrame | None = None) -> DataFrame:
     """Blobs of cuts by bucket, or under buckets below 0 the spans that are settled already (start and size), for docs
-    (doc, tag, text) but copies (doc)."""
+    (doc, tag, text) but copies (doc, tag)."""
     target = arrow_schema(CUTS)
     none = F.lit(None)
     rows = answers.select("doc", F.lit(0).alias("kind"), "id", "answer", none.cast("long").alias("tag"), none.cast("binary").alias("data"))
@@ -268,18 +268,19 @@ def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int, copi
             yield record_batch(out, target)
 
         held, settled, size = [], [], 0
-        known, doc_now, copy = {}, None, False
+        known, doc_now, copied = {}, None, set()
         for b in batches:
             columns = (b.column(c).to_pylist() for c in range(6))
             for doc, kind, name, answer, tag, data in zip(*columns, strict=True):
                 if doc != doc_now:
-                    known, doc_now, copy = {}, doc, kind < 0
-                if copy:
+                    known, doc_now, copied = {}, doc, set()
+                if kind < 0:
+                    copied.add(tag)
                     continue
                 if kind == 0:
                     known[name] = max(known.get(name, GONE), answer)
                     continue
-                if not known:
+                if not known or tag in copied:
                     continue
                 text = _unsqueezed(data)
                 hashes, first, n = anchors_of(text, length)
@@ -311,8 +312,8 @@ def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int, copi
 
     both = rows.unionByName(texts)
     if copies is not None:
-        # a row before all others tells that a document needs nothing; so answers move once only
-        both = both.unionByName(copies.select("doc", F.lit(-1).alias("kind")), allowMissingColumns=True)
+        # rows before all others tell which texts of a document need nothing; so answers move once only
+        both = both.unionByName(copies.select("doc", "tag", F.lit(-1).alias("kind")), allowMissingColumns=True)
     both = both.repartition("doc").sortWithinPartitions("doc", "kind")
     return both.mapInArrow(cut, CUTS)
 
@@ -447,7 +448,7 @@ def removal(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     buckets = int(min(1 << 20, max(16, size // (4 << 20))))
     real = rows.where("doc is not null and octet_length(text) >= %d" % length)
     answers = anchor_answers(real, length, buckets)
-    copies = digests.where("copy").select("doc").distinct()
+    copies = digests.where("copy").select("doc", "tag").distinct()
     spans = repeated_spans(cuts_of(real, answers, length, buckets, copies), length)
     spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return digests, staged(spans, "suffix-spans")

@@ -216,6 +216,16 @@ def test_remove_repeats(spark, corpus, monkeypatch, cold, flush):
     assert suffix_dedup.remove_repeats(documents(spark, []), length=50).count() == 0
 
 
+def test_repeated_id_with_a_copy_and_another_text(spark):
+    rng = random.Random(11)
+    make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    whole, own = make(300), make(150)
+    rows = [(1, whole), (5, whole), (5, make(90) + whole[40:160] + own), (9, make(70) + own + make(60))]
+    got = sorted([tuple(r) for r in suffix_dedup.remove_repeats(documents(spark, rows), length=50, with_text=True).collect()], key=key)
+    assert got == sorted(brute_removed(rows, 50), key=key)
+    assert sorted(r[2] for r in got) == [0, 120, 150, 300]
+
+
 @pytest.mark.parametrize("length", [18, 20, 33, 50])
 def test_deep_shallow_sort(length):
     rng = random.Random(length)
