@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import shutil
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,13 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{shared_dir.own}"
 
 
+def _folder(spark: SparkSession):
+    """This application's folder for staged tables, as a Hadoop path with its file system. It goes when the driver ends."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/inkstone/{spark.sparkContext.applicationId}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return path, files
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: later jobs neither compute it
-    twice nor lose it with an executor."""
+    twice nor lose it with an executor. What an operator returns may rest on it, so it stays until `discard`ed, or until
+    the application ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/inkstone/{name}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)[0].toString()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing will read again."""
+    for table in tables:
+        path, files = _folder(table.sparkSession)
+        files.delete(path.suffix(table._staged_at.removeprefix(path.toString())), True)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -72,10 +95,18 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
     return df.mapInArrow(run, schema)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """A batch in parts, so that what is made from one at a time stays small."""
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
+def slices(batch: pa.RecordBatch, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most so many rows, and so many bytes of texts or one row, so that what is made from one at
+    a time stays small."""
+    long = [c for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_binary(c.type)]
+    sizes = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in long), np.zeros(batch.num_rows, np.int64))
+    upto = np.cumsum(sizes)
+    k = 0
+    while k < batch.num_rows:
+        end = int(np.searchsorted(upto, (upto[k - 1] if k else 0) + size, "right"))
+        n = max(1, min(rows, end - k))
+        yield batch.slice(k, n)
+        k += n
 
 
 def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
@@ -150,30 +181,6 @@ class Memo(dict):
 
 # --- whole batches of texts as arrays -------------------------------------------------------------------------------
 
-_MULTIPLIER = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
-_INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
-_SEED = np.random.default_rng(20240607)
-_BYTE_VALUES = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-class _Powers:
-    """Powers of a 64-bit multiplier, grown as texts need them."""
-
-    def __init__(self, base: int):
-        self.base, self.known = np.uint64(base), np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> np.ndarray:
-        if len(self.known) < n:
-            self.known = np.full(max(n, 1 << 16), self.base, np.uint64)
-            self.known[0] = 1
-            np.multiply.accumulate(self.known, out=self.known)
-        return self.known[:n]
-
-
-_UP, _DOWN = _Powers(_MULTIPLIER), _Powers(_INVERSE)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -186,23 +193,53 @@ class Words:
 
     def __init__(self, texts: list[bytes], table: np.ndarray):
         self.raw = b" ".join(texts) + b" "
-        self.buf = np.frombuffer(self.raw, np.uint8)
+        self.buf = padded(self.raw)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-        inside = np.zeros(len(self.buf) + 1, np.int8)
-        inside[1:] = table[self.buf]
+        inside = np.zeros(len(self.raw) + 1, np.int8)
+        inside[1:] = table[self.buf[: len(self.raw)]]
         edges = np.flatnonzero(np.diff(inside))
         self.starts, self.ends = edges[::2], edges[1::2]
         #: words of text r: first[r] to first[r + 1]
         self.first = np.searchsorted(self.starts, self.begin)
 
-    def hasher(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        """64-bit hashes of byte ranges, all from one running sum."""
-        n = len(self.buf)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_VALUES[self.buf] * _UP.upto(n), out=sums[1:])
-        down = _DOWN.upto(n + 1)
-        return lambda starts, ends: mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return range_hashes(self.buf, starts, ends)
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer byte ranges are hashed one by one.
+_LONG = 1024
+
+
+def padded(raw: bytes) -> np.ndarray:
+    """Bytes as an array with eight zeros behind them, which `range_hashes` needs to read whole words."""
+    return np.frombuffer(raw + bytes(8), np.uint8)
+
+
+def word_blocks(buf: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place on, little-endian; a view."""
+    return np.ndarray((max(len(buf) - 7, 0),), "<u8", buf, strides=(1,))
+
+
+def range_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte ranges of a padded array. Eight bytes at a time are mixed in, each step not linear, so that
+    no regular pattern of letters (as Thue-Morse words for sums of powers) makes hashes agree."""
+    words, left = word_blocks(buf), ends - starts
+    h = mix64(left.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    h = mix64(h ^ (words[starts] & _MASKS[np.minimum(left, 8)]))
+    at = np.flatnonzero(left > 8)
+    done = 8
+    while len(at):
+        if done >= _LONG:
+            for k in at.tolist():
+                h[k] = int.from_bytes(hashlib.blake2b(buf[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+            break
+        block = words[starts[at] + done] & _MASKS[np.minimum(left[at] - done, 8)]
+        h[at] = mix64(h[at] * np.uint64(0xD6E8FEB86659FD93) + block)
+        done += 8
+        at = at[left[at] > done]
+    return h
 
 
 def runs_of(texts: list[bytes], limit: int = 1 << 19) -> Iterator[tuple[int, int]]:

@@ -1,51 +1,60 @@
 """Near-duplicates by SetSketch registers.
 
-A text is its set of word shingles. Texts with equal sets form a class, found by a 128-bit hash of the set, and only
-the smallest doc_id of a class goes on. Its sketch holds REGISTERS values: for each of as many hash functions the
-smallest value over the set, made exponential, on an exponentially spaced scale of base BASE, truncated to 16 bits.
-Sketches of a union are the larger values (`merge_sketches`), and two sketches agree in a register about as often as
-the sets' Jaccard similarity. The registers are banded; the rows of a bucket (equal band) are streamed in a hashed order,
-which proposes pairs of each row with the first and with the one before: two for each row, whatever the bucket's size.
-
-Proposed pairs must pass the bound on set sizes and a likelihood estimate of the similarity from both sketches and set
-sizes, with a margin of five standard errors. Then full sets are compared, made anew from the texts. First each document
-tries its best pair; what is connected already needs no proof again. Components come from min-label propagation with
-pointer jumping, all in tables. To lose no link, buckets that still hold several components are gone through once
-more: within them, rows of different components are compared by sketch, and what passes is verified too.
-
-A pair at the threshold 0.8 misses all BANDS bands with a chance of 1.3e-7 (1 - 0.8**5) ** 40, and is dropped by the
-estimate with one of 1.2e-6 at most, reckoned from the registers that agree alone; with what is said below of large
-buckets, that is all that keeps the result from being exact.
-
-A bucket holds unlimited rows: it streams. In the second pass a bucket of more than CAP rows is first split by further
-registers into sub-buckets. These are other registers than the bucket's own, and others for each band, so that a pair
-at the threshold misses all of them with a chance of 5e-8 (1 - 0.8**4) ** 32 in each shared bucket. A pair is left to
-the first bucket that it shares and that is not split.
-Texts are compared in groups of one document with up to 256 others, so that no document gathers all its pairs.
+A text is its set of word shingles. Texts with equal sets form a class, found by a 128-bit hash of the sorted 64-bit
+shingle hashes, and only one document of a class goes on. Its sketch holds REGISTERS values: for each of as many hash
+functions the smallest value over the set, made exponential, on an exponentially spaced scale of base BASE, truncated to
+16 bits. Sketches of a union are the larger values (`merge_sketches`), and two sketches agree in a register about as
+often as the sets' Jaccard similarity. The registers are banded; documents with an equal band share a bucket.
+
+1. Proposals. A document's degree is the number of rows in its buckets, and the centre of a bucket is its row of the
+   highest degree: the text that most others resemble. Each document proposes one pair, with the centre that it meets in
+   most buckets. A group of n near copies proposes n pairs, not n * n.
+2. Pairs that pass the bound on set sizes and a likelihood estimate of the similarity from both sketches and set sizes,
+   with a margin of five standard errors, are proved: the shingles themselves are compared, made anew from the texts.
+   Components come from min-label propagation with pointer jumping, all in tables.
+3. In buckets that still hold several components, each row outside the largest one tries the likeliest of FEW rows of
+   the largest; again one proof a row.
+4. What is left is exact. In each bucket that still holds several components, every row outside the largest one is held
+   against all rows of other components: by sketch first, then by the shingles. A bucket's rows are dealt to blocks of
+   about BLOCK rows (or WORDS shingles), and a task compares two blocks, so that no task holds a whole bucket. No pair
+   leaves a task but a proven one.
+
+So a pair at the threshold 0.8 is lost only if it misses all BANDS bands (chance 1.3e-7, (1 - 0.8**5) ** 40) or is
+dropped by the estimate (1.2e-6 at most, reckoned from the registers that agree alone). Rows of a bucket are
+joined with its size and centre, so that a bucket of any size may be split over tasks.
+
+Shingle hashes are mixed word by word, not sums of powers. Two different shingles agree in them with a chance of 2**-64:
+n_shingles and the classes rest on that. Links between classes are proved on the shingles themselves.
 
 Defined results: null and empty texts, or such without words, have no shingles, are linked with nothing and kept. Texts
 with fewer words than a shingle has are one shingle. Rows that repeat a doc_id are each reported with the component of
-their own text. Rows without doc_id are reported with a null component and kept. Extra columns are ignored.
+their own text. Rows without doc_id are reported with a null component and kept. Extra columns are ignored. Very long
+texts are one row of a batch. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, Words, arrow_schema, blobs, cell, map_batches, mix64, record_batch, runs_of, staged, text_key, without
+from .common import NOT_SPACE, Words, arrow_schema, blobs, cell, discard, map_batches, mix64, record_batch, runs_of, slices, staged, text_key, without
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE = 1.001, 20.0
-CAP, SUB_BANDS, SUB_ROWS = 20_000, 32, 4
 #: Low bits of a bucket's key, which hold its band.
 BAND_BITS = 6
+#: Rows and shingles of a block, about, in the exact comparison within a bucket.
+BLOCK, WORDS = 512, 2_000_000
+#: Rows of the largest component that a row outside it is estimated with before that.
+FEW = 4
 
 _RNG = np.random.default_rng(5)
 _XOR = _RNG.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
@@ -60,7 +69,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     out: list[np.ndarray] = []
     for lo, hi in runs_of(texts):
         found = Words([t.lower() for t in texts[lo:hi]], NOT_SPACE)
-        h = found.hasher()(found.starts, found.ends)
+        h = found.hashes(found.starts, found.ends)
         joined = h[: max(0, len(h) - words + 1)]
         for j in range(1, words):
             joined = mix64(joined * np.uint64(0xC2B2AE3D27D4EB4F) + h[j : len(joined) + j])
@@ -77,6 +86,19 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     return out
 
 
+def real_shingles(text: bytes, words: int) -> set:
+    """The word shingles themselves."""
+    w = text.lower().split()
+    if len(w) < words:
+        return {tuple(w)} if w else set()
+    return set(zip(*(w[k:] for k in range(words)), strict=False))
+
+
+def linked(a: set, b: set, similarity: int) -> bool:
+    both = len(a & b)
+    return bool(both) and 100 * both >= similarity * (len(a) + len(b) - both)
+
+
 def sketch(shingles: np.ndarray) -> np.ndarray:
     """Registers of a set: floor(1 - log_BASE(min h)), truncated to 16 bits, with h exponential of rate RATE."""
     x = mix64(shingles).astype(np.uint32)
@@ -129,103 +151,66 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
 
 
 def buckets(reps: DataFrame) -> DataFrame:
-    """key, doc, n, first, first_n, before, before_n: the rows of all buckets with more than one, in each the first row
-    in hashed order and the row before."""
-    schema = "key long, doc long, n long"
-    target = arrow_schema(schema)
-
-    def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        salt = np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for b in batches:
-            regs = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u2").reshape(-1, BANDS, ROWS).astype(np.uint64)
-            key = np.broadcast_to(salt, regs.shape[:2])
-            for r in range(ROWS):
-                key = mix64(key + regs[:, :, r])
-            key = (key << np.uint64(BAND_BITS)) | np.arange(BANDS, dtype=np.uint64)
-            each = lambda c: np.repeat(b.column(c).to_numpy(), BANDS)  # noqa: B023, E731
-            yield record_batch({"key": key.ravel().view(np.int64), "doc": each(0), "n": each(1)}, target)
-
-    rows = reps.select("doc", "n", "registers").mapInArrow(band, schema)
-    return _neighbours(rows)
-
+    """key, doc, size: the rows of all buckets with more than one row. A key ends with the number of its band."""
+    band = lambda k: F.substring("registers", 1 + 2 * ROWS * k, 2 * ROWS)
+    keys = [F.shiftleft(F.xxhash64(band(k), F.lit(k)), BAND_BITS).bitwiseOR(F.lit(k).cast("long")) for k in range(BANDS)]
+    rows = reps.select("doc", F.explode(F.array(*keys)).alias("key"))
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    return rows.join(sizes, "key").select("key", "doc", "size")
 
-_NEAR = "key long, doc long, n long, first long, first_n long, before long, before_n long"
 
+def fits(n: Column, m: Column, similarity: int) -> Column:
+    """Sets of these sizes can reach the similarity, in percent."""
+    return F.least(n, m) * 100 >= F.greatest(n, m) * similarity
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    target = arrow_schema(_NEAR)
 
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, doc and n of the row before; first row of its bucket; whether that was given out
-        for b in batches:
-            key, doc, n = (b.column(c).to_numpy() for c in range(3))
-            if not len(key):
-                continue
-            carried = last is not None and last[0] == key[0]
-            if carried:  # the bucket goes on: put its last row in front
-                key, doc, n = (np.concatenate([[x], y]) for x, y in zip(last[:3], (key, doc, n), strict=True))
-            new = np.concatenate([[True], key[1:] != key[:-1]])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
-            first, first_n = doc[start], n[start]
-            if carried:
-                own = start == 0
-                first, first_n = np.where(own, last[3], first), np.where(own, last[4], first_n)
-            before, before_n = np.roll(doc, 1), np.roll(n, 1)
-            alone = new & np.append(new[1:], True)
-            shown = ~alone
-            last_alone = bool(alone[-1])
-            if carried:
-                # a first row was held back until the bucket was known to have another
-                alone_before = last[5]
-                shown[0] = alone_before
-                before[0], before_n[0] = doc[0], n[0]
-                if len(key) > 1:
-                    shown[1:] |= (np.arange(1, len(key)) > 0) & (key[1:] == key[0])
-                last_alone = last_alone and len(key) == 1 and alone_before
-            before, before_n = np.where(new, doc, before), np.where(new, n, before_n)
-            last = (key[-1], doc[-1], n[-1], first[-1], first_n[-1], last_alone)
-            values = (key, doc, n, first, first_n, before, before_n)
-            if shown.any():
-                yield record_batch({f.name: v[shown] for f, v in zip(target, values, strict=True)}, target)
-
-    order = ["key", F.xxhash64("key", "doc"), "doc"]
-    return rows.repartition("key").sortWithinPartitions(*order).mapInArrow(near, _NEAR)
+def central(near: DataFrame) -> DataFrame:
+    """a, b: for each document b the centre that it meets in most of its buckets, if that is another."""
+    degree = near.groupBy("doc").agg(F.sum("size").alias("degree"))
+    centre = near.join(degree, "doc").groupBy("key").agg(F.max_by("doc", "degree").alias("a"))
+    met = near.select("key", F.col("doc").alias("b")).join(centre, "key").where("a <> b").groupBy("b", "a").agg(F.count(F.lit(1)).alias("n"))
+    return met.groupBy("b").agg(F.max_by("a", "n").alias("a")).select("a", "b")
 
 
-def fits(n: Column, m: Column, similarity: int) -> Column:
-    """Sets of these sizes can reach the similarity, in percent."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * similarity
+def mixed(near: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, doc, label, top: the rows of buckets that hold several components, with the label of the largest."""
+    label = labels.select(F.col("node").alias("doc"), "label")
+    rows = near.select("key", "doc").join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    counts = rows.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    tops = counts.groupBy("key").agg(F.max_by("label", "n").alias("top"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    return rows.join(tops.select("key", "top"), "key")
 
 
-def pairs_of(near: DataFrame, similarity: int) -> DataFrame:
-    """a < b, once each, of the proposed pairs whose sizes fit."""
-    both = [
-        near.where((F.col("doc") != F.col(x)) & fits(F.col("n"), F.col(f"{x}_n"), similarity)).select(
-            F.least("doc", x).alias("a"), F.greatest("doc", x).alias("b")
-        )
-        for x in ("first", "before")
-    ]
-    return both[0].unionByName(both[1]).distinct()
+def toward_top(rows: DataFrame, tried: DataFrame) -> DataFrame:
+    """a, b: for each row b outside the largest component of a bucket, up to FEW rows of the largest, one from each
+    bucket, that were not tried."""
+    some = rows.where("label = top").groupBy("key").agg(F.max_by("doc", F.xxhash64("key", "doc")).alias("a"))
+    pairs = rows.where("label <> top").select("key", F.col("doc").alias("b")).join(some, "key").select("a", "b").distinct()
+    pairs = pairs.join(tried, ["a", "b"], "left_anti")
+    order = Window.partitionBy("b").orderBy(F.xxhash64("a", "b"))  # at most BANDS rows each
+    return pairs.withColumn("at", F.row_number().over(order)).where(F.col("at") <= FEW).select("a", "b")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
-    """a, b, guess for the pairs that pass the estimate."""
+    """a, b, guess for the pairs whose sizes fit and that pass the estimate."""
     least = similarity / 100 - margin(similarity / 100)
     target = arrow_schema("a long, b long, guess double")
     side = lambda x: reps.select(F.col("doc").alias(x), F.col("n").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                b = batch.slice(k, 4096)
+            for b in slices(batch, 4096):
                 regs = [np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, REGISTERS) for c in (3, 5)]
                 counts = (regs[0] > regs[1]).sum(1), (regs[0] < regs[1]).sum(1)
                 guess = estimate(*counts, b.column(2).to_numpy(), b.column(4).to_numpy())
                 keep = guess >= least
                 yield record_batch({"a": b.column(0).to_numpy()[keep], "b": b.column(1).to_numpy()[keep], "guess": guess[keep]}, target)
 
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "r_a", "n_b", "r_b")
-    return joined.mapInArrow(run, "a long, b long, guess double")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(fits(F.col("n_a"), F.col("n_b"), similarity))
+    return joined.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a long, b long, guess double")
+
+
+# --- the exact comparison within buckets -----------------------------------------------------------------------------
 
 
 def first_seen(equal: np.ndarray, band: int) -> np.ndarray:
@@ -233,95 +218,101 @@ def first_seen(equal: np.ndarray, band: int) -> np.ndarray:
     return equal.argmax(1) >= band
 
 
-def sub_start(band: int | Column, j: int) -> int | Column:
-    """The first register of a band's sub-band j, with registers counted in a circle from the band's end on."""
-    return (ROWS * (band + 1) + (REGISTERS - ROWS) // SUB_BANDS * j) % REGISTERS
-
-
-def _blocks(docs: np.ndarray, n: np.ndarray, label: np.ndarray, regs: np.ndarray, split: np.ndarray, band: int, similarity: int) -> Iterator[tuple]:
-    """Pairs of places of a bucket's rows that are in different components, whose sizes fit, whose estimate passes, and
-    that share no band before this one whose bucket is whole (split: a bit for each band where it is not); some at a
-    time."""
+def cells(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """key, p, q, block, doc, n, label: the rows of mixed buckets dealt to cells, each of which holds two blocks p and q of
+    a bucket, or one where they are the same. Blocks below `odd` hold the rows outside the largest component; each of
+    them meets itself and all blocks after it. A small bucket is one cell."""
+    rows = rows.join(reps.select("doc", "n"), "doc").withColumn("odd", F.col("label") != F.col("top"))
+    over = lambda flag: [F.sum(F.when(flag, x)).alias(name) for x, name in ((F.lit(1), "rows"), (F.col("n"), "words"))]
+    sizes = rows.groupBy("key").agg(*[c.alias(f"{side}_{k}") for side, flag in (("odd", F.col("odd")), ("top", ~F.col("odd"))) for k, c in zip(("rows", "words"), over(flag), strict=True)])
+    blocks = lambda side: F.greatest(F.ceil(F.col(f"{side}_rows") / BLOCK), F.ceil(F.col(f"{side}_words") / WORDS)).cast("int")
+    whole = (F.col("odd_rows") + F.col("top_rows") <= BLOCK) & (F.col("odd_words") + F.col("top_words") <= WORDS)
+    sizes = sizes.select("key", F.when(whole, 0).otherwise(blocks("odd")).alias("i"), F.when(whole, 1).otherwise(blocks("top")).alias("j"))
+    rows = rows.join(sizes, "key")
+    spread = lambda n: F.pmod(F.xxhash64("doc"), n.cast("long")).cast("int")
+    i, j = F.col("i"), F.col("j")
+    block = F.when(i == 0, 0).when(F.col("odd"), spread(i)).otherwise(i + spread(j))
+    rows = rows.withColumn("block", block)
+    own = F.col("block")
+    others = F.sequence(F.lit(0), F.when(F.col("odd"), i + j - 1).otherwise(i - 1))
+    pair = lambda o: F.struct(F.least(o, own).alias("p"), F.greatest(o, own).alias("q"))
+    single = F.array(F.struct(own.alias("p"), own.alias("q")))
+    rows = rows.withColumn("cell", F.explode(F.when(i == 0, single).otherwise(F.transform(others, pair))))
+    return rows.select("key", "cell.p", "cell.q", "block", "doc", "n", "label")
+
+
+def _compared(held: list, regs: np.ndarray, band: int, similarity: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs of a cell's rows that lie in different components, whose sizes fit, whose estimate passes, and
+    that share no band before this one; some at a time."""
+    p, q, block, n, label = held
     least = similarity / 100 - margin(similarity / 100)
-    for i in range(0, len(docs), 512):
-        for j in range(i, len(docs), 512):
-            x, y = slice(i, i + 512), slice(j, j + 512)
+    if p == q:
+        left = right = np.arange(len(n))
+    else:
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+    for i in range(0, len(left), 512):
+        for j in range(0, len(right), 512):
+            x, y = left[i : i + 512], right[j : j + 512]
             small, great = np.minimum.outer(n[x], n[y]), np.maximum.outer(n[x], n[y])
-            p, q = np.nonzero((label[x][:, None] != label[y][None]) & (small * 100 >= great * similarity))
-            p, q = p + i, q + j
-            keep = p < q
-            p, q = p[keep], q[keep]
-            for k in range(0, len(p), 4096):
-                s, t = p[k : k + 4096], q[k : k + 4096]
-                more, less = regs[s] > regs[t], regs[s] < regs[t]
-                ok = estimate(more.sum(1), less.sum(1), n[s], n[t]) >= least
+            a, b = np.nonzero((label[x][:, None] != label[y][None]) & (small * 100 >= great * similarity))
+            s, t = x[a], y[b]
+            if p == q:
+                s, t = s[s < t], t[s < t]
+            for k in range(0, len(s), 4096):
+                u, v = s[k : k + 4096], t[k : k + 4096]
+                more, less = regs[u] > regs[v], regs[u] < regs[v]
+                ok = estimate(more.sum(1), less.sum(1), n[u], n[v]) >= least
                 equal = ~(more[ok] | less[ok]).reshape(-1, BANDS, ROWS).any(2)
-                equal &= (split[s][ok][:, None] >> np.arange(BANDS)) & 1 == 0
                 ok[ok] = first_seen(equal, band)
                 if ok.any():
-                    yield s[ok], t[ok]
+                    yield u[ok], v[ok]
 
 
-def _by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray | list]]]:
-    """Columns of the rows of each key, from rows sorted by it."""
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """The rows of each cell (key, p, q), from rows sorted by it."""
     held, current = [], None
     for b in batches:
-        key = b.column(0).to_numpy()
-        cuts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        ids = np.stack([b.column(c).to_numpy().astype(np.int64) for c in range(3)], 1)
+        cuts = np.concatenate([[0], np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1, [len(ids)]])
         for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if s == e:
                 continue
-            if held and key[s] != current:
-                yield current, held
+            if held and tuple(ids[s].tolist()) != current:
+                yield current, pa.Table.from_batches(held)
                 held = []
-            current = int(key[s])
+            current = tuple(ids[s].tolist())
             held.append(b.slice(s, e - s))
     if held:
-        yield current, held
+        yield current, pa.Table.from_batches(held)
 
 
 _BAND = (1 << BAND_BITS) - 1
+_CELL = "key long, p int, q int, block int, doc long, n long, label long"
 
 
-def unresolved(near: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """a, b: links between rows that share a bucket and lie in different components.
+def unresolved(rows: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
+    """a, b: links between rows (of `mixed`) that share a bucket and lie in different components.
 
-    Sketches tell which rows of a bucket have any likely partner left; only these bring their texts to the bucket, where
-    their sets are made and compared. No pair leaves a task but a proven one."""
-    label = labels.select(F.col("node").alias("doc"), "label")
-    rows = near.select("key", "doc", "n").join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
-    mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size"))
-    mixed = staged(mixed.where("lo < hi").select("key", "size"), "near-mixed")
-    large = mixed.where(F.col("size") > CAP)
-    rows = rows.join(mixed, "key").join(reps.select("doc", "registers"), "doc")
-    if large.isEmpty():
-        rows = rows.withColumn("split", F.lit(0).cast("long"))
-    else:
-        band = F.col("key").bitwiseAND(F.lit(_BAND))
-        bits = near.select("key", "doc").join(large, "key").groupBy("doc").agg(F.bit_or(F.expr(f"shiftleft(1L, cast(key & {_BAND} as int))")).alias("split"))
-        rows = rows.join(bits, "doc", "left").withColumn("split", F.coalesce("split", F.lit(0).cast("long")))
-        # sub-buckets go as of band 0, so that each gives out all its pairs
-        circle = F.concat("registers", "registers")
-        part = lambda j: F.xxhash64("key", F.lit(j), F.substring(circle, (1 + 2 * sub_start(band, j)).cast("int"), F.lit(2 * SUB_ROWS)))
-        parts = F.array(*[F.shiftleft(part(j), BAND_BITS) for j in range(SUB_BANDS)])
-        rows = rows.withColumn("key", F.explode(F.when(F.col("size") > CAP, parts).otherwise(F.array("key"))))
-    schema = "key long, doc long, n long, label long, split long"
-    active, link = arrow_schema(schema), arrow_schema("a long, b long")
+    Sketches tell which rows of a cell have any likely partner; only these bring their texts to the cell, where their
+    shingles are compared."""
+    active, link = arrow_schema(_CELL), arrow_schema("a long, b long")
 
     def likely_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, held in _by_key(batches):
-            doc, n, own, split = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in (1, 2, 3, 4))
-            regs = np.frombuffer(b"".join(x for h in held for x in h.column(5).to_pylist()), "<u2").reshape(-1, REGISTERS)
-            hit = np.zeros(len(doc), bool)
-            for s, t in _blocks(doc, n, own, regs, split, key & _BAND, similarity):
+        for (key, p, q), table in _by_cell(batches):
+            block, n, label = (table.column(c).to_numpy() for c in (3, 5, 6))
+            regs = np.frombuffer(b"".join(table.column(7).to_pylist()), "<u2").reshape(-1, REGISTERS)
+            hit = np.zeros(len(n), bool)
+            for s, t in _compared((p, q, block, n, label), regs, key & _BAND, similarity):
                 hit[s] = hit[t] = True
             if hit.any():
-                yield record_batch({"key": np.full(hit.sum(), key), "doc": doc[hit], "n": n[hit], "label": own[hit], "split": split[hit]}, active)
+                some = table.filter(pa.array(hit))
+                yield record_batch({f.name: some.column(f.name) for f in active}, active)
 
     def prove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, held in _by_key(batches):
-            doc, n, own, split = (np.concatenate([h.column(c).to_numpy() for h in held]) for c in (1, 2, 3, 4))
-            sets = shingle_sets([x or b"" for h in held for x in blobs(h.column(5))], words)
+        for (key, p, q), table in _by_cell(batches):
+            block, doc, n, own = (table.column(c).to_numpy() for c in (3, 4, 5, 6))
+            texts = [x or b"" for x in blobs(table.column(7))]
+            sets = shingle_sets(texts, words)
             regs = np.stack([sketch(s) for s in sets])
             joined = {int(x): int(x) for x in own}  # components joined by links found here
 
@@ -331,22 +322,24 @@ def unresolved(near: DataFrame, reps: DataFrame, labels: DataFrame, docs: DataFr
                 return x
 
             found = []
-            for s, t in _blocks(doc, n, own, regs, split, key & _BAND, similarity):
+            for s, t in _compared((p, q, block, n, own), regs, key & _BAND, similarity):
                 for i, j in zip(s.tolist(), t.tolist(), strict=True):
                     a, b = root(int(own[i])), root(int(own[j]))
                     if a != b:
                         both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                        if 100 * both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                        if 100 * both >= similarity * (len(sets[i]) + len(sets[j]) - both) and linked(real_shingles(texts[i], words), real_shingles(texts[j], words), similarity):
                             joined[max(a, b)] = min(a, b)
                             found.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
             if found:
                 yield record_batch(dict(zip(("a", "b"), zip(*found), strict=True)), link)
 
-    ordered = rows.select("key", "doc", "n", "label", "split", "registers").repartition("key").sortWithinPartitions("key", "doc")
-    some = staged(ordered.mapInArrow(likely_rows, schema), "near-active")
+    dealt = staged(cells(rows, reps), "near-cells")
+    together = lambda df: df.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc")
+    some = staged(together(dealt.join(reps.select("doc", "registers"), "doc").select(*dealt.columns, "registers")).mapInArrow(likely_rows, _CELL), "near-active")
     texts = _texts(some.select("doc").distinct(), reps, docs)
-    ordered = some.join(texts, "doc").select("key", "doc", "n", "label", "split", "text").repartition("key").sortWithinPartitions("key", "doc")
-    return ordered.mapInArrow(prove, "a long, b long").distinct()
+    proven = staged(together(some.join(texts, "doc").select(*some.columns, "text")).mapInArrow(prove, "a long, b long").distinct(), "near-links")
+    discard(dealt, some, texts)
+    return proven
 
 
 # --- proof and components -------------------------------------------------------------------------------------------
@@ -360,12 +353,15 @@ def _texts(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("own"), "text").where("own is not null")
     texts = texts.withColumn("cell", cell(F.col("own"))).join(F.broadcast(cells), "cell", "left_semi")
     texts = texts.select("own", text_key(F.col("text")).alias("text_key"), "text")
-    return staged(texts.join(wanted, ["own", "text_key"]).select("doc", "text").dropDuplicates(["doc"]), "near-texts")
+    found = staged(texts.join(wanted, ["own", "text_key"]).select("doc", "text").dropDuplicates(["doc"]), "near-texts")
+    discard(wanted)
+    return found
 
 
 def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, similarity: int) -> DataFrame:
-    """a, b of the pairs whose full shingle sets reach the similarity, in percent."""
-    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), reps, docs)
+    """a, b of the pairs whose shingles reach the similarity, in percent. Texts are compared in groups of one document a
+    with up to 256 others, so that no document gathers all its pairs."""
+    texts = _texts(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), reps, docs)
     groups = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / 256).cast("int").alias("chunks"))
     left = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     left = left.join(texts.select(F.col("doc").alias("a"), "text"), "a").select("a", "chunk", F.lit(None).cast("long").alias("b"), "text")
@@ -374,54 +370,43 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, sim
     target = arrow_schema("a long, b long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, group = None, None
+        own, group = set(), None
         for batch in batches:
-            sets = shingle_sets([t or b"" for t in blobs(batch.column(3))], words)
             out: dict = {"a": [], "b": []}
-            for a, chunk, b, s in zip(*(batch.column(c).to_pylist() for c in range(3)), sets, strict=True):
+            for a, chunk, b, text in zip(*(batch.column(c).to_pylist() for c in range(3)), blobs(batch.column(3)), strict=True):
+                shingles = real_shingles(text or b"", words)
                 if b is None:
-                    own, group = s, (a, chunk)
+                    own, group = shingles, (a, chunk)
                     continue
                 assert group == (a, chunk), "the text of a comes first"
-                both = len(np.intersect1d(own, s, assume_unique=True))
-                if both and 100 * both >= similarity * (len(own) + len(s) - both):
+                if linked(own, shingles, similarity):
                     out["a"].append(a)
                     out["b"].append(b)
             yield record_batch(out, target)
 
     rows = left.unionByName(right).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
-    return rows.mapInArrow(run, "a long, b long")
+    links = staged(rows.mapInArrow(run, "a long, b long"), "near-links")
+    discard(texts)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
     """node, label: the smallest node that each node of links (a, b) reaches."""
-    links = staged(links.select("a", "b"), "near-links")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = staged(
-        both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label")),
-        "near-labels",
-    )
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    labels = staged(first.select("node", F.least("node", "least").alias("label")), "near-labels")
     while True:
         of = labels.select(F.col("node").alias("b"), F.col("label").alias("heard"))
         heard = both.join(of, "b").groupBy(F.col("a").alias("node")).agg(F.min("heard").alias("heard"))
         told = labels.join(heard, "node").select("node", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = told.join(jump, "label").select("node", "old", F.least("label", "next").alias("label"))
-        new = staged(new, "near-labels")
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
+        new = staged(told.join(jump, "label").select("node", "old", F.least("label", "next").alias("label")), "near-labels")
+        discard(labels)
+        labels = new
+        if new.where("label <> old").isEmpty():
             return labels
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose ends are in different components."""
-    for side in ("a", "b"):
-        label = labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
-        pairs = pairs.join(label, side, "left").withColumn(f"label_{side}", F.coalesce(f"label_{side}", side))
-    return pairs.where("label_a <> label_b").select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, *, words: int = 5, similarity: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept for each row; similarity in percent."""
     return _judged(docs, words, similarity).drop("text_key")
@@ -451,31 +436,26 @@ def _judged(docs: DataFrame, words: int, similarity: int) -> DataFrame:
         "near-reps",
     )
     near = staged(buckets(reps), "near-buckets")
-    guesses = staged(likely(pairs_of(near, similarity), reps, similarity), "near-guesses")
-
-    # each document's best pair first, and that with its likely partner which most others have too: a large group is
-    # one component after this, and what it connects needs no more proof
-    sides = guesses.select("a", "b", "guess", F.explode(F.array("a", "b")).alias("doc"))
-    other = F.col("a") + F.col("b") - F.col("doc")
-    degree = sides.where(F.col("guess") >= similarity / 100).select(other.alias("other"), "a", "b", "doc")
-    hubs = degree.groupBy("other").agg(F.count(F.lit(1)).alias("degree"))
-    most = degree.join(hubs, "other").groupBy("doc").agg(F.max_by(F.struct("a", "b"), F.struct("degree", -F.col("other"))).alias("p"))
-    best = sides.groupBy("doc").agg(F.max_by(F.struct("a", "b"), F.struct("guess", -F.col("a"), -F.col("b"))).alias("p"))
-    tried = staged(best.unionByName(most).select("p.a", "p.b").distinct(), "near-tried")
-    links = staged(verified(tried, reps, docs, words, similarity), "near-links")
-    labels = components(links)
-
-    # then the other proposed ones between different components, and at last all others that share a bucket
-    more = staged(apart(guesses.select("a", "b").join(tried, ["a", "b"], "left_anti"), labels), "near-more")
-    for find in (lambda: verified(more, reps, docs, words, similarity), lambda: unresolved(near, reps, labels, docs, words, similarity)):
-        new = staged(find(), "near-links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            labels = components(links)
-
+    links: list[DataFrame] = []
+    labels = tried = None
+    for propose in (lambda: central(near), lambda: toward_top(mixed(near, labels), tried)):
+        guesses = staged(likely(propose(), reps, similarity), "near-guesses")
+        best = guesses.groupBy("b").agg(F.max_by("a", "guess").alias("a")).select("a", "b")
+        links.append(verified(best, reps, docs, words, similarity))
+        if labels is not None:
+            discard(tried, labels)
+        tried, labels = guesses, components(reduce(DataFrame.union, links))
+    rest = staged(mixed(near, labels), "near-mixed")
+    if not rest.isEmpty():
+        links.append(unresolved(rest, reps, docs, words, similarity))
+        discard(labels)
+        labels = components(reduce(DataFrame.union, links))
+    discard(rest, tried, near, *links)
     if repeats:  # the smallest name in a component need not be its smallest doc_id
         least = labels.join(reps.select(F.col("doc").alias("node"), "own"), "node").groupBy("label").agg(F.min("own").alias("least"))
         labels = labels.join(least, "label").select("node", F.col("least").alias("label"))
+    else:
+        discard(reps, shared)
     found = all_sketches.select("doc_id", "n", "set_key", "text_key").join(classes, "set_key", "left")
     found = found.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("label", "own", "doc_id"))
