@@ -2,22 +2,27 @@
 
 Documents become token ids. Their counts, hashed into DIMS cells and scaled to length one, are projected to AXES
 dimensions by fixed random signs, put on a grid, and numbered along a Hilbert curve, so that documents near on the curve
-use like words. The curve is cut into ranges of about equal numbers of tokens; each range is sorted by Hilbert key and
+use like words. The curve is cut into ranges of about equal numbers of ids; each range is sorted by Hilbert key and
 laid end to end with the others, and sequences are cut from that line every `length` ids. A document's ids stay in one
 piece but where a sequence ends. What is left at the end of the line goes to sequences of powers of two, which need no
 padding, so that no id of padding is added at all.
 
-Ids are written once, as a table in the shared folder; places on the line come from sums by range (as many numbers as
-ranges), and one shuffle brings each range's documents together. The key ends with bits hashed from doc_id, so
-documents with one Hilbert key, such as many copies, split over ranges as any others do.
+Ids are written once, as a table in the shared folder. Where ranges end is found from sums of ids by cells of the curve:
+2**CELL_BITS cells, and where a cell holds more than a range should, finer ones. Places on the line come from sums by
+range, and one shuffle gives each range a partition of its own. The key ends with bits hashed from doc_id, so documents
+with one Hilbert key, such as many copies, split over ranges as any others do. The driver holds one number for each
+range; there are at most MOST_RANGES, beyond which ranges grow with the input. A task streams its range, so its memory
+is that of a batch for a range of any size.
 
 Fast ids: the tokenizer drops white space, lower-cases, and encodes pre-tokens apart: runs of letters, single digits,
 runs of other characters. For ASCII text and the letters U+00C0 to U+00FF these are found with arrays over a whole
-batch, each distinct pre-token is encoded once by the library and remembered; a text with other characters, with an
-apostrophe or a special token's string goes to the library whole.
+batch, each distinct pre-token is encoded once by the library and remembered by its bytes; a text with other characters,
+with an apostrophe or a special token's string goes to the library whole. Equal pre-tokens of a batch are found by hash
+and their bytes compared; a text with one whose bytes differ goes to the library too.
 
 Defined results: null text counts as empty; an empty text is the end id alone. Rows that repeat a doc_id are packed
-each. Rows without doc_id are packed too. Extra columns are ignored. An empty table gives an empty result.
+each. Rows without doc_id are packed too. A very long text is cut wherever a sequence ends. Extra columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blobs, map_batches, mix64, record_batch, runs_of, slices, staged
+from .common import arrow_schema, blobs, map_batches, mix64, padded, range_hashes, record_batch, runs_of, slices, staged, word_blocks
 
 LENGTH, END = 2048, 1
 DIMS, AXES, BITS = 1024, 4, 10
-#: Pre-tokens that a process remembers, some 100 MB.
-KNOWN = 800_000
+#: Pre-tokens that a process remembers, some 60 MB.
+KNOWN = 400_000
+CELL_BITS, MOST_RANGES = 16, 1 << 16
 #: Bits of the key below the Hilbert number, hashed from doc_id.
 LOW = 63 - AXES * BITS
 
@@ -65,7 +71,7 @@ class Encoder:
         self.plain = all(not t.content.isalnum() and "<" in t.content for t in self.library.get_added_tokens_decoder().values())
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for w, i in self.library.get_vocab().items() if w.endswith("</w>")]] = True
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -87,8 +93,9 @@ class Encoder:
         ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         return np.array([i for x in ids for i in x], np.uint16), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def learn(self, hashes: list[int], words: list[bytes]) -> None:
-        flat, sizes = self.apart(words)
+    def learn(self, words: list[bytes]) -> None:
+        # words of rows that go to the library may be cut inside a character; they are never used
+        flat, sizes = self.apart([w if _valid(w) else b"!" for w in words])
         while self.n_flat + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.n_known + len(sizes) > len(self.place):
@@ -97,7 +104,7 @@ class Encoder:
         at = slice(self.n_known, self.n_known + len(sizes))
         self.place[at] = self.n_flat + np.cumsum(sizes) - sizes
         self.size[at] = sizes
-        self.known.update(zip(hashes, range(self.n_known, self.n_known + len(sizes)), strict=True))
+        self.known.update(zip(words, range(self.n_known, self.n_known + len(sizes)), strict=True))
         self.n_known += len(sizes)
         self.n_flat += len(flat)
 
@@ -108,8 +115,6 @@ class Encoder:
         return out
 
     def some(self, texts: list[bytes]) -> list[np.ndarray]:
-        from .common import Words
-
         raw = b" ".join(texts) + b" "
         buf = np.frombuffer(raw, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -133,20 +138,18 @@ class Encoder:
         starts, ends = cuts[:-1], cuts[1:]
         real = kind[starts] > 0
         starts, ends = starts[real], ends[real]
-        words = Words.__new__(Words)
-        words.buf = low
-        hashes = words.hasher()(starts, ends)
-        unique, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.n_known + len(unique) > KNOWN:
+        flat = low.tobytes()
+        hashes = range_hashes(low := padded(flat), starts, ends)
+        _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(wrong := np.flatnonzero(unlike(low, starts, ends, where[inverse]))):
+            rows_bad[np.searchsorted(begin, starts[wrong], "right") - 1] = True
+        if self.n_known + len(where) > KNOWN:
             self.reset()
-        known, keys = self.known, unique.tolist()
-        new = [k for k, h in enumerate(keys) if h not in known]
-        if new:
-            flat = low.tobytes()
-            # words of rows that go to the library may be cut inside a character; they are never used
-            usable = [(k, flat[starts[where[k]] : ends[where[k]]]) for k in new]
-            self.learn([keys[k] for k, _ in usable], [w if _valid(w) else b"!" for _, w in usable])
-        index = np.fromiter((known[h] for h in keys), np.int64, len(keys))[inverse]
+        keys = [flat[a:z] for a, z in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
+        known = self.known
+        if new := [w for w in keys if w not in known]:
+            self.learn(new)
+        index = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[inverse]
         size, place = self.size[index], self.place[index]
         total = np.concatenate([[0], np.cumsum(size)])
         ids = self.flat[np.arange(total[-1]) + np.repeat(place - total[:-1], size)]
@@ -157,6 +160,21 @@ class Encoder:
         ]
 
 
+def unlike(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which byte ranges of a padded array differ from the range with the number given in `of`."""
+    blocks, left = word_blocks(buf), ends - starts
+    differ = left != left[of]
+    shift = lambda n: np.uint64(8) * (np.uint64(8) - np.minimum(n, 8).astype(np.uint64))
+    at = np.flatnonzero((of != np.arange(len(of))) & (left > 0))
+    done = 0
+    while len(at):
+        x = (blocks[starts[at] + done] ^ blocks[starts[of[at]] + done]) << shift(left[at] - done)
+        differ[at] |= x != 0
+        done += 8
+        at = at[left[at] > done]
+    return differ
+
+
 def _valid(word: bytes) -> bool:
     try:
         word.decode()
@@ -243,19 +261,43 @@ def sequence_at(place: int, total: int, length: int) -> tuple[int, int, int]:
         rest, at, number = rest - size, at + size, number + 1
 
 
+def range_ends(table: DataFrame, per_range: int) -> list[int]:
+    """Keys at which new ranges begin, so that a range holds about `per_range` ids of the table (key, n): from sums by
+    cells, and by finer cells of those that hold more."""
+    bits = 63
+    low = bits - CELL_BITS
+    sums = table.groupBy(F.shiftright("key", low).alias("cell")).agg(F.sum("n").alias("n")).collect()  # 2**CELL_BITS at most
+    cells = {r["cell"] << low: (r["n"], low) for r in sums}
+    while low and (heavy := [(k >> b) for k, (n, b) in cells.items() if n > per_range and b == low]):
+        # fewer cells are heavy than there are ranges
+        step = min(8, low)
+        some = table.sparkSession.createDataFrame([(c,) for c in heavy], "cell long")
+        rows = table.withColumn("cell", F.shiftright("key", low)).join(F.broadcast(some), "cell", "left_semi")
+        for c in heavy:
+            del cells[c << low]
+        low -= step
+        for r in rows.groupBy(F.shiftright("key", low).alias("cell")).agg(F.sum("n").alias("n")).collect():
+            cells[r["cell"] << low] = (r["n"], low)
+    ends, held = [], 0
+    for key, (n, _) in sorted(cells.items()):
+        if held and held + n > per_range:
+            ends.append(key)
+            held = 0
+        held += n
+    return ends
+
+
 def pack(docs: DataFrame, path: str, *, length: int = LENGTH, per_range: int = 4_000_000) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (binary).
 
-    per_range: ids in a range of the curve, about; a task holds one batch of a range at a time."""
+    per_range: ids in a range of the curve, about, at most."""
     table = staged(encoded(docs, path), "packing-ids")
-    whole = table.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
-    ranges = max(1, min(4096, -(-(whole["n"] or 0) // per_range)))
+    total = table.agg(F.sum("n").alias("n")).first()["n"] or 0
+    # as many ranges as there are partitions, at least, if a range then has enough to fill sequences
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = max(ranges, min(least, 1 + whole["rows"] // 64))
-    cuts = table.agg(F.percentile_approx("key", [k / ranges for k in range(1, ranges)] or [0.5], 10_000).alias("c")).first()["c"]
-    bounds = sorted(set(cuts or [])) if ranges > 1 else []
+    size = max(min(per_range, max(total // least, 16 * length)), total // MOST_RANGES)
+    edges = np.array(range_ends(table, size), np.int64)
     target = arrow_schema("doc_id long, key long, n long, ids binary, range int")
-    edges = np.array(bounds, np.int64)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,12 +305,9 @@ def pack(docs: DataFrame, path: str, *, length: int = LENGTH, per_range: int = 4
             yield record_batch(cols | {"range": np.searchsorted(edges, cols["key"].to_numpy(), "right").astype(np.int32)}, target)
 
     ranged = table.mapInArrow(put, "doc_id long, key long, n long, ids binary, range int")
-    sums = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect()}
-    offsets, at = [], 0
-    for k in range(len(bounds) + 1):
-        offsets.append(at)
-        at += sums.get(k, 0)
-    total = at
+    keys = table.select("key", "n").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, b.column(0).to_numpy(), "right").astype(np.int32)), b.column(1)], ["range", "n"]) for b in batches), "range int, n long")
+    sums = {r["range"]: r["n"] for r in keys.groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    offsets = np.concatenate([[0], np.cumsum([sums.get(k, 0) for k in range(len(edges))])]).astype(np.int64).tolist()
 
     def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, place = None, 0
@@ -292,9 +331,8 @@ def pack(docs: DataFrame, path: str, *, length: int = LENGTH, per_range: int = 4
                 names = [f.split()[0] for f in PIECES.split(", ")]
                 yield record_batch(dict(zip(names, zip(*out), strict=True)) | {"ids": ids_out}, arrow_schema(PIECES + ", ids binary"))
 
-    parts = max(1, len(bounds) + 1)
     return (
-        ranged.repartition(parts, "range")
+        ranged.repartitionById(len(edges) + 1, F.col("range"))
         .sortWithinPartitions("range", "key", "doc_id", "ids")
         .mapInArrow(lay, PIECES + ", ids binary")
     )

@@ -1,32 +1,41 @@
 """Removal of repeated byte strings by suffix sorting.
 
 Of each text (UTF-8 bytes; null: empty) every byte goes that is covered by a string of `length` bytes which also starts
-in a document with a smaller doc_id. All is judged on the input.
-
-Only suffixes that can matter are sorted. Each window of `length` bytes has an anchor: the place of the least hash among
-its runs of GRAM bytes, which depends on the window's bytes alone, so equal windows have equal anchors at equal places.
-The windows of one anchor follow one another; their bytes together are its cut.
-1. Each document gives the hash of each anchor and of its cut, packed into one blob for each bucket of anchors. A bucket
-   answers which cuts a document with a smaller doc_id has too: all their windows go (by hashes of 39 bits or more for
-   the anchor and 48 for the cut). It also answers which anchors several documents have with different cuts.
-2. Documents meet these answers, and give the bytes of those other cuts, the first document's for each.
-3. A bucket of cuts sorts the windows' suffixes by deep-shallow sorting: multikey quicksort over symbols of eight
-   bytes to SHALLOW bytes, all groups of a level at once; groups that still agree are ordered by blind tries: a group's
-   members hang on the path of its first one, at the depth where they leave it and by the byte with which they do, and
-   each such bunch becomes a group of the next round. What agrees over `length` bytes is one string; its smallest
-   doc_id keeps it, every other document's windows of it are removed.
-
-Whole copies of a text with a smaller doc_id are found by a hash and need no suffixes. Groups stay small for any input:
-equal cuts within a task are settled there, and an anchor with more than COLD different cuts is cut into single windows
-that are dealt by their own bytes.
+in a document with a smaller doc_id. All is judged on the input. What goes is decided by sorting alone; hashes only leave
+out what occurs in a single document, and deal the rest to tasks.
+
+Each window of `length` bytes has an anchor: the place of the least hash among its runs of GRAM bytes, which depends on
+the window's bytes alone, so equal windows have equal anchors at equal places. The windows of one anchor follow one
+another; their bytes together are its cut, and cuts of one anchor hash are where equal windows can be.
+
+1. Texts are packed into chunks of about CHUNK bytes, compressed, and written once. A chunk gives each anchor hash that
+   it holds once, with the number of its documents, sorted, in one blob for each bucket of hashes. A bucket answers each
+   blob with a bit for each entry: whether other documents hold the anchor too.
+2. Chunks meet their answers. The cuts of shared anchors are sorted in the chunk. Of equal ones that of the smallest
+   doc_id goes on to its bucket, with its bytes; those of larger doc_ids are removed.
+3. A bucket sorts the cuts of all chunks; of equal ones, again, all but those of the smallest doc_id are removed. Where
+   an anchor hash has several different cuts, the suffixes that start its windows are sorted too. What agrees over
+   `length` bytes is one string; its smallest doc_id keeps it, every other document's windows of it are removed.
+4. Chunks meet what is removed from them.
+
+Sorting is deep-shallow: multikey quicksort over symbols of eight bytes to SHALLOW bytes, all groups of a level at once;
+groups that still agree are ordered by blind tries: a group's members hang on the path of its first one, at the depth
+where they leave it and by the byte with which they do, and each such bunch becomes a group of the next round.
+
+No group gathers in one task: a chunk sends an anchor hash once and equal cuts once, however many copies it holds, and an
+anchor that more than COLD documents hold is cut into single windows that are dealt by their own bytes. Buckets hold the
+anchors of about BUCKET bytes of text, so that a task's memory does not depend on the input; a chunk writes a blob for
+each bucket, some 1,000,000 * BUCKET / input anchors in each.
 
 Defined results: texts under `length` bytes lose nothing. Rows that repeat a doc_id don't remove each other's bytes and
-are reported each. Rows without doc_id are reported unchanged and remove nothing. Extra columns are ignored.
+are reported each. Rows without doc_id are reported unchanged and remove nothing. A text longer than a chunk is a chunk
+of its own. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,21 +44,19 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CELLS, Words, arrow_schema, blobs, map_batches, mix64, record_batch, staged
+from .common import arrow_schema, blobs, discard, mix64, padded, range_hashes, record_batch, staged
 
 GRAM, SHALLOW = 16, 16
+CHUNK, BUCKET = 16 << 20, 64 << 20
 COLD = 4096
-#: Anchors or bytes of cuts that a task gathers before it hands them on.
-FLUSH = 1_500_000
 
 
 # --- anchors --------------------------------------------------------------------------------------------------------
 
 
 def words_at(buf: np.ndarray) -> np.ndarray:
-    """Eight bytes from each place on, big-endian, so that numbers sort as the bytes do."""
-    n = len(buf) - 7
-    return np.ndarray((max(n, 0),), ">u8", buf, strides=(1,)).astype(np.uint64)
+    """Eight bytes from each place on, big-endian, so that numbers sort as the bytes do; a view."""
+    return np.ndarray((max(len(buf) - 7, 0),), ">u8", buf, strides=(1,))
 
 
 def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +64,7 @@ def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
     windows = len(text) - length + 1
     if windows <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w = words_at(np.frombuffer(text, np.uint8))
+    w = words_at(np.frombuffer(text, np.uint8)).astype(np.uint64)
     h = mix64(w[: len(w) - GRAM + 8] * np.uint64(0x9E3779B97F4A7C15) + mix64(w[GRAM - 8 :]))
     span = length - GRAM + 1
     # the hash's upper half and the place: least hash first, leftmost of equal ones
@@ -83,16 +90,6 @@ def _unplanes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def _by_bucket(keys: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Places of the keys of each bucket, in order."""
-    bucket = (keys >> np.uint64(32)) % np.uint64(n)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.searchsorted(bucket[order], np.arange(n + 1).astype(np.uint64))
-    for k in range(n):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
-
-
 def _runs(*columns: np.ndarray) -> np.ndarray:
     """Where runs of equal rows begin, and the end."""
     n = len(columns[0])
@@ -103,261 +100,210 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(new), n)
 
 
-_LOW = np.uint64(0xFFFFFFFF)
-_CUT = np.uint64((1 << 48) - 1)
-
-
-def cut_hashes(text: bytes, first: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
-    """48-bit hashes of the bytes of each anchor's windows."""
-    words = Words.__new__(Words)
-    words.buf = np.frombuffer(text, np.uint8)
-    return words.hasher()(first, first + n + length - 1) & _CUT
-
-
-def _ids(hashes: np.ndarray, cuts: np.ndarray, buckets: int) -> np.ndarray:
-    """What names an anchor with its cut, from what is sent of them."""
-    bucket = (hashes >> np.uint64(32)) % np.uint64(buckets)
-    return mix64(mix64((bucket << np.uint64(32)) | (hashes & _LOW)) + cuts)
-
-
-GONE, BYTES, WINDOWS = 0, 1, 2
-ANSWERS = "doc long, id long, answer int"
-
-
-def anchor_answers(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """doc, id, answer: of docs (doc, text), the anchors whose windows all go (GONE), and those whose bytes are needed,
-    as one cut (BYTES) or as single windows (WINDOWS)."""
-    packed = "bucket int, hashes binary, cuts binary, docs binary"
-    target, answer = arrow_schema(packed), arrow_schema(ANSWERS)
-
-    def firsts(hashes: np.ndarray, cuts: np.ndarray, own: np.ndarray) -> tuple:
-        """All sorted and once each; and whether each has the smallest doc of its anchor and cut."""
-        order = np.lexsort((own, cuts, hashes))
-        hashes, cuts, own = hashes[order], cuts[order], own[order]
-        once = _runs(hashes, cuts, own)[:-1]
-        hashes, cuts, own = hashes[once], cuts[once], own[once]
-        first = np.zeros(len(own), bool)
-        first[_runs(hashes, cuts)[:-1]] = True
-        return hashes, cuts, own, first
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list) -> Iterator[pa.RecordBatch]:
-            hashes, cuts, own, first = firsts(*(np.concatenate([x[c] for x in held]) for c in range(3)))
-            rows: dict = {k: [] for k in ("bucket", "hashes", "cuts", "docs")}
-            at = np.flatnonzero(first)
-            for k, some in _by_bucket(hashes[at], buckets):
-                some = at[some]
-                some = some[np.argsort(hashes[some] & _LOW, kind="stable")]
-                low = (hashes[some] & _LOW).astype(np.uint32)
-                six = np.ascontiguousarray(cuts[some].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-                values = k, _planes(np.diff(low, prepend=np.uint32(0))), six.tobytes(), _planes(own[some])
-                for name, v in zip(rows, values, strict=True):
-                    rows[name].append(v)
-            at = np.flatnonzero(~first)  # settled here
-            for k in range(0, len(at), 1 << 16):
-                some = at[k : k + (1 << 16)]
-                ids = _ids(hashes[some], cuts[some], buckets)
-                for name, v in zip(rows, (-1 - int(ids[0] % np.uint64(1 << 20)), ids.tobytes(), b"", own[some].tobytes()), strict=True):
-                    rows[name].append(v)
-            yield record_batch(rows, target)
-
-        held, size = [], 0
-        for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), blobs(b.column(1)), strict=True):
-                text = text or b""
-                hashes, start, n = anchors_of(text, length)
-                if len(hashes):
-                    held.append((hashes, cut_hashes(text, start, n, length), np.full(len(hashes), doc, np.int64)))
-                    size += len(hashes)
-                if size >= FLUSH:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held:
-            yield from flush(held)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def answers(bucket: int, held: list) -> Iterator[pa.RecordBatch]:
-            hashes, cuts, own, first = firsts(*(np.concatenate([x[c] for x in held]) for c in range(3)))
-            ids = _ids((np.uint64(bucket) << np.uint64(32)) | hashes, cuts, buckets)
-            groups = _runs(hashes)
-            sizes = np.diff(groups)
-            leaders = np.add.reduceat(first.astype(np.int64), groups[:-1])
-            low = np.minimum.reduceat(np.where(first, own, np.iinfo(np.int64).max), groups[:-1])
-            high = np.maximum.reduceat(np.where(first, own, np.iinfo(np.int64).min), groups[:-1])
-            needed = np.repeat((leaders > 1) & (low < high), sizes) & first
-            kind = np.where(first, np.where(np.repeat(leaders > COLD, sizes), WINDOWS, BYTES), GONE).astype(np.int32)
-            keep = ~first | needed
-            yield record_batch({"doc": own[keep], "id": ids[keep].view(np.int64), "answer": kind[keep]}, answer)
-
-        held, current = [], None
-        for b in batches:
-            for bucket, low, six, own in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
-                if bucket < 0:
-                    own = np.frombuffer(own, np.int64)
-                    yield record_batch({"doc": own, "id": np.frombuffer(low, np.int64), "answer": np.zeros(len(own), np.int32)}, answer)
-                    continue
-                if held and bucket != current:
-                    yield from answers(current, held)
-                    held = []
-                current = bucket
-                cuts = np.zeros((len(six) // 6, 8), np.uint8)
-                cuts[:, :6] = np.frombuffer(six, np.uint8).reshape(-1, 6)
-                held.append((np.cumsum(_unplanes(low, "<u4"), dtype=np.uint64), cuts.view("<u8").ravel(), _unplanes(own, "<i8")))
-        if held:
-            yield from answers(current, held)
-
-    rows = docs.select("doc", "text").mapInArrow(pack, packed)
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(find, ANSWERS)
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
 
 
-# --- cuts -----------------------------------------------------------------------------------------------------------
+def _parts(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Each bucket and where it lies, in sorted buckets."""
+    cuts = _runs(bucket)
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield int(bucket[a]), slice(a, z)
 
-CUTS = "bucket int, doc binary, tag binary, start binary, size binary, bytes binary"
-SPANS = "doc long, tag long, start long, stop long"
 
+def _within(sizes: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each of some runs of these sizes."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
-def _unsqueezed(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
 
+# --- chunks ---------------------------------------------------------------------------------------------------------
 
-def _squeezed(docs: DataFrame) -> DataFrame:
-    """doc, tag, data: texts compressed, for the way through a shuffle."""
+CHUNKS = "chunk long, n_bytes long, docs binary, real binary, sizes binary, data binary"
 
-    def squeeze(batch: pa.RecordBatch) -> dict:
-        pack = zstandard.ZstdCompressor(level=3)
-        return {"doc": batch.column(0), "tag": batch.column(1), "data": [pack.compress(t or b"") for t in blobs(batch.column(2))]}
-
-    return map_batches(docs.select("doc", "tag", "text"), squeeze, "doc long, tag long, data binary")
 
+def chunks(docs: DataFrame) -> DataFrame:
+    """The texts of docs in chunks of about CHUNK bytes: doc_ids, whether there is one, sizes, and the compressed texts."""
+    target = arrow_schema(CHUNKS)
 
-def cuts_of(docs: DataFrame, answers: DataFrame, length: int, buckets: int, copies: DataFrame | None = None) -> DataFrame:
-    """Blobs of cuts by bucket, or under buckets below 0 the spans that are settled already (start and size), for docs
-    (doc, tag, text) but copies (doc, tag)."""
-    target = arrow_schema(CUTS)
-    none = F.lit(None)
-    rows = answers.select("doc", F.lit(0).alias("kind"), "id", "answer", none.cast("long").alias("tag"), none.cast("binary").alias("data"))
-    texts = _squeezed(docs).select("doc", F.lit(1).alias("kind"), none.cast("long").alias("id"), none.cast("int").alias("answer"), "tag", "data")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(held: list) -> Iterator[pa.RecordBatch]:
-            held.sort(key=lambda x: (x[0], x[1], x[2]))  # hash, bytes, doc
-            pack = zstandard.ZstdCompressor(level=3)
-            out: dict = {f.name: [] for f in target}
-            kept, last = [], None
-            for x in held:
-                if last is not None and x[0] == last[0] and x[1] == last[1] and x[2] > last[2]:
-                    settled.append((x[2], x[3], x[4], x[5] + length - 1))
-                else:
-                    kept.append(x)
-                    if last is None or x[0] != last[0] or x[1] != last[1]:
-                        last = x
-            if kept:
-                for k, some in _by_bucket(np.array([x[0] for x in kept], np.uint64), buckets):
-                    some = [kept[i] for i in some]
-                    numbers = [_planes(np.array([x[c] for x in some], np.int64)) for c in (2, 3, 4)]
-                    values = (k, *numbers, _planes(np.array([x[5] for x in some], np.int32)), pack.compress(b"".join(x[1] for x in some)))
-                    for f, v in zip(target, values, strict=True):
-                        out[f.name].append(v)
-            for k in range(0, len(settled), 1 << 16):
-                some = settled[k : k + (1 << 16)]
-                numbers = [_planes(np.array([x[c] for x in some], np.int64)) for c in range(3)]
-                values = (-1 - some[0][0] % (1 << 20), *numbers, _planes(np.array([x[3] for x in some], np.int32)), b"")
-                for f, v in zip(target, values, strict=True):
-                    out[f.name].append(v)
-            settled.clear()
-            yield record_batch(out, target)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
 
-        held, settled, size = [], [], 0
-        known, doc_now, copied = {}, None, set()
+        def flush(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+            whole = b"".join(texts)
+            values = (
+                int.from_bytes(os.urandom(8), "little") >> 1,
+                len(whole),
+                np.array([d or 0 for d in ids], np.int64).tobytes(),
+                bytes(d is not None for d in ids),
+                np.fromiter(map(len, texts), np.int64, len(texts)).tobytes(),
+                pack.compress(whole),
+            )
+            return record_batch({f.name: [v] for f, v in zip(target, values, strict=True)}, target)
+
+        ids, texts, size = [], [], 0
         for b in batches:
-            columns = (b.column(c).to_pylist() for c in range(6))
-            for doc, kind, name, answer, tag, data in zip(*columns, strict=True):
-                if doc != doc_now:
-                    known, doc_now, copied = {}, doc, set()
-                if kind < 0:
-                    copied.add(tag)
-                    continue
-                if kind == 0:
-                    known[name] = max(known.get(name, GONE), answer)
-                    continue
-                if not known or tag in copied:
-                    continue
-                text = _unsqueezed(data)
-                hashes, first, n = anchors_of(text, length)
-                ids = _ids(hashes, cut_hashes(text, first, n, length), buckets).view(np.int64)
-                at = [k for k, x in enumerate(ids.tolist()) if x in known]
-                spans: list[list[int]] = []
-                for h, x, start, m in zip(*(v[at].tolist() for v in (hashes, ids, first, n)), strict=True):
-                    if known[x] == GONE:
-                        stop = start + m + length - 1
-                        if spans and start <= spans[-1][1]:
-                            spans[-1][1] = stop
-                        else:
-                            spans.append([start, stop])
-                    elif known[x] == BYTES:
-                        held.append((h, text[start : start + m + length - 1], doc, tag, start, m))
-                        size += m + 100
-                    else:  # by single windows, dealt by their bytes
-                        for i in range(start, start + m):
-                            window = text[i : i + length]
-                            held.append((int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "little"), window, doc, tag, i, 1))
-                        size += m * 100
-                settled += [(doc, tag, a, z - a) for a, z in spans]
-                size += 50 * len(spans)
-                if size >= 10 * FLUSH:
-                    yield from flush(held)
-                    held, size = [], 0
-        if held or settled:
-            yield from flush(held)
-
-    both = rows.unionByName(texts)
-    if copies is not None:
-        # rows before all others tell which texts of a document need nothing; so answers move once only
-        both = both.unionByName(copies.select("doc", "tag", F.lit(-1).alias("kind")), allowMissingColumns=True)
-    both = both.repartition("doc").sortWithinPartitions("doc", "kind")
-    return both.mapInArrow(cut, CUTS)
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                for d, t in zip(part.column(0).to_pylist(), blobs(part.column(1)), strict=True):
+                    if texts and (size + len(t or b"") > CHUNK or len(texts) >= 1 << 17):
+                        yield flush(ids, texts)
+                        ids, texts, size = [], [], 0
+                    ids.append(d)
+                    texts.append(t or b"")
+                    size += len(texts[-1])
+        if texts:
+            yield flush(ids, texts)
+
+    return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
+
+
+class Chunk:
+    """The texts of a row of chunks, and their anchors."""
+
+    def __init__(self, row: dict):
+        self.name = row["chunk"]
+        self.docs = np.frombuffer(row["docs"], np.int64)
+        self.real = np.frombuffer(row["real"], np.uint8) > 0
+        self.sizes = np.frombuffer(row["sizes"], np.int64)
+        self.begin = np.cumsum(self.sizes) - self.sizes
+        self.raw = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, row["n_bytes"]))
+
+    def text(self, k: int) -> bytes:
+        return self.raw[self.begin[k] : self.begin[k] + self.sizes[k]]
+
+    def anchors(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, text, first window and number of windows of each anchor."""
+        found = []
+        for k in np.flatnonzero(self.real & (self.sizes >= length)).tolist():
+            h, first, n = anchors_of(self.text(k), length)
+            found.append((h, np.full(len(h), k, np.int32), first, n))
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate([x[c] for x in found]) for c in range(4))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield b.slice(k, 1).to_pylist()[0]
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each key, from rows sorted by it; those with a key below 0 one by one."""
+    held, current = [], None
+    for row in _rows(batches):
+        if held and (row[key] != current or current < 0):
+            yield current, held
+            held = []
+        current = row[key]
+        held.append(row)
+    if held:
+        yield current, held
+
+
+def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
+    """Rows of a bucket together; a partition for each bucket, up to some thousands."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionById(min(buckets, max(least, 10_000)), F.col("bucket")).sortWithinPartitions("bucket")
+
+
+# --- which anchors are shared ---------------------------------------------------------------------------------------
+
+_HELD = "bucket int, chunk long, hashes binary, counts binary"
+_ANSWERS = "chunk long, bucket int, shared binary, hot binary"
+
+
+def shared_anchors(table: DataFrame, length: int, buckets: int) -> DataFrame:
+    """chunk, bucket, shared, hot: for each bucket's part of the sorted anchor hashes of a chunk a bit for those that
+    another document holds too, and for those that more than COLD documents do."""
+    held, answers = arrow_schema(_HELD), arrow_schema(_ANSWERS)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            hashes, which, _, _ = chunk.anchors(length)
+            own = chunk.docs[which]
+            order = np.lexsort((own, hashes))
+            hashes, own = hashes[order], own[order]
+            once = _runs(hashes, own)[:-1]  # a document counts once
+            hashes = hashes[once]
+            starts = _runs(hashes)
+            counts = np.minimum(np.diff(starts), 255).astype(np.uint8)
+            hashes = hashes[starts[:-1]]
+            out: dict = {f.name: [] for f in held}
+            for bucket, part in _parts(_bucket(hashes, buckets)):
+                value = hashes[part] >> np.uint64(24)
+                values = bucket, chunk.name, _planes(np.diff(value, prepend=np.uint64(0))), counts[part].tobytes()
+                for k, v in zip(out, values, strict=True):
+                    out[k].append(v)
+            yield record_batch(out, held)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, "bucket"):
+            values = [np.cumsum(_unplanes(r["hashes"], "<u8"), dtype=np.uint64) for r in rows]
+            ends = np.cumsum([len(v) for v in values])
+            value = np.concatenate(values)
+            n = np.frombuffer(b"".join(r["counts"] for r in rows), np.uint8).astype(np.int64)
+            order = np.argsort(value, kind="stable")
+            starts = _runs(value[order])
+            total = np.empty(len(value), np.int64)
+            total[order] = np.repeat(np.add.reduceat(n[order], starts[:-1]), np.diff(starts))
+            out: dict = {f.name: [] for f in answers}
+            for r, a, z in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                own = total[a:z]
+                if (own > 1).any():
+                    bits = (r["chunk"], bucket, np.packbits(own > 1).tobytes(), np.packbits(own > COLD).tobytes())
+                    for k, v in zip(out, bits, strict=True):
+                        out[k].append(v)
+            yield record_batch(out, answers)
+
+    return _dealt(table.mapInArrow(give, _HELD), buckets).mapInArrow(answer, _ANSWERS)
 
 
 # --- suffix sorting -------------------------------------------------------------------------------------------------
 
 
-def deep_shallow_sort(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes of buf that start at the given places, by their first `length` bytes; and where in this
-    order a new string begins, and the end."""
+def deep_shallow_sort(buf: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings of a padded array that start at the given places and have these sizes, by size and bytes;
+    and where in this order a new string begins, and the end."""
     n = len(at)
-    order, group = np.arange(n), np.zeros(n, np.int64)
-    words = words_at(np.concatenate([buf, np.zeros(8, np.uint8)]))
-    shallow = min(SHALLOW, length // 8 * 8)
+    size = np.broadcast_to(np.asarray(size, np.int64), n)
+    words = words_at(buf)
+    order = np.argsort(size, kind="stable")
+    starts = _runs(size[order])
+    group = np.repeat(starts[:-1], np.diff(starts))
+    one = len(starts) <= 2
+    shallow = min(SHALLOW, int(size.min(initial=1 << 60)) // 8 * 8)
     active = np.arange(n)  # places in the order whose group has several members
-    for depth in range(0, shallow, 8):  # multikey quicksort, a symbol of eight bytes a level, all groups at once
-        symbol = words[at[order[active]] + depth]
-        moved = np.lexsort((symbol, group[active])) if depth else np.argsort(symbol)
+    for depth in range(0, shallow if n else 0, 8):  # multikey quicksort, a symbol of eight bytes a level, all groups at once
+        symbol = words[at[order[active]] + depth].astype(np.uint64)
+        moved = np.argsort(symbol) if one and not depth else np.lexsort((symbol, group[active]))
         order[active] = order[active][moved]
         symbol = symbol[moved]
         starts = _runs(group[active], symbol)
         group[active] = np.repeat(active[starts[:-1]], np.diff(starts))
         active = active[np.repeat(np.diff(starts) > 1, np.diff(starts))]
-    left = length - shallow
-    while len(active) and left:  # blind tries over what still agrees
+    active = active[size[order[active]] > shallow]
+    while len(active):  # blind tries over what still agrees
+        left = size[order[active]] - shallow
         pivot = at[order[group[active]]] + shallow
         own = at[order[active]] + shallow
-        lcp = np.full(len(active), left)
+        lcp = left.copy()
         alive = np.arange(len(active))
-        for d in range(0, left, 8):
+        for d in range(0, int(left.max()), 8):
+            alive = alive[left[alive] > d]
             # compare eight bytes at a time; the last word reaches back so that it ends with the string
-            d = min(d, left - 8) if left >= 8 else d
-            x, y = words[own[alive] + d], words[pivot[alive] + d]
-            if left < 8:
-                cut = np.uint64(8 * (8 - left))
-                x, y = x >> cut, y >> cut
-            differ = x != y
+            width = np.minimum(left[alive], 8)
+            place = np.where(width < 8, d, np.minimum(d, left[alive] - 8))
+            bits = (words[own[alive] + place].astype(np.uint64) ^ words[pivot[alive] + place].astype(np.uint64)) >> (np.uint64(8) * (np.uint64(8) - width.astype(np.uint64)))
+            differ = bits != 0
             if differ.any():
-                bits = x[differ] ^ y[differ]
+                bits = bits[differ]
                 upper = bits >> np.uint64(32)
                 half = np.where(upper > 0, upper, bits & np.uint64(0xFFFFFFFF)).astype(np.float64)
                 high = np.frexp(half)[1] - 1 + np.where(upper > 0, 32, 0)  # the highest bit that differs
-                width = 8 if left >= 8 else left
-                lcp[alive[differ]] = d + width - 1 - high // 8
+                lcp[alive[differ]] = (place + width - 1)[differ] - high // 8
                 alive = alive[~differ]
         equal = lcp >= left
         safe = np.minimum(lcp, left - 1)
@@ -374,134 +320,196 @@ def deep_shallow_sort(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.
     return order, _runs(group)
 
 
-def repeated_spans(cuts: DataFrame, length: int) -> DataFrame:
-    """doc, tag, start, stop: what is removed, from blobs of cuts."""
-    target = arrow_schema(SPANS)
+def least_of(order: np.ndarray, starts: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The smallest doc of the string that each element is, given their order and where strings begin."""
+    least = np.empty(len(doc), np.int64)
+    if len(doc):
+        least[order] = np.repeat(np.minimum.reduceat(doc[order], starts[:-1]), np.diff(starts))
+    return least
 
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def spans(held: list) -> Iterator[pa.RecordBatch]:
-            doc, tag, start = (np.concatenate([_unplanes(x[c], "<i8") for x in held]) for c in range(3))
-            size = np.concatenate([_unplanes(x[3], "<i4") for x in held]).astype(np.int64)
-            buf = np.frombuffer(b"".join(_unsqueezed(x[4]) for x in held), np.uint8)
-            begin = np.concatenate([[0], np.cumsum(size + length - 1)[:-1]])
-            which = np.repeat(np.arange(len(size)), size)
-            inner = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-            order, strings = deep_shallow_sort(buf, begin[which] + inner, length)
-            own = doc[which][order]
-            least = np.repeat(np.minimum.reduceat(own, strings[:-1]), np.diff(strings))
-            gone = np.zeros(len(which), bool)
-            gone[order] = own > least
-            # windows of one cut that follow one another make one span
-            at = np.flatnonzero(gone)
-            if len(at):
-                runs = _runs(which[at], at - np.arange(len(at)))
-                a, z = at[runs[:-1]], at[runs[1:] - 1]
-                yield record_batch({"doc": doc[which[a]], "tag": tag[which[a]], "start": start[which[a]] + inner[a], "stop": start[which[z]] + inner[z] + length}, target)
-
-        held, current = [], None
-        for b in batches:
-            for bucket, *row in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True):
-                if bucket < 0:
-                    own, tag, start = (_unplanes(x, "<i8") for x in row[:3])
-                    yield record_batch({"doc": own, "tag": tag, "start": start, "stop": start + _unplanes(row[3], "<i4")}, target)
-                    continue
-                if held and bucket != current:
-                    yield from spans(held)
-                    held = []
-                current = bucket
-                held.append(row)
-        if held:
-            yield from spans(held)
-
-    return cuts.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(sort, SPANS)
 
+def joined(which: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of texts, joined where they touch, in order."""
+    order = np.lexsort((start, which))
+    which, start, stop = which[order], start[order], stop[order]
+    if not len(which):
+        return which, start, stop
+    shift = which.astype(np.int64) * (int(stop.max()) + 2)  # texts stand apart
+    reach = np.maximum.accumulate(stop + shift)
+    new = np.concatenate([[True], (start + shift)[1:] > reach[:-1]])
+    at = np.flatnonzero(new)
+    return which[at], start[at], (reach - shift)[np.append(at[1:], len(which)) - 1]
 
-# --- the operator ---------------------------------------------------------------------------------------------------
 
+# --- cuts -----------------------------------------------------------------------------------------------------------
 
-def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, b) for a, b in out]
-
-
-def _tagged(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.col("doc_id").alias("doc"), F.xxhash64(text.cast("binary")).alias("tag"), text.alias("text"))
-
-
-def removal(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Digests of all rows (doc, tag, n_bytes, sha, copy: whether it is a whole copy), and the spans removed from the
-    others, by doc and tag."""
-    rows = _tagged(docs)
-    data = F.col("text").cast("binary")
-    digests = staged(rows.select("doc", "tag", F.octet_length("text").alias("n_bytes"), F.unhex(F.md5(data)).alias("hash"), F.unhex(F.sha2(data, 256)).alias("sha")), "suffix-digests")
-    firsts = digests.groupBy("hash").agg(F.min("doc").alias("least"))
-    digests = digests.join(firsts, "hash", "left").withColumn("copy", F.coalesce((F.col("doc") > F.col("least")) & (F.col("n_bytes") >= length), F.lit(False)))
-    digests = staged(digests.select("doc", "tag", "n_bytes", "sha", "copy"), "suffix-digests")
-    # numbers of buckets follow the input, so that one holds some MB
-    size = digests.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
-    buckets = int(min(1 << 20, max(16, size // (4 << 20))))
-    real = rows.where("doc is not null and octet_length(text) >= %d" % length)
-    answers = anchor_answers(real, length, buckets)
-    copies = digests.where("copy").select("doc", "tag").distinct()
-    spans = repeated_spans(cuts_of(real, answers, length, buckets, copies), length)
-    spans = spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return digests, staged(spans, "suffix-spans")
+_CUTS = "bucket int, chunk long, hashes binary, sizes binary, docs binary, members binary, which binary, start binary, bytes binary"
+_SPANS = "chunk long, which binary, start binary, stop binary"
 
 
-OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def shared_cuts(table: DataFrame, answers: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Blobs of cuts by bucket: hash, size, doc and number of members of each, and text and place of each member; under
+    buckets below 0 the spans that are settled already (which, start, and stop as sizes)."""
+    target = arrow_schema(_CUTS)
+    by_chunk = answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("answers"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            hashes, which, first, n = chunk.anchors(length)
+            unique, inverse = np.unique(hashes, return_inverse=True)
+            bucket = _bucket(unique, buckets)
+            shared, hot = np.zeros(len(unique), bool), np.zeros(len(unique), bool)
+            for a in row["answers"]:
+                lo, hi = np.searchsorted(bucket, [a["bucket"], a["bucket"] + 1])
+                shared[lo:hi] = np.unpackbits(np.frombuffer(a["shared"], np.uint8), count=hi - lo)
+                hot[lo:hi] = np.unpackbits(np.frombuffer(a["hot"], np.uint8), count=hi - lo)
+            buf = padded(chunk.raw)
+            keep = shared[inverse]
+            hot, hashes, which, first, n = (hot[inverse])[keep], hashes[keep], which[keep], first[keep], n[keep]
+            if hot.any():  # single windows, dealt by their bytes
+                each = np.where(hot, n, 1)
+                inner = _within(each)
+                hot, hashes, which, first, n = (np.repeat(x, each) for x in (hot, hashes, which, first, n))
+                first, n = np.where(hot, first + inner, first), np.where(hot, 1, n)
+                at = chunk.begin[which] + first
+                hashes = np.where(hot, range_hashes(buf, at, at + length), hashes)
+            at, size, doc = chunk.begin[which] + first, n + length - 1, chunk.docs[which]
+            order, strings = deep_shallow_sort(buf, at, size)
+            least = least_of(order, strings, doc)
+            gone = doc > least
+            out: dict = {f.name: [] for f in target}
+            if gone.any():
+                spans = joined(which[gone], first[gone], (first + size)[gone])
+                values = -1 - chunk.name % (1 << 20), chunk.name, b"", _planes(spans[2]), b"", b"", _planes(spans[0]), _planes(spans[1]), b""
+                for k, v in zip(out, values, strict=True):
+                    out[k].append(v)
+            # what stays, string by string: all its members are of one doc
+            stays = ~gone[order]
+            number, order = np.repeat(np.arange(len(strings) - 1), np.diff(strings))[stays], order[stays]
+            starts = _runs(number)
+            heads, members = order[starts[:-1]], np.diff(starts)
+            dealt = np.argsort(_bucket(hashes[heads], buckets), kind="stable")
+            for k, part in _parts(_bucket(hashes[heads], buckets)[dealt]):
+                some = dealt[part]
+                one = heads[some]
+                every = order[np.repeat(starts[some], members[some]) + _within(members[some])]
+                text = b"".join(chunk.raw[a:z] for a, z in zip(at[one].tolist(), (at + size)[one].tolist(), strict=True))
+                values = (
+                    k, chunk.name, _planes(hashes[one]), _planes(size[one].astype(np.int32)), _planes(doc[one]), _planes(members[some].astype(np.int32)),
+                    _planes(which[every]), _planes(first[every]), pack.compress(text),
+                )
+                for f, v in zip(out, values, strict=True):
+                    out[f].append(v)
+            yield record_batch(out, target)
+
+    return table.join(by_chunk, "chunk").mapInArrow(cut, _CUTS)
 
 
-def _cell() -> F.Column:
-    return F.pmod(F.xxhash64("doc", "tag"), F.lit(CELLS)).cast("int")
+def repeated_spans(cuts: DataFrame, length: int, buckets: int) -> DataFrame:
+    """chunk, which, start, stop: what is removed from texts of a chunk, from blobs of cuts."""
+    target = arrow_schema(_SPANS)
+
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, rows in _groups(batches, "bucket"):
+            if bucket < 0:
+                r = rows[0]
+                yield record_batch({"chunk": [r["chunk"]], "which": [_unplanes(r["which"], "<i4").tobytes()], "start": [_unplanes(r["start"], "<i8").tobytes()], "stop": [_unplanes(r["sizes"], "<i8").tobytes()]}, target)
+                continue
+            every = lambda name, kind: np.concatenate([_unplanes(r[name], kind) for r in rows])  # noqa: B023, E731
+            hashes, size, doc, members = every("hashes", "<u8"), every("sizes", "<i4").astype(np.int64), every("docs", "<i8"), every("members", "<i4")
+            unpack = zstandard.ZstdDecompressor()
+            buf = padded(b"".join(unpack.decompress(r["bytes"]) for r in rows))
+            at = np.cumsum(size) - size
+            order, strings = deep_shallow_sort(buf, at, size)
+            least = least_of(order, strings, doc)
+            # of each string one, where its anchor has several strings and holds several windows
+            one = order[strings[:-1]]
+            one = one[np.argsort(hashes[one], kind="stable")]
+            kinds = np.diff(_runs(hashes[one]))
+            one = one[np.repeat(kinds > 1, kinds)]
+            n = size[one] - length + 1
+            owner, inner = np.repeat(np.arange(len(one)), n), _within(n)
+            window_order, windows = deep_shallow_sort(buf, at[one][owner] + inner, length)
+            own = least[one][owner]
+            gone = own > least_of(window_order, windows, own)
+            # runs of windows that go, by string
+            place = np.flatnonzero(gone)
+            runs = _runs(owner[place], place - np.arange(len(place)))
+            run_owner, run_start, run_stop = owner[place[runs[:-1]]], inner[place[runs[:-1]]], inner[place[runs[1:] - 1]] + length
+            # every cut: whole where a smaller doc has it, else the runs of its string
+            string = np.empty(len(at), np.int64)
+            string[order] = np.repeat(np.arange(len(strings) - 1), np.diff(strings))
+            of = np.full(len(strings) - 1, -1)
+            of[string[one]] = np.arange(len(one))
+            number = np.where(doc > least, -1, of[string])
+            first_run = np.searchsorted(run_owner, np.arange(len(one) + 1))
+            n_runs = np.where(doc > least, 1, np.where(number >= 0, np.diff(first_run, append=0)[:-1][np.maximum(number, 0)] if len(one) else 0, 0))
+            cut = np.repeat(np.arange(len(at)), n_runs)
+            run = np.where(number[cut] >= 0, first_run[np.maximum(number[cut], 0)] + _within(n_runs), -1)
+            some = lambda values, other: np.where(run >= 0, values[np.maximum(run, 0)] if len(values) else 0, other)  # noqa: B023, E731
+            low, high = some(run_start, 0), some(run_stop, size[cut])
+            # and all its members
+            m = members[cut].astype(np.int64)
+            member = np.repeat((np.cumsum(members) - members)[cut], m) + _within(m)
+            which, start = every("which", "<i4")[member], every("start", "<i8")[member]
+            chunk = np.repeat(np.arange(len(rows)), [len(r["sizes"]) // 4 for r in rows])[np.repeat(cut, m)]
+            low, high = start + np.repeat(low, m), start + np.repeat(high, m)
+            out: dict = {f.name: [] for f in target}
+            ordered = np.argsort(chunk, kind="stable")
+            for k, part in _parts(chunk[ordered]):
+                some_of = ordered[part]
+                spans = joined(which[some_of], low[some_of], high[some_of])
+                values = rows[k]["chunk"], spans[0].astype(np.int32).tobytes(), spans[1].tobytes(), spans[2].tobytes()
+                for name, v in zip(out, values, strict=True):
+                    out[name].append(v)
+            yield record_batch(out, target)
+
+    return _dealt(cuts, buckets).mapInArrow(sort, _SPANS)
+
+
+# --- the operator ---------------------------------------------------------------------------------------------------
+
+OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal runs removed), kept_sha256 for each row; with with_text also kept
     (the bytes that are left)."""
-    digests, spans = removal(docs, length)
-    # texts move only where something is cut out; at most CELLS values are broadcast to tell most of the others
-    cells = spans.select(_cell().alias("cell")).distinct()
-    texts = _tagged(docs).where("doc is not null").withColumn("cell", _cell())
-    texts = _squeezed(texts.join(F.broadcast(cells), "cell", "left_semi"))
-    found = spans.join(texts.dropDuplicates(["doc", "tag"]), ["doc", "tag"])
-    flat = found.select("doc", "tag", "data", F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
-
-    def cut(batch: pa.RecordBatch) -> dict:
-        out: dict = {k: [] for k in ("n_removed", "n_spans", "kept")}
-        for data, starts, stops in zip(*(batch.column(c).to_pylist() for c in (2, 3, 4)), strict=True):
-            text = _unsqueezed(data)
-            spans, left, at = _merge(list(zip(starts, stops, strict=True))), [], 0
-            for a, b in spans:
-                left.append(text[at:a])
-                at = b
-            left.append(text[at:])
-            out["n_removed"].append(sum(b - a for a, b in spans))
-            out["n_spans"].append(len(spans))
-            out["kept"].append(b"".join(left))
-        return out | {"doc": batch.column(0), "tag": batch.column(1)}
-
-    done = map_batches(flat, cut, "doc long, tag long, n_removed long, n_spans long, kept binary")
-    done = done.withColumn("cut_sha", F.unhex(F.sha2("kept", 256)))
-    if not with_text:
-        done = done.drop("kept")
-    rows = digests.join(done, ["doc", "tag"], "left")
-    nothing = F.unhex(F.sha2(F.lit("").cast("binary"), 256))
-    copy = F.col("copy")
-    columns = [
-        F.col("doc").alias("doc_id"),
-        F.col("n_bytes").cast("long").alias("n_bytes"),
-        F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(copy, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.lower(F.hex(F.when(copy, nothing).otherwise(F.coalesce("cut_sha", "sha")))).alias("kept_sha256"),
-    ]
-    if with_text:
-        whole = _tagged(docs).dropDuplicates(["doc", "tag"]).select("doc", "tag", F.col("text").cast("binary").alias("whole"))
-        rows = rows.join(whole, F.expr("true") & rows["doc"].eqNullSafe(whole["doc"]) & (rows["tag"] == whole["tag"])).drop(whole["doc"], whole["tag"])
-        columns.append(F.when(copy, F.lit("").cast("binary")).otherwise(F.coalesce("kept", "whole")).alias("kept"))
-    return rows.select(*columns)
+    table = staged(chunks(docs), "suffix-chunks")
+    # the number of buckets follows the input, so that one holds some MB
+    size = table.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
+    buckets = max(-(-size // BUCKET), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    answers = staged(shared_anchors(table, length, buckets), "suffix-answers")
+    spans = staged(repeated_spans(shared_cuts(table, answers, length, buckets), length, buckets), "suffix-spans")
+    discard(answers)
+    by_chunk = spans.groupBy("chunk").agg(F.collect_list(F.struct("which", "start", "stop")).alias("spans"))
+    schema = OUT + (", kept binary" if with_text else "")
+    target = arrow_schema(schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            chunk = Chunk(row)
+            every = [np.concatenate([np.frombuffer(x[c], kind) for x in row["spans"] or []] or [np.zeros(0, kind)]) for c, kind in (("which", "<i4"), ("start", "<i8"), ("stop", "<i8"))]
+            which, start, stop = joined(*every)
+            removed = np.bincount(which, stop - start, len(chunk.docs)).astype(np.int64)
+            n_spans = np.bincount(which, minlength=len(chunk.docs))
+            ends = np.cumsum(n_spans)
+            start, stop = start.tolist(), stop.tolist()
+            for lo in range(0, len(chunk.docs), 4096):
+                texts = []
+                for k in range(lo, min(lo + 4096, len(chunk.docs))):
+                    text, at, left = chunk.text(k), 0, []
+                    for i in range(ends[k] - n_spans[k], ends[k]):
+                        left.append(text[at : start[i]])
+                        at = stop[i]
+                    texts.append(b"".join([*left, text[at:]]) if left else text)
+                part = slice(lo, lo + 4096)
+                out = {
+                    "doc_id": pa.array(chunk.docs[part], mask=~chunk.real[part]), "n_bytes": chunk.sizes[part], "n_removed": removed[part],
+                    "n_spans": n_spans[part], "kept_sha256": [hashlib.sha256(t).hexdigest() for t in texts], "kept": texts,
+                }
+                yield record_batch(out, target)
+
+    return table.join(by_chunk, "chunk", "left").mapInArrow(cut, schema)

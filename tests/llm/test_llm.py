@@ -238,16 +238,36 @@ def key(r):
     return tuple((x is None, x) for x in r)
 
 
-@pytest.mark.parametrize("cold, flush", [(4096, 1_500_000), (1, 500)])
-def test_remove_repeats(spark, corpus, monkeypatch, cold, flush):
+@pytest.mark.parametrize("cold, size", [(4096, 16 << 20), (1, 16 << 20), (2, 3000), (4096, 700)])
+def test_remove_repeats(spark, corpus, monkeypatch, cold, size):
     monkeypatch.setattr(suffix_dedup, "COLD", cold)
-    monkeypatch.setattr(suffix_dedup, "FLUSH", flush)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", size)
     rows = [(d, t if len(t or "") < 5000 else t[:5000]) for d, t in corpus] + [(None, corpus[0][1]), (999, corpus[3][1]), (999, corpus[5][1])]
     got = sorted([tuple(r) for r in suffix_dedup.remove_repeats(documents(spark, rows), length=50, with_text=True).collect()], key=key)
     assert got == sorted(brute_removed(rows, 50), key=key)
     assert suffix_dedup.remove_repeats(documents(spark, []), length=50).count() == 0
 
 
+def test_regular_texts_are_told_apart_byte_by_byte(spark):
+    x, y = thue_morse(4096)
+    rows = [(1, x), (2, y), (3, x[:100] + "c" * 60 + y[1000:1300]), (4, "c" * 200)]
+    got = sorted([tuple(r) for r in suffix_dedup.remove_repeats(documents(spark, rows), length=50, with_text=True).collect()], key=key)
+    assert got == sorted(brute_removed(rows, 50), key=key)
+
+
+def test_joined_spans():
+    rng = random.Random(5)
+    for _ in range(200):
+        spans = [(rng.randrange(3), a := rng.randrange(20), a + rng.randint(1, 5)) for _ in range(rng.randint(0, 9))]
+        covered = collections.defaultdict(set)
+        for k, a, z in spans:
+            covered[k].update(range(a, z))
+        want = [(k, i) for k in sorted(covered) for i in sorted(covered[k])]
+        got = list(zip(*(x.tolist() for x in suffix_dedup.joined(*(np.array([r[c] for r in spans], np.int64) for c in range(3)))), strict=True))
+        assert [(k, i) for k, a, z in got for i in range(a, z)] == want
+        assert all(p[0] != q[0] or p[2] < q[1] for p, q in zip(got, got[1:], strict=False))
+
+
 def test_repeated_id_with_a_copy_and_another_text(spark):
     rng = random.Random(11)
     make = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
@@ -264,12 +284,24 @@ def test_deep_shallow_sort(length):
     base = bytes(rng.choice(b"ab") for _ in range(200))
     raw = base + bytes(rng.choice(b"ab\xff\x00") for _ in range(300)) + base
     at = np.random.default_rng(1).permutation(len(raw) - length + 1)
-    order, cuts = suffix_dedup.deep_shallow_sort(np.frombuffer(raw, np.uint8), at, length)
+    order, cuts = suffix_dedup.deep_shallow_sort(common.padded(raw), at, length)
     strings = [raw[i : i + length] for i in at[order]]
     assert strings == sorted(strings)
     assert list(cuts) == [0] + [i for i in range(1, len(strings)) if strings[i] != strings[i - 1]] + [len(strings)]
 
 
+def test_deep_shallow_sort_of_strings_of_all_sizes():
+    rng = random.Random(17)
+    base = bytes(rng.choice(b"ab") for _ in range(120))
+    raw = base + bytes(rng.choice(b"ab\xff\x00") for _ in range(200)) + base * 2
+    at = np.array([rng.randrange(len(raw) - 90) for _ in range(500)])
+    size = np.array([rng.choice((18, 19, 23, 24, 25, 50, 84)) for _ in range(500)])
+    order, cuts = suffix_dedup.deep_shallow_sort(common.padded(raw), at, size)
+    strings = [(int(n), raw[i : i + n]) for i, n in zip(at[order], size[order], strict=True)]
+    assert strings == sorted(strings)
+    assert list(cuts) == [0] + [i for i in range(1, 500) if strings[i] != strings[i - 1]] + [500]
+
+
 # --- decontamination ---
 
 
@@ -398,6 +430,39 @@ def test_packing(spark, corpus):
     assert packing.pack(documents(spark, []), path).count() == 0
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_packing_tells_regular_words_apart(spark, n):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    x, y = thue_morse(n)
+    rows = [(1, f"{x} {y}"), (2, y), (3, f"a {x} b")]
+    pieces = packing.pack(documents(spark, rows), path, length=1 << 16).orderBy("doc_id", "start").collect()
+    for d, t in rows:
+        ids = [*library.encode(t, add_special_tokens=False).ids, 1]
+        own = b"".join(bytes(p["ids"]) for p in pieces if p["doc_id"] == d)
+        assert np.frombuffer(own, "<u4").tolist() == ids
+
+
+def test_words_whose_hashes_meet_go_to_the_library(monkeypatch):
+    encoder = packing.Encoder(queries.tokenizer("word_bpe_49k.json"))
+    texts = [b"some words here", b"other words", b"", b"a longerwordthanothers here"]
+    want = [encoder.whole(t).tolist() for t in texts]
+    monkeypatch.setattr(packing, "range_hashes", lambda buf, starts, ends: np.zeros(len(starts), np.uint64))
+    assert [x.tolist() for x in encoder(texts)] == want
+
+
+def test_ranges_hold_about_equal_numbers_of_ids(spark):
+    rng = np.random.default_rng(2)
+    keys = np.concatenate([rng.integers(0, 1 << 63, 300), (1 << 50) + rng.integers(0, 1 << 20, 300), (1 << 50) + np.arange(300)])
+    rows = [(int(k), int(n)) for k, n in zip(keys, rng.integers(1, 200, 900), strict=True)]
+    ends = packing.range_ends(spark.createDataFrame(rows, "key long, n long"), 2000)
+    sums = np.bincount(np.searchsorted(ends, [k for k, _ in rows], "right"), [n for _, n in rows])
+    assert sums.max() <= 2000 and len(sums) < 2.2 * sums.sum() / 2000
+    assert packing.range_ends(spark.createDataFrame([], "key long, n long"), 2000) == []
+
+
 def test_curve_puts_like_texts_together(words):
     grid = np.array([(i, j) for i in range(8) for j in range(8)])
     numbers = packing.hilbert(grid, 3)
