@@ -10,11 +10,13 @@ the row of an assistant turn says where its reply starts and ends, and what stan
 conversation of n turns at n rows, not n * n / 2 texts. `render` writes examples out in full.
 
 Rows are hashed by conversation, sorted by turn, and streamed, so a task holds one batch of rows, never a whole
-conversation; hashes of a whole conversation are taken on the way.
+conversation; hashes of a whole conversation are taken on the way. A conversation is read in order of turns by nature, so
+one of any length is one task's stream.
 
 Defined results: rows go by turn, then role, then text, nulls first. Null texts and roles count as empty; rows without
 conv_id are one conversation of their own. Rows that repeat are turns each. A conversation without assistant turns has
-no example (loss_chars 0). Extra columns are ignored. An empty table gives an empty result.
+no example (loss_chars 0). Extra columns are ignored. A very long text is one row of a batch. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ _TURN = re.compile(r"<\|im_start\|>([^\n]*)\n(.*)<\|im_end\|>\n", re.DOTALL)
 
 TURNS = "conv_id long, seq long, segment string, start long, loss_start long, loss_end long"
 DIGESTS = (
-    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
+    "n_examples long, context_chars long"
 )
 
 
@@ -97,25 +100,29 @@ def render(turns: DataFrame) -> DataFrame:
     )
 
 
-def digests(turns: DataFrame) -> DataFrame:
-    """What reading the written turns back gives, one row for each conversation."""
+def digests(turns: DataFrame, *, ordered: bool = False) -> DataFrame:
+    """What reading the written turns back gives, one row for each conversation; context_chars is the length of all
+    examples' contexts together. ordered: turns come as `prefix_target_examples` gives them, with all of a conversation
+    in one task and in order, and need not be dealt and sorted again."""
+    if not ordered:
+        turns = turns.repartition("conv_id").sortWithinPartitions("conv_id", "seq")
     target = arrow_schema(DIGESTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: list | None = None
 
         def row() -> tuple:
-            conv, n, turns_hash, chars, loss_hash, size, examples = state
-            return conv, n, turns_hash.hexdigest(), chars, loss_hash.hexdigest(), size, examples
+            conv, n, turns_hash, chars, loss_hash, *rest = state
+            return conv, n, turns_hash.hexdigest(), chars, loss_hash.hexdigest(), *rest
 
         for batch in batches:
             done = []
             columns = (batch.column(k).to_pylist() for k in (0, 1, 2, 3, 4, 5))
             for conv, seq, segment, start, loss_start, loss_end in zip(*columns, strict=True):
-                if state is None or seq == 0:
+                if state is None or conv != state[0]:
                     if state is not None:
                         done.append(row())
-                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                    state = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0, 0]
                 role, text = _TURN.fullmatch(segment).groups()
                 state[1] += 1
                 state[2].update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
@@ -124,6 +131,7 @@ def digests(turns: DataFrame) -> DataFrame:
                     state[3] += len(reply)
                     state[4].update(reply.encode())
                     state[6] += 1
+                    state[7] += loss_start
                 state[5] += len(segment)
             if done:
                 yield record_batch(dict(zip((f.name for f in target), zip(*done), strict=True)), target)

@@ -1,17 +1,22 @@
 """Benchmark decontamination as a prefix-filtered set join.
 
-An item's windows are its runs of `size` words; an item with fewer words is one window. As tokens of the join stand
-word shingles of one word, ordered by rarity over all documents. A window is contained only if all its words are, so
-the necessary prefix of its ordered words is the rarest one: each window is filed under it. A document word that is
-such a prefix token yields candidate windows with the place of the token in them; the place bounds where the window
-would lie, its length must fit between the ends of the document, and what passes is compared word for word over the
-window. No document shuffles: counts of benchmark words are summed on the map side, and windows are joined in blocks
-of at most BLOCK windows, each sent to every task, one block after the other along the same rows.
+An item's windows are its runs of `size` words; an item with fewer words is one window. Tokens of the join are shingles
+of up to SHINGLE words, ordered by rarity over all documents. A window occurs only if all its shingles do, so its
+necessary prefix is the rarest one: each window is filed under it. Where a document holds such a prefix token, the place
+of the token in the window bounds where the window would lie, its length must fit between the ends of the document, and
+what passes is compared word for word over the window.
+
+Up to BLOCK windows are sent to every task: documents are counted once and searched once, and none is shuffled. For more
+the join shuffles. Rarity is then taken from the counts of a shingle's rarest word. Documents give (token, place and the
+words around it) for tokens that a Bloom filter of 2**FILTER_BITS bits passes, whatever the size of the benchmark; these
+meet the windows by token, and are verified there. The more windows, the more the filter lets through for nothing, some
+0.1 % of all places at 1 million windows and 7 % at 10 million, which costs time and no row.
 
 Words are lower-cased for A-Z and made of ASCII letters, digits and all characters beyond ASCII.
 
 Defined results: null and empty texts have no words and hit nothing. An item without words has no window; items with
-equal text all count. Rows that repeat are reported each; extra columns are ignored. Null item_ids are ignored.
+equal text all count. Null item_ids are ignored. Rows that repeat are reported each; extra columns are ignored. A very
+long text is one row of a batch. An empty table of documents gives an empty result, an empty benchmark no hit.
 """
 
 from __future__ import annotations
@@ -19,30 +24,38 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, arrow_schema, blobs, keep_rows, map_batches, record_batch, staged
+from .common import ALNUM_TABLE, arrow_schema, blobs, discard, keep_rows, map_batches, padded, range_hashes, record_batch, slices, staged, text_key, without
 
-SIZE = 10
-#: Windows sent to a task at once: some 60 MB at 10 words each.
+SIZE, SHINGLE = 10, 3
+#: Windows sent to a task: some 60 MB at 10 words each.
 BLOCK = 100_000
+FILTER_BITS = 26
 
+Words = list[bytes]
 
-def words_of(text: bytes | None) -> list[bytes]:
+
+def words_of(text: bytes | None) -> Words:
     return text.translate(ALNUM_TABLE).split() if text else []
 
 
-def windows_of(words: list[bytes], size: int = SIZE) -> set[tuple[bytes, ...]]:
+def windows_of(words: Words, size: int = SIZE) -> set[tuple[bytes, ...]]:
     if len(words) < size:
         return {tuple(words)} if words else set()
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
+def shingles(words: Words, k: int) -> list[tuple[bytes, ...]]:
+    return list(zip(*(words[i:] for i in range(k)), strict=False))
+
+
 def _windows(benchmark: DataFrame, size: int) -> DataFrame:
-    """item_id, window (words joined by a space), once each."""
+    """window (words joined by a space), items: the item_ids that have it, sorted."""
 
     def run(batch: pa.RecordBatch) -> dict:
         ids, windows = [], []
@@ -53,39 +66,63 @@ def _windows(benchmark: DataFrame, size: int) -> DataFrame:
         return {"item": ids, "window": windows}
 
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string"), "text")
-    return map_batches(items, run, "item string, window string").distinct()
+    return map_batches(items, run, "item string, window string").groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
-def word_counts(docs: DataFrame, wanted: frozenset[bytes]) -> dict[bytes, int]:
-    """How often each wanted word occurs in all documents."""
-    target = arrow_schema("word binary, n long")
+def merged(ranges: list[int]) -> list[int]:
+    """Starts and ends in turn, sorted and joined where they touch."""
+    out: list[int] = []
+    for a, b in sorted(zip(ranges[::2], ranges[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
+
+
+OUT = "doc_id long, n_words long, n_hit long, spans array<int>, items array<string>"
+
+
+# --- few windows: sent to every task ---------------------------------------------------------------------------------
+
+
+def shingle_counts(docs: DataFrame, wanted: dict[int, frozenset]) -> dict[tuple, int]:
+    """How often each wanted shingle (by its number of words) occurs in all documents."""
+    target = arrow_schema("shingle binary, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for batch in batches:
             for text in blobs(batch.column(0)):
-                total.update(filter(wanted.__contains__, words_of(text)))
-        yield record_batch({"word": list(total), "n": list(total.values())}, target)
+                words = words_of(text)
+                for k, own in wanted.items():
+                    total.update(filter(own.__contains__, zip(*(words[i:] for i in range(k)), strict=False)))
+        yield record_batch({"shingle": [b" ".join(t) for t in total], "n": list(total.values())}, target)
 
-    rows = docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {bytes(r["word"]): r["n"] for r in rows.collect()}  # as many rows as wanted words, at most
+    rows = docs.select("text").mapInArrow(run, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    return {tuple(bytes(r["shingle"]).split(b" ")): r["n"] for r in rows.collect()}  # as many rows as wanted, at most
 
 
-def prefix_index(windows: dict[tuple, tuple], counts: dict[bytes, int]) -> dict[bytes, list[tuple[int, int]]]:
-    """By rarest word: the places it takes and the lengths of the windows filed under it."""
-    index: dict[bytes, set] = {}
+def prefix_index(windows: dict[tuple, tuple], counts: dict[tuple, int]) -> dict[int, dict[tuple, list[tuple[int, int]]]]:
+    """By number of words and rarest shingle: the places it takes and the lengths of the windows filed under it."""
+    index: dict[int, dict] = {}
     for w in windows:
-        at = min(range(len(w)), key=lambda k: (counts.get(w[k], 0), w[k], k))
-        index.setdefault(w[at], set()).add((at, len(w)))
-    return {k: sorted(v) for k, v in index.items()}
+        k = min(SHINGLE, len(w))
+        tokens = shingles(w, k)
+        at = min(range(len(tokens)), key=lambda i: (counts.get(tokens[i], 0), tokens[i], i))
+        index.setdefault(k, {}).setdefault(tokens[at], set()).add((at, len(w)))
+    return {k: {t: sorted(v) for t, v in own.items()} for k, own in index.items()}
 
 
-def hits_of(words: list[bytes], windows: dict, index: dict) -> tuple[list[tuple[int, int]], set[str]]:
+def hits_of(words: Words, windows: dict, index: dict) -> tuple[list[tuple[int, int]], set[str]]:
     """Word ranges of the windows that occur, and the items they are from."""
     ranges, items = [], set()
-    if not index.keys().isdisjoint(words):
-        for i in [i for i, w in enumerate(words) if w in index]:
-            for at, length in index[words[i]]:
+    for k, own in index.items():
+        tokens = shingles(words, k)
+        if own.keys().isdisjoint(tokens):
+            continue
+        for i in [i for i, t in enumerate(tokens) if t in own]:
+            for at, length in own[tokens[i]]:
                 start = i - at
                 if start >= 0 and start + length <= len(words):
                     found = windows.get(tuple(words[start : start + length]))
@@ -95,70 +132,171 @@ def hits_of(words: list[bytes], windows: dict, index: dict) -> tuple[list[tuple[
     return ranges, items
 
 
-def merged(ranges: list[int]) -> list[int]:
-    """Starts and ends in turn, sorted and joined where they touch."""
-    out: list[int] = []
-    for a, b in sorted(zip(ranges[::2], ranges[1::2], strict=True)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
+def _index(docs: DataFrame, windows: DataFrame) -> Broadcast:
+    table = {tuple(r["window"].encode().split(b" ")): tuple(r["items"]) for r in windows.collect()}
+    wanted: dict[int, set] = {}
+    for w in table:
+        k = min(SHINGLE, len(w))
+        wanted.setdefault(k, set()).update(shingles(w, k))
+    counts = shingle_counts(docs, {k: frozenset(v) for k, v in wanted.items()}) if table else {}
+    return docs.sparkSession.sparkContext.broadcast((table, prefix_index(table, counts)))
 
 
-OUT = "doc_id long, n_words long, n_hit long, spans array<int>, items array<string>"
+# --- many windows: a join --------------------------------------------------------------------------------------------
+
+
+def _word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: of all documents, added up in each task first."""
+    target = arrow_schema("word string, n long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch):
+                for text in blobs(part.column(0)):
+                    total.update(words_of(text))
+                if len(total) > 500_000:
+                    yield record_batch({"word": [w.decode() for w in total], "n": list(total.values())}, target)
+                    total.clear()
+        yield record_batch({"word": [w.decode() for w in total], "n": list(total.values())}, target)
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _indexes(docs: DataFrame, benchmark: DataFrame, size: int, block: int) -> Iterator[Broadcast]:
-    """For each block of windows, items by window and places by prefix token."""
-    windows = _windows(benchmark, size)
-    blocks = max(1, -(-windows.count() // block))
-    if blocks > 1:
-        windows = staged(windows, "decontam-windows")
-    part = F.pmod(F.xxhash64("window"), F.lit(blocks))
-    for k in range(blocks):
-        # about `block` distinct windows at most, whatever the size of the benchmark
-        own = windows.where(part == k).groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
-        table = {tuple(r["window"].encode().split(b" ")): tuple(r["items"]) for r in own.collect()}
-        counts = word_counts(docs, frozenset(w for t in table for w in t))
-        yield docs.sparkSession.sparkContext.broadcast((table, prefix_index(table, counts)))
+def _filed(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """window, items, token (the hash of its rarest shingle), at, length."""
+    words = windows.select("window", F.posexplode(F.split("window", " ")).alias("at", "word")).join(counts, "word", "left")
+    rated = words.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        tokens, places, lengths = [], [], []
+        for window, rates in zip(blobs(batch.column(0)), batch.column(2).to_pylist(), strict=True):
+            words = window.split(b" ")
+            k = min(SHINGLE, len(words))
+            rare = [min(r["n"] for r in rates[i : i + k]) for i in range(len(words) - k + 1)]
+            at = min(range(len(rare)), key=lambda i: (rare[i], words[i : i + k], i))  # noqa: B023
+            tokens.append(b" ".join(words[at : at + k]))
+            places.append(at)
+            lengths.append(len(words))
+        ends = np.cumsum([len(t) for t in tokens] or [0])
+        hashes = range_hashes(padded(b"".join(tokens)), np.concatenate([[0], ends[:-1]])[: len(tokens)], ends[: len(tokens)])
+        return {"window": batch.column(0), "items": batch.column(1), "token": hashes.view(np.int64), "at": places, "length": lengths}
+
+    rows = windows.join(rated, "window").select("window", "items", "w")
+    return map_batches(rows, run, "window string, items array<string>, token long, at int, length int")
+
+
+_BITS = [(7, (1 << FILTER_BITS) - 1), (33, (1 << FILTER_BITS) - 1)]
+
+
+def _filter(filed: DataFrame) -> np.ndarray:
+    """The Bloom filter of all tokens, as bytes: at most 2**(FILTER_BITS - 6) rows come to the driver."""
+    token = F.col("token")
+    cell = F.explode(F.array(*[F.shiftrightunsigned(token, s).bitwiseAND(F.lit(m)) for s, m in _BITS]))
+    bits = filed.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("at"))
+    rows = bits.agg(F.bit_or(F.expr("shiftleft(1L, cast(cell & 63 as int))")).alias("bits")).collect()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    for r in rows:
+        out[r["at"]] = r["bits"]
+    return out.view(np.uint8)
+
+
+def _joined(docs: DataFrame, windows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key, n_words of all rows; and doc_id, text_key, ranges, items of those that hold a window."""
+    filed = staged(_filed(windows, _word_counts(docs)), "decontam-windows")
+    lengths = [r["k"] for r in filed.select(F.least("length", F.lit(SHINGLE)).alias("k")).distinct().collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(filed))
+    schema = "doc_id long, text_key binary, n_words long, token long, place int, before string, after string"
+    target = arrow_schema(schema)
+
+    def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            for part in slices(batch):
+                out: dict = {f.name: [] for f in target}
+                for doc, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), blobs(part.column(2)), strict=True):
+                    plain = text.translate(ALNUM_TABLE) if text else b""
+                    words = plain.split()
+                    rows = [(doc, key, len(words), None, None, None, None)]
+                    whole = b" ".join(words)
+                    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+                    starts = np.concatenate([[0], ends[:-1] + 1]) if words else ends
+                    buf = padded(whole)
+                    for k in lengths:
+                        if len(words) < k:
+                            continue
+                        # a shingle's words are joined by spaces here as in the windows
+                        tokens = range_hashes(buf, starts[: len(words) - k + 1], ends[k - 1 :])
+                        hit = np.ones(len(tokens), bool)
+                        for s, m in _BITS:
+                            cells = (tokens >> np.uint64(s)) & np.uint64(m)
+                            hit &= (held[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        for i in np.flatnonzero(hit).tolist():
+                            before, after = b" ".join(words[max(0, i - size) : i]), b" ".join(words[i : i + size])
+                            rows.append((doc, key, len(words), int(tokens[i].view(np.int64)), i, before.decode(), after.decode()))
+                    for r in rows:
+                        for name, v in zip(out, r, strict=True):
+                            out[name].append(v)
+                yield record_batch(out, target)
+
+    found = staged(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(give, schema), "decontam-tokens")
+    before = F.when(F.col("before") == "", F.array().cast("array<string>")).otherwise(F.split("before", " "))
+    near = F.concat(before, F.split("after", " "))
+    first = F.size(before) - F.col("at")  # where the window would begin among the words around the token
+    lies = F.when((first >= 0) & (first + F.col("length") <= F.size(near)), F.array_join(F.slice(near, first + 1, F.col("length")), " "))
+    hits = found.where("token is not null").join(filed, "token").where(lies == F.col("window"))
+    start = F.col("place") - F.col("at")
+    hits = hits.select("doc_id", "text_key", start.alias("start"), (start + F.col("length")).alias("stop"), "items")
+    both = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    return found.where("token is null").select("doc_id", "text_key", "n_words"), staged(both, "decontam-hits")
+
+
+# --- the operator ----------------------------------------------------------------------------------------------------
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_hit, spans (word starts and ends in turn, merged), items (sorted as strings) for each row."""
-    rows = docs.select("doc_id", "text")
-    indexes = list(_indexes(docs, benchmark, size, block))
-    for k, shared in enumerate(indexes):
-        first, last = k == 0, k == len(indexes) - 1
-
-        def run(batch: pa.RecordBatch, shared=shared, first=first, last=last) -> dict:
-            table, index = shared.value
-            texts = blobs(batch.column(1))
-            n_words, n_hit, spans, items = [], [], [], []
-            before = zip([[]] * len(texts), [[]] * len(texts)) if first else zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            for text, (old_spans, old_items) in zip(texts, before, strict=True):
-                words = words_of(text)
-                ranges, found = hits_of(words, table, index)
-                span = merged([*old_spans, *(x for r in ranges for x in r)]) if ranges else old_spans
-                n_words.append(len(words))
-                n_hit.append(sum(span[1::2]) - sum(span[::2]))
-                spans.append(span)
-                items.append(sorted({*old_items, *found}))
-            out = {"doc_id": batch.column(0), "n_words": n_words, "n_hit": n_hit, "spans": spans, "items": items}
-            return out if last else out | {"text": batch.column(1)}
+    windows = staged(_windows(benchmark, size), "decontam-windows")
+    if windows.count() > block:
+        rows, hits = _joined(docs, windows, size)
+        hits = hits.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
+        rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key").eqNullSafe(F.col("key"))), "left")
 
-        rows = map_batches(rows, run, OUT if last else "doc_id long, text string, spans array<int>, items array<string>")
-    return rows
+        def merge(batch: pa.RecordBatch) -> dict:
+            spans = [merged([x for r in ranges or [] for x in (r["start"], r["stop"])]) for ranges in batch.column(2).to_pylist()]
+            n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+            return {"doc_id": batch.column(0), "n_words": batch.column(1), "n_hit": n_hit, "spans": spans, "items": [x or [] for x in batch.column(3).to_pylist()]}
 
+        return map_batches(rows.select("doc_id", "n_words", "ranges", "items"), merge, OUT)
+    shared = _index(docs, windows)
+    discard(windows)
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE) -> DataFrame:
-    """The rows of docs without a benchmark window, with all their columns."""
-    for shared in _indexes(docs, benchmark, size, BLOCK):
+    def run(batch: pa.RecordBatch) -> dict:
+        table, index = shared.value
+        out: dict = {"n_words": [], "n_hit": [], "spans": [], "items": []}
+        for text in blobs(batch.column(1)):
+            words = words_of(text)
+            ranges, found = hits_of(words, table, index)
+            spans = merged([x for r in ranges for x in r])
+            for k, v in zip(out, (len(words), sum(spans[1::2]) - sum(spans[::2]), spans, sorted(found)), strict=True):
+                out[k].append(v)
+        return out | {"doc_id": batch.column(0)}
 
-        def clean(batch: pa.RecordBatch, shared=shared) -> list[bool]:
-            table, index = shared.value
-            texts = blobs(batch.column(batch.schema.names.index("text")))
-            return [not hits_of(words_of(t), table, index)[0] for t in texts]
+    return map_batches(docs.select("doc_id", "text"), run, OUT)
 
-        docs = keep_rows(docs, clean)
-    return docs
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block: int = BLOCK) -> DataFrame:
+    """The rows of docs without a benchmark window, with all their columns."""
+    windows = staged(_windows(benchmark, size), "decontam-windows")
+    if windows.count() > block:
+        _, hits = _joined(docs, windows, size)
+        return without(docs, hits.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")))
+    shared = _index(docs, windows)
+    discard(windows)
+
+    def clean(batch: pa.RecordBatch) -> list[bool]:
+        table, index = shared.value
+        texts = blobs(batch.column(batch.schema.names.index("text")))
+        return [not hits_of(words_of(t), table, index)[0] for t in texts]
+
+    return keep_rows(docs, clean)

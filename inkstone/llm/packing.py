@@ -41,23 +41,19 @@ from .common import arrow_schema, blobs, map_batches, mix64, padded, range_hashe
 
 LENGTH, END = 2048, 1
 DIMS, AXES, BITS = 1024, 4, 10
-#: Pre-tokens that a process remembers, some 60 MB.
-KNOWN = 400_000
+#: Pre-tokens that a process remembers, some 70 MB.
+KNOWN = 1_500_000
 CELL_BITS, MOST_RANGES = 16, 1 << 16
 #: Bits of the key below the Hilbert number, hashed from doc_id.
 LOW = 63 - AXES * BITS
 
 _LETTER, _DIGIT, _OTHER, _BAD = 1, 2, 3, 4
-_CLASS = np.array(
-    [
-        0 if b in b" \t\n\x0b\x0c\r" else _DIGIT if 48 <= b <= 57 else _LETTER if 65 <= b <= 90 or 97 <= b <= 122
-        else _BAD if b == 39 or b < 32 or b == 127 else _OTHER if b < 128 else _LETTER if b == 0xC3 or b < 0xC0 else _BAD
-        for b in range(256)
-    ],
-    np.uint8,
+_CLASS = bytes(
+    0 if b in b" \t\n\x0b\x0c\r" else _DIGIT if 48 <= b <= 57 else _LETTER if 65 <= b <= 90 or 97 <= b <= 122
+    else _BAD if b == 39 or b < 32 or b == 127 else _OTHER if b < 128 else _LETTER if b == 0xC3 or b < 0xC0 else _BAD
+    for b in range(256)
 )
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
 class Encoder:
@@ -71,13 +67,14 @@ class Encoder:
         self.plain = all(not t.content.isalnum() and "<" in t.content for t in self.library.get_added_tokens_decoder().values())
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for w, i in self.library.get_vocab().items() if w.endswith("</w>")]] = True
-        self.known: dict[bytes, int] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.known.clear()
-        self.flat, self.n_flat = np.zeros(1 << 16, np.uint16), 0
-        self.place, self.size, self.n_known = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+        """Forgets all pre-tokens. By number: `words` holds their bytes from `at` on, `flat` their ids from `place` on;
+        `hashes` are sorted, and `number` says whose they are."""
+        self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.words, self.at, self.length = Grown(np.uint8), Grown(np.int64), Grown(np.int32)
+        self.flat, self.place, self.size = Grown(np.uint16), Grown(np.int64), Grown(np.int32)
 
     def whole(self, text: bytes) -> np.ndarray:
         return np.array(self.library.encode(text.decode(), add_special_tokens=False).ids, np.uint16)
@@ -93,20 +90,26 @@ class Encoder:
         ids = [e.ids for e in self.library.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         return np.array([i for x in ids for i in x], np.uint16), np.fromiter(map(len, ids), np.int64, len(ids))
 
-    def learn(self, words: list[bytes]) -> None:
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
         # words of rows that go to the library may be cut inside a character; they are never used
         flat, sizes = self.apart([w if _valid(w) else b"!" for w in words])
-        while self.n_flat + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n_known + len(sizes) > len(self.place):
-            self.place, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.place, self.size))
-        self.flat[self.n_flat : self.n_flat + len(flat)] = flat
-        at = slice(self.n_known, self.n_known + len(sizes))
-        self.place[at] = self.n_flat + np.cumsum(sizes) - sizes
-        self.size[at] = sizes
-        self.known.update(zip(words, range(self.n_known, self.n_known + len(sizes)), strict=True))
-        self.n_known += len(sizes)
-        self.n_flat += len(flat)
+        numbers = np.arange(self.at.n, self.at.n + len(words), dtype=np.int32)
+        self.place.add(self.flat.n + np.cumsum(sizes) - sizes)
+        self.size.add(sizes)
+        self.flat.add(flat)
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        self.at.add(self.words.n + np.cumsum(length) - length)
+        self.length.add(length)
+        self.words.add(np.frombuffer(b"".join(words), np.uint8))
+        where = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.number = np.insert(self.hashes, where, hashes), np.insert(self.number, where, numbers)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of pre-tokens by sorted hashes, -1 for those that are not known."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1, np.int32)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.number[at], np.int32(-1))
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -119,19 +122,20 @@ class Encoder:
         buf = np.frombuffer(raw, np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         begin = np.concatenate([[0], np.cumsum(sizes + 1)])
-        kind = _CLASS[buf]
-        lead = buf == 0xC3
-        follow = np.zeros(len(buf), bool)
-        follow[1:] = lead[:-1]
-        high = (buf >= 0x80) & (buf < 0xC0)
-        # letters are C3 80 to C3 BF but for the signs C3 97 and C3 B7; other characters go to the library
-        bad = (kind == _BAD) | (high & ~follow) | (follow & ((buf == 0x97) | (buf == 0xB7)))
+        kind = np.frombuffer(raw.translate(_CLASS), np.uint8)
+        low = np.frombuffer(raw.translate(_LOWER), np.uint8)
+        bad = kind == _BAD
+        if not raw.isascii():
+            follow = np.zeros(len(buf), bool)
+            follow[1:] = buf[:-1] == 0xC3
+            # letters are C3 80 to C3 BF but for the signs C3 97 and C3 B7; other characters go to the library
+            bad |= (buf - np.uint8(0x80) < 0x40) ^ follow
+            bad |= follow & ((buf == 0x97) | (buf == 0xB7))
+            low = low + (follow & (buf <= 0x9E)) * np.uint8(32)
         # a special token's string starts with <|
         bad[:-1] |= (buf[:-1] == 60) & (buf[1:] == 124)
-        rows_bad = np.add.reduceat(bad, begin[:-1]) > 0
-        low = _LOWER[buf]
-        capital = follow & (buf >= 0x80) & (buf <= 0x9E)
-        low = np.where(capital, buf + np.uint8(32), low)
+        rows_bad = np.zeros(len(texts), bool)
+        rows_bad[np.searchsorted(begin, np.flatnonzero(bad), "right") - 1] = True
         edge = np.ones(len(buf) + 1, bool)
         edge[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
         cuts = np.flatnonzero(edge)
@@ -139,20 +143,23 @@ class Encoder:
         real = kind[starts] > 0
         starts, ends = starts[real], ends[real]
         flat = low.tobytes()
-        hashes = range_hashes(low := padded(flat), starts, ends)
-        _, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(wrong := np.flatnonzero(unlike(low, starts, ends, where[inverse]))):
-            rows_bad[np.searchsorted(begin, starts[wrong], "right") - 1] = True
-        if self.n_known + len(where) > KNOWN:
+        low = padded(flat)
+        hashes, where, inverse = np.unique(range_hashes(low, starts, ends), return_index=True, return_inverse=True)
+        if self.at.n + len(where) > KNOWN:
             self.reset()
-        keys = [flat[a:z] for a, z in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-        known = self.known
-        if new := [w for w in keys if w not in known]:
-            self.learn(new)
-        index = np.fromiter(map(known.__getitem__, keys), np.int64, len(keys))[inverse]
-        size, place = self.size[index], self.place[index]
+        a, z = starts[where], ends[where]
+        if len(new := np.flatnonzero(self.numbers(hashes) < 0)):
+            self.learn(hashes[new], [flat[i:j] for i, j in zip(a[new].tolist(), z[new].tolist(), strict=True)])
+        number = self.numbers(hashes)
+        # equal hashes are taken for equal words only where their bytes agree, in this batch and with what is known
+        at, length = self.at.values[number], self.length.values[number]
+        wrong = unlike(low, a, z, self.words.values, at, at + length)[inverse]
+        wrong |= unlike(low, starts, ends, low, a[inverse], z[inverse])
+        rows_bad[np.searchsorted(begin, starts[wrong], "right") - 1] = True
+        index = number[inverse]
+        size, place = self.size.values[index].astype(np.int64), self.place.values[index]
         total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(total[-1]) + np.repeat(place - total[:-1], size)]
+        ids = self.flat.values[np.arange(total[-1]) + np.repeat(place - total[:-1], size)]
         first = total[np.searchsorted(starts, begin)]
         return [
             self.whole(texts[r]) if rows_bad[r] or not self.plain else ids[first[r] : first[r + 1]]
@@ -160,18 +167,30 @@ class Encoder:
         ]
 
 
-def unlike(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which byte ranges of a padded array differ from the range with the number given in `of`."""
-    blocks, left = word_blocks(buf), ends - starts
-    differ = left != left[of]
-    shift = lambda n: np.uint64(8) * (np.uint64(8) - np.minimum(n, 8).astype(np.uint64))
-    at = np.flatnonzero((of != np.arange(len(of))) & (left > 0))
+class Grown:
+    """An array that grows; there is always room for eight bytes behind its end."""
+
+    def __init__(self, kind: type):
+        self.values, self.n = np.zeros(1 << 16, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        while self.n + len(more) + 8 > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[self.n : self.n + len(more)] = more
+        self.n += len(more)
+
+
+def unlike(x: np.ndarray, a: np.ndarray, z: np.ndarray, y: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which byte ranges a to z of a padded array x differ from the ranges b to c of y."""
+    left, right, size = word_blocks(x), word_blocks(y), z - a
+    differ = size != c - b
+    at = np.flatnonzero((size > 0) & ~differ & ((a != b) | (x is not y)))
     done = 0
     while len(at):
-        x = (blocks[starts[at] + done] ^ blocks[starts[of[at]] + done]) << shift(left[at] - done)
-        differ[at] |= x != 0
+        shift = np.uint64(8) * (np.uint64(8) - np.minimum(size[at] - done, 8).astype(np.uint64))
+        differ[at] |= ((left[a[at] + done] ^ right[b[at] + done]) << shift) != 0
         done += 8
-        at = at[left[at] > done]
+        at = at[size[at] > done]
     return differ
 
 

@@ -40,7 +40,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string"
     )
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
-    return chat_format.digests(chat_format.prefix_target_examples(rows))
+    return chat_format.digests(chat_format.prefix_target_examples(rows), ordered=True)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

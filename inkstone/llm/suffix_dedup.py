@@ -77,7 +77,8 @@ def anchors_of(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.nda
         least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
     place = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-    return h[place[first]], first, np.diff(np.append(first, len(place)))
+    # least hashes are small; mixed once more they deal evenly
+    return mix64(h[place[first]]), first, np.diff(np.append(first, len(place)))
 
 
 def _planes(values: np.ndarray) -> bytes:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -327,9 +328,12 @@ def test_benchmark_hits(spark, corpus, words, block):
                     found.add(str(item))
         r = got[d]
         assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(found))
-    clean = decontaminate.decontaminate(documents(spark, corpus), bench)
+    clean = decontaminate.decontaminate(documents(spark, corpus), bench, block=block)
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, r in got.items() if not r["n_hit"])
-    assert decontaminate.benchmark_hits(documents(spark, []), bench).count() == 0
+    assert decontaminate.benchmark_hits(documents(spark, []), bench, block=block).count() == 0
+    rows = [(1, long[0]), (1, "a"), (1, long[0]), (None, long[0]), (None, None)]
+    again = collections.Counter((r["doc_id"], r["n_words"]) for r in decontaminate.benchmark_hits(documents(spark, rows), bench, block=block).collect())
+    assert again == collections.Counter((d, len(split(t))) for d, t in rows)
     assert decontaminate.benchmark_hits(documents(spark, corpus[:3]), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
@@ -353,6 +357,11 @@ def test_chat_round_trip(spark):
     assert [chat_format.unescape(r["target"]) for r in full] == [odd, "a", "é日"]
     assert full[0]["context"].count("<|im_start|>") == 3 and full[2]["context"].endswith("<|im_start|>assistant\n")
     assert full[2]["context"].startswith(full[0]["context"])
+    assert got[1]["context_chars"] == sum(len(r["context"]) for r in full)
+    # written and read again in other files and another order, the same digests come out
+    kept = common.staged(turns.orderBy(F.desc("segment")).repartition(5), "test-turns")
+    again = {r["conv_id"]: r for r in chat_format.digests(kept).collect()}
+    assert again == got == {r["conv_id"]: r for r in chat_format.digests(turns, ordered=True).collect()}
     assert chat_format.digests(chat_format.prefix_target_examples(df.limit(0))).count() == 0
 
 
@@ -579,9 +588,95 @@ def test_toxicity_held_out(spark):
     assert {r["score"] for r in toxicity.score(docs, nothing).collect()} == {0.0}
 
 
+def test_tables_score_as_a_plain_convolution():
+    rng = np.random.default_rng(3)
+    n = toxicity.FILTERS * len(toxicity.WIDTHS)
+    E, W = rng.normal(size=(toxicity.CELLS + 1, toxicity.DIM)), rng.normal(size=(toxicity.DIM, toxicity.FILTERS * sum(toxicity.WIDTHS)))
+    E[toxicity.CELLS] = 0
+    bias, weights = rng.normal(size=n), rng.normal(size=n)
+    model = toxicity.Model((E @ W).astype(np.float32), bias.astype(np.float32), weights.astype(np.float32), 0.25)
+    texts = [b"", b"one", b"One two", "é b ccccccccc d e f g".encode(), b" ".join(rng.choice([b"aa", b"bbbb", b"cccccc"], 60))]
+    for t, got in zip(texts, model.logits(texts), strict=True):
+        cells, _ = toxicity.cells_of([t])
+        vectors = E[cells].sum(1)
+        pooled = []
+        for k, w in enumerate(toxicity.WIDTHS):
+            for f in range(toxicity.FILTERS):
+                filters = [W[:, toxicity.PART_AT[k] + o * toxicity.FILTERS + f] for o in range(w)]
+                windows = [sum(vectors[i + o] @ filters[o] for o in range(w) if i + o < len(vectors)) for i in range(len(vectors))]
+                # an own text's windows may reach into the empty places behind it, never into another text
+                pooled.append(max(windows[: len(vectors) - toxicity.PAD] or [0]))
+        assert abs(np.maximum(np.array(pooled) + bias, 0) @ weights + 0.25 - got) < 1e-2
+
+
+def test_gradients_match_differences(monkeypatch):
+    monkeypatch.setattr(toxicity, "CELLS", 40)
+    rng = np.random.default_rng(4)
+    params = {"E": rng.normal(size=(41, toxicity.DIM)), "W": rng.normal(0, 0.3, (toxicity.DIM, int(toxicity.PART_AT[-1]))), "b": rng.normal(size=24), "v": rng.normal(size=24), "c": rng.normal(size=1)}
+    params["E"][40] = 0
+    texts = [b"a b c d e", b"f", b"g h a a b c i j k"]
+    ready = [toxicity.cells_of([t])[0] for t in texts]
+    cells, begin = np.concatenate(ready), np.cumsum([0] + [len(r) for r in ready[:-1]])
+    toxic, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    _, grads = toxicity.gradients(params, cells, begin, toxic, weight)
+    for name, value in params.items():
+        for _ in range(25):
+            at = tuple(int(rng.integers(0, n)) for n in value.shape)
+            if name == "E" and at[0] == 40:
+                continue
+            old, losses = value[at], []
+            for step in (1e-5, -1e-5):
+                value[at] = old + step
+                losses.append(toxicity.gradients(params, cells, begin, toxic, weight)[0])
+            value[at] = old
+            assert abs((losses[0] - losses[1]) / 2e-5 - grads[name][at]) < 1e-5
+
+
+def test_the_sample_is_bounded(spark):
+    learnt = [k for k in range(100) if zlib.crc32(str(k).encode()) % 3 != 1]
+    many, long, null, short = learnt[:4]
+    rows = spark.range(20_000).select(F.lit(many).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(long, "x" * 70_000), (null, None), (short, "short")], "doc_id long, text string"))
+    marks = spark.createDataFrame([(many, 1), (many, 0), (long, 0), (null, 0), (short, 0)], "doc_id long, toxic int")
+    chosen = toxicity.sampled(rows, marks, max_toxic=3, max_clean=9, max_bytes=1 << 16).collect()
+    assert {r["doc_id"]: r["toxic"] for r in chosen} == {many: 1, null: 0, short: 0} and len(chosen) == 3
+    some = documents(spark, [(k, f"w{k} v") for k in learnt])
+    marks = spark.createDataFrame([(k, k % 2) for k in learnt], "doc_id long, toxic int")
+    assert toxicity.sampled(some, marks, max_toxic=3, max_clean=4, max_bytes=99).count() == 7
+
+
+def test_toxicity_odd_tables(spark):
+    docs = spark.createDataFrame([(1, None, None), (1, "", None), (None, "a " * 50_000, "xx")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == 3 and all(0 <= r["score"] <= 1 for r in got)
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
+    assert toxicity.reject_toxic(docs.limit(0), labels).count() == 0
+
+
 # --- shared ---
 
 
+@pytest.mark.parametrize("size", [10, 100, 1 << 20])
+def test_slices_are_bounded(size):
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (0, 5, 200, 3, 3, 3, 90, 40)] + [None, "é"]
+    batch = pa.RecordBatch.from_pydict({"t": texts, "n": list(range(10))})
+    parts = list(common.slices(batch, 4, size))
+    assert [t for p in parts for t in p.column(0).to_pylist()] == texts
+    assert all(p.num_rows <= 4 and (p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(0).to_pylist()) <= size) for p in parts)
+    assert list(common.slices(batch.slice(0, 0))) == []
+
+
+def test_staged_tables_can_be_discarded(spark):
+    table = common.staged(spark.range(3), "test-some")
+    assert table.count() == 3 and os.path.isdir(table._staged_at.removeprefix("file:"))
+    common.discard(table)
+    assert not os.path.exists(table._staged_at.removeprefix("file:"))
+
+
 def test_word_hashes_match_words(words):
     texts = [" ".join(words).encode(), b"", b"  a b ", "é ß".encode()]
     found = common.Words(texts, common.NOT_SPACE)
