@@ -69,10 +69,27 @@ found AS (SELECT doc_id, len(sets.s) AS n, CASE WHEN len(sets.s) = 0 THEN doc_id
 SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM found
 """
 
+OP6 = """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2 - 49)) AS i FROM t WHERE strlen(h) >= 100)),
+f AS (SELECT s, min(doc_id) AS keeper FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT doc_id, i FROM w JOIN f USING (s) WHERE doc_id > keeper),
+n AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM g),
+r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM n),
+p AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS z FROM r GROUP BY doc_id, run),
+q AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS left_from FROM p),
+c AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans, string_agg(substr(h, 2 * left_from + 1, 2 * (a - left_from)), '' ORDER BY a) AS head, max(z) AS last
+      FROM q JOIN t USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(head || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM t LEFT JOIN c USING (doc_id)
+"""
+
 ORACLE_SQL = {
     "op1_chat_format": OP1,
     "op3_decontaminate": OP3,
     "op5_near_dedup": OP5,
+    "op6_suffix_dedup": OP6,
     "op8_url_filter": OP8,
     "op9_exact_dedup": OP9,
 }

@@ -8,7 +8,9 @@ The model marks each space. Its vocabulary is read once in each process and give
 If a model breaks one of the first two, every text goes to the library whole. Units in the table count as one token;
 only the rest are merged, by the library, and remembered up to a bound.
 
-Defined results: null or empty texts have 0 bytes and 0 tokens. Rows are kept as they are, repeated ones too.
+Defined results: null or empty texts have 0 bytes and 0 tokens. Rows are kept as they are, repeated ones too; a null
+doc_id stays null. Extra columns are ignored. A very long text is counted whole, as one row of a batch. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations

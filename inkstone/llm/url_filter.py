@@ -7,7 +7,8 @@ tokens of a URL fetch candidate rules, and only the candidates' regular expressi
 at equal length `allow` wins, then the rule that sorts first.
 
 Defined results: a null URL, or one without `://`, has an empty host and path; where no rule fits, the verdict is
-`default`. Rows are kept as they are, repeated ones too; extra columns are ignored.
+`default`. Rows are kept as they are, repeated ones too; extra columns are ignored. A very long URL is read whole. An
+empty table gives an empty result. More than MAX_RULES rules are refused.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkstone.llm import chat_format, common, decontaminate, exact_dedup, license_scan, near_dedup, packing, queries, suffix_dedup, token_counts, toxicity, url_filter
+from inkstone.llm import chat_format, common, decontaminate, exact_dedup, license_scan, near_dedup, packing, queries, sql, suffix_dedup, token_counts, toxicity, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, cell int, hash string, score double"
 
@@ -544,6 +544,33 @@ def test_licenses_inside_long_texts(spark):
     assert got[8] == ("Proprietary", "window", 2, ["Proprietary"])
 
 
+WHOLE = [
+    ("MIT", license_scan._MIT + license_scan._WARRANTY + license_scan._LIABILITY), ("BSD-2-Clause", license_scan._BSD + license_scan._BSD_WARRANTY),
+    ("BSD-3-Clause", license_scan._BSD + license_scan._BSD_THIRD + license_scan._BSD_WARRANTY), ("ISC", license_scan._ISC + license_scan._ISC_NOTICE + license_scan._ISC_WARRANTY),
+    ("0BSD", license_scan._ISC + "." + license_scan._ISC_WARRANTY), ("Zlib", license_scan._ZLIB + license_scan._ZLIB_RULES),
+    ("Unlicense", license_scan._UNLICENSE + license_scan._UNLICENSE_REST + license_scan._WARRANTY + license_scan._LIABILITY),
+    *[(n, t) for n, _, t in license_scan.TEMPLATES if n in ("Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0") and len(t.split()) > 15],
+]
+
+
+def test_licenses_as_files_wrapped_and_commented(spark):
+    import textwrap
+
+    code = "\n".join(f"x{k} = call_{k}(y{k}, z{k})  # step {k}" for k in range(60))
+    rows, want = [], {}
+    for k, (name, text) in enumerate(WHOLE):
+        wrapped = textwrap.wrap(text, 72)
+        forms = [
+            text, "Project notes\n\nCopyright (c) 2020 Some One\n\n" + "\n".join(wrapped) + "\n\n" + code, "\r\n\r\n".join(["Readme", "\r\n".join(wrapped), code]),
+            "\n".join(f"# {x}" for x in wrapped) + "\n\n" + code, "/*\n" + "\n".join(f" * {x}" for x in wrapped) + "\n */\n" + code, code + "\n" + "\n".join(f"// {x}" for x in wrapped),
+        ]
+        for j, form in enumerate(forms):
+            rows.append((10 * k + j, form))
+            want[10 * k + j] = name
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(documents(spark, rows + [(-1, code)])).collect()}
+    assert got == want | {-1: None}
+
+
 def test_best_windows_match_brute_force():
     rng = random.Random(4)
     for _ in range(300):
@@ -655,6 +682,24 @@ def test_toxicity_odd_tables(spark):
     assert toxicity.reject_toxic(docs.limit(0), labels).count() == 0
 
 
+# --- registered queries ---
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(sql.ORACLE_SQL))
+def test_query_matches_its_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('/root/testdata/sf0.001/{t}.parquet')")
+    df = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    result = con.execute(sql.ORACLE_SQL[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(map(tuple, df.select(*columns).collect()), key=key) == sorted(result.fetchall(), key=key)
+
+
 # --- shared ---
 
 
