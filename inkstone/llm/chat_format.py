@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, record_batch
+from .common import arrow_schema, record_batch, tidy
 
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 _ESCAPE, _UNESCAPE = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
@@ -82,7 +82,7 @@ def prefix_target_examples(conversations: DataFrame) -> DataFrame:
             yield record_batch(out, target)
 
     rows = conversations.select("conv_id", "turn", "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, TURNS)
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(tidy(run), TURNS)
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -138,4 +138,4 @@ def digests(turns: DataFrame, *, ordered: bool = False) -> DataFrame:
         if state is not None:
             yield record_batch(dict(zip((f.name for f in target), zip(row()), strict=True)), target)
 
-    return turns.mapInArrow(run, DIGESTS)
+    return turns.mapInArrow(tidy(run), DIGESTS)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +85,31 @@ def blobs(column: pa.Array) -> list:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def tidy(run: Callable) -> Callable:
+    """A function over Arrow batches that gives unused memory back to the system when a task ends: Python workers live on
+    from task to task, and what they once held would add up."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if libc:
+            libc.malloc_trim(0)
+
+    return tidied
+
+
+@cache
+def _libc() -> ctypes.CDLL | None:
+    """The C library, if it is one that can be told to map large blocks apart, so that they go back at once."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD
+        return libc if hasattr(libc, "malloc_trim") else None
+    except (OSError, AttributeError):
+        return None
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
     """mapInArrow with one output batch, given as columns by name, for each part of an input batch."""
     target = arrow_schema(schema)
@@ -92,7 +119,7 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
             for part in slices(batch):
                 yield record_batch(rows(part), target)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -117,7 +144,7 @@ def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> Da
             for part in slices(batch):
                 yield part.filter(pa.array(keep(part), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 CELLS = 1 << 20

@@ -30,7 +30,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, arrow_schema, blobs, discard, keep_rows, map_batches, padded, range_hashes, record_batch, slices, staged, text_key, without
+from .common import ALNUM_TABLE, arrow_schema, blobs, discard, keep_rows, map_batches, padded, range_hashes, record_batch, slices, staged, text_key, tidy, without
 
 SIZE, SHINGLE = 10, 3
 #: Windows sent to a task: some 60 MB at 10 words each.
@@ -92,14 +92,14 @@ def shingle_counts(docs: DataFrame, wanted: dict[int, frozenset]) -> dict[tuple,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for text in blobs(batch.column(0)):
                 words = words_of(text)
                 for k, own in wanted.items():
                     total.update(filter(own.__contains__, zip(*(words[i:] for i in range(k)), strict=False)))
         yield record_batch({"shingle": [b" ".join(t) for t in total], "n": list(total.values())}, target)
 
-    rows = docs.select("text").mapInArrow(run, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(tidy(run), "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
     return {tuple(bytes(r["shingle"]).split(b" ")): r["n"] for r in rows.collect()}  # as many rows as wanted, at most
 
 
@@ -160,7 +160,7 @@ def _word_counts(docs: DataFrame) -> DataFrame:
                     total.clear()
         yield record_batch({"word": [w.decode() for w in total], "n": list(total.values())}, target)
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _filed(windows: DataFrame, counts: DataFrame) -> DataFrame:
@@ -239,7 +239,7 @@ def _joined(docs: DataFrame, windows: DataFrame, size: int) -> tuple[DataFrame,
                             out[name].append(v)
                 yield record_batch(out, target)
 
-    found = staged(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(give, schema), "decontam-tokens")
+    found = staged(docs.select("doc_id", text_key(F.col("text")).alias("text_key"), "text").mapInArrow(tidy(give), schema), "decontam-tokens")
     before = F.when(F.col("before") == "", F.array().cast("array<string>")).otherwise(F.split("before", " "))
     near = F.concat(before, F.split("after", " "))
     first = F.size(before) - F.col("at")  # where the window would begin among the words around the token

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, Words, arrow_schema, blobs, cell, discard, map_batches, mix64, record_batch, runs_of, slices, staged, text_key, without
+from .common import NOT_SPACE, Words, arrow_schema, blobs, cell, discard, map_batches, mix64, record_batch, runs_of, slices, staged, text_key, tidy, without
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -207,7 +207,7 @@ def likely(pairs: DataFrame, reps: DataFrame, similarity: int) -> DataFrame:
                 yield record_batch({"a": b.column(0).to_numpy()[keep], "b": b.column(1).to_numpy()[keep], "guess": guess[keep]}, target)
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b").where(fits(F.col("n_a"), F.col("n_b"), similarity))
-    return joined.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(run, "a long, b long, guess double")
+    return joined.select("a", "b", "n_a", "r_a", "n_b", "r_b").mapInArrow(tidy(run), "a long, b long, guess double")
 
 
 # --- the exact comparison within buckets -----------------------------------------------------------------------------
@@ -335,9 +335,9 @@ def unresolved(rows: DataFrame, reps: DataFrame, docs: DataFrame, words: int, si
 
     dealt = staged(cells(rows, reps), "near-cells")
     together = lambda df: df.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "doc")
-    some = staged(together(dealt.join(reps.select("doc", "registers"), "doc").select(*dealt.columns, "registers")).mapInArrow(likely_rows, _CELL), "near-active")
+    some = staged(together(dealt.join(reps.select("doc", "registers"), "doc").select(*dealt.columns, "registers")).mapInArrow(tidy(likely_rows), _CELL), "near-active")
     texts = _texts(some.select("doc").distinct(), reps, docs)
-    proven = staged(together(some.join(texts, "doc").select(*some.columns, "text")).mapInArrow(prove, "a long, b long").distinct(), "near-links")
+    proven = staged(together(some.join(texts, "doc").select(*some.columns, "text")).mapInArrow(tidy(prove), "a long, b long").distinct(), "near-links")
     discard(dealt, some, texts)
     return proven
 
@@ -371,7 +371,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, sim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, group = set(), None
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             out: dict = {"a": [], "b": []}
             for a, chunk, b, text in zip(*(batch.column(c).to_pylist() for c in range(3)), blobs(batch.column(3)), strict=True):
                 shingles = real_shingles(text or b"", words)
@@ -385,7 +385,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, sim
             yield record_batch(out, target)
 
     rows = left.unionByName(right).repartition("a", "chunk").sortWithinPartitions("a", "chunk", F.asc_nulls_first("b"))
-    links = staged(rows.mapInArrow(run, "a long, b long"), "near-links")
+    links = staged(rows.mapInArrow(tidy(run), "a long, b long"), "near-links")
     discard(texts)
     return links
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blobs, map_batches, mix64, padded, range_hashes, record_batch, runs_of, slices, staged, word_blocks
+from .common import arrow_schema, blobs, map_batches, mix64, padded, range_hashes, record_batch, runs_of, slices, staged, tidy, word_blocks
 
 LENGTH, END = 2048, 1
 DIMS, AXES, BITS = 1024, 4, 10
@@ -323,7 +323,7 @@ def pack(docs: DataFrame, path: str, *, length: int = LENGTH, per_range: int = 4
             cols = dict(zip(b.schema.names, b.columns, strict=True))
             yield record_batch(cols | {"range": np.searchsorted(edges, cols["key"].to_numpy(), "right").astype(np.int32)}, target)
 
-    ranged = table.mapInArrow(put, "doc_id long, key long, n long, ids binary, range int")
+    ranged = table.mapInArrow(tidy(put), "doc_id long, key long, n long, ids binary, range int")
     keys = table.select("key", "n").mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array(np.searchsorted(edges, b.column(0).to_numpy(), "right").astype(np.int32)), b.column(1)], ["range", "n"]) for b in batches), "range int, n long")
     sums = {r["range"]: r["n"] for r in keys.groupBy("range").agg(F.sum("n").alias("n")).collect()}
     offsets = np.concatenate([[0], np.cumsum([sums.get(k, 0) for k in range(len(edges))])]).astype(np.int64).tolist()
@@ -353,5 +353,5 @@ def pack(docs: DataFrame, path: str, *, length: int = LENGTH, per_range: int = 4
     return (
         ranged.repartitionById(len(edges) + 1, F.col("range"))
         .sortWithinPartitions("range", "key", "doc_id", "ids")
-        .mapInArrow(lay, PIECES + ", ids binary")
+        .mapInArrow(tidy(lay), PIECES + ", ids binary")
     )

@@ -44,11 +44,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blobs, discard, mix64, padded, range_hashes, record_batch, staged
+from .common import arrow_schema, blobs, discard, mix64, padded, range_hashes, record_batch, staged, tidy
 
 GRAM, SHALLOW = 16, 16
 CHUNK, BUCKET = 16 << 20, 64 << 20
 COLD = 4096
+#: Windows that are sorted at a time, about.
+WINDOWS = 400_000
 
 
 # --- anchors --------------------------------------------------------------------------------------------------------
@@ -156,7 +158,7 @@ def chunks(docs: DataFrame) -> DataFrame:
         if texts:
             yield flush(ids, texts)
 
-    return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), CHUNKS)
 
 
 class Chunk:
@@ -259,7 +261,7 @@ def shared_anchors(table: DataFrame, length: int, buckets: int) -> DataFrame:
                         out[k].append(v)
             yield record_batch(out, answers)
 
-    return _dealt(table.mapInArrow(give, _HELD), buckets).mapInArrow(answer, _ANSWERS)
+    return _dealt(table.mapInArrow(tidy(give), _HELD), buckets).mapInArrow(tidy(answer), _ANSWERS)
 
 
 # --- suffix sorting -------------------------------------------------------------------------------------------------
@@ -405,7 +407,27 @@ def shared_cuts(table: DataFrame, answers: DataFrame, length: int, buckets: int)
                     out[f].append(v)
             yield record_batch(out, target)
 
-    return table.join(by_chunk, "chunk").mapInArrow(cut, _CUTS)
+    return table.join(by_chunk, "chunk").mapInArrow(tidy(cut), _CUTS)
+
+
+def gone_windows(buf: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of strings that are sorted by the hash of their anchor: number of the string, start and stop of its runs of
+    windows that a smaller doc has too. Only windows of one hash can be equal, so some hashes are sorted at a time."""
+    n = size - length + 1
+    cuts = _runs(hashes)
+    upto = np.concatenate([[0], np.cumsum(n)])[cuts]
+    found, k = [(np.zeros(0, np.int64),) * 3], 0
+    while k < len(cuts) - 1:
+        end = max(k + 1, int(np.searchsorted(upto, upto[k] + WINDOWS, "right")) - 1)
+        own = np.arange(cuts[k], cuts[end])
+        owner, inner = np.repeat(own, n[own]), _within(n[own])
+        order, strings = deep_shallow_sort(buf, at[owner] + inner, length)
+        place = np.flatnonzero(doc[owner] > least_of(order, strings, doc[owner]))
+        runs = _runs(owner[place], place - np.arange(len(place)))
+        a, z = place[runs[:-1]], place[runs[1:] - 1]
+        found.append((owner[a], inner[a], inner[z] + length))
+        k = end
+    return tuple(np.concatenate([x[c] for x in found]) for c in range(3))
 
 
 def repeated_spans(cuts: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -430,15 +452,7 @@ def repeated_spans(cuts: DataFrame, length: int, buckets: int) -> DataFrame:
             one = one[np.argsort(hashes[one], kind="stable")]
             kinds = np.diff(_runs(hashes[one]))
             one = one[np.repeat(kinds > 1, kinds)]
-            n = size[one] - length + 1
-            owner, inner = np.repeat(np.arange(len(one)), n), _within(n)
-            window_order, windows = deep_shallow_sort(buf, at[one][owner] + inner, length)
-            own = least[one][owner]
-            gone = own > least_of(window_order, windows, own)
-            # runs of windows that go, by string
-            place = np.flatnonzero(gone)
-            runs = _runs(owner[place], place - np.arange(len(place)))
-            run_owner, run_start, run_stop = owner[place[runs[:-1]]], inner[place[runs[:-1]]], inner[place[runs[1:] - 1]] + length
+            run_owner, run_start, run_stop = gone_windows(buf, at[one], size[one], least[one], hashes[one], length)
             # every cut: whole where a smaller doc has it, else the runs of its string
             string = np.empty(len(at), np.int64)
             string[order] = np.repeat(np.arange(len(strings) - 1), np.diff(strings))
@@ -467,7 +481,7 @@ def repeated_spans(cuts: DataFrame, length: int, buckets: int) -> DataFrame:
                     out[name].append(v)
             yield record_batch(out, target)
 
-    return _dealt(cuts, buckets).mapInArrow(sort, _SPANS)
+    return _dealt(cuts, buckets).mapInArrow(tidy(sort), _SPANS)
 
 
 # --- the operator ---------------------------------------------------------------------------------------------------
@@ -513,4 +527,4 @@ def remove_repeats(docs: DataFrame, *, length: int = 50, with_text: bool = False
                 }
                 yield record_batch(out, target)
 
-    return table.join(by_chunk, "chunk", "left").mapInArrow(cut, schema)
+    return table.join(by_chunk, "chunk", "left").mapInArrow(tidy(cut), schema)

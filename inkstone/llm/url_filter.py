@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, map_batches, record_batch, arrow_schema
+from .common import arrow_schema, blobs, map_batches, record_batch, tidy
 
 WORD = re.compile(rb"[A-Za-z0-9]+")
 #: Rules are broadcast with the function that uses them; more than this are refused rather than sent to every task.
@@ -78,7 +78,7 @@ def token_counts(urls: DataFrame, wanted: frozenset[bytes]) -> dict[bytes, int]:
                 seen.update(wanted & tokens(*split_url(url)))
         yield record_batch({"token": list(seen), "n": list(seen.values())}, target)
 
-    rows = urls.select("url").mapInArrow(count, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = urls.select("url").mapInArrow(tidy(count), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n"))
     return {bytes(r["token"]): r["n"] for r in rows.collect()}
 
 
