@@ -70,13 +70,20 @@ def normalize_quotes(text: Column) -> Column:
 
 
 def strip_tracking(text: Column) -> Column:
-    """Drops tracking parameters, one after the other; `?` stays where other parameters follow."""
-    for p in TRACKING_PARAMETERS:
-        value = rf"{p}=[^&\s\p{{Z}})\]]*"
-        for _ in range(4):
-            text = _replace(text, rf"\?{value}&", "?")
-        text = _replace(text, rf"[?&]{value}")
-    return text
+    """Drops tracking parameters, one after the other; `?` stays where other parameters follow. Texts without any are
+    looked at once."""
+
+    def strip(text: Column) -> Column:
+        for p in TRACKING_PARAMETERS:
+            value = rf"{p}=[^&\s\p{{Z}})\]]*"
+            for _ in range(4):
+                text = _replace(text, rf"\?{value}&", "?")
+            text = _replace(text, rf"[?&]{value}")
+        return text
+
+    any_of = "[?&](?:" + "|".join(TRACKING_PARAMETERS) + ")="
+    # bound in an array function, so that the steps before it are not repeated in each branch
+    return F.element_at(F.transform(F.array(text), lambda t: F.when(t.rlike(any_of), strip(t)).otherwise(t)), 1)
 
 
 CHAIN = [

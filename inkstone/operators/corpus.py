@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import clean
 from ..functions import tokens as K
+from ..stage import staged
 
 
 def content_hash(df: DataFrame, column: str = "text") -> DataFrame:
@@ -100,6 +102,29 @@ def chunk(samples: DataFrame, max_words: int, *, paragraph: str = "\n\n") -> Dat
     return samples.select("doc_id", "text").mapInPandas(run, schema)
 
 
+def ingest(samples: DataFrame, *, max_words: int, existing: DataFrame | None = None, cleaned: bool = True, paragraph: str = "\n\n") -> tuple[DataFrame, DataFrame]:
+    """The whole way of new samples (doc_id, text, context_tag): cleaned, those known before or earlier left out, cut into
+    chunks. Gives the chunks (doc_id, context_tag, chunk_index, text) and a report: a row for each context (samples,
+    skipped, chunks, words), and one for all with context null."""
+    rows = samples.select("doc_id", "context_tag", (clean.clean(F.col("text")) if cleaned else F.col("text")).alias("text"))
+    rows = content_hash(staged(rows, "ingest-samples"))
+    new = dedupe(rows, existing).select("content_hash", "doc_id")
+    kept = rows.join(new, ["content_hash", "doc_id"], "left_semi").dropDuplicates(["content_hash"])
+    tags = rows.select("doc_id", "context_tag").dropDuplicates(["doc_id"])
+    chunks = staged(chunk(kept, max_words, paragraph=paragraph).join(tags, "doc_id"), "ingest-chunks")
+    count = F.count(F.lit(1))
+    read = rows.groupBy("context_tag").agg(count.alias("read"))
+    some = kept.groupBy("context_tag").agg(count.alias("samples"))
+    cut = chunks.groupBy("context_tag").agg(count.alias("chunks"), F.sum(K.unicode_word_count(F.col("text"))).alias("words"))
+    tag = F.coalesce("context_tag", F.lit("none")).alias("context")
+    found = [t.select(tag, *[F.col(c) for c in t.columns if c != "context_tag"]) for t in (read, some, cut)]
+    by_context = found[0].join(found[1], "context", "left").join(found[2], "context", "left").fillna(0)
+    report = by_context.select("context", "samples", (F.col("read") - F.col("samples")).alias("skipped"), "chunks", "words")
+    numbers = ("samples", "skipped", "chunks", "words")
+    total = report.agg(*[F.sum(c).alias(c) for c in numbers]).select(F.lit(None).cast("string").alias("context"), *numbers)
+    return chunks.select("doc_id", "context_tag", "chunk_index", "text"), report.unionByName(total)
+
+
 def training_rows(samples: DataFrame, style: str = "chat", *, instruction: str = "Write in the author's style.") -> DataFrame:
     """doc_id and JSON rows for training: chat messages, prompt and completion, or plain text; samples of 20 words at
     least."""

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import AUTHOR_VALID, BANNED_PHRASES, BANNED_WORDS, DISTANCE_WEIGHTS, FUNCTION_WORDS, HISTOGRAM_CENTERS
 from ..functions.tokens import count_of, plain_word_count, unicode_word_count
+from ..stage import staged
 from . import features as ft
 from .features import rounded
 
@@ -28,7 +29,9 @@ class Counts:
 
     @classmethod
     def of(cls, texts: DataFrame) -> Counts:
-        return cls(ft.sums(texts), ft.word_counts(texts), ft.trigrams(texts))
+        """Written to the shared folder, since all measures rest on them: texts are read once for each table."""
+        tables = {"sums": ft.sums(texts), "words": ft.word_counts(texts), "grams": ft.trigrams(texts)}
+        return cls(*(staged(table, f"style-{name}") for name, table in tables.items()))
 
     def merged(self, key: Column) -> Counts:
         """Summed by a coarser key, given in terms of k."""
@@ -87,6 +90,30 @@ def histogram_emd(a: Column, b: Column) -> Column:
     return clamp(total / (HISTOGRAM_CENTERS[-1] - HISTOGRAM_CENTERS[0]))
 
 
+def sentence_shift(mean: Column, sd: Column, own_mean: Column, own_sd: Column) -> Column:
+    """Distance of sentence lengths from a profile that has no histogram: relative shifts of mean and deviation."""
+    by_mean = F.abs((mean - own_mean) / F.greatest(own_mean, F.lit(1.0)))
+    by_sd = F.when(own_sd > 0, F.abs((sd - own_sd) / own_sd)).otherwise(0.0)
+    return clamp((by_mean + by_sd) / 2)
+
+
+def fingerprint(texts: DataFrame) -> DataFrame:
+    """The whole profile by k: dense measures, lengths of words, sentences and paragraphs as structs, frequencies of
+    function words as a map, the most frequent trigrams in order, vocabulary_size, banned and preferred words."""
+    counts = Counts.of(texts)
+    style = Style.of(counts)
+    stats = F.struct("mean", "sd", "median", "p95")
+    kinds = ("word", "sentence", "paragraph")
+    lengths = ft.length_table(texts).groupBy("k").agg(*[F.max(F.when(F.col("kind") == x, stats)).alias(f"{x}_length") for x in kinds])
+    words = ft.function_words(counts.words).groupBy("k").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", "freq")))).alias("function_words"))
+    top = ft.top_trigrams(counts.grams).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("rank", "gram", "n"))).alias("t"))
+    grams = top.select("k", F.transform("t", lambda x: F.struct(x["gram"].alias("gram"), x["n"].alias("n"))).alias("ngram_profile"))
+    out = style.dense.drop("tokens", "types")
+    for part in (lengths, words, grams, ft.vocabulary(counts.words)):
+        out = out.join(part, "k", "left")
+    return out
+
+
 def slop(text: Column) -> Column:
     """Density of formulaic words and (twice) phrases, 1 at five in a hundred words."""
     low = F.lower(text)
@@ -118,7 +145,9 @@ def distances(texts: Style, profiles: Style, pairs: DataFrame, slops: DataFrame
     syllables = F.when(y("avg_syllables") > 0, F.abs((x("avg_syllables") - y("avg_syllables")) / y("avg_syllables"))).otherwise(0.0)
     yule = F.when(y("yule_k") > 0, F.abs((x("yule_k") - y("yule_k")) / F.greatest(y("yule_k"), F.lit(50.0)))).otherwise(0.0)
     parts = {
-        "sentences": F.when((x("mean") == 0) | (y("mean") == 0), 0.5).otherwise(histogram_emd(x("histogram"), y("histogram"))),
+        "sentences": F.when((x("mean") == 0) | (y("mean") == 0), 0.5)
+        .when(y("histogram").isNull(), sentence_shift(x("mean"), x("sd"), y("mean"), y("sd")))
+        .otherwise(histogram_emd(x("histogram"), y("histogram"))),
         "terminal": clamp((off("question", 10) + off("exclamation", 10)) / 2),
         "structural": clamp((off("em_dash", 20) + off("semicolon", 10) + off("colon", 10) + off("paren", 20)) / 4),
         "readability": clamp((relative(x("flesch_kincaid"), y("flesch_kincaid")) + relative(x("coleman_liau"), y("coleman_liau")) + syllables) / 3),

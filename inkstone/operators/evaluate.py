@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..stage import staged
+from . import distance
+from .corpus import holdout_split
+
 STANDARD_BUCKETS = ["off-domain", "canon-adjacent", "longform", "shortform"]
 
 
@@ -54,25 +58,69 @@ def buckets(records: DataFrame) -> DataFrame:
     return got.unionByName(missing, allowMissingColumns=True).fillna(0, ["count", "failed"])
 
 
-def _keep(rows: DataFrame, score: str) -> DataFrame:
-    """The better half and one more, two at least; combos are few."""
-    every = Window.partitionBy(F.lit(0))
-    n = F.count(F.lit(1)).over(every)
-    at = F.row_number().over(every.orderBy(F.asc_nulls_last(score), "combo"))
-    rows = rows.withColumn("_n", n).withColumn("_at", at)
-    return rows.where(F.col("_at") <= F.least(F.col("_n"), F.greatest(F.floor(F.col("_n") / 2) + 1, F.lit(2)))).drop("_n", "_at")
+def _gate(rows: DataFrame, score: str, name: str) -> DataFrame:
+    """rows with {name}: whether they pass, for those that passed before: the better half and one more, two at least;
+    combos are few."""
+    own = Window.partitionBy("in_play")
+    n = F.count(F.lit(1)).over(own)
+    at = F.row_number().over(own.orderBy(F.asc_nulls_last(score), "combo"))
+    rows = rows.withColumn("_keep", F.col("in_play") & (at <= F.least(n, F.greatest(F.floor(n / 2) + 1, F.lit(2)))))
+    return rows.withColumn(name, F.when(F.col("in_play"), F.col("_keep"))).withColumn("in_play", F.col("_keep")).drop("_keep")
 
 
-def winner(stats: DataFrame) -> DataFrame:
-    """The combo that passes three gates: least leakage off the domain, least punctuation distance, least distance."""
-    overall = stats.where("bucket = 'overall' and count > 0")
+def gates(stats: DataFrame) -> DataFrame:
+    """combo, off_domain_leakage, voice, overall_distance, gate (that eliminates it: 0 no success, 1 leakage off the domain,
+    2 punctuation, 3 distance; null for the winner) and reasons, in order."""
+    overall = stats.where("bucket = 'overall'")
     off = stats.where("bucket = 'off-domain' and count > 0").select("combo", F.col("mean_leakage").alias("off"))
     rows = overall.join(off, "combo", "left").withColumn("off_domain_leakage", F.coalesce("off", "mean_leakage"))
-    rows = rows.withColumn("voice", F.col("mean_terminal") + F.col("mean_structural"))
-    last = _keep(_keep(rows, "off_domain_leakage"), "voice")
-    return last.orderBy(F.asc_nulls_last("mean_distance"), "combo").limit(1).select(
-        "combo", "off_domain_leakage", F.round("voice", 6).alias("voice"), F.col("mean_distance").alias("overall_distance")
-    )
+    rows = rows.withColumn("voice", F.col("mean_terminal") + F.col("mean_structural")).withColumn("in_play", F.col("count") > 0)
+    rows = _gate(_gate(rows, "off_domain_leakage", "g1"), "voice", "g2")
+    best = Window.partitionBy("in_play").orderBy(F.asc_nulls_last("mean_distance"), "combo")
+    rows = rows.withColumn("g3", F.when(F.col("in_play"), F.row_number().over(best) == 1))
+    gate = F.when(F.col("count") == 0, 0).when(~F.col("g1"), 1).when(~F.col("g2"), 2).when(~F.col("g3"), 3)
+    said = lambda g, form, x: F.when(F.col(g).isNotNull(), F.format_string(form, F.col(x), F.when(F.col(g), "PASS").otherwise("ELIMINATED")))
+    reasons = F.array_compact(F.array(
+        F.when(F.col("count") == 0, "no successful generation"), said("g1", "G1 leak=%.4f %s", "off_domain_leakage"), said("g2", "G2 voice_dist=%.4f %s", "voice"),
+        F.when(F.col("g3"), F.format_string("WINNER dist=%.3f leak=%.4f", F.col("mean_distance"), F.col("off_domain_leakage"))),
+    ))
+    return rows.select("combo", "off_domain_leakage", F.round("voice", 6).alias("voice"), F.col("mean_distance").alias("overall_distance"), gate.alias("gate"), reasons.alias("reasons"))
+
+
+def winner(stats: DataFrame) -> DataFrame:
+    """The combo that passes all gates; no row if none has a success."""
+    return gates(stats).where("gate is null").drop("gate", "reasons")
+
+
+def voice_fidelity(distances: DataFrame) -> DataFrame:
+    """One row: mean distance of samples (overall) from a profile, 1 without any, and their number."""
+    return distances.agg(F.coalesce(F.round(F.avg(F.col("overall").cast("decimal(20,6)")).cast("double"), 6), F.lit(1.0)).alias("voice"), F.count(F.lit(1)).alias("samples"))
+
+
+def bench(samples: DataFrame, *, ratio: float = 0.1, creative: float = 72.0, smoke: bool = False) -> DataFrame:
+    """One row: how near the held-out samples (doc_id, text) are to the profile of all others, their mean slop, the given
+    creative score, and the combined score. smoke: the first three of them only."""
+    split = holdout_split(samples, ratio)
+    held = split.where("held_out")
+    if smoke:
+        held = held.orderBy("doc_id").limit(3)
+    texts = held.select(F.col("doc_id").alias("k"), "text")
+    profile = distance.Style.of(split.where("not held_out").select(F.lit("train").alias("k"), "text"))
+    pairs = staged(texts.select("k", F.lit("train").alias("p")), "bench-pairs")
+    slops = texts.select("k", distance.slop(F.col("text")).alias("slop"))
+    voice = voice_fidelity(distance.distances(distance.Style.of(texts), profile, pairs, slops))
+    slop = texts.agg(F.coalesce(F.round(F.avg(F.round(distance.slop_presence(F.col("text")).cast("double"), 6).cast("decimal(20,6)")).cast("double"), 6), F.lit(0.0)).alias("slop"))
+    both = voice.crossJoin(F.broadcast(slop)).withColumn("creative", F.lit(creative))  # one row each
+    return both.withColumn("combined", F.round(combined(F.col("voice"), F.col("slop"), F.col("creative")), 6))
+
+
+def grid(prompts: DataFrame, seeds: list[int], formats: list[str], modes: list[str]) -> DataFrame:
+    """prompts with seed, format, mode and combo: each prompt with each combination, whose lists are short parameters."""
+    each = lambda name, values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    rows = prompts
+    for name, values in (("seed", seeds), ("format", formats), ("mode", modes)):
+        rows = rows.select("*", each(name, values))
+    return rows.withColumn("combo", F.concat_ws(" + ", "format", "mode"))
 
 
 def combined(voice: Column, slop: Column, creative: Column) -> Column:

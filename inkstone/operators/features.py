@@ -232,6 +232,27 @@ def length_stats(values: DataFrame) -> DataFrame:
     )
 
 
+def lengths(texts: DataFrame) -> DataFrame:
+    """k, kind (word, sentence, paragraph), n: lengths of words in characters, and of sentences and paragraphs in words;
+    those without a word are left out."""
+    t = F.col("text")
+    count = lambda parts: F.transform(parts, lambda p: K.unicode_word_count(p).cast("long"))
+    kinds = {
+        "word": F.transform(K.unicode_words(t), lambda w: F.length(w).cast("long")),
+        "sentence": count(sentences(t)),
+        "paragraph": count(K.paragraphs(t)),
+    }
+    each = F.map_from_arrays(F.array(*[F.lit(k) for k in kinds]), F.array(*kinds.values()))
+    rows = texts.where("text is not null").select("k", F.explode(each).alias("kind", "values"))
+    return rows.select("k", "kind", F.explode("values").alias("n")).where("n > 0")
+
+
+def length_table(texts: DataFrame) -> DataFrame:
+    """k, kind, mean, sd, median, p95."""
+    values = lengths(texts).select(F.struct("k", "kind").alias("k"), "n")
+    return length_stats(values).select("k.k", "k.kind", "mean", "sd", "median", "p95")
+
+
 def repetition(text: Column) -> Column:
     """Share of runs of four plain words that occurred before in the text; 0 under 20 words."""
     return bind(

@@ -68,6 +68,18 @@ def choose(candidates: DataFrame) -> DataFrame:
     return best.select("prompt_id", "best.*", "candidates")
 
 
+def decode(candidates: DataFrame, *, max_attempts: int = 3) -> DataFrame:
+    """Of each prompt the best passing candidate of the first attempt that has one; if none has, the best of the last
+    attempt. candidates (prompt_id, attempt, candidate_index, rank_score, passed); later attempts than max_attempts are
+    never made."""
+    rows = candidates.where(F.col("attempt") <= max_attempts)
+    # attempts of a prompt are few, so a key tells them apart: passing ones by attempt, others from the last one back
+    failed = ~F.col("passed")
+    key = F.struct(failed, F.when(failed, -F.col("attempt")).otherwise(F.col("attempt")).alias("a"), "rank_score", "candidate_index")
+    best = rows.groupBy("prompt_id").agg(F.min_by(F.struct("attempt", "candidate_index", "rank_score", "passed"), key).alias("best"))
+    return best.select("prompt_id", "best.*")
+
+
 def mine_pairs(candidates: DataFrame, *, min_margin: float = 0.03, min_relevance: float = 0.3) -> DataFrame:
     """Of each prompt with two candidates at least, the best and the middle one, if far enough apart and the best is
     relevant. (prompt_id, candidate_index, distance, relevance)"""

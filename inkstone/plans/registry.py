@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import clean, tokens
+from ..functions import clean, prompts, tokens
 from ..functions.constants import BANNED_WORDS
 from ..operators import corpus, distance, evaluate, lexicon, rank
 from ..operators import features as ft
 from ..operators.sentences import sentences
+from ..stage import staged
 from . import sql as S
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,17 +241,19 @@ _SOURCE_STYLE = f"""WITH {BY_SOURCE}, whole AS (SELECT 'corpus' AS k, doc_id AS
 
 def source_styles(spark: SparkSession, sf_dir: str) -> tuple[distance.Style, distance.Style, DataFrame]:
     rows = docs(spark, sf_dir)
-    pairs = rows.select(F.col("source").alias("k")).distinct().withColumn("p", F.lit("corpus"))
     counts = distance.Counts.of(keyed(rows, "source"))
-    return distance.Style.of(counts), distance.Style.of(counts.merged(F.lit("corpus"))), pairs
+    pairs = staged(counts.sums.select("k", F.lit("corpus").alias("p")), "pairs")
+    whole = counts.merged(F.lit("corpus"))
+    whole = distance.Counts(*(staged(t, "style-whole") for t in (whole.sums, whole.words, whole.grams)))
+    return distance.Style.of(counts), distance.Style.of(whole), pairs
 
 
 @query(f"{_SOURCE_STYLE}, {S.cosine_cte('c', 'a_grams', 'b_grams', 'gram').strip()} SELECT k AS source, d AS distance FROM c")
 def q22_trigram_distance(spark, sf_dir):
     rows = docs(spark, sf_dir)
-    own = ft.trigrams(keyed(rows, "source"))
-    every = own.groupBy(F.lit("corpus").alias("k"), "gram").agg(F.sum("n").alias("n"))
-    pairs = rows.select(F.col("source").alias("k")).distinct().withColumn("p", F.lit("corpus"))
+    own = staged(ft.trigrams(keyed(rows, "source")), "trigrams")
+    every = staged(own.groupBy(F.lit("corpus").alias("k"), "gram").agg(F.sum("n").alias("n")), "trigrams")
+    pairs = staged(own.select("k").distinct().withColumn("p", F.lit("corpus")), "pairs")
     return distance.cosine_distance(ft.top_trigrams(own), ft.top_trigrams(every), pairs, "gram").select(F.col("k").alias("source"), "distance")
 
 
@@ -277,14 +280,19 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The distance of each candidate from the corpus, with its parts; k is the candidate_index."""
+    texts = candidates(spark, sf_dir).select(F.col("candidate_index").alias("k"), F.col("output").alias("text"))
+    slops = texts.select("k", distance.slop(F.col("text")).alias("slop"))
+    # written, the profile's name is no constant that the optimizer would take out of joins
+    pairs = staged(texts.select("k", F.lit("corpus").alias("p")), "pairs")
+    return distance.distances(distance.Style.of(texts), distance.Style.of(keyed(docs(spark, sf_dir), F.lit("corpus"))), pairs, slops)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates with distance from the corpus, relevance, repetition, rank score and whether they pass."""
     rows = candidates(spark, sf_dir)
-    texts = rows.select(F.col("candidate_index").alias("k"), F.col("output").alias("text"))
-    slops = texts.select("k", distance.slop(F.col("text")).alias("slop"))
-    every = docs(spark, sf_dir)
-    pairs = texts.select("k", F.lit("corpus").alias("p"))
-    found = distance.distances(distance.Style.of(texts), distance.Style.of(keyed(every, F.lit("corpus"))), pairs, slops)
+    found = measured(spark, sf_dir)
     out = F.col("output")
     rows = rows.select(
         "prompt_id", F.col("candidate_index").alias("k"),
@@ -372,27 +380,34 @@ def q31_leakage(spark, sf_dir):
     return rows.select("conv_id", "turn", "leaked", F.col("checkable").cast("long").alias("checkable"), "leakage")
 
 
+FORMATS, MODES = ["chat", "completions", "text"], ["wrapped", "raw"]
+CATEGORIES = ["travel", "canon-adjacent", "longform", "shortform", "technology"]
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Evaluation records: labelled documents, by combo of language and quality, with measures of their own."""
-    d = docs(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
-    x = F.col("doc_id")
-    return d.select(
-        x, F.concat_ws(" + ", "lang", F.col("quality").cast("string")).alias("combo"), "source",
-        evaluate.bucket_of(F.element_at(F.array(*[F.lit(c) for c in CATEGORIES]), (x % 5 + 1).cast("int"))).alias("bucket"),
-        F.when(F.col("toxic") == 1, "failed").otherwise("ok").alias("status"),
-        ((x * 37 % 1000) / 1000.0).cast("double").alias("distance"), ((x * 11 % 100) / 1000.0).cast("double").alias("leakage"),
-        ((x * 7 % 50) / 100.0).cast("double").alias("terminal"), ((x * 3 % 40) / 100.0).cast("double").alias("structural"),
+    """Evaluation records: exchanges, each given to a combo and a category by its conversation, with the measured distance
+    from the corpus, its parts, and the leakage of a lexicon; one that the filter rejects has failed."""
+    rows = candidates(spark, sf_dir).withColumn("x", F.floor(F.col("candidate_index") / 1000))
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), n.cast("int") + 1)
+    x = F.col("x")
+    leaked = lexicon.leakage(rows, LEXICON).select(
+        "candidate_index", "prompt", F.concat_ws(" + ", pick(FORMATS, x % 3), pick(MODES, F.floor(x / 3) % 2)).alias("combo"),
+        evaluate.bucket_of(pick(CATEGORIES, x % 5)).alias("bucket"),
+        F.when(F.size(rank.rejections(F.col("output"))) > 0, "failed").otherwise("ok").alias("status"), "leakage",
     )
+    return leaked.join(measured(spark, sf_dir).select(F.col("k").alias("candidate_index"), F.col("overall").alias("distance"), "terminal", "structural"), "candidate_index")
 
 
-CATEGORIES = ["travel", "canon-adjacent", "longform", "shortform", "technology"]
-_RECORDS = f"""rec AS (SELECT doc_id, lang || ' + ' || quality AS combo, source, CASE WHEN c IN ('canon-adjacent', 'longform', 'shortform') THEN c ELSE 'off-domain' END AS bucket,
-CASE WHEN toxic = 1 THEN 'failed' ELSE 'ok' END AS status, (doc_id * 37 % 1000) / CAST(1000 AS DOUBLE) AS distance, (doc_id * 11 % 100) / CAST(1000 AS DOUBLE) AS leakage,
-(doc_id * 7 % 50) / CAST(100 AS DOUBLE) AS terminal, (doc_id * 3 % 40) / CAST(100 AS DOUBLE) AS structural
-FROM (SELECT *, [{S.literals(CATEGORIES)}][1 + doc_id % 5] AS c FROM documents JOIN labels USING (doc_id)))"""
-_AVG = lambda x: f"round(CAST(sum(CAST({x} AS DECIMAL(20,6))) FILTER (WHERE status = 'ok') AS DOUBLE) / nullif(count(*) FILTER (WHERE status = 'ok'), 0), 6)"
+_RECORDS = f"""{_SCORED}, lk AS (SELECT candidate_index, prompt, output, lower(output) AS o, conv_id AS x, list_filter([{S.literals(LEXICON)}], lambda t: NOT {_WHOLE('lower(prompt)', 't')}) AS free
+  FROM (SELECT conv_id, conv_id * 1000 + turn AS candidate_index, prompt, output FROM ex)),
+lm AS (SELECT *, list_filter(free, lambda t: {_WHOLE('o', 't')}) AS leaked, [{S.literals(CATEGORIES)}][1 + x % 5] AS c FROM lk),
+rec AS (SELECT lm.candidate_index, prompt, [{S.literals(FORMATS)}][1 + x % 3] || ' + ' || [{S.literals(MODES)}][1 + (x // 3) % 2] AS combo,
+  CASE WHEN c IN ('canon-adjacent', 'longform', 'shortform') THEN c ELSE 'off-domain' END AS bucket, CASE WHEN passed THEN 'ok' ELSE 'failed' END AS status,
+  round(CASE WHEN len(free) > 0 THEN CAST(len(leaked) AS DOUBLE) / len(free) ELSE 0 END, 6) AS leakage, d.overall AS distance, d.terminal, d.structural
+  FROM lm JOIN scored USING (candidate_index) JOIN dist d ON d.k = lm.candidate_index)"""
+_AVG = lambda x: S.mean6(x, "FILTER (WHERE status = 'ok')")
 _STATS = f"""count(*) FILTER (WHERE status = 'ok') AS count, count(*) FILTER (WHERE status = 'failed') AS failed, {_AVG('distance')} AS mean_distance,
-round(quantile_cont(distance, 0.5) FILTER (WHERE status = 'ok'), 6) AS median_distance, round(var_pop(distance) FILTER (WHERE status = 'ok'), 6) AS variance_distance,
+floor(quantile_cont(round(distance * 1000000), 0.5) FILTER (WHERE status = 'ok') + 0.5) / 1000000 AS median_distance, round(var_pop(distance) FILTER (WHERE status = 'ok'), 6) AS variance_distance,
 {_AVG('leakage')} AS mean_leakage, max(leakage) FILTER (WHERE status = 'ok') AS worst_leakage, {_AVG('terminal')} AS mean_terminal, {_AVG('structural')} AS mean_structural"""
 _BUCKETS = f"""{_RECORDS}, every AS (SELECT *, 'overall' AS b FROM rec UNION ALL SELECT *, bucket AS b FROM rec),
 frame AS (SELECT DISTINCT combo, unnest(['overall', {S.literals(evaluate.STANDARD_BUCKETS)}]) AS b FROM rec),
@@ -401,21 +416,24 @@ buckets AS (SELECT frame.combo, frame.b AS bucket, coalesce(count, 0) AS count,
   FROM frame LEFT JOIN stats ON stats.combo = frame.combo AND stats.b = frame.b)"""
 
 
-@query(f"""WITH {_RECORDS} SELECT {', '.join(f"round(CAST(sum(CAST({m} AS DECIMAL(20,6))) AS DOUBLE) / count(*), 6) AS mean_{m}" for m in ('distance', 'leakage', 'terminal', 'structural'))},
-round(quantile_cont(distance, 0.5), 6) AS median_distance, count(DISTINCT source) AS prompts, count(*) AS records FROM rec""")
+@query(f"""{_RECORDS} SELECT {', '.join(f"{S.mean6(m)} AS mean_{m}" for m in ('distance', 'leakage', 'terminal', 'structural'))},
+floor(quantile_cont(round(distance * 1000000), 0.5) + 0.5) / 1000000 AS median_distance, count(DISTINCT prompt) AS prompts, count(*) AS records FROM rec""")
 def q32_eval_summary(spark, sf_dir):
-    return evaluate.summary(records(spark, sf_dir), ["distance", "leakage", "terminal", "structural"], prompt="source")
+    return evaluate.summary(records(spark, sf_dir), ["distance", "leakage", "terminal", "structural"])
 
 
-@query(f"WITH {_BUCKETS} SELECT * FROM buckets")
+@query(f"{_BUCKETS} SELECT * FROM buckets")
 def q33_bucket_rollup(spark, sf_dir):
     return evaluate.buckets(records(spark, sf_dir))
 
 
-@query(f"""WITH {_BUCKETS}, g0 AS (SELECT o.*, coalesce(x.mean_leakage, o.mean_leakage) AS off_domain_leakage, o.mean_terminal + o.mean_structural AS voice FROM buckets o
+_GATES = """g0 AS (SELECT o.*, coalesce(x.mean_leakage, o.mean_leakage) AS off_domain_leakage, o.mean_terminal + o.mean_structural AS voice FROM buckets o
 LEFT JOIN buckets x ON x.combo = o.combo AND x.bucket = 'off-domain' AND x.count > 0 WHERE o.bucket = 'overall' AND o.count > 0),
 g1 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY off_domain_leakage, combo) AS r1, count(*) OVER () AS n1 FROM g0) WHERE r1 <= least(n1, greatest(n1 // 2 + 1, 2))),
-g2 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY voice, combo) AS r2, count(*) OVER () AS n2 FROM g1) WHERE r2 <= least(n2, greatest(n2 // 2 + 1, 2)))
+g2 AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY voice, combo) AS r2, count(*) OVER () AS n2 FROM g1) WHERE r2 <= least(n2, greatest(n2 // 2 + 1, 2)))"""
+
+
+@query(f"""{_BUCKETS}, {_GATES}
 SELECT combo, off_domain_leakage, round(voice, 6) AS voice, mean_distance AS overall_distance FROM g2 ORDER BY mean_distance, combo LIMIT 1""")
 def q34_winner(spark, sf_dir):
     return evaluate.winner(evaluate.buckets(records(spark, sf_dir)))
@@ -440,7 +458,7 @@ def q36_training_rows(spark, sf_dir):
     return rows.select("doc_id", F.sha2(content.cast("binary"), 256).alias("text_sha"), tokens.unicode_word_count(content).cast("long").alias("words"))
 
 
-@query()
+@query(f"WITH RECURSIVE {S.chunks_cte('documents', 200, chr(10)).strip()} SELECT doc_id, chunk_index, text FROM chunks")
 def q37_chunks(spark, sf_dir):
     return corpus.chunk(docs(spark, sf_dir), 200, paragraph="\n")
 
@@ -478,6 +496,198 @@ def q41_logit_bias(spark, sf_dir):
     return bias.select(F.col("k").alias("source"), F.explode("bias").alias("word", "bias")).withColumn("bias", F.col("bias").cast("double"))
 
 
+@query(f"""WITH {BY_DOC}, {S.sentences_cte('src').strip()}, d AS (SELECT doc_id, source AS k, {S.words('text')} AS w, {S.paragraphs("replace(text, chr(10), chr(10) || chr(10))")} AS p FROM documents),
+l AS (SELECT k, list_transform(w, lambda x: length(x)) AS w, list_transform(p, lambda x: len({S.words('x')})) AS p, [] AS s FROM d
+UNION ALL SELECT source, [], [], [len({S.words('sentence')})] FROM sents JOIN documents ON doc_id = k)
+{S.length_table({'word': 'w', 'paragraph': 'p', 'sentence': 's'}, 'l')}""")
+def q42_length_table(spark, sf_dir):
+    # sentences are the same with single and double line feeds
+    text = F.replace("text", F.lit("\n"), F.lit("\n\n"))
+    return ft.length_table(docs(spark, sf_dir).select(F.col("source").alias("k"), text.alias("text")))
+
+
+@query(f"""{_SOURCE_STYLE}, lens AS ({S.length_table({'word': f"list_transform({S.words('text')}, lambda x: length(x))"}, 'src')}),
+fw AS (SELECT k, sha256(string_agg(word || ' ' || n, ',' ORDER BY word)) AS words_sha, count(*) AS n_function_words FROM a_words GROUP BY k),
+ng AS (SELECT k, sha256(string_agg(gram || ' ' || n, ',' ORDER BY n DESC, gram)) AS grams_sha, count(*) AS n_grams FROM a_grams GROUP BY k),
+voc AS (SELECT k, count(*) AS vocabulary_size, list_sort(list_filter([{S.BANNED}], lambda b: NOT list_contains(list(word), b))) AS banned FROM a_wc GROUP BY k)
+SELECT k AS source, n_words, round(lens.mean, 6) AS word_mean, lens.sd AS word_sd, lens.median AS word_median, lens.p95 AS word_p95, a_dense.mean AS sentence_mean, em_dash, flesch_kincaid, yule_k,
+n_function_words, grams_sha, n_grams, vocabulary_size, banned FROM a_dense JOIN lens USING (k) JOIN fw USING (k) JOIN ng USING (k) JOIN voc USING (k)""")
+def q43_fingerprint_record(spark, sf_dir):
+    rows = distance.fingerprint(keyed(docs(spark, sf_dir), "source"))
+    grams = F.array_join(F.transform("ngram_profile", lambda g: F.concat(g["gram"], F.lit(" "), g["n"].cast("string"))), ",")
+    word = F.col("word_length")
+    return rows.select(
+        F.col("k").alias("source"), "n_words", *[word[x].alias(f"word_{x}") for x in ("mean", "sd", "median", "p95")], F.col("mean").alias("sentence_mean"), "em_dash",
+        "flesch_kincaid", "yule_k", F.size("function_words").cast("long").alias("n_function_words"), F.sha2(grams.cast("binary"), 256).alias("grams_sha"),
+        F.size("ngram_profile").cast("long").alias("n_grams"), "vocabulary_size", "banned",
+    )
+
+
+@query(f"""WITH RECURSIVE firsts AS (SELECT doc_id, lang, text, min(doc_id) OVER (PARTITION BY text) AS first FROM documents),
+kept AS (SELECT doc_id, lang, text FROM firsts WHERE doc_id = first), {S.chunks_cte('kept', 200, chr(10)).strip()},
+cut AS (SELECT lang, count(*) AS chunks, sum(len({S.words('c.text')})) AS words FROM chunks c JOIN kept USING (doc_id) GROUP BY lang),
+per AS (SELECT lang AS context, count(*) FILTER (WHERE doc_id = first) AS samples, count(*) FILTER (WHERE doc_id <> first) AS skipped, any_value(coalesce(chunks, 0)) AS chunks, any_value(coalesce(words, 0)) AS words
+FROM firsts LEFT JOIN cut USING (lang) GROUP BY lang)
+SELECT context, samples, skipped, CAST(chunks AS BIGINT) AS chunks, CAST(words AS BIGINT) AS words FROM per
+UNION ALL SELECT NULL, CAST(sum(samples) AS BIGINT), CAST(sum(skipped) AS BIGINT), CAST(sum(chunks) AS BIGINT), CAST(sum(words) AS BIGINT) FROM per""")
+def q44_ingest(spark, sf_dir):
+    rows = docs(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("context_tag"))
+    return corpus.ingest(rows, max_words=200, cleaned=False, paragraph="\n")[1]
+
+
+@query(f"""{_SCORED}, t AS (SELECT *, candidate_index % 3 + 1 AS attempt FROM scored), l AS (SELECT *, max(attempt) OVER (PARTITION BY prompt_id) AS last FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY NOT passed, CASE WHEN passed THEN attempt ELSE 0 END, rank_score, candidate_index) AS k FROM l WHERE passed OR attempt = last)
+SELECT prompt_id, attempt, candidate_index, rank_score, passed FROM r WHERE k = 1""")
+def q45_decode(spark, sf_dir):
+    return rank.decode(scored(spark, sf_dir).withColumn("attempt", F.col("candidate_index") % 3 + 1))
+
+
+@query(f"""WITH h AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) <= (SELECT greatest(ceil(count(*) * 0.1), 1) FROM documents) AS held FROM documents),
+src AS (SELECT doc_id AS k, doc_id AS row, text FROM h WHERE held), whole AS (SELECT 'train' AS k, doc_id AS row, text FROM h WHERE NOT held),
+{S.style_cte('src', 'a').strip()}, {S.style_cte('whole', 'b').strip()}, pairs AS (SELECT k, 'train' AS p FROM src),
+sl AS (SELECT k, {S.slop('text', f'len({S.words("text")})')} AS slop FROM src), {S.distance_cte('a', 'b', 'sl').strip()},
+m AS (SELECT {S.mean6('overall')} AS voice, count(*) AS samples FROM dist),
+n AS (SELECT {S.mean6(f"round(CAST({S.slop_presence('text')} AS DOUBLE), 6)")} AS slop FROM src)
+SELECT voice, samples, slop, CAST(72.0 AS DOUBLE) AS creative, round(CAST(least(greatest(0.5 * (1 - voice) + 0.3 * (1 - slop / 100) + 0.2 * 72.0 / 100, 0), 1) AS DOUBLE), 6) AS combined FROM m, n""")
+def q46_bench(spark, sf_dir):
+    return evaluate.bench(docs(spark, sf_dir).select("doc_id", "text"))
+
+
+@query(f"""SELECT item_id, seed, format, mode, format || ' + ' || mode AS combo FROM benchmark, (SELECT unnest([1, 2, 3]) AS seed), (SELECT unnest([{S.literals(FORMATS)}]) AS format), (SELECT unnest([{S.literals(MODES)}]) AS mode)""")
+def q47_grid(spark, sf_dir):
+    return evaluate.grid(table(spark, sf_dir, "benchmark").select("item_id"), [1, 2, 3], FORMATS, MODES)
+
+
+@query(f"""{_BUCKETS}, {_GATES}, gated AS (SELECT o.combo, o.count AS ok, g0.off_domain_leakage, coalesce(g0.voice, o.mean_terminal + o.mean_structural) AS voice, o.mean_distance AS overall_distance, g1.combo IS NOT NULL AS p1, g2.combo IS NOT NULL AS p2,
+  g2.combo IS NOT NULL AND o.combo = (SELECT combo FROM g2 ORDER BY mean_distance, combo LIMIT 1) AS p3 FROM buckets o LEFT JOIN g0 USING (combo) LEFT JOIN g1 USING (combo) LEFT JOIN g2 USING (combo) WHERE o.bucket = 'overall')
+SELECT combo, off_domain_leakage, round(voice, 6) AS voice, overall_distance, CASE WHEN ok = 0 THEN 0 WHEN NOT p1 THEN 1 WHEN NOT p2 THEN 2 WHEN NOT p3 THEN 3 END AS gate,
+list_filter([CASE WHEN ok = 0 THEN 'no successful generation' END, CASE WHEN ok > 0 THEN printf('G1 leak=%.4f %s', off_domain_leakage, CASE WHEN p1 THEN 'PASS' ELSE 'ELIMINATED' END) END,
+CASE WHEN p1 THEN printf('G2 voice_dist=%.4f %s', voice, CASE WHEN p2 THEN 'PASS' ELSE 'ELIMINATED' END) END, CASE WHEN p3 THEN printf('WINNER dist=%.3f leak=%.4f', overall_distance, off_domain_leakage) END], lambda x: x IS NOT NULL) AS reasons FROM gated""")
+def q48_gates(spark, sf_dir):
+    return evaluate.gates(evaluate.buckets(records(spark, sf_dir)))
+
+
+@query("""SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents
+WHERE text NOT IN (SELECT text FROM documents JOIN labels USING (doc_id) WHERE quality = 0) GROUP BY 1""")
+def q49_dedupe_against_known(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    known = corpus.content_hash(rows.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id")).select("content_hash")
+    return corpus.dedupe(rows, known)
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) <= (SELECT least(greatest(ceil(count(*) * 0.1), 1), count(*) // 2) FROM documents) AS held_out FROM documents")
+def q50_train_valid_split(spark, sf_dir):
+    return corpus.holdout_split(docs(spark, sf_dir).select("doc_id"), 0.1, at_most_half=True)
+
+
+@query(f"""WITH {MARKED}, v AS (SELECT doc_id, round(CAST({S.slop('text', f'len({S.words("text")})')} AS DOUBLE), 6) AS voice, round(CAST({S.slop_presence('text')} AS DOUBLE), 6) AS slop FROM marked)
+SELECT doc_id, round(CAST(least(greatest(0.5 * (1 - voice) + 0.3 * (1 - slop / 100) + 0.2 * 72.0 / 100, 0), 1) AS DOUBLE), 6) AS combined FROM v""")
+def q51_combined(spark, sf_dir):
+    t = F.col("text")
+    rows = marked(spark, sf_dir).select("doc_id", F.round(distance.slop(t).cast("double"), 6).alias("v"), F.round(distance.slop_presence(t).cast("double"), 6).alias("s"))
+    return rows.select("doc_id", F.round(evaluate.combined(F.col("v"), F.col("s"), F.lit(72.0)), 6).alias("combined"))
+
+
+@query(f"SELECT doc_id, {S.paragraphs('text', chr(10))} AS paragraphs FROM documents")
+def q52_paragraphs(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", tokens.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("paragraphs"))
+
+
+#: Marks that the tables lack, put before (notes) and behind (pages) each document in turn.
+SNIPPETS = [
+    " <svg><path d='M0'/></svg> tail", " before <svg open never closed", "\n::: note\nbody\n  :::\r\nnext\r\nlast", " see []{#anchor} and {=html} raw {=latex} end here",
+    " ![alt text](img.png) and ![broken", " it\\'s \\\"quoted\\\" a\\-b end\\. \\*bold\\*", "\n-- \nJohn\nphone 12", "\n--\nshort", " zero​width﻿mark‏",
+    "  spaced \t out  \n\n\n\nmore   \n", " “smart” and ‘single’ with \"straight\" 'ones' and \"more\" 'still'", " <b>bold</b> a < b and c > d", " http://x.org/?utm_source=a&id=5&ref=b end",
+]
+NOTE_MARKS = [
+    "---\ntitle: x\ntags: [daily]\n---\n\n", "---\ntags: note\n---\n", "", "no front --- here\n", "---\nunclosed: yes\n", "<!-- hidden -->shown ", "[[page]] and [[page|shown]] [[a b|c d]] ",
+    "```dataview\nLIST\n```\nafter ", "intro line\n# First\nbody one\n## sub\n# Second\n", "﻿", "one\r\ntwo\rthree\n", "before <!-- open\n",
+]
+
+
+def with_marks(spark, sf_dir):
+    pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", F.concat(F.coalesce("text", F.lit("")), pick(SNIPPETS)).alias("page"), F.concat(pick(NOTE_MARKS), F.coalesce("text", F.lit(""))).alias("note"))
+
+
+_PICK = lambda values: f"[{', '.join(S.q(v) for v in values)}][1 + doc_id % {len(values)}]"
+_WITH_MARKS = f"with_marks AS (SELECT doc_id, coalesce(text, '') || {_PICK(SNIPPETS)} AS page, {_PICK(NOTE_MARKS)} || coalesce(text, '') AS note FROM documents)"
+
+
+def _step(name: str, column: str, sql_text: str) -> None:
+    def run(spark, sf_dir):
+        return with_marks(spark, sf_dir).select("doc_id", getattr(clean, name)(F.col(column)).alias("text"))
+
+    _QUERIES[f"clean_{name}"] = run
+    _SQL[f"clean_{name}"] = f"WITH {_WITH_MARKS} SELECT doc_id, {sql_text} AS text FROM (SELECT doc_id, {column} AS t FROM with_marks)"
+
+
+for _name, _text in S.CLEAN.items():
+    _step(_name, "page", _text)
+for _name, _text in S.NOTES.items():
+    _step(_name, "note", _text)
+
+
+@query(f"WITH {_WITH_MARKS} SELECT doc_id, regexp_matches(lower(regexp_extract(note, '(?s)\\A---(.*?)---', 1)), 'daily|journal') AS daily FROM with_marks")
+def clean_is_daily_note(spark, sf_dir):
+    return with_marks(spark, sf_dir).select("doc_id", clean.is_daily_note(F.col("note")).alias("daily"))
+
+
+@query(f"""WITH {_WITH_MARKS}, p AS (SELECT doc_id, string_split(chr(10) || {S.replace_all('note', (r'\r\n?', chr(10)))}, chr(10) || '# ') AS parts FROM with_marks),
+s AS (SELECT doc_id, i, parts[i] AS part FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM p)),
+h AS (SELECT doc_id, CASE WHEN i > 1 THEN {S.replace_all("regexp_extract(part, '^([^' || chr(10) || ']*)', 1)", (S._ENDS, ''))} END AS header,
+  {S.replace_all("CASE WHEN i > 1 THEN regexp_replace(part, '^[^' || chr(10) || ']*' || chr(10) || '?', '') ELSE part END", (S._ENDS, ''))} AS body FROM s)
+SELECT doc_id, header, body FROM h WHERE body <> ''""")
+def clean_split_by_h1(spark, sf_dir):
+    rows = with_marks(spark, sf_dir).select("doc_id", F.explode(clean.split_by_h1(F.col("note"))).alias("s"))
+    return rows.select("doc_id", "s.header", "s.body")
+
+
+#: Names and lines as trainers and model stores give them.
+MODELS = ["gemma-4-26b", "gemma-3-4b", "gemma-4-26b-a4b", "qwen3.5-9b", "llama3.2-3b", "gemma4:26b", "single", "odd-name-v2", "26b-x"]
+TAGS = ["gemma3:26b-a4b", "llama3.2:3b", "qwen3.5:9b:latest", "phi:3b", "own/name", "gemma3:latest"]
+LINES = [
+    "Iter 100: Train loss 2.345, Learning Rate 0.0001, It/sec 5.5, rest", "Iter 7: Train loss 1.5, Learning Rate x, It/sec 2", "Iter x: Train loss 1.0, Learning Rate 1, It/sec 1",
+    "Iter 9: Val loss 2.0", "Loading model", "Iter 3: Train loss nope, Learning Rate 1, It/sec 1",
+]
+
+
+def literal(spark: SparkSession, values: list[str]) -> DataFrame:
+    return spark.createDataFrame([(v,) for v in values], "t string")
+
+
+@query(f"""SELECT t, CASE WHEN contains(t, ':') OR NOT contains(t, '-') THEN t WHEN regexp_matches(t, '(^|-)[0-9]+b(-|$)')
+THEN replace(regexp_extract(t, '^(?:(.*?)-)?([0-9]+b(?:-.*)?)$', 1), '-', '') || ':' || regexp_extract(t, '^(?:(.*?)-)?([0-9]+b(?:-.*)?)$', 2)
+ELSE replace(regexp_extract(t, '^(.*)-[^-]*$', 1), '-', '') || ':' || regexp_extract(t, '-([^-]*)$', 1) END AS tag FROM (SELECT unnest([{S.literals(MODELS)}]) AS t)""")
+def q53_model_tags(spark, sf_dir):
+    return literal(spark, MODELS).select("t", prompts.model_tag(F.col("t")).alias("tag"))
+
+
+@query(f"""SELECT t, CASE WHEN contains(x, '/') THEN x ELSE CASE WHEN starts_with(x, 'gemma') THEN 'google/' WHEN starts_with(x, 'llama') THEN 'meta/' WHEN starts_with(x, 'qwen') THEN 'qwen/' ELSE 'local/' END || replace(x, ':', '-') END AS id
+FROM (SELECT t, regexp_replace(t, ':latest$', '') AS x FROM (SELECT unnest([{S.literals(TAGS)}]) AS t))""")
+def q54_model_ids(spark, sf_dir):
+    return literal(spark, TAGS).select("t", prompts.model_id(F.col("t")).alias("id"))
+
+
+@query(f"""SELECT t, TRY_CAST(regexp_extract(t, '^Iter ([^:]*)', 1) AS INT) AS step, TRY_CAST(regexp_extract(t, 'Train loss ([^,]*)', 1) AS DOUBLE) AS loss, coalesce(TRY_CAST(regexp_extract(t, 'Learning Rate ([^,]*)', 1) AS DOUBLE), 0) AS learning_rate,
+coalesce(TRY_CAST(regexp_extract(t, 'It/sec ([^,]*)', 1) AS DOUBLE), 0) AS steps_per_second FROM (SELECT unnest([{S.literals(LINES)}]) AS t) WHERE regexp_matches(t, '^Iter [0-9]+:.*Train loss [0-9.]+, Learning Rate .*It/sec ')""")
+def q55_progress_lines(spark, sf_dir):
+    return literal(spark, LINES).withColumn("p", prompts.progress(F.col("t"))).where("p is not null").select("t", "p.*")
+
+
+@query(f"""{_SOURCE_STYLE}, t AS (SELECT k, sum(n) AS total FROM a_wc GROUP BY k), v AS (SELECT k, coalesce(list_sort(list(word) FILTER (WHERE n > 3 AND strlen(word) > 4 AND CAST(n AS DOUBLE) / total > 0.001)), []) AS preferred FROM a_wc JOIN t USING (k) GROUP BY k)
+SELECT k AS source, array_to_string(list_filter([{S.q(prompts.RHYTHM)}, printf({S.q(prompts.FRAGMENTS)}, round(greatest(mean - sd, 1.0))), {S.q(prompts.DICTION)}, CASE WHEN em_dash > 2 THEN {S.q(prompts.DASHES)} END, {S.q(prompts.ASIDES)},
+CASE WHEN len(preferred) > 0 THEN printf({S.q(prompts.PREFERRED)}, array_to_string(preferred[1:8], ', ')) END, {S.q(prompts.AVOIDED)}, {S.q(prompts.NAMES)}, {S.q(prompts.ON_TOPIC)}], lambda x: x IS NOT NULL), chr(10)) AS prompt FROM a_dense JOIN v USING (k)""")
+def q56_system_prompts(spark, sf_dir):
+    rows = distance.fingerprint(keyed(docs(spark, sf_dir), "source"))
+    return rows.select(F.col("k").alias("source"), prompts.system_prompt(F.col("mean"), F.col("sd"), F.col("em_dash"), F.col("preferred")).alias("prompt"))
+
+
+@query(f"SELECT doc_id, printf({S.q(prompts.REWRITE)}, text) AS prompt FROM documents")
+def q57_rewrite_prompts(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", prompts.rewrite_prompt(F.col("text")).alias("prompt"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

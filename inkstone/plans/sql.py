@@ -23,6 +23,12 @@ def plain(t: str) -> str:
     return f"regexp_extract_all({t}, {q(NOT_SPACE + '+')})"
 
 
+def mean6(x: str, where: str = "") -> str:
+    """The mean of numbers of at least 0, rounded half up to six digits, in whole numbers so that ties don't depend on
+    how doubles are rounded."""
+    return f"CAST((2 * CAST(sum(CAST({x} AS DECIMAL(20,6))) {where} * 1000000 AS BIGINT) + count(*) {where}) // nullif(2 * count(*) {where}, 0) AS DOUBLE) / 1000000"
+
+
 def literals(values: list[str]) -> str:
     return ", ".join(q(v) for v in dict.fromkeys(values))
 
@@ -220,29 +226,81 @@ def tracking(t: str) -> str:
     return t
 
 
+_LINE = "[\\t\\v\\f\\r \\p{Z}\\x{85}]+(\\n|\\z)"
+
+
+def _cut(mark: str) -> str:
+    return f"CASE WHEN strpos(t, chr(10) || {q(mark)} || chr(10)) > 0 THEN regexp_replace(string_split(t, chr(10) || {q(mark)} || chr(10))[1], {q(SPACE + '+' + chr(92) + 'z')}, '') ELSE NULL END"
+
+
+#: The cleaning steps on a column t, in order.
+CLEAN = {
+    "strip_html_tags": html_strip("t"),
+    "strip_svg_blocks": replace_all("t", (r"(?s)<svg.*?(?:</svg>|\z)", "")),
+    "strip_fenced_divs": "array_to_string(list_filter(string_split(" + replace_all("t", (r"\r\n", "\n"), (r"\n\z", "")) + ", chr(10)), lambda l: NOT regexp_matches(l, " + q(rf"^{SPACE}*:::") + ")), chr(10))",
+    "strip_link_anchors": replace_all("t", (r"\[\]\{#[^}]*\}?|\{=[^}]*\}", "")),
+    "strip_images": replace_all("t", (r"!\[[^\]]*(?:\](?:\([^)]*\)?)?)?", "")),
+    "unescape_marks": "replace(replace(replace(replace(replace(t, '\\''', ''''), '\\\"', '\"'), '\\-', '-'), '\\.', '.'), '\\*', '*')",
+    "strip_signature": f"coalesce({_cut('-- ')}, {_cut('--')}, t)",
+    "strip_zero_width": replace_all("t", (r"[\x{200B}-\x{200F}\x{FEFF}]", "")),
+    "normalize_whitespace": replace_all("t", (_LINE, "\\1"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (rf"\A{SPACE}+|{SPACE}+\z", "")),
+    "normalize_quotes": "CASE WHEN length(t) > length(translate(t, '“”‘’', '')) AND length(t) - length(translate(t, '\"''', '')) > length(t) - length(translate(t, '“”‘’', '')) THEN translate(t, '“”‘’', '\"\"''''') ELSE t END",
+    "strip_tracking": tracking("t"),
+}
+
+
 def clean_steps(column: str, source: str, key: str) -> str:
     """The cleaning chain, one step for each select."""
-    line = "[\\t\\v\\f\\r \\p{Z}\\x{85}]+(\\n|\\z)"
-    cut = lambda t, m: f"CASE WHEN strpos({t}, {m}) > 0 THEN regexp_replace(string_split({t}, {m})[1], {q(SPACE + '+' + chr(92) + 'z')}, '') ELSE NULL END"
-    steps = [
-        html_strip("t"),
-        replace_all("t", (r"(?s)<svg.*?(?:</svg>|\z)", "")),
-        "array_to_string(list_filter(string_split(" + replace_all("t", (r"\r\n", "\n"), (r"\n\z", "")) + ", chr(10)), lambda l: NOT regexp_matches(l, " + q(rf"^{SPACE}*:::") + ")), chr(10))",
-        replace_all("t", (r"\[\]\{#[^}]*\}?|\{=[^}]*\}", "")),
-        replace_all("t", (r"!\[[^\]]*(?:\](?:\([^)]*\)?)?)?", "")),
-        "replace(replace(replace(replace(replace(t, '\\''', ''''), '\\\"', '\"'), '\\-', '-'), '\\.', '.'), '\\*', '*')",
-        f"coalesce({cut('t', 'chr(10) || ' + q('-- ') + ' || chr(10)')}, {cut('t', 'chr(10) || ' + q('--') + ' || chr(10)')}, t)",
-        replace_all("t", (r"[\x{200B}-\x{200F}\x{FEFF}]", "")),
-        replace_all("t", (line, "\\1"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n"), (rf"\A{SPACE}+|{SPACE}+\z", "")),
-        "CASE WHEN length(t) > length(translate(t, '“”‘’', '')) AND length(t) - length(translate(t, '\"''', '')) > length(t) - length(translate(t, '“”‘’', '')) THEN translate(t, '“”‘’', '\"\"''''') ELSE t END",
-        tracking("t"),
-    ]
     inner = f"SELECT {key}, {column} AS t FROM {source}"
-    for s in steps:
+    for s in CLEAN.values():
         inner = f"SELECT {key}, {s} AS t FROM ({inner})"
     return inner
 
 
+#: Steps on notes and files, on a column t.
+NOTES = {
+    "strip_front_matter": replace_all("t", (r"(?s)\A---\r?\n.*?\n---\n*", "")),
+    "strip_html_comments": replace_all("t", (r"(?s)<!--.*?(?:-->|\z)", "")),
+    "strip_wikilinks": replace_all("t", (r"\[\[[^|\]]*\|([^\]]*)\]\]|\[\[([^\]]*)\]\]", r"\1\2")),
+    "strip_bom": replace_all("t", (r"\A\x{FEFF}", "")),
+    "unify_line_ends": replace_all("t", (r"\r\n?", "\n")),
+}
+_FENCED = replace_all("t", (r"(?ms)^[^\S\n]*```dataview.*?(?:^[^\S\n]*```[^\S\n]*$\n?|\z)", ""))
+NOTES["strip_dataview"] = f"CASE WHEN {_FENCED} = '' OR ends_with({_FENCED}, chr(10)) THEN {_FENCED} ELSE {_FENCED} || chr(10) END"
+
+
+def paragraphs(t: str, by: str = "\n\n") -> str:
+    return f"list_filter(list_transform(string_split({t}, {q(by)}), lambda p: {replace_all('p', (_ENDS, ''))}), lambda p: p <> '')"
+
+
+def chunks_cte(source: str, max_words: int, by: str) -> str:
+    """chunks(doc_id, chunk_index, text) from `source`(doc_id, text): a walk over the paragraphs of each text. s is where
+    the chunk in the making begins, r where its last paragraphs to be repeated begin, size and rsize their words."""
+    return f"""
+whole AS (SELECT doc_id, text, len({plain('text')}) AS n FROM {source}),
+par AS MATERIALIZED (SELECT doc_id, CAST(i AS BIGINT) AS i, parts[i] AS part, CAST(len({plain('parts[i]')}) AS BIGINT) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
+        FROM (SELECT doc_id, {paragraphs('text', by)} AS parts FROM whole WHERE n > {max_words}))),
+walk AS (SELECT doc_id, i, i AS s, n AS size, i AS r, n AS rsize, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS z FROM par WHERE i = 1
+  UNION ALL SELECT doc_id, i, s, size, CASE WHEN pop THEN r + 1 ELSE r END, CASE WHEN pop THEN rsize - first_n ELSE rsize END, a, z FROM (
+    SELECT m.doc_id, m.i, m.s, m.size, m.r, m.rsize, m.a, m.z, m.r < m.i AND m.rsize > {max_words // 5} AS pop, f.n AS first_n FROM (
+      SELECT w.doc_id, p.i, CASE WHEN w.size + p.n > {max_words} THEN w.r ELSE w.s END AS s, CASE WHEN w.size + p.n > {max_words} THEN w.rsize ELSE w.size END + p.n AS size,
+             CASE WHEN w.size + p.n > {max_words} THEN p.i ELSE w.r END AS r, CASE WHEN w.size + p.n > {max_words} THEN 0 ELSE w.rsize END + p.n AS rsize,
+             CASE WHEN w.size + p.n > {max_words} THEN w.s END AS a, CASE WHEN w.size + p.n > {max_words} THEN w.i END AS z
+      FROM walk w JOIN par p ON p.doc_id = w.doc_id AND p.i = w.i + 1) m
+    JOIN par f ON f.doc_id = m.doc_id AND f.i = m.r)),
+ends AS (SELECT doc_id, a, z FROM walk WHERE a IS NOT NULL UNION ALL SELECT doc_id, s, i FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i DESC) AS k FROM walk) WHERE k = 1 AND size >= 5),
+chunks AS (SELECT doc_id, CAST(0 AS BIGINT) AS chunk_index, text FROM whole WHERE n <= {max_words}
+  UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY z, a) - 1, text FROM (
+    SELECT e.doc_id, e.a, e.z, string_agg(part, {q(by)} ORDER BY i) AS text FROM ends e JOIN par p ON p.doc_id = e.doc_id AND p.i BETWEEN e.a AND e.z GROUP BY e.doc_id, e.a, e.z))"""
+
+
+def length_table(kinds: dict[str, str], source: str) -> str:
+    """SELECT of k, kind, mean, sd, median, p95 from lists of lengths (by kind) of `source`."""
+    parts = " UNION ALL ".join(f"SELECT k, '{kind}' AS kind, unnest({e}) AS n FROM {source}" for kind, e in kinds.items())
+    return f"""SELECT k, kind, round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS mean, round(sqrt((count(*) * sum(n * n) - sum(n) * sum(n)) / (CAST(count(*) AS DOUBLE) * count(*))), 6) AS sd,
+CAST(list_sort(list(n))[count(*) // 2 + 1] AS BIGINT) AS median, CAST(list_sort(list(n))[least(count(*) * 95 // 100, count(*) - 1) + 1] AS BIGINT) AS p95 FROM ({parts}) WHERE n > 0 GROUP BY k, kind"""
+
+
 def bare_word(w: str) -> str:
     return f"lower(regexp_replace({w}, {q(chr(91) + '^' + chr(92) + 'p{L}' + chr(92) + 'p{N}' + chr(39) + ']')}, '', 'g'))"
 

@@ -5,6 +5,8 @@ any store that Spark reaches will do."""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean, tokens
+from ..operators import corpus
 
 METADATA = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("source", "origin_path", "context_tag", "captured_at")]
@@ -93,13 +96,82 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return rows.where((F.col("term") != "") & ~F.col("term").startswith("#"))
 
 
+def _scalar(value: str) -> str:
+    value = value.strip()
+    if value[:1] == '"':
+        return json.loads(re.match(r'"(?:[^"\\]|\\.)*"', value)[0])
+    if value[:1] == "'":
+        return re.match(r"'((?:[^']|'')*)'", value)[1].replace("''", "'")
+    return re.split(r"(?:^|\s)#", value)[0].strip()
+
+
+_FLOW = re.compile(r"""(\w+):\s*("(?:[^"\\]|\\.)*"|'(?:[^']|'')*'|[^,}]*)""")
+_ENTRY = re.compile(r"^( *)(- +)?(\w+):(?: +(.*)|)$")
+
+
+def parse_suite(text: str) -> dict:
+    """name, and prompts as (text, category), of a prompt suite: the part of YAML that such files use (a list of maps,
+    quoted and plain values, block and folded texts, maps in braces, comments)."""
+    lines = text.splitlines()
+    suite: dict = {"name": "", "prompts": []}
+    items: list[dict] = []
+    k = 0
+    while k < len(lines):
+        line = lines[k]
+        k += 1
+        if re.match(r"^ *- *\{", line):
+            while "}" not in line and k < len(lines):
+                line, k = line + " " + lines[k].strip(), k + 1
+            items.append({n: _scalar(v) for n, v in _FLOW.findall(line)})
+            continue
+        if not (m := _ENTRY.match(line)):
+            continue
+        indent, dash, name, value = len(m[1]) + len(m[2] or ""), m[2], m[3], (m[4] or "").strip()
+        if re.fullmatch(r"[|>][+-]?", value):
+            block = []
+            while k < len(lines) and (not lines[k].strip() or len(lines[k]) - len(lines[k].lstrip(" ")) > (indent if dash else len(m[1]))):
+                block.append(lines[k])
+                k += 1
+            while block and not block[-1].strip():
+                block.pop()
+            left = min((len(x) - len(x.lstrip(" ")) for x in block if x.strip()), default=0)
+            body = "\n".join(x[left:].rstrip() for x in block)
+            if value[0] == ">":
+                body = re.sub(r"(?<!\n)\n(?!\n)", " ", body).replace("\n\n", "\n")
+            value = body + ("" if value.endswith("-") or not body else "\n")
+        else:
+            value = _scalar(value)
+        if dash:
+            items.append({name: value})
+        elif m[1] and items:
+            items[-1][name] = value
+        elif not m[1] and name == "name":
+            suite["name"] = value
+    suite["prompts"] = [(x.get("text", ""), x.get("category", "")) for x in items]
+    return suite
+
+
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
-    """text, category of a prompt suite: a YAML list `prompts` of entries with one-line text and category."""
-    lines = spark.read.text(path, wholetext=True)
-    entries = F.regexp_extract_all("value", F.lit(r"(?m)^\s*-\s+text:[^\n]*(?:\n(?!\s*-\s)[^\n]*)*"), F.lit(0))
-    quoted = lambda key, e: F.trim(F.regexp_replace(F.regexp_extract(e, rf"(?m)\b{key}:\s*(.*)$", 1), "^[\"']|[\"']\\s*$", ""))
-    rows = lines.select(F.explode(entries).alias("e"))
-    return rows.select(quoted("text", F.col("e")).alias("text"), quoted("category", F.col("e")).alias("category"))
+    """text, category of the prompt suites at a path; each is a small file, parsed as a whole."""
+    parse = F.udf(lambda t: parse_suite(t)["prompts"], "array<struct<text:string,category:string>>")
+    return spark.read.text(path, wholetext=True).select(F.explode(parse("value")).alias("p")).select("p.*")
+
+
+def read_fingerprints(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Profiles as `sinks.write_fingerprint` writes them, or a single one over several lines."""
+    return spark.read.schema(schema).json(path) if schema else spark.read.option("multiLine", True).json(path)
+
+
+def load_samples(spark: SparkSession, path: str, *, max_words: int = 2048) -> DataFrame:
+    """doc_id, text of the samples stored below a path as JSON lines; if there are none, of its markdown and plain texts,
+    taken in as `corpus.ingest` does."""
+    stored = spark.read.schema(SAMPLE).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.{jsonl,json}").json(path).where("content is not null")
+    number = F.xxhash64("content", "origin_path", "position")
+    if not stored.isEmpty():
+        return stored.select(F.xxhash64("content", "metadata.origin_path").alias("doc_id"), F.col("content").alias("text"))
+    rows = read_folder(spark, path).select(number.alias("doc_id"), F.col("content").alias("text"), "context_tag")
+    chunks, _ = corpus.ingest(rows, max_words=max_words)
+    return chunks.select(F.xxhash64("doc_id", "chunk_index").alias("doc_id"), "text")
 
 
 @dataclass(frozen=True)

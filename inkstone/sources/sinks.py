@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.corpus import holdout_split, training_rows
+from ..operators.evaluate import gates
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
@@ -30,6 +31,31 @@ def write_records_csv(records: DataFrame, path: str, *, four: list[str], two: li
     rows.select(*records.columns).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+def write_records(records: DataFrame, summary: DataFrame, path: str, *, four: list[str], two: list[str]) -> None:
+    """Records as JSON lines and as CSV, and their summary (one row) as JSON, in three folders."""
+    records.write.mode("overwrite").json(f"{path}/eval_results")
+    write_records_csv(records, f"{path}/eval_results_csv", four=four, two=two)
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/eval_summary")
+
+
+def write_ablation(records: DataFrame, stats: DataFrame, path: str) -> None:
+    """Records of all generations as JSON lines, the statistics of all buckets, and the gates with reasons."""
+    records.write.mode("overwrite").json(f"{path}/per_generation")
+    stats.write.mode("overwrite").json(f"{path}/buckets")
+    gates(stats).coalesce(1).write.mode("overwrite").json(f"{path}/ablation_summary")
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Preference pairs as JSON lines."""
+    pairs.write.mode("overwrite").json(path)
+
+
+def progress(completed: int, total: int, eta_seconds: float, combo: str, status: str) -> str:
+    """The JSON of a progress file."""
+    percent = round(100 * completed / total) if total else 0
+    return json.dumps({"completed": completed, "total": total, "percent": percent, "eta_minutes": round(eta_seconds / 60), "current_combo": combo, "status": status}, indent=2) + "\n"
+
+
 def write_lexicon(terms: DataFrame, path: str, *, title: str) -> None:
     """A text file: the title as a comment, then terms by rank. Terms are bounded by the lexicon's size."""
     head = terms.sparkSession.createDataFrame([(0, f"# {title}")], "rank int, value string")

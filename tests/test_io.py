@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from inkstone.operators import distance, evaluate
 from inkstone.sources import readers, sinks
 from inkstone.streaming import learn
 
@@ -49,6 +50,75 @@ def test_lexicon_and_prompts(spark, tmp_path):
     assert got == [("A b: c", "travel"), ("Plain one", "")]
 
 
+def test_prompt_suites(spark, tmp_path):
+    suite = """name: "all forms"
+# a comment
+prompts:
+  - text: "A b: \\"c\\""   # told apart
+    category: travel
+  - category: first
+    text: 'it''s'
+  - {text: "a, b", category: c}
+  - { category: wide,
+      text: over lines }
+  - text: |
+      line one
+        line two
+
+      end
+    category: block
+  - text: >-
+      folded
+      text
+    category: fold
+  - text: Plain one # note
+"""
+    (tmp_path / "s.yaml").write_text(suite)
+    assert readers.parse_suite(suite)["name"] == "all forms"
+    got = [tuple(r) for r in readers.read_prompts(spark, str(tmp_path / "s.yaml")).collect()]
+    assert got == [
+        ('A b: "c"', "travel"), ("it's", "first"), ("a, b", "c"), ("over lines", "wide"), ("line one\n  line two\n\nend\n", "block"), ("folded text", "fold"), ("Plain one", ""),
+    ]
+
+
+def test_samples_or_texts_are_loaded(spark, tmp_path):
+    (tmp_path / "a.md").write_text("One two three four five six\n")
+    (tmp_path / "b.txt").write_text("seven eight nine ten eleven")
+    assert {r["text"] for r in readers.load_samples(spark, str(tmp_path)).collect()} == {"One two three four five six", "seven eight nine ten eleven"}
+    (tmp_path / "s.jsonl").write_text(json.dumps({"content": "stored before", "metadata": {"origin_path": "x"}}) + "\n{broken\n")
+    assert [r["text"] for r in readers.load_samples(spark, str(tmp_path)).collect()] == ["stored before"]
+
+
+def test_fingerprint_round_trip(spark, tmp_path):
+    texts = spark.createDataFrame([("x", "The ship hung there. It was large, and nobody knew!\n\nThe day went on."), ("y", "")], "k string, text string")
+    style = distance.fingerprint(texts)
+    sinks.write_fingerprint(style, str(tmp_path / "f"))
+    rows = lambda df: sorted(map(str, df.collect()))
+    again = readers.read_fingerprints(spark, str(tmp_path / "f"), style.schema)
+    assert rows(again) == rows(style)
+    x = again.where("k = 'x'").first()
+    assert x["paragraph_length"]["p95"] == 10 and x["function_words"]["the"] > 0.1 and len(x["ngram_profile"]) > 20 and "delve" in x["banned"]
+
+
+def test_record_files(spark, tmp_path):
+    rows = [("chat + raw", "off-domain", "ok", 0.3, 0.1, 0.2, 0.1), ("chat + raw", "longform", "failed", 0.9, 0.9, 0.9, 0.9), ("text + raw", "off-domain", "ok", 0.2, 0.3, 0.1, 0.1), ("text + wrapped", "off-domain", "failed", 0.1, 0.1, 0.1, 0.1)]
+    records = spark.createDataFrame(rows, "combo string, bucket string, status string, distance double, leakage double, terminal double, structural double")
+    stats = evaluate.buckets(records)
+    sinks.write_ablation(records, stats, str(tmp_path / "a"))
+    found = {r["combo"]: (r.asDict().get("gate"), r["reasons"]) for r in spark.read.json(str(tmp_path / "a" / "ablation_summary")).collect()}
+    assert found["text + wrapped"] == (0, ["no successful generation"])
+    assert found["text + raw"][0] is None and found["text + raw"][1][-1] == "WINNER dist=0.200 leak=0.3000"
+    assert found["chat + raw"] == (3, ["G1 leak=0.1000 PASS", "G2 voice_dist=0.3000 PASS"])
+    assert spark.read.json(str(tmp_path / "a" / "per_generation")).count() == 4
+    sinks.write_records(records, evaluate.summary(records, ["distance"], prompt="combo"), str(tmp_path / "r"), four=["distance", "leakage"], two=["terminal"])
+    assert spark.read.json(str(tmp_path / "r" / "eval_summary")).first()["records"] == 4
+    assert spark.read.option("header", True).csv(str(tmp_path / "r" / "eval_results_csv")).where("distance = '0.9000' and terminal = '0.90'").count() == 1
+    sinks.write_pairs(records.limit(2), str(tmp_path / "p"))
+    assert spark.read.json(str(tmp_path / "p")).count() == 2
+    assert json.loads(sinks.progress(1, 8, 95, "a + b", "running")) == {"completed": 1, "total": 8, "percent": 12, "eta_minutes": 2, "current_combo": "a + b", "status": "running"}
+    assert json.loads(sinks.progress(0, 0, 0, "", "done"))["percent"] == 0
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("x", ("m", "p", None, None), "h")], readers.SAMPLE)
     sinks.write_samples(df, str(tmp_path / "s"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from inkstone.functions.constants import BANNED_WORDS
-from inkstone.operators import corpus, distance, evaluate, lexicon, rank
+from inkstone.operators import backends, corpus, distance, evaluate, lexicon, rank
 from inkstone.operators import features as ft
 
 PLAIN = (
@@ -168,3 +168,49 @@ def test_dedupe_and_split(spark):
     held = [r["doc_id"] for r in corpus.holdout_split(many, 0.1).where("held_out").collect()]
     assert sorted(held) == sorted(i * i * 977 - 5000 for i in range(137))[:14]
     assert corpus.kth_smallest(many.limit(0), "doc_id", 3) is None
+
+
+def test_backend_over_a_grid(spark):
+    prompts = spark.createDataFrame([(1, "one two three"), (2, ""), (3, None)], "prompt_id long, prompt string")
+    grid = evaluate.grid(prompts, [1, 2], ["chat"], ["raw", "wrapped"])
+    rows = backends.generate(grid, backends.Echo(), max_tokens=2).collect()
+    assert len(rows) == 12 and {r["combo"] for r in rows} == {"chat + raw", "chat + wrapped"}
+    for r in rows:
+        assert r["output"] == backends.Echo().generate(r["prompt"] or "", seed=r["seed"], max_tokens=2)
+        assert len(r["output"].split()) == (2 if r["prompt_id"] == 1 else 0)
+
+
+def test_decode_takes_the_first_attempt_that_passes(spark):
+    rows = [
+        (1, 1, 10, 0.1, False), (1, 2, 11, 0.9, True), (1, 2, 12, 0.8, True), (1, 3, 13, 0.0, True),
+        (2, 1, 20, 0.1, False), (2, 2, 21, 0.5, False), (2, 2, 22, 0.5, False), (3, 3, 30, 0.4, False), (3, 4, 31, 0.1, True),
+    ]
+    got = rank.decode(spark.createDataFrame(rows, "prompt_id long, attempt int, candidate_index long, rank_score double, passed boolean"))
+    assert {r["prompt_id"]: (r["attempt"], r["candidate_index"]) for r in got.collect()} == {1: (2, 12), 2: (2, 21), 3: (3, 30)}
+
+
+def test_profile_without_a_histogram(spark):
+    texts = spark.createDataFrame([("a", PLAIN)], "k string, text string")
+    own = distance.Style.of(texts)
+    old = distance.Style(own.dense.withColumn("k", F.lit("p")).withColumn("histogram", F.lit(None).cast("array<double>")).withColumn("mean", F.col("mean") * 2), own.words.withColumn("k", F.lit("p")), own.grams.withColumn("k", F.lit("p")))
+    pairs = spark.createDataFrame([("a", "p")], "k string, p string")
+    assert distance.distances(own, old, pairs).first()["sentences"] == 0.25
+
+
+def test_bench_of_few_samples(spark):
+    rows = spark.createDataFrame([(k, PLAIN if k % 2 else FORMULAIC) for k in range(40)], "doc_id long, text string")
+    r = evaluate.bench(rows, smoke=True).first()
+    assert r["samples"] == 3 and 0 <= r["voice"] <= 1 and r["creative"] == 72.0
+    assert r["combined"] == round(0.5 * (1 - r["voice"]) + 0.3 * (1 - r["slop"] / 100) + 0.144, 6)
+    none = spark.createDataFrame([], "overall double")
+    assert evaluate.voice_fidelity(none).first()["voice"] == 1.0
+
+
+def test_ingest_counts_what_it_leaves_out(spark):
+    long = "\n\n".join(f"{PLAIN} part {k}" for k in range(6))
+    rows = [(1, "a <b>short</b> text of five", "x"), (2, "a short text of five", "x"), (3, long, "y"), (4, "known before it came", None)]
+    known = corpus.content_hash(spark.createDataFrame([("known before it came",)], "text string")).select("content_hash")
+    chunks, report = corpus.ingest(spark.createDataFrame(rows, "doc_id long, text string, context_tag string"), max_words=100, existing=known)
+    got = {r["context"]: (r["samples"], r["skipped"], r["chunks"]) for r in report.collect()}
+    assert got["x"] == (1, 1, 1) and got["none"] == (0, 1, 0) and got["y"][:2] == (1, 0) and got["y"][2] > 2
+    assert got[None] == (2, 2, got["y"][2] + 1) and chunks.count() == got[None][2]
