@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import hashlib
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from functools import cache
 
@@ -17,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..stage import discard, staged  # noqa: F401
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Lower-cases A-Z and turns every ASCII byte that is no letter or digit into a space; bytes from 0x80 on stay.
@@ -29,50 +27,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share. Where the setting is missing a
-    local session gets a temporary folder, and any other session an error, since executors would not see it."""
-    conf = spark.sparkContext.getConf()
-    if found := conf.get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not conf.get("spark.master", "local").startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    if not hasattr(shared_dir, "own"):
-        shared_dir.own = tempfile.mkdtemp(prefix="inkstone-")
-        atexit.register(shutil.rmtree, shared_dir.own, ignore_errors=True)
-    return f"file://{shared_dir.own}"
-
-
-def _folder(spark: SparkSession):
-    """This application's folder for staged tables, as a Hadoop path with its file system. It goes when the driver ends."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/inkstone/{spark.sparkContext.applicationId}")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        files.mkdirs(path)
-        files.deleteOnExit(path)
-    return path, files
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: later jobs neither compute it
-    twice nor lose it with an executor. What an operator returns may rest on it, so it stays until `discard`ed, or until
-    the application ends."""
-    spark = df.sparkSession
-    path = f"{_folder(spark)[0].toString()}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._staged_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing will read again."""
-    for table in tables:
-        path, files = _folder(table.sparkSession)
-        files.delete(path.suffix(table._staged_at.removeprefix(path.toString())), True)
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. lower() has a fast path for pure ASCII, where it means the same."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

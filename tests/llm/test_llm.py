@@ -758,3 +758,20 @@ def test_pipeline_stages(spark, tmp_path, corpus):
     assert set(kept[3]) < set(kept[2])
     pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {p["doc_id"] for p in pieces} == set(kept[3])
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, cell int"
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    long = "lorem " + " ".join(f"w{k}" for k in range(30_000))
+    rows = [(1, "x y z", "en", "s", 5, 1), (2, "x y z", None, "s", 5, 1), (2, "unique text here", "en", "s", 5, 1), (3, None, None, None, None, None), (None, "x y z", "en", "s", 1, 1), (None, None, "en", "s", 1, 1), (4, "", "en", "s", 0, 0), (5, long, "en", "s", 1, 1), (6, long + " more", "en", "s", 1, 1)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    pieces = collections.Counter(p["doc_id"] for p in corpus_pipeline.run(spark, str(tmp_path)).collect() if p["start"] == 0)
+    # (1) and the unique text of (2) stay, of the empty ones (3), of the long ones (5); rows without doc_id equal others
+    assert pieces == {1: 1, 2: 1, 3: 1, 5: 1}
