@@ -56,6 +56,13 @@ def progress(completed: int, total: int, eta_seconds: float, combo: str, status:
     return json.dumps({"completed": completed, "total": total, "percent": percent, "eta_minutes": round(eta_seconds / 60), "current_combo": combo, "status": status}, indent=2) + "\n"
 
 
+def write_corpus(samples: DataFrame, path: str, *, key: str = "source") -> None:
+    """The texts of each key (a column of samples, which have a doc_id) as one file below its folder, in order, an empty
+    line after each. A task streams a key's texts; none holds them together."""
+    rows = samples.where("text is not null").repartition(key).sortWithinPartitions(key, "doc_id", "text")
+    rows.select(key, "text").write.mode("overwrite").partitionBy(key).option("lineSep", "\n\n").option("maxRecordsPerFile", 0).text(path)
+
+
 def write_lexicon(terms: DataFrame, path: str, *, title: str) -> None:
     """A text file: the title as a comment, then terms by rank. Terms are bounded by the lexicon's size."""
     head = terms.sparkSession.createDataFrame([(0, f"# {title}")], "rank int, value string")

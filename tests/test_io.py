@@ -119,6 +119,13 @@ def test_record_files(spark, tmp_path):
     assert json.loads(sinks.progress(0, 0, 0, "", "done"))["percent"] == 0
 
 
+def test_corpus_files(spark, tmp_path):
+    rows = [(2, "second\nline", "a"), (1, "first", "a"), (3, None, "a"), (4, "other", "b")]
+    sinks.write_corpus(spark.createDataFrame(rows, "doc_id long, text string, source string"), str(tmp_path / "c"))
+    files = {p.parent.name: p.read_text() for p in (tmp_path / "c").glob("source=*/part-*")}
+    assert files == {"source=a": "first\n\nsecond\nline\n\n", "source=b": "other\n\n"}
+
+
 def test_jsonl_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("x", ("m", "p", None, None), "h")], readers.SAMPLE)
     sinks.write_samples(df, str(tmp_path / "s"))
