@@ -23,12 +23,17 @@ def mean(x: str) -> Column:
     return F.coalesce(F.round(F.avg(F.col(x).cast("decimal(20,6)")).cast("double"), 6), F.lit(0.0))
 
 
+def median(x: Column) -> Column:
+    """The median, rounded half up to six digits; of whole millionths, so that ties don't depend on how doubles are."""
+    return F.floor(F.percentile(F.round(x * 1_000_000).cast("long"), 0.5) + 0.5) / 1_000_000
+
+
 def summary(records: DataFrame, measures: list[str], *, prompt: str = "prompt") -> DataFrame:
     """One row: means of the measures, the median of the first, prompts and records."""
     first = measures[0]
     return records.agg(
         *[mean(m).alias(f"mean_{m}") for m in measures],
-        F.coalesce(F.round(F.percentile(first, 0.5), 6), F.lit(0.0)).alias(f"median_{first}"),
+        F.coalesce(median(F.col(first)), F.lit(0.0)).alias(f"median_{first}"),
         F.countDistinct(prompt).alias("prompts"),
         F.count(F.lit(1)).alias("records"),
     )
@@ -44,7 +49,7 @@ def buckets(records: DataFrame) -> DataFrame:
         F.count_if(F.col("status") == "ok").alias("count"),
         F.count_if(F.col("status") == "failed").alias("failed"),
         avg("distance").alias("mean_distance"),
-        F.round(F.percentile(ok("distance"), 0.5), 6).alias("median_distance"),
+        median(ok("distance")).alias("median_distance"),
         F.round(F.var_pop(ok("distance")), 6).alias("variance_distance"),
         avg("leakage").alias("mean_leakage"),
         F.max(ok("leakage")).alias("worst_leakage"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +13,8 @@ from ..functions.constants import BANNED_WORDS
 from ..operators import corpus, distance, evaluate, lexicon, rank
 from ..operators import features as ft
 from ..operators.sentences import sentences
-from ..stage import staged
+from ..sources import readers, sinks
+from ..stage import shared_dir, staged
 from . import sql as S
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -513,7 +515,11 @@ voc AS (SELECT k, count(*) AS vocabulary_size, list_sort(list_filter([{S.BANNED}
 SELECT k AS source, n_words, round(lens.mean, 6) AS word_mean, lens.sd AS word_sd, lens.median AS word_median, lens.p95 AS word_p95, a_dense.mean AS sentence_mean, em_dash, flesch_kincaid, yule_k,
 n_function_words, grams_sha, n_grams, vocabulary_size, banned FROM a_dense JOIN lens USING (k) JOIN fw USING (k) JOIN ng USING (k) JOIN voc USING (k)""")
 def q43_fingerprint_record(spark, sf_dir):
-    rows = distance.fingerprint(keyed(docs(spark, sf_dir), "source"))
+    return record_digest(distance.fingerprint(keyed(docs(spark, sf_dir), "source")))
+
+
+def record_digest(rows: DataFrame) -> DataFrame:
+    """What a table can show of whole profiles."""
     grams = F.array_join(F.transform("ngram_profile", lambda g: F.concat(g["gram"], F.lit(" "), g["n"].cast("string"))), ",")
     word = F.col("word_length")
     return rows.select(
@@ -688,6 +694,89 @@ def q57_rewrite_prompts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", prompts.rewrite_prompt(F.col("text")).alias("prompt"))
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes and reads again."""
+    return f"{shared_dir(spark)}/inkstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT doc_id, text AS content, source, lang AS context_tag, sha256(text) AS content_hash FROM documents")
+def q58_samples_file(spark, sf_dir):
+    rows = corpus.content_hash(docs(spark, sf_dir))
+    none = F.lit(None).cast("string")
+    meta = F.struct(F.col("source"), F.concat(F.lit("/d/"), F.col("doc_id").cast("string")).alias("origin_path"), F.col("lang").alias("context_tag"), none.alias("captured_at"))
+    path = fresh(spark, "samples")
+    sinks.write_samples(rows.select(F.col("text").alias("content"), meta.alias("metadata"), "content_hash"), path)
+    read = readers.read_jsonl(spark, path)
+    number = F.substring_index("metadata.origin_path", "/", -1).cast("long")
+    return read.select(number.alias("doc_id"), "content", "metadata.source", "metadata.context_tag", "content_hash")
+
+
+@query(_SQL["q30_lexicon"].replace("SELECT * FROM (SELECT row_number() OVER (ORDER BY kind, w, term) AS rank, term", "SELECT DISTINCT term FROM (SELECT row_number() OVER (ORDER BY kind, w, term) AS rank, term"))
+def q59_lexicon_file(spark, sf_dir):
+    path = fresh(spark, "lexicon")
+    sinks.write_lexicon(q30_lexicon(spark, sf_dir), path, title="terms")
+    return readers.read_lexicon(spark, path)
+
+
+#: Numbers of six digits written with fewer, half up, by whole numbers.
+_FIXED = lambda x, n: f"printf('%.{n}f', ((CAST(round({x} * 1000000) AS BIGINT) + {5 * 10 ** (5 - n)}) // {10 ** (6 - n)}) / {10.0 ** n}) AS {x}"
+
+
+@query(f"{_SCORED} SELECT prompt_id, candidate_index, {_FIXED('distance', 4)}, {_FIXED('relevance', 4)}, {_FIXED('rank_score', 2)} FROM scored")
+def q60_records_file(spark, sf_dir):
+    path = fresh(spark, "records")
+    rows = scored(spark, sf_dir).select("prompt_id", "candidate_index", "distance", "relevance", "rank_score")
+    sinks.write_records_csv(rows, path, four=["distance", "relevance"], two=["rank_score"])
+    read = spark.read.option("header", True).csv(path)
+    return read.withColumn("prompt_id", F.col("prompt_id").cast("long")).withColumn("candidate_index", F.col("candidate_index").cast("long"))
+
+
+@query(_SQL["q26_pairs"])
+def q61_pairs_file(spark, sf_dir):
+    path = fresh(spark, "pairs")
+    pairs = q26_pairs(spark, sf_dir)
+    sinks.write_pairs(pairs, path)
+    return spark.read.schema(pairs.schema).json(path)
+
+
+@query(f"""WITH t AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) <= (SELECT least(greatest(ceil(count(*) * 0.1), 1), count(*) // 2) FROM documents) AS held FROM documents),
+k AS (SELECT sha256(text) AS text_sha, held FROM t WHERE len({S.words('text')}) >= 20)
+SELECT part, text_sha FROM (SELECT 'train' AS part, text_sha FROM k WHERE NOT held UNION ALL SELECT 'valid', text_sha FROM k WHERE held UNION ALL SELECT 'test', text_sha FROM k WHERE held)""")
+def q62_training_files(spark, sf_dir):
+    path = fresh(spark, "training")
+    sinks.write_training(docs(spark, sf_dir).select("doc_id", "text"), path, style="completions")
+    parts = [spark.read.text(f"{path}/{p}").select(F.lit(p).alias("part"), F.get_json_object("value", "$.completion").alias("t")) for p in ("train", "valid", "test")]
+    return parts[0].union(parts[1]).union(parts[2]).select("part", F.sha2(F.col("t").cast("binary"), 256).alias("text_sha"))
+
+
+@query(_SQL["q43_fingerprint_record"])
+def q63_fingerprint_file(spark, sf_dir):
+    path = fresh(spark, "fingerprint")
+    style = distance.fingerprint(keyed(docs(spark, sf_dir), "source"))
+    sinks.write_fingerprint(style, path)
+    return record_digest(readers.read_fingerprints(spark, path, style.schema))
+
+
+@query(f"""WITH RECURSIVE par AS MATERIALIZED (SELECT doc_id, CAST(i AS BIGINT) AS i, parts[i] AS part, CAST(len({S.plain('parts[i]')}) AS BIGINT) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, {S.paragraphs('text', chr(10))} AS parts FROM documents))),
+walk AS (SELECT doc_id, i, CAST(0 AS BIGINT) AS pack, n AS size FROM par WHERE i = 1 UNION ALL SELECT p.doc_id, p.i, CASE WHEN size + n > 100 THEN pack + 1 ELSE pack END, CASE WHEN size + n > 100 THEN n ELSE size + n END FROM walk w JOIN par p ON p.doc_id = w.doc_id AND p.i = w.i + 1),
+packs AS (SELECT doc_id, pack, string_agg(part, chr(10) || chr(10) ORDER BY i) AS content, sum(n) AS words, max(pack) OVER (PARTITION BY doc_id) AS last FROM walk JOIN par USING (doc_id, i) GROUP BY doc_id, pack)
+SELECT doc_id, pack AS position, content FROM packs WHERE words >= 5 OR pack < last""")
+def q64_paragraph_packs(spark, sf_dir):
+    parts = tokens.paragraphs(F.replace("text", F.lit("\n"), F.lit("\n\n")))
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(readers.pack_paragraphs(parts, 100)).alias("position", "content"))
+    return rows.withColumn("position", F.col("position").cast("long"))
+
+
+PATHS = ["a.md", "b.MARKDOWN", "c.txt", "d.text", "e.pdf", "notes", "f.md.bak"]
+
+
+@query(f"""SELECT path, vault, CASE WHEN vault THEN 'obsidian' WHEN regexp_matches(lower(path), '\\.(md|markdown)$') THEN 'markdown' WHEN regexp_matches(lower(path), '\\.(txt|text)$') THEN 'plain_text' END AS source
+FROM (SELECT unnest([{S.literals(PATHS)}]) AS path), (SELECT unnest([true, false]) AS vault)""")
+def q65_source_registry(spark, sf_dir):
+    found = [(p, v, s.name if (s := readers.detect(p, is_vault=v)) else None) for p in PATHS for v in (True, False)]
+    return spark.createDataFrame(found, "path string, vault boolean, source string")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
