@@ -41,8 +41,8 @@ from .common import arrow_schema, blobs, map_batches, mix64, padded, range_hashe
 
 LENGTH, END = 2048, 1
 DIMS, AXES, BITS = 1024, 4, 10
-#: Pre-tokens that a process remembers, some 70 MB.
-KNOWN = 1_500_000
+#: Pre-tokens that a process remembers, some 60 MB.
+KNOWN = 1_000_000
 CELL_BITS, MOST_RANGES = 16, 1 << 16
 #: Bits of the key below the Hilbert number, hashed from doc_id.
 LOW = 63 - AXES * BITS
