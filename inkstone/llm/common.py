@@ -101,13 +101,41 @@ def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> Da
     return df.mapInArrow(tidy(run), df.schema)
 
 
-CELLS = 1 << 20
+#: Bits of a sieve: so many for each key, a power of two within these; 2**30 bits are 128 MB.
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 30
+_ROW_BITS = 1 << 15  # what bitmap_construct_agg holds
 
 
-def cell(*columns: Column) -> Column:
-    """One of CELLS cells by hash. A set of cells has a fixed largest size, so it may be broadcast to tell early which
-    rows cannot matter."""
-    return F.pmod(F.xxhash64(*columns), F.lit(CELLS)).cast("int")
+class Sieve:
+    """A set of hashed keys as a bitmap, which tells of most rows that they match no key, before any shuffle.
+
+    It takes 16 to 32 bits a key, so it passes at most one row in 16 that matches none, and has at most MOST_BITS bits:
+    that is the proven bound of what is broadcast, 32768 rows of 4 KB. Beyond 67 million keys ever more rows pass; the
+    join behind the sieve decides, so that costs time and loses nothing. Null is a key like others."""
+
+    def __init__(self, keys: DataFrame, key: str):
+        """keys: a staged table, which is counted first."""
+        wanted = max(1, keys.count() * BITS_A_KEY - 1)
+        self.bits = min(max(1 << wanted.bit_length(), LEAST_BITS), MOST_BITS)
+        at, bit = self._place(F.col(key))
+        self.table = F.broadcast(keys.groupBy(at.alias("sieve_at")).agg(F.bitmap_construct_agg(bit).alias("sieve_bits")))
+
+    def _place(self, key: Column) -> tuple[Column, Column]:
+        slot = F.xxhash64(key).bitwiseAND(F.lit(self.bits - 1).cast("long"))
+        return F.shiftright(slot, 15).cast("int"), slot.bitwiseAND(_ROW_BITS - 1).cast("int")
+
+    def _held(self, key: Column) -> Column:
+        at, bit = self._place(key)
+        byte = F.conv(F.hex(F.substr(self.table["sieve_bits"], F.shiftright(bit, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        return (at == self.table["sieve_at"]) & (F.getbit(byte, bit.bitwiseAND(7)) == 1)
+
+    def passed(self, rows: DataFrame, key: Column) -> DataFrame:
+        """The rows that may match a key."""
+        return rows.join(self.table, self._held(key), "left_semi")
+
+    def held_back(self, rows: DataFrame, key: Column) -> DataFrame:
+        """All other rows."""
+        return rows.join(self.table, self._held(key), "left_anti")
 
 
 def text_key(text: Column) -> Column:
@@ -117,13 +145,12 @@ def text_key(text: Column) -> Column:
 
 def without(docs: DataFrame, gone: DataFrame, key: Callable[[Column], Column] = text_key) -> DataFrame:
     """The rows of docs whose doc_id and key of the text are not together in gone (gone_id, gone_key), with all their
-    columns; null equals null. Only rows in a cell of a gone doc_id are shuffled."""
+    columns; null equals null. Only rows whose doc_id passes a sieve of the gone ones are shuffled."""
     gone = staged(gone.select("gone_id", "gone_key").distinct(), "gone")
-    cells = F.broadcast(gone.select(cell(F.col("gone_id")).alias("gone_cell")).distinct())
-    same = cell(docs["doc_id"]) == cells["gone_cell"]
-    maybe = docs.join(cells, same, "left_semi")
+    sieve = Sieve(gone, "gone_id")
+    maybe = sieve.passed(docs, docs["doc_id"])
     both = maybe["doc_id"].eqNullSafe(gone["gone_id"]) & key(maybe["text"]).eqNullSafe(gone["gone_key"])
-    return docs.join(cells, same, "left_anti").unionByName(maybe.join(gone, both, "left_anti"))
+    return sieve.held_back(docs, docs["doc_id"]).unionByName(maybe.join(gone, both, "left_anti"))
 
 
 def arrow_schema(schema: str) -> pa.Schema:

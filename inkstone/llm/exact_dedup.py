@@ -5,8 +5,9 @@ pre-aggregated on the map side, so that a group that holds a third of all rows s
 move only where a hash occurs more than once: they are grouped by hash and whole text, again pre-aggregated, which
 compares their bytes and tells apart texts that collide.
 
-Which rows may matter is known from a set of 2**20 cells of hashes, at most. That is its proven size bound, so it is
-broadcast; beyond a few million repeated hashes it passes ever more single texts, which costs time and no row.
+Which rows may matter is known from a sieve of the repeated hashes, a bitmap of 16 to 32 bits for each and at most
+128 MB, which is broadcast; beyond 67 million repeated hashes it passes ever more single texts, which costs time and no
+row.
 
 Defined results: null text equals the empty text. Rows without doc_id count in their group and are chosen only where
 no row of it has one (keep_id is null then, and they all stay). Rows that repeat a doc_id are reported each. Extra
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cell, staged, without
+from .common import Sieve, ascii_lower, staged, without
 
 
 def _normal(text: Column) -> Column:
@@ -37,13 +38,12 @@ def exact_groups(docs: DataFrame, *, keep: str = "max") -> DataFrame:
         ),
         "exact-digests",
     )
-    repeated = digests.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    cells = repeated.select(cell(F.col("hash")).alias("cell")).distinct()
+    counts = digests.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    repeated = Sieve(staged(counts.where("n > 1").select("hash"), "exact-repeated"), "hash")
+    hashed = rows.withColumn("hash", F.unhex(F.md5(F.col("body").cast("binary"))))
     # the aggregates need the bytes of a text only; equal bytes make one variant of a hash
     variants = (
-        rows.withColumn("hash", F.unhex(F.md5(F.col("body").cast("binary"))))
-        .withColumn("cell", cell(F.col("hash")))
-        .join(F.broadcast(cells), "cell", "left_semi")
+        repeated.passed(hashed, hashed["hash"])
         .groupBy("hash", "body")
         .agg(choose("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")

@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import NOT_SPACE, Words, arrow_schema, blobs, cell, discard, map_batches, mix64, record_batch, runs_of, slices, staged, text_key, tidy, without
+from .common import NOT_SPACE, Sieve, Words, arrow_schema, blobs, discard, map_batches, mix64, record_batch, runs_of, slices, staged, text_key, tidy, without
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -346,12 +346,11 @@ def unresolved(rows: DataFrame, reps: DataFrame, docs: DataFrame, words: int, si
 
 
 def _texts(wanted: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc, text of the wanted ones, once each. At most CELLS values are broadcast: they keep most texts out of the
-    shuffle, the join does the rest."""
+    """doc, text of the wanted ones, once each. A sieve of their doc_ids keeps most texts out of the shuffle, the join
+    does the rest."""
     wanted = staged(reps.select("doc", "own", "text_key").join(wanted, "doc", "left_semi"), "near-wanted")
-    cells = wanted.select(cell(F.col("own")).alias("cell")).distinct()
     texts = docs.select(F.col("doc_id").alias("own"), "text").where("own is not null")
-    texts = texts.withColumn("cell", cell(F.col("own"))).join(F.broadcast(cells), "cell", "left_semi")
+    texts = Sieve(wanted, "own").passed(texts, texts["own"])
     texts = texts.select("own", text_key(F.col("text")).alias("text_key"), "text")
     found = staged(texts.join(wanted, ["own", "text_key"]).select("doc", "text").dropDuplicates(["doc"]), "near-texts")
     discard(wanted)

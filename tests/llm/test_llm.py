@@ -703,6 +703,24 @@ def test_query_matches_its_sql(spark, name):
 # --- shared ---
 
 
+@pytest.mark.parametrize("n, most", [(0, 1 << 30), (1, 1 << 30), (1000, 1 << 30), (60_000, 1 << 30), (60_000, 1 << 15)])
+def test_sieve_loses_no_key(spark, monkeypatch, n, most):
+    monkeypatch.setattr(common, "MOST_BITS", most)
+    keys = spark.range(n).select((F.col("id") * 3).alias("k"))
+    keys = common.staged(keys.union(spark.sql("SELECT CAST(NULL AS BIGINT)")) if n else keys, "keys")
+    value = F.when(F.col("id") % 1000 == 1, None).otherwise(F.col("id"))
+    # columns named as those of the sieve do no harm
+    rows = spark.range(200_000).select(value.alias("k"), F.lit("x").alias("sieve_at"), F.lit(1).alias("sieve_bits"))
+    sieve = common.Sieve(keys, "k")
+    passed, rest = ([r.k for r in df.collect()] for df in (sieve.passed(rows, rows["k"]), sieve.held_back(rows, rows["k"])))
+    wanted = {None, *range(0, 3 * n, 3)} if n else set()
+    assert len(passed) + len(rest) == 200_000
+    assert not wanted & set(rest)
+    assert sieve.bits <= most and sieve.table.count() <= -(-sieve.bits // (1 << 15))
+    if most > 1 << 15:
+        assert len(set(passed) - wanted) <= 200_000 / 16
+
+
 @pytest.mark.parametrize("size", [10, 100, 1 << 20])
 def test_slices_are_bounded(size):
     import pyarrow as pa
