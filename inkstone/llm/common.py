@@ -102,16 +102,17 @@ def keep_rows(df: DataFrame, keep: Callable[[pa.RecordBatch], np.ndarray]) -> Da
 
 
 #: Bits of a sieve: so many for each key, a power of two within these; 2**30 bits are 128 MB.
-BITS_A_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 15, 1 << 30
+BITS_A_KEY, LEAST_BITS, MOST_BITS = 64, 1 << 15, 1 << 30
 _ROW_BITS = 1 << 15  # what bitmap_construct_agg holds
 
 
 class Sieve:
     """A set of hashed keys as a bitmap, which tells of most rows that they match no key, before any shuffle.
 
-    It takes 16 to 32 bits a key, so it passes at most one row in 16 that matches none, and has at most MOST_BITS bits:
-    that is the proven bound of what is broadcast, 32768 rows of 4 KB. Beyond 67 million keys ever more rows pass; the
-    join behind the sieve decides, so that costs time and loses nothing. Null is a key like others."""
+    It takes 64 to 128 bits a key, so it passes at most one row in 64 that matches none, and has at most MOST_BITS bits:
+    that is the proven bound of what is broadcast, 32768 rows of 4 KB. With more than 16 million keys more rows pass (one
+    in 16 with 67 million, nearly all with some billions); the join behind the sieve decides, so that costs time and loses
+    nothing. Null is a key like others."""
 
     def __init__(self, keys: DataFrame, key: str):
         """keys: a staged table, which is counted first."""

@@ -5,9 +5,9 @@ pre-aggregated on the map side, so that a group that holds a third of all rows s
 move only where a hash occurs more than once: they are grouped by hash and whole text, again pre-aggregated, which
 compares their bytes and tells apart texts that collide.
 
-Which rows may matter is known from a sieve of the repeated hashes, a bitmap of 16 to 32 bits for each and at most
-128 MB, which is broadcast; beyond 67 million repeated hashes it passes ever more single texts, which costs time and no
-row.
+Which rows may matter is known from a sieve of the repeated hashes, a bitmap of 64 to 128 bits for each and at most
+128 MB, which is broadcast; beyond 16 million repeated hashes it passes ever more single texts (one in 16 with 67
+million), which costs time and no row.
 
 Defined results: null text equals the empty text. Rows without doc_id count in their group and are chosen only where
 no row of it has one (keep_id is null then, and they all stay). Rows that repeat a doc_id are reported each. Extra

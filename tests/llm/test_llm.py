@@ -718,7 +718,7 @@ def test_sieve_loses_no_key(spark, monkeypatch, n, most):
     assert not wanted & set(rest)
     assert sieve.bits <= most and sieve.table.count() <= -(-sieve.bits // (1 << 15))
     if most > 1 << 15:
-        assert len(set(passed) - wanted) <= 200_000 / 16
+        assert len(set(passed) - wanted) <= 200_000 / 64
 
 
 @pytest.mark.parametrize("size", [10, 100, 1 << 20])
