@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import hashlib
 from collections.abc import Callable, Iterator
 from functools import cache
@@ -39,12 +40,31 @@ def blobs(column: pa.Array) -> list:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def tidy(run: Callable) -> Callable:
-    """A function over Arrow batches that gives unused memory back to the system when a task ends: Python workers live on
-    from task to task, and what they once held would add up."""
+_kept: dict[tuple[Callable, str], object] = {}
+
+
+def kept(make: Callable, path: str):
+    """make(path), which a Python worker keeps from task to task until it is given one that does not need it."""
+    if (make, path) not in _kept:
+        _kept[make, path] = make(path)
+    return _kept[make, path]
+
+
+def let_go(keeps: Callable | None) -> None:
+    """Forgets what is kept, but for what `keeps` made."""
+    if others := [k for k in _kept if k[0] is not keeps]:
+        for key in others:
+            del _kept[key]
+        gc.collect()  # what was kept may refer to itself
+
+
+def tidy(run: Callable, keeps: Callable | None = None) -> Callable:
+    """A function over Arrow batches that gives unused memory back to the system: when a task ends, and at its start what
+    other operators have `kept`. Python workers live on from task to task, and what they once held would add up."""
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc = _libc()
+        let_go(keeps)
         yield from run(batches)
         pa.default_memory_pool().release_unused()
         if libc:
@@ -64,8 +84,9 @@ def _libc() -> ctypes.CDLL | None:
         return None
 
 
-def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow with one output batch, given as columns by name, for each part of an input batch."""
+def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, keeps: Callable | None = None) -> DataFrame:
+    """mapInArrow with one output batch, given as columns by name, for each part of an input batch. keeps: what makes the
+    things that `rows` has `kept`."""
     target = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +94,7 @@ def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: s
             for part in slices(batch):
                 yield record_batch(rows(part), target)
 
-    return df.mapInArrow(tidy(run), schema)
+    return df.mapInArrow(tidy(run, keeps), schema)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:

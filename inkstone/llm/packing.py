@@ -30,14 +30,13 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, blobs, map_batches, mix64, padded, range_hashes, record_batch, runs_of, slices, staged, tidy, word_blocks
+from .common import arrow_schema, blobs, kept, map_batches, mix64, padded, range_hashes, record_batch, runs_of, slices, staged, tidy, word_blocks
 
 LENGTH, END = 2048, 1
 DIMS, AXES, BITS = 1024, 4, 10
@@ -202,9 +201,8 @@ def _valid(word: bytes) -> bool:
     return True
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return kept(Encoder, path)
 
 
 _RNG = np.random.default_rng(7)
@@ -261,7 +259,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             "ids": [np.append(x, np.uint16(END)).astype("<u2").tobytes() for x in found],
         }
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, key long, n long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, key long, n long, ids binary", keeps=Encoder)
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

@@ -16,12 +16,11 @@ gives an empty result.
 from __future__ import annotations
 
 import re
-from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, blobs, map_batches
+from .common import Memo, blobs, kept, map_batches
 
 MARK = "▁"
 UNIT = re.compile(" +[^ ]*")
@@ -76,9 +75,8 @@ class Counter:
         return total
 
 
-@cache
 def counter(path: str) -> Counter:
-    return Counter(path)
+    return kept(Counter, path)
 
 
 def count_tokens(docs: DataFrame, path: str, *, limit: int = 4096) -> DataFrame:
@@ -95,4 +93,4 @@ def count_tokens(docs: DataFrame, path: str, *, limit: int = 4096) -> DataFrame:
             "over_limit": [n > limit for n in tokens],
         }
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keeps=Counter)

@@ -733,6 +733,26 @@ def test_slices_are_bounded(size):
     assert list(common.slices(batch.slice(0, 0))) == []
 
 
+def test_workers_keep_what_one_operator_needs():
+    def use(make):
+        return common.tidy(lambda batches: (common.kept(make, "x") for _ in batches), make)
+
+    first, again = next(use(Counted)(iter([1]))), next(use(Counted)(iter([1])))
+    assert first is again and Counted.made == 1
+    list(common.tidy(lambda batches: batches)(iter(())))
+    assert not common._kept
+    assert next(use(Counted)(iter([1]))) is not first and Counted.made == 2
+    common.let_go(None)
+
+
+class Counted:
+    made = 0
+
+    def __init__(self, path: str):
+        Counted.made += 1
+        self.me = self  # as counters do, which refer to themselves
+
+
 def test_staged_tables_can_be_discarded(spark):
     table = common.staged(spark.range(3), "test-some")
     assert table.count() == 3 and os.path.isdir(table._staged_at.removeprefix("file:"))
