@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +13,7 @@ from ..operators import corpus, distance, evaluate, lexicon, rank
 from ..operators import features as ft
 from ..operators.sentences import sentences
 from ..sources import readers, sinks
-from ..stage import shared_dir, staged
+from ..stage import fresh, staged
 from . import sql as S
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -694,11 +693,6 @@ def q57_rewrite_prompts(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", prompts.rewrite_prompt(F.col("text")).alias("prompt"))
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    """A new folder for what a query writes and reads again."""
-    return f"{shared_dir(spark)}/inkstone/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT doc_id, text AS content, source, lang AS context_tag, sha256(text) AS content_hash FROM documents")
 def q58_samples_file(spark, sf_dir):
     rows = corpus.content_hash(docs(spark, sf_dir))

@@ -47,6 +47,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files that are written and read again; it goes when the application ends."""
+    return f"{_folder(spark)[0].toString()}/{name}-{uuid.uuid4().hex}"
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes staged tables that nothing will read again."""
     for table in tables:
