@@ -85,6 +85,12 @@ SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed,
 FROM t LEFT JOIN c USING (doc_id)
 """
 
+OP12 = """
+WITH t AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+g AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest, CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS first FROM t)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM g
+"""
+
 OP13 = """
 WITH q AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (CAST(label AS BIGINT) + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -103,5 +109,6 @@ ORACLE_SQL = {
     "op6_suffix_dedup": OP6,
     "op8_url_filter": OP8,
     "op9_exact_dedup": OP9,
+    "op12_warc": OP12,
     "op13_hard_negatives": OP13,
 }
