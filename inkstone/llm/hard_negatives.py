@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_schema, discard, record_batch, staged, tidy
+from .grid import cells, pack_of
 
 #: Vectors of a block (and at most so many components), anchors of a pack on average, scores worked on at a time.
 ROWS, COMPONENTS, ANCHORS, SCORES = 8192, 1 << 21, 4096, 1 << 22
@@ -137,18 +138,15 @@ class _Cells:
         self.slots = max(n, 1)
         # by Cauchy and Schwarz no sum of products of any components is larger
         self.bound = min(int((norm or 0.0) ** 2 * 1.001) + 1, MOST) if (norm or 0.0) < 2.0**64 else MOST
-        slot = F.pmod(F.xxhash64("block"), F.lit(self.slots)).cast("int").alias("slot")
-        every = F.explode(F.sequence(F.lit(0), F.lit(packs - 1))).alias("pack")
-        self.blocks = blocks.where("n > 0").select("*", slot).select("*", every)
+        self.blocks, self.n_packs = blocks.where("n > 0"), packs
         # some ANCHORS rows each, dealt by hash
         self.packs = anchors.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("uid", "label", "vector"))).alias("anchors"))
 
     def through(self, windows: DataFrame, work: Callable, schema: str, *, same: bool) -> DataFrame:
         """work(scores of one anchor's rows, their places in the block, windows of the anchor, block) for all cells.
         windows (uid, pack, w, lo, hi, top, need)."""
-        every = F.explode(F.sequence(F.lit(0), F.lit(self.slots - 1))).alias("slot")
         own = windows.groupBy("pack").agg(F.sort_array(F.collect_list(F.struct("uid", "w", "lo", "hi", "top", "need"))).alias("windows"))
-        sides = self.blocks.join(self.packs.join(own, "pack").select("*", every), ["pack", "slot"])
+        sides = cells(self.blocks, self.packs.join(own, "pack"), slots=self.slots, n_packs=self.n_packs)
         target, small = arrow_schema(schema), self.bound
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +242,12 @@ def _gather(scores: np.ndarray, at: np.ndarray, windows: dict, block: int, ids:
             out["score"].append(scores[found][order])
 
 
-def _select(cells: _Cells, windows: DataFrame, bits: int, *, same: bool) -> DataFrame:
+def _select(grid: _Cells, windows: DataFrame, bits: int, *, same: bool) -> DataFrame:
     """The first `need` rows of each window (uid, pack, w, lo, hi, need; w tells them apart): w, rank, vec_id, uid and
     score. bits: of the widest range from lo to hi."""
     windows = staged(windows.withColumn("top", F.col("hi")).withColumn("k", F.col("need")), "negatives-windows")
     for _ in range(math.ceil(bits / DIGIT)):
-        counted = cells.through(windows, _histogram, "w long, bucket long, n long", same=same)
+        counted = grid.through(windows, _histogram, "w long, bucket long, n long", same=same)
         sums = counted.groupBy("w", "bucket").agg(F.sum("n").alias("n"))
         own = Window.partitionBy("w")
         upto = F.sum("n").over(own.orderBy(F.desc("bucket")))
@@ -264,7 +262,7 @@ def _select(cells: _Cells, windows: DataFrame, bits: int, *, same: bool) -> Data
         windows, last = staged(located, "negatives-windows"), windows
         discard(last)
     reached = windows.withColumn("need", F.col("k"))
-    rows = cells.through(reached, _gather, "w long, uid long, vec_id long, none long, score long", same=same)
+    rows = grid.through(reached, _gather, "w long, uid long, vec_id long, none long, score long", same=same)
     order = Window.partitionBy("w").orderBy(F.desc("score"), "none", "vec_id", "uid")
     first = rows.withColumn("rank", F.row_number().over(order)).join(windows.select("w", "k"), "w").where("rank <= k")
     found = staged(first.select("w", "rank", F.when(F.col("none") == 0, F.col("vec_id")).alias("vec_id"), "uid", "score"), "negatives-found")
@@ -281,22 +279,22 @@ def mine(
     blocks = staged(_blocks(rows, scale), "negatives-blocks")
     among = staged(_anchors(blocks, anchors), "negatives-anchors")
     packs = max(1, -(-among.count() // ANCHORS))
-    found = among.withColumn("pack", F.pmod(F.xxhash64("uid"), F.lit(packs)).cast("int"))
-    cells = _Cells(blocks, found, packs)
-    cells.packs = staged(cells.packs, "negatives-packs")
+    found = among.withColumn("pack", pack_of("uid", packs))
+    grid = _Cells(blocks, found, packs)
+    grid.packs = staged(grid.packs, "negatives-packs")
     number = lambda x: F.lit(x).cast("long")
-    windows = found.select("uid", "pack", F.col("uid").alias("w"), number(-cells.bound).alias("lo"), number(cells.bound).alias("hi"), F.lit(positives).alias("need"))
-    near = _select(cells, windows, (2 * cells.bound).bit_length(), same=True)
+    windows = found.select("uid", "pack", F.col("uid").alias("w"), number(-grid.bound).alias("lo"), number(grid.bound).alias("hi"), F.lit(positives).alias("need"))
+    near = _select(grid, windows, (2 * grid.bound).bit_length(), same=True)
     pairs = near.select(F.col("w").alias("uid"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"), F.col("rank").alias("at")).join(found, "uid")
     # few enough windows for an anchor that its uid has room for their places
     pairs = staged(pairs.select("uid", "pack", "anchor_id", "positive_id", "positive_score", (F.col("uid") * positives + F.col("at") - 1).alias("w")), "negatives-pairs")
     score = F.col("positive_score")
     lo, hi = F.expr(f"({low} * positive_score + 99) div 100"), F.expr(f"({high} * positive_score) div 100")
     windows = pairs.where((score >= 0) & (lo <= hi)).select("uid", "pack", "w", lo.alias("lo"), hi.alias("hi"), F.lit(negatives).alias("need"))
-    far = _select(cells, windows, (cells.bound * (high - low) // 100 + 1).bit_length(), same=False)
+    far = _select(grid, windows, (grid.bound * (high - low) // 100 + 1).bit_length(), same=False)
     out = pairs.join(far.select("w", "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score")), "w")
     out = staged(out.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "negatives")
-    discard(blocks, among, cells.packs, near, pairs, far)
+    discard(blocks, among, grid.packs, near, pairs, far)
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, hard_negatives, license_scan, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter, warc
+from . import chat_format, decontaminate, exact_dedup, hard_negatives, lexical_search, license_scan, near_dedup, packing, suffix_dedup, token_counts, toxicity, url_filter, warc
 from ..stage import fresh
 from .common import load
 
@@ -92,6 +92,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json")).drop("ids")
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"), top=20)
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load(spark, sf_dir, "pages").select("page_id", "url", F.col("html").cast("binary").alias("payload"))
     records = warc.round_trip(spark, pages, fresh(spark, "warc"))
@@ -113,6 +117,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_chat_format, op2_toxicity, op3_decontaminate, op4_license_scan, op5_near_dedup, op6_suffix_dedup,
-        op7_token_counts, op8_url_filter, op9_exact_dedup, op10_packing, op12_warc, op13_hard_negatives, pipeline,
+        op7_token_counts, op8_url_filter, op9_exact_dedup, op10_packing, op11_lexical_search, op12_warc, op13_hard_negatives, pipeline,
     )
     return {f.__name__: f for f in own}

@@ -85,6 +85,19 @@ SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed,
 FROM t LEFT JOIN c USING (doc_id)
 """
 
+OP11 = rf"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+wanted AS (SELECT item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+sizes AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS l FROM sizes),
+posts AS (SELECT doc_id, t, count(*) AS tf FROM terms WHERE t IN (SELECT t FROM wanted) GROUP BY doc_id, t),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM (SELECT t, count(*) AS df FROM posts GROUP BY t), whole),
+scores AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // l)))) AS BIGINT) AS score
+           FROM wanted JOIN weights USING (t) JOIN posts USING (t) JOIN sizes USING (doc_id), whole GROUP BY item_id, doc_id),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
 OP12 = """
 WITH t AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 g AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest, CASE WHEN strlen(body) >= 1000 THEN max(page_id) OVER (PARTITION BY body) ELSE page_id END AS first FROM t)
@@ -109,6 +122,7 @@ ORACLE_SQL = {
     "op6_suffix_dedup": OP6,
     "op8_url_filter": OP8,
     "op9_exact_dedup": OP9,
+    "op11_lexical_search": OP11,
     "op12_warc": OP12,
     "op13_hard_negatives": OP13,
 }
