@@ -192,7 +192,7 @@ class _Block:
         self.block, self.n, self.starts, self.lengths = row["block"], row["n"], long("starts"), long("lengths")
         self.ids, self.none = long("ids").reshape(2, -1)
         self.words = row["words"].split(b" ") if row["words"] else []
-        self.docs = np.frombuffer(row["docs"], np.int32)
+        self.docs = np.frombuffer(row["docs"], np.int32).astype(np.int64)
         self.impacts = impact(np.frombuffer(row["counts"], np.int32).astype(np.int64), self.lengths[self.docs], n, total)
 
 
@@ -251,13 +251,13 @@ def _found(row: pa.RecordBatch, n: int, total: int, k: int, names: list[str]) ->
     """The first k documents of a block for each item of a pack, of those that reach its threshold."""
     b = _Block(row.select(COLUMNS).to_pylist()[0], n, total)
     entries = row.column("entries").flatten()
-    own = {f.name: np.asarray(entries.field(i).slice(entries.offset, len(entries))) for i, f in enumerate(entries.type) if f.name != "word"}
+    own = {f.name: np.asarray(entries.field(i)) for i, f in enumerate(entries.type) if f.name != "word"}
     place = {w: i for i, w in enumerate(b.words)}
-    number = np.array([place.get(w, -1) for w in blobs(entries.field("word").slice(entries.offset, len(entries)))], np.int64)
+    number = np.array([place.get(w, -1) for w in blobs(entries.field("word"))], np.int64)
     out: dict[str, list] = {name: [] for name in names}
     begin = np.flatnonzero(np.diff(own["item"], prepend=-1))
     score = np.zeros(b.n, np.int64)
-    for lo, hi in zip(begin, np.append(begin[1:], len(number)), strict=True):
+    for lo, hi in zip(begin, np.append(begin, len(number))[1:], strict=True):
         here = lo + np.flatnonzero(number[lo:hi] >= 0)
         leading = here[own["leading"][here]]
         if not len(leading):
