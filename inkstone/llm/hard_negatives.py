@@ -160,7 +160,7 @@ class _Cells:
 def _structs(column: pa.Array) -> dict:
     """The only row of a list of structs: its fields as arrays."""
     items = column.flatten()
-    return {f.name: items.field(i).slice(items.offset, len(items)) for i, f in enumerate(items.type)}
+    return {f.name: items.field(i) for i, f in enumerate(items.type)}
 
 
 def _cell(row: pa.RecordBatch, work: Callable, bound: int, same: bool, names: list[str]) -> dict:

@@ -186,7 +186,7 @@ class Index:
     parts: list[tuple[bytes, bytes, str, str]]
 
 
-def build_index(archive: Archive, folder: str) -> Index:
+def build_index(archive: Archive, folder: str, *, lines_a_block: int = LINES) -> Index:
     """Captures sorted by key, in blocks with a directory for each range of keys. At most PARTS rows go to the driver."""
     make_folder(folder)
     spark = archive.entries.sparkSession
@@ -212,7 +212,7 @@ def build_index(archive: Archive, folder: str) -> Index:
                 first = last if first is None else first
                 lines.append(b"%s %s %s %d %d\n" % (last, b"-" if page is None else b"%d" % page, file.encode(), offset, length))
                 size += len(lines[-1])
-                if len(lines) >= LINES or size >= BLOCK:
+                if len(lines) >= lines_a_block or size >= BLOCK:
                     cut()
                     size = 0
         if out:
