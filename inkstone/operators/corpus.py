@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,27 +28,49 @@ def kth_smallest(df: DataFrame, column: str, k: int) -> int | None:
     """The k-th smallest of a whole-number column, by counts in ever narrower ranges: a few scans of one column, no
     sort and no task that sees all rows."""
     c = F.col(column)
-    low, high, n = df.agg(F.min(c), F.max(c), F.count(c)).first()
+    low, high, n = df.agg(F.min(c).cast("long"), F.max(c).cast("long"), F.count(c)).first()
     if not n or k < 1:
         return None
     k = min(k, n)
     while low < high:
-        width = max(1, -(-(high - low + 1) // 256))
-        found = df.where(c.between(low, high)).groupBy(F.floor((c - low) / width).cast("long").alias("b")).count().collect()
+        width = max(1, -(-(high - low + 1) // 255))
+        # whole numbers throughout, and no difference that could leave 64 bits; as Python's //
+        bucket = F.expr(f"`{column}` div {width} - if(`{column}` % {width} < 0, 1, 0)")
+        found = df.where(c.between(low, high)).groupBy(bucket.alias("b")).count().collect()
         for b, m in sorted((r["b"], r["count"]) for r in found):
             if k <= m:
-                low, high = low + b * width, min(high, low + (b + 1) * width - 1)
+                low, high = max(low, b * width), min(high, (b + 1) * width - 1)
                 break
             k -= m
     return low
 
 
+def _tie(samples: DataFrame) -> Column:
+    """A number of what is in a row, between 0 and 2**62."""
+    plain = [f.name for f in samples.schema if not isinstance(f.dataType, T.MapType)]
+    return F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), 2)
+
+
 def holdout_split(samples: DataFrame, ratio: float, *, at_most_half: bool = False) -> DataFrame:
-    """samples with held_out: the first rows by doc_id, the ratio of them rounded up, one at least."""
-    n = samples.count()
-    k = min(max(1, -(-n * ratio // 1)), n // 2 if at_most_half and n > 1 else n)
-    edge = kth_smallest(samples, "doc_id", int(k))
-    return samples.withColumn("held_out", F.lit(False) if edge is None else F.col("doc_id") <= edge)
+    """samples with held_out, which is never null: the first rows by doc_id, the ratio of them rounded up, one at least.
+    Rows without doc_id come last; rows that share one go by a hash of what is in them, so that only rows that are equal
+    throughout can be held out beyond the ratio, since they go together."""
+    n, known = samples.agg(F.count(F.lit(1)), F.count("doc_id")).first()
+    k = int(min(max(1, -(-n * ratio // 1)), n // 2 if at_most_half and n > 1 else n))
+    if not k or not n:
+        return samples.withColumn("held_out", F.lit(False))
+    tied = samples.withColumn("_tie", _tie(samples))
+    if k > known:
+        last = kth_smallest(tied.where("doc_id is null"), "_tie", k - known)
+        held = F.col("doc_id").isNotNull() | (F.col("_tie") <= last)
+        return tied.withColumn("held_out", held).drop("_tie")
+    edge = kth_smallest(samples, "doc_id", k)
+    below, at = samples.agg(F.count_if(F.col("doc_id") < edge), F.count_if(F.col("doc_id") == edge)).first()
+    if below + at == k:
+        return samples.withColumn("held_out", F.coalesce(F.col("doc_id") <= edge, F.lit(False)))
+    last = kth_smallest(tied.where(F.col("doc_id") == edge), "_tie", k - below)
+    held = (F.col("doc_id") < edge) | ((F.col("doc_id") == edge) & (F.col("_tie") <= last))
+    return tied.withColumn("held_out", F.coalesce(held, F.lit(False))).drop("_tie")
 
 
 def report(samples: DataFrame, tag: str = "lang") -> DataFrame:
@@ -84,45 +106,57 @@ def chunk_text(text: str, max_words: int, paragraph: str = "\n\n") -> list[str]:
     return out
 
 
-def chunk(samples: DataFrame, max_words: int, *, paragraph: str = "\n\n") -> DataFrame:
-    """doc_id, chunk_index, text. Packing is a fold over the paragraphs of one text, done in Arrow batches."""
-    schema = T.StructType(
-        [T.StructField("doc_id", T.LongType()), T.StructField("chunk_index", T.LongType()), T.StructField("text", T.StringType())]
-    )
+def chunk(samples: DataFrame, max_words: int, *, paragraph: str = "\n\n", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """The columns to keep, chunk_index, text. Packing is a fold over the paragraphs of one text, done in Arrow batches."""
+    fields = [samples.schema[c] for c in keep]
+    schema = T.StructType([*fields, T.StructField("chunk_index", T.LongType()), T.StructField("text", T.StringType())])
+    n = len(keep)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [
-                (doc, i, part)
-                for doc, text in zip(frame["doc_id"], frame["text"], strict=True)
-                for i, part in enumerate(chunk_text(text or "", max_words, paragraph))
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, places, texts = [], [], []
+            for row, text in enumerate(batch.column(n).to_pylist()):
+                for i, part in enumerate(chunk_text(text or "", max_words, paragraph)):
+                    rows.append(row)
+                    places.append(i)
+                    texts.append(part)
+            at = pa.array(rows, pa.int64())
+            kept = [batch.column(i).take(at) for i in range(n)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(places, pa.int64()), pa.array(texts, pa.string())], [*keep, "chunk_index", "text"])
 
-    return samples.select("doc_id", "text").mapInPandas(run, schema)
+    return samples.select(*keep, "text").mapInArrow(run, schema)
 
 
 def ingest(samples: DataFrame, *, max_words: int, existing: DataFrame | None = None, cleaned: bool = True, paragraph: str = "\n\n") -> tuple[DataFrame, DataFrame]:
     """The whole way of new samples (doc_id, text, context_tag): cleaned, those known before or earlier left out, cut into
     chunks. Gives the chunks (doc_id, context_tag, chunk_index, text) and a report: a row for each context (samples,
-    skipped, chunks, words), and one for all with context null."""
-    rows = samples.select("doc_id", "context_tag", (clean.clean(F.col("text")) if cleaned else F.col("text")).alias("text"))
-    rows = content_hash(staged(rows, "ingest-samples"))
-    new = dedupe(rows, existing).select("content_hash", "doc_id")
-    kept = rows.join(new, ["content_hash", "doc_id"], "left_semi").dropDuplicates(["content_hash"])
-    tags = rows.select("doc_id", "context_tag").dropDuplicates(["doc_id"])
-    chunks = staged(chunk(kept, max_words, paragraph=paragraph).join(tags, "doc_id"), "ingest-chunks")
-    count = F.count(F.lit(1))
-    read = rows.groupBy("context_tag").agg(count.alias("read"))
-    some = kept.groupBy("context_tag").agg(count.alias("samples"))
-    cut = chunks.groupBy("context_tag").agg(count.alias("chunks"), F.sum(K.unicode_word_count(F.col("text"))).alias("words"))
-    tag = F.coalesce("context_tag", F.lit("none")).alias("context")
-    found = [t.select(tag, *[F.col(c) for c in t.columns if c != "context_tag"]) for t in (read, some, cut)]
-    by_context = found[0].join(found[1], "context", "left").join(found[2], "context", "left").fillna(0)
-    report = by_context.select("context", "samples", (F.col("read") - F.col("samples")).alias("skipped"), "chunks", "words")
+    skipped, chunks, words), and one for all with context null.
+
+    Each row is a sample of its own, whatever ids repeat or are missing. Of rows with equal texts the one with the
+    smallest doc_id stays (one without only where none has one), then that with the smallest tag; its chunks carry its
+    own tag. A null tag is reported as `none`, together with a tag of that name; a null text is an empty one."""
+    text = F.coalesce(clean.clean(F.col("text")) if cleaned else F.col("text"), F.lit(""))
+    rows = content_hash(staged(samples.select("doc_id", "context_tag", text.alias("text")), "ingest-samples"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("context_tag").isNull().alias("no_tag"), "context_tag")
+    first = rows.groupBy("content_hash").agg(F.min(order).alias("first")).select("content_hash", "first.doc_id", "first.context_tag")
+    if existing is not None:
+        first = first.join(existing.select("content_hash"), "content_hash", "left_anti")
+    own = F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & F.col("r.context_tag").eqNullSafe(F.col("f.context_tag"))
+    kept = rows.alias("r").join(first.alias("f"), (F.col("r.content_hash") == F.col("f.content_hash")) & own, "left_semi")
+    kept = staged(kept.dropDuplicates(["content_hash"]), "ingest-kept")  # equal throughout, so any of them
+    chunks = staged(chunk(kept, max_words, paragraph=paragraph, keep=("doc_id", "context_tag")), "ingest-chunks")
+    context, one = F.coalesce("context_tag", F.lit("none")).alias("context"), F.lit(1)
+    none = F.lit(0)
+    counted = (
+        rows.select(context, one.alias("read"), none.alias("samples"), none.alias("chunks"), none.alias("words"))
+        .unionByName(kept.select(context, none.alias("read"), one.alias("samples"), none.alias("chunks"), none.alias("words")))
+        .unionByName(chunks.select(context, none.alias("read"), none.alias("samples"), one.alias("chunks"), K.unicode_word_count(F.col("text")).alias("words")))
+    )
+    sums = counted.groupBy("context").agg(*[F.sum(c).alias(c) for c in ("read", "samples", "chunks", "words")])
     numbers = ("samples", "skipped", "chunks", "words")
-    total = report.agg(*[F.sum(c).alias(c) for c in numbers]).select(F.lit(None).cast("string").alias("context"), *numbers)
-    return chunks.select("doc_id", "context_tag", "chunk_index", "text"), report.unionByName(total)
+    report = staged(sums.withColumn("skipped", F.col("read") - F.col("samples")).select("context", *numbers), "ingest-report")
+    total = report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in numbers]).select(F.lit(None).cast("string").alias("context"), *numbers)
+    return chunks, report.unionByName(total)
 
 
 def training_rows(samples: DataFrame, style: str = "chat", *, instruction: str = "Write in the author's style.") -> DataFrame:

@@ -13,10 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import AUTHOR_VALID, BANNED_PHRASES, BANNED_WORDS, DISTANCE_WEIGHTS, FUNCTION_WORDS, HISTOGRAM_CENTERS
-from ..functions.tokens import count_of, plain_word_count, unicode_word_count
+from ..functions.tokens import plain_word_count, unicode_word_count
 from ..stage import staged
 from . import features as ft
 from .features import rounded
+from .terms import Terms
 
 
 @dataclass
@@ -114,21 +115,23 @@ def fingerprint(texts: DataFrame) -> DataFrame:
     return out
 
 
+#: Formulaic words and phrases; the second list leaves out words that authors use as well.
+ALL_FORMULAS = Terms([*BANNED_WORDS, *BANNED_PHRASES])
+FORMULAS = Terms([*(w for w in BANNED_WORDS if w not in AUTHOR_VALID), *BANNED_PHRASES])
+_TWICE = dict.fromkeys(BANNED_PHRASES, 2)
+
+
 def slop(text: Column) -> Column:
     """Density of formulaic words and (twice) phrases, 1 at five in a hundred words."""
-    low = F.lower(text)
-    hits = sum((count_of(low, w) for w in BANNED_WORDS if w not in AUTHOR_VALID), F.lit(0).cast("long"))
-    hits = hits + 2 * sum((count_of(low, p) for p in BANNED_PHRASES), F.lit(0).cast("long"))
-    words = unicode_word_count(text)
+    hits, words = FORMULAS.total(F.lower(text), _TWICE), unicode_word_count(text)
     return F.when(words > 0, clamp(hits * 100.0 / words / 5.0)).otherwise(0.0)
 
 
 def slop_presence(text: Column) -> Column:
     """Distinct formulaic words and (twice) phrases in a hundred plain words, 100 at most."""
-    low = F.lower(text)
-    hits = sum((low.contains(w).cast("int") for w in BANNED_WORDS), F.lit(0))
-    hits = hits + 2 * sum((low.contains(p).cast("int") for p in BANNED_PHRASES), F.lit(0))
-    words = plain_word_count(text)
+    found, words = ALL_FORMULAS.present(F.lower(text)), plain_word_count(text)
+    phrases = F.array(*[F.lit(p) for p in BANNED_PHRASES])
+    hits = F.size(found) + F.size(F.array_intersect(found, phrases))
     return F.when(words > 0, F.least(hits * 100.0 / words, F.lit(100.0))).otherwise(0.0)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import tokens as K
 from ..functions.constants import LEXICON_STOPWORDS
+from .terms import Terms
 
 _STOP = sorted(set(LEXICON_STOPWORDS))
 
@@ -63,11 +64,10 @@ def merge(names: DataFrame, words: DataFrame, *, max_terms: int = 200) -> DataFr
 
 
 def leakage(texts: DataFrame, lexicon: list[str]) -> DataFrame:
-    """texts (prompt, output, ...) with checkable (terms that the prompt lacks), leaked (those that the output has) and
-    leakage. The lexicon is a bounded list."""
-    terms = F.array(*[F.lit(t) for t in lexicon]) if lexicon else F.array().cast("array<string>")
-    free = F.filter(terms, lambda t: ~K.contains_whole(F.lower("prompt"), t))
-    leaked = F.filter(F.col("_free"), lambda t: K.contains_whole(F.lower("output"), t))
-    rows = texts.withColumn("_free", free).withColumn("leaked", leaked).withColumn("checkable", F.size("_free"))
+    """texts (prompt, output, ...) with checkable (how many terms the prompt lacks), leaked (those of them that the output
+    has, in the lexicon's order) and leakage. Terms are whole words; the lexicon is a list that fits a task."""
+    terms = Terms(lexicon)
+    found = texts.withColumn("_asked", terms.whole(F.lower("prompt"))).withColumn("_said", terms.whole(F.lower("output")))
+    rows = found.withColumn("leaked", F.array_except("_said", "_asked")).withColumn("checkable", F.lit(len(terms.terms)) - F.size("_asked"))
     share = F.when(F.col("checkable") > 0, F.size("leaked") / F.col("checkable")).otherwise(0.0)
-    return rows.withColumn("leakage", F.round(share, 6)).drop("_free")
+    return rows.withColumn("leakage", F.round(share, 6)).drop("_asked", "_said")

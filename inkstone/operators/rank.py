@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import tokens as K
 from ..functions.constants import AUTHOR_VALID, BANNED_PHRASES, BANNED_WORDS, PROMPT_STOPWORDS
+from .distance import FORMULAS
 from .features import repetition, rounded
 
 
@@ -29,10 +30,10 @@ def relevance(prompt: Column, output: Column) -> Column:
 
 def rejections(text: Column) -> Column:
     """Why a text fails: phrases, more than three formulaic words, under ten words, repetition over 0.4."""
-    low = F.lower(text)
-    words = F.array(*[F.lit(w) for w in BANNED_WORDS if w not in AUTHOR_VALID])
-    n_words = F.size(F.filter(words, lambda w: F.contains(low, w)))
-    phrases = F.filter(F.array(*[F.lit(p) for p in BANNED_PHRASES]), lambda p: F.contains(low, p))
+    text = F.coalesce(text, F.lit(""))
+    found = FORMULAS.present(F.lower(text))
+    phrases = F.array_intersect(found, F.array(*[F.lit(p) for p in BANNED_PHRASES]))
+    n_words = F.size(found) - F.size(phrases)
     n = K.plain_word_count(text)
     return F.concat(
         F.transform(phrases, lambda p: F.concat(F.lit("phrase: "), p)),
