@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import arrow_schema, discard, record_batch, staged, tidy
-from .grid import cells, pack_of
+from ..grid import cells, pack_of
 
 #: Vectors of a block (and at most so many components), anchors of a pack on average, scores worked on at a time.
 ROWS, COMPONENTS, ANCHORS, SCORES = 8192, 1 << 21, 4096, 1 << 22

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import ALNUM_TABLE, NOT_SPACE, Words, arrow_schema, blobs, discard, padded, range_hashes, record_batch, slices, staged, tidy, word_blocks
-from .grid import cells, pack_of
+from ..grid import cells, pack_of
 
 BITS = 26
 #: Documents and postings of a block, rows of a pack of items, bytes of text gone through at a time.

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Sieve, arrow_schema, discard, record_batch, slices, staged, tidy
-from .files import Reader, Writer, make_folder
+from ..files import Reader, Writer, make_folder
 
 #: Payloads of fewer bytes are written each time.
 MIN_REVISIT = 1000

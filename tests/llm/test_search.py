@@ -15,7 +15,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkstone.llm import files, hard_negatives, lexical_search, queries, sql, warc
+from inkstone import files
+from inkstone.llm import hard_negatives, lexical_search, queries, sql, warc
 from inkstone.stage import fresh
 
 # --- ranked lexical search ---
