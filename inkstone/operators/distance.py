@@ -7,6 +7,7 @@ terms that both sides hold meet, and norms are summed apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -139,15 +140,12 @@ def relative(a: Column, b: Column) -> Column:
     return F.when(F.abs(b) > 0.1, F.abs((a - b) / F.greatest(F.abs(b), F.lit(1.0)))).otherwise(0.0)
 
 
-def distances(texts: Style, profiles: Style, pairs: DataFrame, slops: DataFrame | None = None) -> DataFrame:
-    """The parts of the distance for each pair, base and overall. slops (k, slop): 0 where it has no row."""
-    a, b = texts.dense.alias("a"), profiles.dense.withColumnRenamed("k", "p").alias("b")
-    rows = pairs.join(a, "k").join(b, "p")
-    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+def dense_parts(x: Callable[[str], Column], y: Callable[[str], Column]) -> dict[str, Column]:
+    """The parts of the distance that dense measures give; x and y: the columns of a text and of a profile."""
     off = lambda c, scale: F.abs(x(c) - y(c)) / scale
     syllables = F.when(y("avg_syllables") > 0, F.abs((x("avg_syllables") - y("avg_syllables")) / y("avg_syllables"))).otherwise(0.0)
     yule = F.when(y("yule_k") > 0, F.abs((x("yule_k") - y("yule_k")) / F.greatest(y("yule_k"), F.lit(50.0)))).otherwise(0.0)
-    parts = {
+    return {
         "sentences": F.when((x("mean") == 0) | (y("mean") == 0), 0.5)
         .when(y("histogram").isNull(), sentence_shift(x("mean"), x("sd"), y("mean"), y("sd")))
         .otherwise(histogram_emd(x("histogram"), y("histogram"))),
@@ -156,19 +154,29 @@ def distances(texts: Style, profiles: Style, pairs: DataFrame, slops: DataFrame
         "readability": clamp((relative(x("flesch_kincaid"), y("flesch_kincaid")) + relative(x("coleman_liau"), y("coleman_liau")) + syllables) / 3),
         "richness": clamp((yule + F.abs(x("hapax") - y("hapax")) * 2 + F.abs(x("simpson") - y("simpson")) * 10) / 3),
     }
-    rows = rows.select("k", "p", *[rounded(v).alias(k) for k, v in parts.items()])
-    for name, one, two, term in (
-        ("function_words", texts.words, profiles.words, "word"),
-        ("ngrams", texts.grams, profiles.grams, "gram"),
-    ):
-        rows = rows.join(cosine_distance(one, two, pairs, term).withColumnRenamed("distance", name), ["k", "p"])
-    slop_col = F.lit(0.0)
-    if slops is not None:
-        rows = rows.join(slops.select("k", "slop"), "k", "left")
-        slop_col = F.coalesce("slop", F.lit(0.0))
+
+
+def overall(rows: DataFrame, slop_col: Column) -> DataFrame:
+    """rows (k, p and all parts) with slop, base and overall."""
     base = clamp(sum((F.col(k) * w for k, w in DISTANCE_WEIGHTS.items()), F.lit(0.0)))
     over = F.least(F.greatest(slop_col - 0.02, F.lit(0.0)) / 0.08, F.lit(1.0))
     return rows.select(
         "k", "p", *DISTANCE_WEIGHTS, rounded(slop_col).alias("slop"), rounded(base).alias("base"),
         rounded(clamp(base * (1.0 + 0.4 * over * over))).alias("overall"),
     )
+
+
+def distances(texts: Style, profiles: Style, pairs: DataFrame, slops: DataFrame | None = None) -> DataFrame:
+    """The parts of the distance for each pair, base and overall. slops (k, slop): 0 where it has no row."""
+    a, b = texts.dense.alias("a"), profiles.dense.withColumnRenamed("k", "p").alias("b")
+    rows = pairs.join(a, "k").join(b, "p")
+    parts = dense_parts(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}"))
+    rows = rows.select("k", "p", *[rounded(v).alias(k) for k, v in parts.items()])
+    for name, one, two, term in (
+        ("function_words", texts.words, profiles.words, "word"),
+        ("ngrams", texts.grams, profiles.grams, "gram"),
+    ):
+        rows = rows.join(cosine_distance(one, two, pairs, term).withColumnRenamed("distance", name), ["k", "p"])
+    if slops is None:
+        return overall(rows, F.lit(0.0))
+    return overall(rows.join(slops.select("k", "slop"), "k", "left"), F.coalesce("slop", F.lit(0.0)))

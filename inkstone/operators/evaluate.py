@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..stage import staged
-from . import distance
+from . import distance, profiles
 from .corpus import holdout_split
 
 STANDARD_BUCKETS = ["off-domain", "canon-adjacent", "longform", "shortform"]
@@ -44,6 +44,7 @@ def buckets(records: DataFrame) -> DataFrame:
     records (combo, bucket, status, distance, leakage, terminal, structural). Standard buckets always appear."""
     ok = lambda x: F.when(F.col("status") == "ok", F.col(x))
     avg = lambda x: F.round(F.avg(ok(x).cast("decimal(20,6)")).cast("double"), 6)
+    records = staged(records, "records")
     got = records.rollup("combo", "bucket").agg(
         F.grouping_id().alias("level"),
         F.count_if(F.col("status") == "ok").alias("count"),
@@ -76,6 +77,7 @@ def _gate(rows: DataFrame, score: str, name: str) -> DataFrame:
 def gates(stats: DataFrame) -> DataFrame:
     """combo, off_domain_leakage, voice, overall_distance, gate (that eliminates it: 0 no success, 1 leakage off the domain,
     2 punctuation, 3 distance; null for the winner) and reasons, in order."""
+    stats = staged(stats, "buckets")  # a few rows for each combo
     overall = stats.where("bucket = 'overall'")
     off = stats.where("bucket = 'off-domain' and count > 0").select("combo", F.col("mean_leakage").alias("off"))
     rows = overall.join(off, "combo", "left").withColumn("off_domain_leakage", F.coalesce("off", "mean_leakage"))
@@ -111,9 +113,7 @@ def bench(samples: DataFrame, *, ratio: float = 0.1, creative: float = 72.0, smo
         held = held.orderBy("doc_id").limit(3)
     texts = held.select(F.col("doc_id").alias("k"), "text")
     profile = distance.Style.of(split.where("not held_out").select(F.lit("train").alias("k"), "text"))
-    pairs = staged(texts.select("k", F.lit("train").alias("p")), "bench-pairs")
-    slops = texts.select("k", distance.slop(F.col("text")).alias("slop"))
-    voice = voice_fidelity(distance.distances(distance.Style.of(texts), profile, pairs, slops))
+    voice = voice_fidelity(profiles.against(texts, profile))
     slop = texts.agg(F.coalesce(F.round(F.avg(F.round(distance.slop_presence(F.col("text")).cast("double"), 6).cast("decimal(20,6)")).cast("double"), 6), F.lit(0.0)).alias("slop"))
     both = voice.crossJoin(F.broadcast(slop)).withColumn("creative", F.lit(creative))  # one row each
     return both.withColumn("combined", F.round(combined(F.col("voice"), F.col("slop"), F.col("creative")), 6))

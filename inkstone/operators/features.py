@@ -63,8 +63,8 @@ def punctuation_counts(text: Column) -> dict[str, Column]:
 MARKS = ["em_dash", "en_dash", "semicolon", "colon", "exclamation", "question", "paren"]
 
 
-def row_counts(texts: DataFrame) -> DataFrame:
-    """texts (k, text) with the counts of each row."""
+def row_counts(texts: DataFrame, *more: Column) -> DataFrame:
+    """texts (k, text) with the counts of each row, and more columns made of `text` and `words`."""
     t = F.col("text")
     rows = texts.select("k", F.coalesce(t, F.lit("")).alias("text"))
     rows = rows.withColumn("words", K.unicode_words(t)).withColumn("sents", F.transform(sentences(t), K.unicode_word_count))
@@ -81,6 +81,7 @@ def row_counts(texts: DataFrame) -> DataFrame:
         _sum(F.transform("sents", lambda n: n.cast("long") * n)).alias("sum_squares"),
         *[b.alias(f"bin{i}") for i, b in enumerate(bins)],
         *[c.alias(k) for k, c in punctuation_counts(t).items()],
+        *more,
     )
 
 
@@ -110,17 +111,19 @@ def richness(words: DataFrame) -> DataFrame:
         F.count_if(n == 1).alias("once"),
         F.count_if(n == 2).alias("twice"),
     )
+    return got.select("k", "tokens", "types", *richness_columns())
+
+
+def richness_columns() -> list[Column]:
+    """Of tokens, types, squares (of the words' counts), once and twice (words with that count)."""
     t, v, sq = F.col("tokens"), F.col("types"), F.col("squares")
-    return got.select(
-        "k",
-        "tokens",
-        "types",
-        rounded(v / t).alias("ttr"),
+    return [
+        rounded(F.when(v > 0, v / t)).alias("ttr"),
         rounded(F.when(t > 1, 10000.0 * (sq - t) / (t.cast("double") * t)).otherwise(0.0)).alias("yule_k"),
-        rounded(F.col("once") / v).alias("hapax"),
-        rounded(F.col("twice") / v).alias("dis"),
+        rounded(F.when(v > 0, F.col("once") / v)).alias("hapax"),
+        rounded(F.when(v > 0, F.col("twice") / v)).alias("dis"),
         rounded(F.when(t > 1, 1.0 - (sq - t) / (t.cast("double") * (t - 1))).otherwise(0.0)).alias("simpson"),
-    )
+    ]
 
 
 def function_words(words: DataFrame) -> DataFrame:
@@ -143,6 +146,12 @@ def vocabulary(words: DataFrame) -> DataFrame:
     )
 
 
+def trigram_codes(text: str) -> np.ndarray:
+    """All runs of three characters of the lower-cased text, as numbers that sort as they do."""
+    c = np.frombuffer(text.lower().encode("utf-32-le"), "<u4").astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
 def trigrams(texts: DataFrame) -> DataFrame:
     """k, gram, n: runs of three characters of the lower-cased texts. Counted in arrays before they leave a task: a text
     has as many runs as characters, and sending each as a row costs ten times as much."""
@@ -152,8 +161,7 @@ def trigrams(texts: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k, own in frame.groupby("k", dropna=False, sort=False)["text"]:
-                codes = [np.frombuffer(t.lower().encode("utf-32-le"), "<u4").astype(np.int64) for t in own if isinstance(t, str)]
-                packed = [(c[:-2] << 42) | (c[1:-1] << 21) | c[2:] for c in codes if len(c) > 2]
+                packed = [trigram_codes(t) for t in own if isinstance(t, str) and len(t) > 2]
                 if packed:
                     found, n = np.unique(np.concatenate(packed), return_counts=True)
                     points = np.stack([found >> 42, (found >> 21) & 0x1FFFFF, found & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")

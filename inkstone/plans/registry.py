@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, prompts, tokens
 from ..functions.constants import BANNED_WORDS
-from ..operators import corpus, distance, evaluate, lexicon, rank
+from ..operators import backends, corpus, decode, distance, evaluate, lexicon, profiles, rank
 from ..operators import features as ft
 from ..operators.sentences import sentences
 from ..sources import readers, sinks
@@ -284,10 +284,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The distance of each candidate from the corpus, with its parts; k is the candidate_index."""
     texts = candidates(spark, sf_dir).select(F.col("candidate_index").alias("k"), F.col("output").alias("text"))
-    slops = texts.select("k", distance.slop(F.col("text")).alias("slop"))
-    # written, the profile's name is no constant that the optimizer would take out of joins
-    pairs = staged(texts.select("k", F.lit("corpus").alias("p")), "pairs")
-    return distance.distances(distance.Style.of(texts), distance.Style.of(keyed(docs(spark, sf_dir), F.lit("corpus"))), pairs, slops)
+    return profiles.against(texts, distance.Style.of(keyed(docs(spark, sf_dir), F.lit("corpus"))))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +300,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.join(found.select("k", F.col("overall").alias("distance"), "slop"), "k")
     score = rank.rank_score(F.col("distance"), F.col("relevance"), F.col("slop"), F.col("repetition"))
-    return rows.withColumn("rank_score", F.round(score, 6)).withColumnRenamed("k", "candidate_index")
+    return rows.withColumn("rank_score", score).withColumnRenamed("k", "candidate_index")
 
 
 _SCORED = f"""WITH {EXCHANGES}, cand AS (SELECT conv_id % 40 AS prompt_id, conv_id * 1000 + turn AS candidate_index, prompt, output FROM ex),
@@ -315,7 +312,7 @@ measured AS (SELECT prompt_id, candidate_index, round({S.relevance('prompt', 'ou
   lower(output) AS low, len({S.plain('output')}) AS n, {S.repetition('output')} AS rep,
   len(list_filter([{S.literals([w for w in BANNED_WORDS if w not in S.AUTHOR_VALID])}], lambda w: contains(lower(output), w))) AS nw FROM cand),
 scored AS (SELECT m.prompt_id, m.candidate_index, relevance, repetition, len({_REASONS}) = 0 AS passed, d.overall AS distance, d.slop AS slop,
-  round(least(greatest(d.overall + 0.25 * (1 - relevance) * (1 - relevance) + 0.10 * d.slop + 0.10 * repetition, 0), 1.5), 6) AS rank_score
+  round(least(greatest(d.overall + 0.25 * (1 - relevance) * (1 - relevance) + 0.10 * d.slop + 0.10 * repetition, 0), 1.5) + 1e-9, 6) AS rank_score
   FROM measured m JOIN dist d ON d.k = m.candidate_index)"""
 
 
@@ -771,6 +768,30 @@ def q65_source_registry(spark, sf_dir):
     return spark.createDataFrame(found, "path string, vault boolean, source string")
 
 
+@query(f"""WITH {BY_DOC}, whole AS (SELECT source AS k, doc_id AS row, text FROM documents), {S.style_cte('src', 'a').strip()}, {S.style_cte('whole', 'b').strip()},
+pairs AS (SELECT doc_id AS k, p FROM documents, (SELECT DISTINCT source AS p FROM documents)), {S.distance_cte('a', 'b', None).strip()}
+SELECT k AS doc_id, CAST(rank AS INTEGER) AS rank, p AS source, overall AS distance FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY overall, p) AS rank FROM dist) WHERE rank <= 3""")
+def q66_nearest_sources(spark, sf_dir):
+    rows = docs(spark, sf_dir)
+    found = profiles.nearest(keyed(rows, "doc_id"), distance.Style.of(keyed(rows, "source")), top=3)
+    return found.withColumnRenamed("k", "doc_id").withColumnRenamed("p", "source")
+
+
+_WRITTEN = """tries AS (SELECT conv_id * 1000 + turn AS prompt_id, coalesce(text, '') AS prompt, unnest(range(9)) AS seed FROM conversations WHERE role = 'user'),
+drawn AS (SELECT *, CAST('0x' || substr(sha256(seed || ':' || prompt), 1, 12) AS BIGINT) AS number, PLAIN AS w FROM tries),
+cand AS (SELECT prompt_id, prompt_id * 9 + seed AS candidate_index, prompt, coalesce(array_to_string(list_slice(list_concat(list_slice(w, number % len(w) + 1, len(w)), list_slice(w, 1, number % len(w))), 1, 4 + number // len(w) % 10), ' '), '') AS output FROM drawn)"""
+_DECODED = _SCORED.replace(_SCORED[_SCORED.index("cand AS (") : _SCORED.index("src AS (")], _WRITTEN.replace("PLAIN", S.plain("prompt")) + ",\n")
+
+
+@query(f"""{_DECODED}, t AS (SELECT *, candidate_index % 9 // 3 AS attempt FROM scored), f AS (SELECT prompt_id, coalesce(min(attempt) FILTER (WHERE passed), 2) AS a FROM t GROUP BY prompt_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY a < 2 AND NOT passed, rank_score, candidate_index) AS k FROM t JOIN f USING (prompt_id) WHERE attempt = a)
+SELECT prompt_id, CAST(candidate_index % 3 AS INTEGER) AS candidate_index, CAST(a AS INTEGER) AS regenerations, rank_score, passed, output FROM r JOIN cand USING (prompt_id, candidate_index) WHERE k = 1""")
+def q67_regenerate(spark, sf_dir):
+    prompts = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("prompt"))
+    profile = distance.Style.of(keyed(docs(spark, sf_dir), F.lit("corpus")))
+    return decode.decode(prompts, backends.Sampler(), profile, candidates=3, max_attempts=3).drop("candidates")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
