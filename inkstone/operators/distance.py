@@ -116,6 +116,9 @@ def fingerprint(texts: DataFrame) -> DataFrame:
     return out
 
 
+#: Far below the sixth digit, and far above the last bit.
+HALF_UP = 1e-9
+
 #: Formulaic words and phrases; the second list leaves out words that authors use as well.
 ALL_FORMULAS = Terms([*BANNED_WORDS, *BANNED_PHRASES])
 FORMULAS = Terms([*(w for w in BANNED_WORDS if w not in AUTHOR_VALID), *BANNED_PHRASES])
@@ -157,12 +160,13 @@ def dense_parts(x: Callable[[str], Column], y: Callable[[str], Column]) -> dict[
 
 
 def overall(rows: DataFrame, slop_col: Column) -> DataFrame:
-    """rows (k, p and all parts) with slop, base and overall."""
+    """rows (k, p and all parts) with slop, base and overall. Parts have six digits and their weights two, so base often
+    lies half way between two numbers of six digits; HALF_UP lifts it over, whatever the last bit of the double."""
     base = clamp(sum((F.col(k) * w for k, w in DISTANCE_WEIGHTS.items()), F.lit(0.0)))
     over = F.least(F.greatest(slop_col - 0.02, F.lit(0.0)) / 0.08, F.lit(1.0))
     return rows.select(
-        "k", "p", *DISTANCE_WEIGHTS, rounded(slop_col).alias("slop"), rounded(base).alias("base"),
-        rounded(clamp(base * (1.0 + 0.4 * over * over))).alias("overall"),
+        "k", "p", *DISTANCE_WEIGHTS, rounded(slop_col).alias("slop"), rounded(base + HALF_UP).alias("base"),
+        rounded(clamp(base * (1.0 + 0.4 * over * over)) + HALF_UP).alias("overall"),
     )
 
 

@@ -25,7 +25,7 @@ from ..functions.constants import DISTANCE_WEIGHTS, FUNCTION_WORDS, HISTOGRAM_CE
 from ..grid import cells, pack_of
 from ..stage import discard, staged
 from . import features as ft
-from .distance import Style, clamp, dense_parts, overall, slop
+from .distance import HALF_UP, Style, clamp, dense_parts, overall, slop
 from .features import rounded
 
 TOP, PROFILES, TEXTS = 500, 256, 500
@@ -219,7 +219,7 @@ def _near(block: pa.RecordBatch, profiles: list[dict], top: int) -> tuple[list[i
             if norm and gram_norms[j]:
                 _, a, b = np.intersect1d(mine, codes[j], assume_unique=True, return_indices=True)
                 grams = float(_six(_unit(1.0 - (n[a] @ counts[j][b]) / (np.sqrt(norm) * np.sqrt(gram_norms[j])))))
-            best = sorted([*best, (float(_six(base(grams, j))), int(j))])[:top]  # profiles are sorted, so ties go by name
+            best = sorted([*best, (float(_six(base(grams, j) + HALF_UP)), int(j))])[:top]  # profiles are sorted, so ties go by name
         for d, j in best:
             out[0].append(i)
             out[1].append(j)

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import tokens as K
 from ..functions.constants import AUTHOR_VALID, BANNED_PHRASES, BANNED_WORDS, PROMPT_STOPWORDS
-from .distance import FORMULAS
+from .distance import FORMULAS, HALF_UP
 from .features import repetition, rounded
 
 
@@ -49,10 +49,9 @@ def rejections(text: Column) -> Column:
 
 def rank_score(distance: Column, relevance: Column, slop: Column, repeated: Column) -> Column:
     """Lower is better: distance, with penalties for straying from the prompt, formulas and repetition; 0 to 1.5, rounded
-    half up to six digits. The parts have six digits, so sums often lie half way between two; the small addition keeps
-    those from depending on the last bit of a double."""
+    half up to six digits (see `distance.overall`)."""
     score = distance + 0.25 * (1 - relevance) * (1 - relevance) + 0.10 * slop + 0.10 * repeated
-    return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.5)) + 1e-9, 6)
+    return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.5)) + HALF_UP, 6)
 
 
 def rank(candidates: DataFrame) -> DataFrame:

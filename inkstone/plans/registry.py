@@ -12,8 +12,9 @@ from ..functions.constants import BANNED_WORDS
 from ..operators import backends, corpus, decode, distance, evaluate, lexicon, profiles, rank
 from ..operators import features as ft
 from ..operators.sentences import sentences
-from ..sources import readers, sinks
+from ..sources import readers, sinks, walk
 from ..stage import fresh, staged
+from ..streaming import learn
 from . import sql as S
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -646,35 +647,40 @@ def clean_split_by_h1(spark, sf_dir):
 
 
 #: Names and lines as trainers and model stores give them.
-MODELS = ["gemma-4-26b", "gemma-3-4b", "gemma-4-26b-a4b", "qwen3.5-9b", "llama3.2-3b", "gemma4:26b", "single", "odd-name-v2", "26b-x"]
-TAGS = ["gemma3:26b-a4b", "llama3.2:3b", "qwen3.5:9b:latest", "phi:3b", "own/name", "gemma3:latest"]
+MODELS = ["gemma-4-{N}b", "tuned-{L}-{N}b-v2", "gemma-4-26b", "gemma-3-4b", "gemma-4-26b-a4b", "qwen3.5-9b", "llama3.2-3b", "gemma4:26b", "single", "odd-name-v2", "26b-x"]
+TAGS = ["gemma3:{N}b-{L}:latest", "gemma3:26b-a4b", "llama3.2:3b", "qwen3.5:9b:latest", "phi:3b", "own/name", "gemma3:latest"]
 LINES = [
-    "Iter 100: Train loss 2.345, Learning Rate 0.0001, It/sec 5.5, rest", "Iter 7: Train loss 1.5, Learning Rate x, It/sec 2", "Iter x: Train loss 1.0, Learning Rate 1, It/sec 1",
+    "Iter {N}: Train loss 2.345, Learning Rate 0.0001, It/sec 5.5, {L}", "Iter 7: Train loss 1.5, Learning Rate x, It/sec 2", "Iter x: Train loss 1.0, Learning Rate 1, It/sec 1",
     "Iter 9: Val loss 2.0", "Loading model", "Iter 3: Train loss nope, Learning Rate 1, It/sec 1",
 ]
 
 
-def literal(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(v,) for v in values], "t string")
+def picked(spark: SparkSession, sf_dir: str, values: list[str]) -> DataFrame:
+    """doc_id, t: each document with one of the values in turn, its number in place of N and its language in place of L."""
+    value = F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("doc_id") % len(values) + 1).cast("int"))
+    return docs(spark, sf_dir).select("doc_id", F.replace(F.replace(value, F.lit("{N}"), F.col("doc_id").cast("string")), F.lit("{L}"), F.col("lang")).alias("t"))
 
 
-@query(f"""SELECT t, CASE WHEN contains(t, ':') OR NOT contains(t, '-') THEN t WHEN regexp_matches(t, '(^|-)[0-9]+b(-|$)')
+_PICKED = lambda values: f"picked AS (SELECT doc_id, replace(replace([{S.literals(values)}][1 + doc_id % {len(values)}], '{{N}}', CAST(doc_id AS VARCHAR)), '{{L}}', lang) AS t FROM documents)"
+
+
+@query(f"""WITH {_PICKED(MODELS)} SELECT doc_id, t, CASE WHEN contains(t, ':') OR NOT contains(t, '-') THEN t WHEN regexp_matches(t, '(^|-)[0-9]+b(-|$)')
 THEN replace(regexp_extract(t, '^(?:(.*?)-)?([0-9]+b(?:-.*)?)$', 1), '-', '') || ':' || regexp_extract(t, '^(?:(.*?)-)?([0-9]+b(?:-.*)?)$', 2)
-ELSE replace(regexp_extract(t, '^(.*)-[^-]*$', 1), '-', '') || ':' || regexp_extract(t, '-([^-]*)$', 1) END AS tag FROM (SELECT unnest([{S.literals(MODELS)}]) AS t)""")
+ELSE replace(regexp_extract(t, '^(.*)-[^-]*$', 1), '-', '') || ':' || regexp_extract(t, '-([^-]*)$', 1) END AS tag FROM picked""")
 def q53_model_tags(spark, sf_dir):
-    return literal(spark, MODELS).select("t", prompts.model_tag(F.col("t")).alias("tag"))
+    return picked(spark, sf_dir, MODELS).select("doc_id", "t", prompts.model_tag(F.col("t")).alias("tag"))
 
 
-@query(f"""SELECT t, CASE WHEN contains(x, '/') THEN x ELSE CASE WHEN starts_with(x, 'gemma') THEN 'google/' WHEN starts_with(x, 'llama') THEN 'meta/' WHEN starts_with(x, 'qwen') THEN 'qwen/' ELSE 'local/' END || replace(x, ':', '-') END AS id
-FROM (SELECT t, regexp_replace(t, ':latest$', '') AS x FROM (SELECT unnest([{S.literals(TAGS)}]) AS t))""")
+@query(f"""WITH {_PICKED(TAGS)} SELECT doc_id, t, CASE WHEN contains(x, '/') THEN x ELSE CASE WHEN starts_with(x, 'gemma') THEN 'google/' WHEN starts_with(x, 'llama') THEN 'meta/' WHEN starts_with(x, 'qwen') THEN 'qwen/' ELSE 'local/' END || replace(x, ':', '-') END AS id
+FROM (SELECT doc_id, t, regexp_replace(t, ':latest$', '') AS x FROM picked)""")
 def q54_model_ids(spark, sf_dir):
-    return literal(spark, TAGS).select("t", prompts.model_id(F.col("t")).alias("id"))
+    return picked(spark, sf_dir, TAGS).select("doc_id", "t", prompts.model_id(F.col("t")).alias("id"))
 
 
-@query(f"""SELECT t, TRY_CAST(regexp_extract(t, '^Iter ([^:]*)', 1) AS INT) AS step, TRY_CAST(regexp_extract(t, 'Train loss ([^,]*)', 1) AS DOUBLE) AS loss, coalesce(TRY_CAST(regexp_extract(t, 'Learning Rate ([^,]*)', 1) AS DOUBLE), 0) AS learning_rate,
-coalesce(TRY_CAST(regexp_extract(t, 'It/sec ([^,]*)', 1) AS DOUBLE), 0) AS steps_per_second FROM (SELECT unnest([{S.literals(LINES)}]) AS t) WHERE regexp_matches(t, '^Iter [0-9]+:.*Train loss [0-9.]+, Learning Rate .*It/sec ')""")
+@query(f"""WITH {_PICKED(LINES)} SELECT doc_id, t, TRY_CAST(regexp_extract(t, '^Iter ([^:]*)', 1) AS INT) AS step, TRY_CAST(regexp_extract(t, 'Train loss ([^,]*)', 1) AS DOUBLE) AS loss, coalesce(TRY_CAST(regexp_extract(t, 'Learning Rate ([^,]*)', 1) AS DOUBLE), 0) AS learning_rate,
+coalesce(TRY_CAST(regexp_extract(t, 'It/sec ([^,]*)', 1) AS DOUBLE), 0) AS steps_per_second FROM picked WHERE regexp_matches(t, '^Iter [0-9]+:.*Train loss [0-9.]+, Learning Rate .*It/sec ')""")
 def q55_progress_lines(spark, sf_dir):
-    return literal(spark, LINES).withColumn("p", prompts.progress(F.col("t"))).where("p is not null").select("t", "p.*")
+    return picked(spark, sf_dir, LINES).withColumn("p", prompts.progress(F.col("t"))).where("p is not null").select("doc_id", "t", "p.*")
 
 
 @query(f"""{_SOURCE_STYLE}, t AS (SELECT k, sum(n) AS total FROM a_wc GROUP BY k), v AS (SELECT k, coalesce(list_sort(list(word) FILTER (WHERE n > 3 AND strlen(word) > 4 AND CAST(n AS DOUBLE) / total > 0.001)), []) AS preferred FROM a_wc JOIN t USING (k) GROUP BY k)
@@ -758,14 +764,15 @@ def q64_paragraph_packs(spark, sf_dir):
     return rows.withColumn("position", F.col("position").cast("long"))
 
 
-PATHS = ["a.md", "b.MARKDOWN", "c.txt", "d.text", "e.pdf", "notes", "f.md.bak"]
+ENDINGS = [".md", ".MARKDOWN", ".txt", ".text", ".pdf", "", ".md.bak"]
 
 
-@query(f"""SELECT path, vault, CASE WHEN vault THEN 'obsidian' WHEN regexp_matches(lower(path), '\\.(md|markdown)$') THEN 'markdown' WHEN regexp_matches(lower(path), '\\.(txt|text)$') THEN 'plain_text' END AS source
-FROM (SELECT unnest([{S.literals(PATHS)}]) AS path), (SELECT unnest([true, false]) AS vault)""")
+@query(f"""WITH p AS (SELECT page_id, url || [{S.literals(ENDINGS)}][1 + page_id % 7] AS path, page_id % 5 = 0 AS vault FROM pages)
+SELECT page_id, path, vault, CASE WHEN vault THEN 'obsidian' WHEN regexp_matches(lower(path), '\\.(md|markdown)$') THEN 'markdown' WHEN regexp_matches(lower(path), '\\.(txt|text)$') THEN 'plain_text' END AS source FROM p""")
 def q65_source_registry(spark, sf_dir):
-    found = [(p, v, s.name if (s := readers.detect(p, is_vault=v)) else None) for p in PATHS for v in (True, False)]
-    return spark.createDataFrame(found, "path string, vault boolean, source string")
+    ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("page_id") % 7 + 1).cast("int"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.concat("url", ending).alias("path"), (F.col("page_id") % 5 == 0).alias("vault"))
+    return rows.withColumn("source", readers.source_of(F.col("path"), F.col("vault")))
 
 
 @query(f"""WITH {BY_DOC}, whole AS (SELECT source AS k, doc_id AS row, text FROM documents), {S.style_cte('src', 'a').strip()}, {S.style_cte('whole', 'b').strip()},
@@ -792,6 +799,43 @@ def q67_regenerate(spark, sf_dir):
     return decode.decode(prompts, backends.Sampler(), profile, candidates=3, max_attempts=3).drop("candidates")
 
 
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a folder, two kinds with a reader and one without, some hidden and some that are no
+    UTF-8; and what a walk through the folder gives, with doc_id."""
+    n = F.col("doc_id")
+    ending = F.element_at(F.array(F.lit(".md"), F.lit(".txt"), F.lit(".pdf")), (n % 3 + 1).cast("int"))
+    name = F.concat(F.col("lang"), F.when(n % 13 == 5, "/.hidden/").otherwise("/"), n.cast("string"), ending)
+    data = F.concat(F.when(n % 11 == 3, F.unhex(F.lit("C328"))).otherwise(F.lit(b"")), F.col("text").cast("binary"))
+    folder = fresh(spark, "files")
+    sinks.write_files(docs(spark, sf_dir).select(name.alias("name"), data.alias("data")), folder)
+    return walk.files(spark, folder)
+
+
+_FILES = "files AS (SELECT doc_id, lang, text, CASE doc_id % 3 WHEN 0 THEN 'markdown' ELSE 'plain_text' END AS kind, doc_id % 11 = 3 AS broken FROM documents WHERE doc_id % 3 < 2 AND doc_id % 13 <> 5)"
+_NUMBER = lambda path: F.regexp_extract(path, r"/(\d+)\.\w+$", 1).cast("long")
+
+
+@query(f"WITH {_FILES} SELECT doc_id, kind, 'not UTF-8 at byte 0' AS reason FROM files WHERE broken")
+def q68_broken_files(spark, sf_dir):
+    return walk.failures(written_files(spark, sf_dir)).select(_NUMBER("origin_path").alias("doc_id"), "kind", "reason")
+
+
+@query(f"""WITH {_FILES}, s AS (SELECT doc_id, kind, {S.replace_all('text', (S._ENDS, ''))} AS content FROM files WHERE NOT broken)
+SELECT doc_id, kind AS source, CASE kind WHEN 'markdown' THEN 'longform' END AS context_tag, sha256(content) AS content_sha FROM s WHERE len({S.plain('content')}) >= 5""")
+def q69_walked_samples(spark, sf_dir):
+    rows = walk.samples(written_files(spark, sf_dir))
+    return rows.select(_NUMBER("origin_path").alias("doc_id"), "source", "context_tag", F.sha2(F.col("content").cast("binary"), 256).alias("content_sha"))
+
+
+@query(f"""WITH first AS (SELECT min(source) AS k, t AS text FROM ({S.clean_steps('text', '(SELECT source, text FROM documents WHERE text IS NOT NULL)', 'source')}) GROUP BY t),
+src AS (SELECT k, text FROM first), {S.counts_cte('src').strip()} SELECT k AS source, word, n FROM wc""")
+def q70_learned_words(spark, sf_dir):
+    inbox, store = fresh(spark, "inbox"), fresh(spark, "store")
+    docs(spark, sf_dir).select(F.col("source").alias("author"), "text").write.json(inbox)
+    learn.learn(spark, inbox, store, files_a_batch=1 << 20).awaitTermination()
+    return learn.word_counts(spark, store).withColumnRenamed("k", "source")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

@@ -178,7 +178,7 @@ parts AS (SELECT pairs.k, pairs.p, fw.d AS function_words, ng.d AS ngrams,
     {'coalesce(slop, 0.0)' if slop else '0.0'} AS sl
     FROM pairs JOIN {a}_dense x ON x.k = pairs.k JOIN {b}_dense y ON y.k = pairs.p JOIN fw ON fw.k = pairs.k AND fw.p = pairs.p JOIN ng ON ng.k = pairs.k AND ng.p = pairs.p
     {f'LEFT JOIN {slop} ON {slop}.k = pairs.k' if slop else ''}),
-dist AS (SELECT *, round(CAST(sl AS DOUBLE), 6) AS slop, round(CAST(b0 AS DOUBLE), 6) AS base, round(CAST(least(greatest(b0 * (1.0 + 0.4 * over * over), 0), 1) AS DOUBLE), 6) AS overall
+dist AS (SELECT *, round(CAST(sl AS DOUBLE), 6) AS slop, round(CAST(b0 AS DOUBLE) + 1e-9, 6) AS base, round(CAST(least(greatest(b0 * (1.0 + 0.4 * over * over), 0), 1) AS DOUBLE) + 1e-9, 6) AS overall
     FROM (SELECT *, least(greatest({base}, 0), 1) AS b0, least(greatest(sl - 0.02, 0) / 0.08, 1) AS over FROM parts))"""
 
 

@@ -44,7 +44,11 @@ def _sections(files: DataFrame, source: str, tag: Callable[[Column], Column]) ->
 
 
 def read_markdown(spark: SparkSession, path: str, context: str | None = None) -> DataFrame:
-    files = _files(spark, path, "*.{md,markdown}")
+    return markdown_samples(_files(spark, path, "*.{md,markdown}"), context)
+
+
+def markdown_samples(files: DataFrame, context: str | None = None) -> DataFrame:
+    """The samples of markdown files (text, origin_path)."""
     return _sections(files, "markdown", lambda header: F.coalesce(F.lit(context), header, F.lit("longform")))
 
 
@@ -76,7 +80,11 @@ def pack_paragraphs(parts: Column, limit: int = PACK) -> Column:
 
 
 def read_plain_text(spark: SparkSession, path: str, context: str | None = None) -> DataFrame:
-    files = _files(spark, path, "*.{txt,text}")
+    return plain_text_samples(_files(spark, path, "*.{txt,text}"), context)
+
+
+def plain_text_samples(files: DataFrame, context: str | None = None) -> DataFrame:
+    """The samples of plain text files (text, origin_path)."""
     text = clean.unify_line_ends(clean.strip_bom(F.col("text")))
     rows = files.select("origin_path", F.posexplode(pack_paragraphs(tokens.paragraphs(text))).alias("position", "content"))
     return rows.select(
@@ -193,6 +201,15 @@ def detect(path: str, *, is_vault: bool = False) -> Source | None:
     return next((s for s in REGISTRY if s.fits(path, is_vault)), None)
 
 
+def source_of(path: Column, is_vault: Column) -> Column:
+    """The name of the reader that `detect` gives, as a column; null if none fits."""
+    return (
+        F.when(is_vault, "obsidian")
+        .when(F.lower(path).rlike(r"\.(md|markdown)$"), "markdown")
+        .when(F.lower(path).rlike(r"\.(txt|text)$"), "plain_text")
+    )
+
+
 def read_folder(spark: SparkSession, path: str, context: str | None = None) -> DataFrame:
     """All markdown and plain text below a folder."""
     return read_markdown(spark, path, context).unionByName(read_plain_text(spark, path, context))

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..files import make_folder, place
 from ..operators.corpus import holdout_split, training_rows
 from ..operators.evaluate import gates
+from ..stage import staged
 
 
 def write_samples(samples: DataFrame, path: str) -> None:
@@ -63,6 +67,25 @@ def write_corpus(samples: DataFrame, path: str, *, key: str = "source") -> None:
     rows.select(key, "text").write.mode("overwrite").partitionBy(key).option("lineSep", "\n\n").option("maxRecordsPerFile", 0).text(path)
 
 
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes each row (name, data binary) as a file of that name, which may hold folders, and gives the names. A task that
+    is run again writes the same files again."""
+    make_folder(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if (own := f"{folder}/{name}".rpartition("/")[0]) not in made:
+                    made.add(make_folder(own))
+                system, path = place(f"{folder}/{name}")
+                with system.open_output_stream(path, compression=None) as out:
+                    out.write(data or b"")
+            yield batch.select(["name"])
+
+    return staged(rows.select("name", "data").mapInArrow(run, "name string"), "files")
+
+
 def write_lexicon(terms: DataFrame, path: str, *, title: str) -> None:
     """A text file: the title as a comment, then terms by rank. Terms are bounded by the lexicon's size."""
     head = terms.sparkSession.createDataFrame([(0, f"# {title}")], "rank int, value string")

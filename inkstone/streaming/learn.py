@@ -1,57 +1,92 @@
 """Learning as files arrive: new samples are cleaned, held against what is known, and their counts added.
 
-Counts of words and trigrams by author add up, so each batch only adds its own; what doesn't add up (the most frequent
-trigrams, medians) is taken from the summed counts when a style is asked for. A batch that is run again after a failure
-writes under the same number, so it counts once."""
+Which texts are known is state of the stream, kept by content hash: a batch looks up its own texts only, not all that came
+before. Of equal texts in one batch the smallest author counts, so nothing depends on the order in which rows arrive.
+What a batch adds is written to the store before anything is counted; its tables rest on that, and a last small table says
+that the batch is complete. Readers take complete batches only. A batch that is run again, after a failure or a lost
+executor, finds the state as it was before it and writes the same tables under the same number.
+
+Counts of words and trigrams by author add up; what doesn't (the most frequent trigrams, medians) is taken from the
+summed counts when a style is asked for."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import clean
 from ..operators import features as ft
 from ..operators.corpus import content_hash
 
 SCHEMA = "author string, text string"
+NEW = "content_hash string, author string, text string"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """A text that no batch had before, under the smallest author of this one; rows go by and are not held."""
+    if state.exists:
+        return
+    author = text = None
+    for rows in frames:
+        authors = rows["author"].dropna()
+        if len(authors):
+            author = min(authors) if author is None else min(author, *authors)
+        text = rows["text"].iloc[0] if text is None else text
+    state.update((True,))
+    yield pd.DataFrame({"content_hash": [key[0]], "author": [author], "text": [text]})
+
+
+def unseen(rows: DataFrame) -> DataFrame:
+    """content_hash, author and text of the texts (author, text) that come for the first time; null texts are
+    left out."""
+    cleaned = content_hash(rows.where("text is not null").withColumn("text", clean.clean(F.col("text"))))
+    return cleaned.select("content_hash", "author", "text").groupBy("content_hash").applyInPandasWithState(_first, NEW, "seen boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def absorb(batch: DataFrame, number: int, store: str) -> None:
-    """Adds one batch (author, text) to the store."""
+    """Adds the new texts of one batch (content_hash, author, text) to the store."""
     spark = batch.sparkSession
-    rows = content_hash(batch.where("text is not null").withColumn("text", clean.clean(F.col("text")))).dropDuplicates(["content_hash"])
-    before = _stored(spark, f"{store}/hashes", "content_hash string, batch long").where(F.col("batch") < number)
-    new = rows.join(before.select("content_hash"), "content_hash", "left_anti").persist()
+    own = lambda name: f"{store}/{name}/batch={number}"
+    batch.select("content_hash", "author", "text").write.mode("overwrite").parquet(own("texts"))
+    new = spark.read.schema(NEW).parquet(own("texts"))
     texts = new.select(F.col("author").alias("k"), "text")
-    tables = {"hashes": new.select("content_hash"), "words": ft.word_counts(texts), "sums": ft.sums(texts), "trigrams": ft.trigrams(texts)}
-    for name, table in tables.items():
-        table.write.mode("overwrite").parquet(f"{store}/{name}/batch={number}")
-    new.unpersist()
+    for name, table in {"words": ft.word_counts(texts), "sums": ft.sums(texts), "trigrams": ft.trigrams(texts)}.items():
+        table.write.mode("overwrite").parquet(own(name))
+    new.agg(F.count(F.lit(1)).alias("samples")).write.mode("overwrite").parquet(own("complete"))
 
 
-def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All batches under a path; nothing yet gives an empty table."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(path)
+def learn(spark: SparkSession, source: str, store: str, *, files_a_batch: int = 1000) -> StreamingQuery:
+    """Reads JSON lines (author, text) as they arrive below source; call processAllAvailable() or awaitTermination()."""
+    rows = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", files_a_batch).json(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, _ROCKS)  # state on disk, as there is a row for each text ever seen
+    try:
+        out = unseen(rows).writeStream.foreachBatch(lambda b, n: absorb(b, n, store)).outputMode("append")
+        return out.option("checkpointLocation", f"{store}/progress").trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(name, before)
 
 
-def learn(spark: SparkSession, source: str, store: str) -> StreamingQuery:
-    """Reads JSON lines (author, text) as they arrive below source; call processAllAvailable() or awaitTermination()."""
-    rows = spark.readStream.schema(SCHEMA).json(source)
-    return rows.writeStream.foreachBatch(lambda b, n: absorb(b, n, store)).option("checkpointLocation", f"{store}/progress").trigger(availableNow=True).start()
+def stored(spark: SparkSession, store: str, name: str) -> DataFrame:
+    """A table of the store (texts, words, sums or trigrams), of complete batches."""
+    done = spark.read.parquet(f"{store}/complete").select("batch")  # a row for each batch
+    return spark.read.parquet(f"{store}/{name}").join(F.broadcast(done), "batch", "left_semi").drop("batch")
 
 
 def word_counts(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/words").groupBy("k", "word").agg(F.sum("n").alias("n"))
+    return stored(spark, store, "words").groupBy("k", "word").agg(F.sum("n").alias("n"))
 
 
 def sums(spark: SparkSession, store: str) -> DataFrame:
-    return spark.read.parquet(f"{store}/sums").groupBy("k").agg(*[F.sum(c).alias(c) for c in ft.SUMS])
+    return stored(spark, store, "sums").groupBy("k").agg(*[F.sum(c).alias(c) for c in ft.SUMS])
 
 
 def trigrams(spark: SparkSession, store: str) -> DataFrame:
-    return ft.top_trigrams(spark.read.parquet(f"{store}/trigrams").groupBy("k", "gram").agg(F.sum("n").alias("n")))
+    return ft.top_trigrams(stored(spark, store, "trigrams").groupBy("k", "gram").agg(F.sum("n").alias("n")))
