@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -158,17 +158,22 @@ def trigrams(texts: DataFrame) -> DataFrame:
     kind = texts.schema["k"].dataType
     schema = T.StructType([T.StructField("k", kind), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for k, own in frame.groupby("k", dropna=False, sort=False)["text"]:
-                packed = [trigram_codes(t) for t in own if isinstance(t, str) and len(t) > 2]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own: dict[str, list[int]] = {}
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                own.setdefault(repr(k), []).append(i)
+            for rows in own.values():
+                texts = batch.column(1).take(pa.array(rows)).to_pylist()
+                packed = [trigram_codes(t) for t in texts if len(t) > 2]
                 if packed:
                     found, n = np.unique(np.concatenate(packed), return_counts=True)
                     points = np.stack([found >> 42, (found >> 21) & 0x1FFFFF, found & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
                     grams = [points[i : i + 3] for i in range(0, len(points), 3)]
-                    yield pd.DataFrame({"k": k, "gram": grams, "n": n})
+                    key = batch.column(0).take(pa.array(np.full(len(grams), rows[0])))
+                    yield pa.RecordBatch.from_arrays([key, pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["k", "gram", "n"])
 
-    counted = texts.select("k", "text").where("text is not null").mapInPandas(run, schema)
+    counted = texts.select("k", "text").where("text is not null").mapInArrow(run, schema)
     return counted.groupBy("k", "gram").agg(F.sum("n").alias("n"))
 
 
