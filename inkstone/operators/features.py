@@ -7,7 +7,7 @@ on the order of rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import tokens as K
 from ..functions.constants import BANNED_WORDS, FUNCTION_WORDS, HISTOGRAM_EDGES
+from . import textpass
 from .sentences import bind, sentences
 
 DIGITS = 6
@@ -32,20 +33,6 @@ def ratio(a: Column, b: Column, other: float = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(other))
 
 
-def _sum(values: Column) -> Column:
-    return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
-
-
-def histogram(lengths: Column) -> list[Column]:
-    """Counts of lengths by bin."""
-    edges = [*HISTOGRAM_EDGES, 1 << 30]
-
-    def within(low: int, high: int) -> Column:
-        return F.size(F.filter(lengths, lambda n: (n >= low) & (n < high))).cast("long")
-
-    return [within(a, b) for a, b in zip(edges, edges[1:], strict=False)]
-
-
 def punctuation_counts(text: Column) -> dict[str, Column]:
     triple, double = K.count_of(text, "---"), K.count_of(text, "--")
     one = lambda *marks: reduce(lambda a, b: a + b, [K.count_of(text, m) for m in marks])
@@ -63,33 +50,75 @@ def punctuation_counts(text: Column) -> dict[str, Column]:
 MARKS = ["em_dash", "en_dash", "semicolon", "colon", "exclamation", "question", "paren"]
 
 
-def row_counts(texts: DataFrame, *more: Column) -> DataFrame:
-    """texts (k, text) with the counts of each row, and more columns made of `text` and `words`."""
-    t = F.col("text")
-    rows = texts.select("k", F.coalesce(t, F.lit("")).alias("text"))
-    rows = rows.withColumn("words", K.unicode_words(t)).withColumn("sents", F.transform(sentences(t), K.unicode_word_count))
-    bins = histogram(F.col("sents"))
-    return rows.select(
-        "k",
-        F.size("words").cast("long").alias("n_words"),
-        F.length(t).cast("long").alias("n_chars"),
-        _sum(F.transform("words", F.length)).alias("n_letters"),
-        _sum(F.transform("words", K.syllables)).alias("n_syllables"),
-        F.size("sents").cast("long").alias("n_sentences"),
-        F.size(F.filter("sents", lambda n: n > 0)).cast("long").alias("n_lengths"),
-        _sum(F.col("sents")).alias("sum_lengths"),
-        _sum(F.transform("sents", lambda n: n.cast("long") * n)).alias("sum_squares"),
-        *[b.alias(f"bin{i}") for i, b in enumerate(bins)],
-        *[c.alias(k) for k, c in punctuation_counts(t).items()],
-        *more,
-    )
-
-
 SUMS = [
     "n_words", "n_chars", "n_letters", "n_syllables", "n_sentences", "n_lengths", "sum_lengths", "sum_squares",
     *[f"bin{i}" for i in range(len(HISTOGRAM_EDGES))], *MARKS,
 ]
 
+def _texts(df: DataFrame) -> DataFrame:
+    return df.select("k", F.coalesce("text", F.lit("")).alias("text"))
+
+
+def row_counts(texts: DataFrame) -> DataFrame:
+    """texts (k, text) with the counts of each row; null texts are empty."""
+    schema = T.StructType([texts.schema["k"], *(T.StructField(c, T.LongType()) for c in SUMS)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in textpass.parts(batch, 1)):
+            counts = textpass.counted(textpass.Words(part.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in counts.T)], schema.names)
+
+    return _texts(texts).mapInArrow(run, schema)
+
+
+def _keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each row's key, and the first row of each."""
+    names: dict[str, int] = {}
+    number = np.array([names.setdefault(repr(k), len(names)) for k in column.to_pylist()], np.int64)
+    return number, np.unique(number, return_index=True)[1]
+
+
+def word_rows(words: textpass.Words, key: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Keys, lower-cased words and counts; key: the number of each text's key."""
+    coded = pa.array(words.lowered(), pa.string()).dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    owner = np.repeat(key, np.diff(words.first))
+    found, n = np.unique(owner * max(len(names), 1) + np.asarray(coded.indices).astype(np.int64), return_counts=True)
+    return found // max(len(names), 1), [names[i] for i in (found % max(len(names), 1)).tolist()], n
+
+
+def _gram_rows(texts: list[str], key: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Keys, trigrams and counts."""
+    keys, grams, counts = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
+    for k in np.unique(key).tolist():
+        packed = [trigram_codes(texts[i]) for i in np.flatnonzero(key == k) if len(texts[i]) > 2]
+        if packed:
+            found, n = np.unique(np.concatenate(packed), return_counts=True)
+            points = np.stack([found >> 42, (found >> 21) & 0x1FFFFF, found & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+            keys.append(np.full(len(n), k))
+            grams += [points[i : i + 3] for i in range(0, len(points), 3)]
+            counts.append(n)
+    return np.concatenate(keys), grams, np.concatenate(counts)
+
+
+def _term_counts(texts: DataFrame, name: str, rows: Callable[[list[str], np.ndarray], tuple[np.ndarray, list[str], np.ndarray]]) -> DataFrame:
+    """k, a term by that name, n: rows(texts, numbers of their keys) gives keys, terms and counts. Terms are counted in
+    arrays before they leave a task: a text has as many trigrams as characters, and sending each as a row costs ten times
+    as much."""
+    schema = T.StructType([texts.schema["k"], T.StructField(name, T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, first = _keys(batch.column(0))
+            at = 0
+            for part in textpass.parts(batch, 1, batch.num_rows, 8 << 20):
+                keys, terms, n = rows(part.column(1).to_pylist(), key[at : at + part.num_rows])
+                at += part.num_rows
+                own = batch.column(0).take(pa.array(first[keys]))
+                yield pa.RecordBatch.from_arrays([own, pa.array(terms, pa.string()), pa.array(n, pa.int64())], schema.names)
+
+    return _texts(texts).mapInArrow(run, schema).groupBy("k", name).agg(F.sum("n").alias("n"))
+
 
 def sums(texts: DataFrame) -> DataFrame:
     return row_counts(texts).groupBy("k").agg(*[F.sum(c).alias(c) for c in SUMS])
@@ -97,8 +126,7 @@ def sums(texts: DataFrame) -> DataFrame:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """k, word (lower-cased), n."""
-    words = texts.select("k", F.explode(K.unicode_words(F.col("text"))).alias("word"))
-    return words.select("k", F.lower("word").alias("word")).groupBy("k", "word").agg(F.count(F.lit(1)).alias("n"))
+    return _term_counts(texts, "word", lambda rows, key: word_rows(textpass.Words(rows), key))
 
 
 def richness(words: DataFrame) -> DataFrame:
@@ -153,28 +181,8 @@ def trigram_codes(text: str) -> np.ndarray:
 
 
 def trigrams(texts: DataFrame) -> DataFrame:
-    """k, gram, n: runs of three characters of the lower-cased texts. Counted in arrays before they leave a task: a text
-    has as many runs as characters, and sending each as a row costs ten times as much."""
-    kind = texts.schema["k"].dataType
-    schema = T.StructType([T.StructField("k", kind), T.StructField("gram", T.StringType()), T.StructField("n", T.LongType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own: dict[str, list[int]] = {}
-            for i, k in enumerate(batch.column(0).to_pylist()):
-                own.setdefault(repr(k), []).append(i)
-            for rows in own.values():
-                texts = batch.column(1).take(pa.array(rows)).to_pylist()
-                packed = [trigram_codes(t) for t in texts if len(t) > 2]
-                if packed:
-                    found, n = np.unique(np.concatenate(packed), return_counts=True)
-                    points = np.stack([found >> 42, (found >> 21) & 0x1FFFFF, found & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
-                    grams = [points[i : i + 3] for i in range(0, len(points), 3)]
-                    key = batch.column(0).take(pa.array(np.full(len(grams), rows[0])))
-                    yield pa.RecordBatch.from_arrays([key, pa.array(grams, pa.string()), pa.array(n, pa.int64())], ["k", "gram", "n"])
-
-    counted = texts.select("k", "text").where("text is not null").mapInArrow(run, schema)
-    return counted.groupBy("k", "gram").agg(F.sum("n").alias("n"))
+    """k, gram, n: runs of three characters of the lower-cased texts."""
+    return _term_counts(texts, "gram", _gram_rows)
 
 
 def top_trigrams(grams: DataFrame, limit: int = 500) -> DataFrame:

@@ -25,28 +25,25 @@ from ..functions.constants import DISTANCE_WEIGHTS, FUNCTION_WORDS, HISTOGRAM_CE
 from ..grid import cells, pack_of
 from ..stage import discard, staged
 from . import features as ft
+from . import textpass
 from .distance import HALF_UP, Style, clamp, dense_parts, overall, slop
 from .features import rounded
 
 TOP, PROFILES, TEXTS = 500, 256, 500
 WORDS = sorted(set(FUNCTION_WORDS))
+_PLACE = {w: i for i, w in enumerate(WORDS)}
 _COUNTED = ("tokens", "types", "squares", "once", "twice")
 #: Dense measures of a text or profile, but for the histogram.
 MEASURES = ["mean", "sd", *ft.MARKS, "flesch_kincaid", "coleman_liau", "ari", "avg_syllables", "ttr", "yule_k", "hapax", "dis", "simpson"]
 
 
-def _word_stats(words: pa.ListArray) -> tuple[dict[str, np.ndarray], np.ndarray]:
-    """Of each row's words: the counts that richness is made of, and a table of the function words' counts."""
-    n, sizes = len(words), np.asarray(words.value_lengths().fill_null(0)).astype(np.int64)
-    coded = words.flatten().dictionary_encode()
-    names = coded.dictionary.to_pylist()
-    row = np.repeat(np.arange(n), sizes)
-    keys, counts = np.unique(row * max(len(names), 1) + np.asarray(coded.indices).astype(np.int64), return_counts=True)
-    own, word = keys // max(len(names), 1), keys % max(len(names), 1)
+def _word_stats(words: textpass.Words) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Of each text: the counts that richness is made of, and a table of the function words' counts."""
+    n = len(words.texts)
+    own, names, counts = ft.word_rows(words, np.arange(n))
     total = lambda x: np.bincount(own, x, n).astype(np.int64)
-    stats = dict(zip(_COUNTED, (sizes, total(np.ones(len(own))), total(counts * counts), total(counts == 1), total(counts == 2)), strict=True))
-    place = {w: i for i, w in enumerate(WORDS)}
-    at = np.array([place.get(w, -1) for w in names], np.int64)[word] if names else np.zeros(0, np.int64)
+    stats = dict(zip(_COUNTED, (np.diff(words.first), total(np.ones(len(own))), total(counts * counts), total(counts == 1), total(counts == 2)), strict=True))
+    at = np.array([_PLACE.get(w, -1) for w in names], np.int64)
     table = np.zeros((n, len(WORDS)), np.int64)
     table[own[at >= 0], at[at >= 0]] = counts[at >= 0]
     return stats, table
@@ -71,20 +68,16 @@ def _measured(counted: DataFrame, *more: str) -> DataFrame:
 
 def _rows(texts: DataFrame, more: list[T.StructField], make) -> DataFrame:
     """All counts of each text (k, text), beside columns that make(table of function words, texts) gives."""
-    rows = ft.row_counts(texts, F.transform("words", F.lower).alias("_words"), F.col("text").alias("_text"))
-    kept = rows.columns[:-2]
-    schema = T.StructType([*(rows.schema[c] for c in kept), *(T.StructField(c, T.LongType()) for c in _COUNTED), *more])
+    schema = T.StructType([texts.schema["k"], *(T.StructField(c, T.LongType()) for c in (*ft.SUMS, *_COUNTED)), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, TEXTS):
-                batch = whole.slice(k, TEXTS)
-                stats, table = _word_stats(batch.column(len(kept)))
-                made = make(table, batch.column(len(kept) + 1).to_pylist())
-                arrays = [*batch.columns[: len(kept)], *(pa.array(stats[c]) for c in _COUNTED), *made]
-                yield pa.RecordBatch.from_arrays(arrays, schema.names)
+        for part in (part for batch in batches for part in textpass.parts(batch, 1, TEXTS)):
+            words = textpass.Words(part.column(1).to_pylist())
+            stats, table = _word_stats(words)
+            arrays = [part.column(0), *(pa.array(c) for c in textpass.counted(words).T), *(pa.array(stats[c]) for c in _COUNTED), *make(table, words.texts)]
+            yield pa.RecordBatch.from_arrays(arrays, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return texts.select("k", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
 # --- one profile ----------------------------------------------------------------------------------------------------
@@ -93,10 +86,9 @@ def _rows(texts: DataFrame, more: list[T.StructField], make) -> DataFrame:
 def against(texts: DataFrame, profile: Style) -> DataFrame:
     """The distance of each text (k, text; each row is a text) from the only profile of a style, with its parts and slop:
     k, p, parts, slop, base, overall. No profile, no rows."""
-    place = {w: i for i, w in enumerate(WORDS)}
     own = np.zeros(len(WORDS), np.int64)
     for r in profile.words.collect():  # at most one of each function word
-        own[place[r["word"]]] = r["n"]
+        own[_PLACE[r["word"]]] = r["n"]
     grams = sorted((ord(r["gram"][0]) << 42 | ord(r["gram"][1]) << 21 | ord(r["gram"][2]), r["n"]) for r in profile.grams.collect())  # at most TOP
     codes, counts = (np.array([g[i] for g in grams], np.int64) for i in (0, 1))
     names = ("word_dot", "word_norm", "gram_dot", "gram_norm")

@@ -1,30 +1,14 @@
-"""Rule-based sentences, within each row: no shuffle.
-
-A text is cut into chunks, each up to and with a run of end marks and closing marks. Whether a chunk ends a sentence is
-decided from it, the chunk after it and a few before it. Chunks that do are followed by a separator, and the text is
-split there.
-"""
+"""Rule-based sentences, within each row: no shuffle. The rules are in `textpass`."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.constants import INTERNAL_ABBREVIATIONS, STRONG_ABBREVIATIONS, WEAK_ABBREVIATIONS
-from ..functions.tokens import SPACE
-
-CHUNK = "[^.!?…]*[.!?…]+[\"')\\]}”’»]*|[^.!?…]+"
-_HEAD = "^([^.!?…]*)"
-_MARKS = "^[^.!?…]*([.!?…]*)"
-_GROUP = rf"(?:^|{SPACE}|[(\[{{\"'“‘])(\p{{L}}+(?:\.\p{{L}}+)*)$"
-#: Chunks looked back at for a dotted abbreviation.
-BACK = 8
-#: Characters looked back at; longer words are no abbreviations.
-REACH = 64
-#: Private-use characters that mark where a sentence ends.
-_CUT = "\ue0f0\ue0f1\ue0f0"
+from . import textpass
 
 
 def bind(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -32,56 +16,11 @@ def bind(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
-def _ends(chunks: Column, i: Column) -> Column:
-    chunk = F.element_at(chunks, i + 1)
-    after = F.coalesce(F.get(chunks, i + 1), F.lit(""))
-    # a chunk without end marks is the last one, so the next character is in the next chunk or nowhere
-    first = F.regexp_extract(after, rf"^{SPACE}*([^\s\p{{Z}}\x{{85}}])", 1)
-    upper = first.rlike(r"^\p{Lu}")
-
-    def single(head: Column, closers: Column) -> Column:
-        """After one full stop."""
-        before = F.array_join(F.slice(chunks, F.greatest(i - BACK + 1, F.lit(1)), F.least(i, F.lit(BACK))), "")
-        context = F.right(F.when(head.rlike(rf"{SPACE}[^.]*$"), head).otherwise(F.concat(before, head)), F.lit(REACH))
-
-        def by_word(context: Column) -> Column:
-            return bind(
-                F.regexp_extract(context, _GROUP, 1),
-                lambda group: bind(
-                    F.lower(F.replace(group, F.lit("."), F.lit(""))),
-                    lambda bare: F.when((closers == "") & context.rlike("[0-9]$") & after.rlike("^[0-9]"), False)
-                    .when((closers == "") & after.rlike(r"^\p{L}{1,6}\."), False)
-                    .when(bare.isin(STRONG_ABBREVIATIONS + INTERNAL_ABBREVIATIONS), False)
-                    .when(bare.isin(WEAK_ABBREVIATIONS), upper)
-                    .when(group.rlike(r"^[A-Z](\.[A-Z])+$"), False)
-                    .when(context.rlike(rf"(^|{SPACE}|\.)\p{{L}}$"), False)
-                    .otherwise(True),
-                ),
-            )
-
-        return bind(context, by_word)
-
-    def by_marks(head: Column, marks: Column) -> Column:
-        closers = F.substring(chunk, F.length(head) + F.length(marks) + 1, F.length(chunk))
-        return (
-            F.when(marks == "", False)
-            .when(marks == ".", single(head, closers))
-            .when(marks.startswith("."), upper)
-            .otherwise(~first.rlike(r"^\p{Ll}"))
-        )
-
-    return bind(F.regexp_extract(chunk, _HEAD, 1), lambda head: bind(F.regexp_extract(chunk, _MARKS, 1), lambda marks: by_marks(head, marks)))
+def sentences(text: Column) -> Column:
+    """The sentences of a text, trimmed, without empty ones; null of null."""
 
+    @F.arrow_udf("array<string>")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else textpass.sentences(t) for t in texts.to_pylist()], pa.list_(pa.string()))
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text, trimmed, without empty ones."""
-    chunks = F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
-    joined = bind(
-        chunks,
-        lambda cs: F.array_join(
-            F.transform(cs, lambda c, i: F.concat(c, F.when(_ends(cs, i), F.lit(_CUT)).otherwise(F.lit("")))), ""
-        ),
-    )
-    parts = F.split(joined, _CUT, -1)
-    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, rf"\A{SPACE}+|{SPACE}+\z", ""))
-    return F.filter(trimmed, lambda s: s != "")
+    return run(text)

@@ -7,7 +7,9 @@ from ..functions.constants import (
     INTERNAL_ABBREVIATIONS, LEXICON_STOPWORDS, PROMPT_STOPWORDS, STRONG_ABBREVIATIONS, TRACKING_PARAMETERS, WEAK_ABBREVIATIONS,
 )
 from ..functions.tokens import NOT_SPACE, SPACE, UNICODE_WORD
-from ..operators.sentences import CHUNK
+
+#: A run of text up to and with end marks and what closes behind them.
+CHUNK = "[^.!?…]*[.!?…]+[\"')\\]}”’»]*|[^.!?…]+"
 
 
 def q(s: str) -> str:
