@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, prompts, tokens
 from ..functions.constants import BANNED_WORDS
-from ..operators import backends, corpus, decode, distance, evaluate, lexicon, profiles, rank
+from ..operators import backends, corpus, decode, distance, evaluate, lexicon, preference, profiles, rank
 from ..operators import features as ft
 from ..operators.sentences import sentences
 from ..sources import readers, sinks, walk
@@ -836,6 +836,22 @@ def q70_learned_words(spark, sf_dir):
     return learn.word_counts(spark, store).withColumnRenamed("k", "source")
 
 
+_TRIGRAMS = lambda source, key: f"(SELECT {key}s[i] || s[i + 1] || s[i + 2] AS gram FROM (SELECT {key}s, unnest(range(1, len(s) - 1)) AS i FROM (SELECT {key}string_split(lower(text), '') AS s FROM {source})))"
+
+
+@query(f"""WITH pairs AS ({_SQL["q26_pairs"]}), texts AS (SELECT b.conv_id * 1000 + a.turn AS k, b.text FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 AND a.role = 'user' AND b.role = 'assistant'),
+grams AS (SELECT gram, count(*) AS n FROM {_TRIGRAMS('documents', '')} GROUP BY gram), heads AS (SELECT substr(gram, 1, 2) AS head, sum(n) AS m FROM grams GROUP BY 1),
+size AS (SELECT count(DISTINCT substr(gram, 3, 1)) AS v FROM grams), own AS (SELECT k, gram, count(*) AS times FROM {_TRIGRAMS('texts', 'k, ')} GROUP BY k, gram),
+scores AS (SELECT k, round(sum(times * ln((coalesce(n, 0) + 1) / CAST(coalesce(m, 0) + v AS DOUBLE))) / sum(times), 6) AS mean_logp FROM own LEFT JOIN grams USING (gram) LEFT JOIN heads ON head = substr(gram, 1, 2), size GROUP BY k),
+m AS (SELECT prompt_id, chosen, rejected, c.mean_logp AS chosen_logp, r.mean_logp AS rejected_logp, round(c.mean_logp - r.mean_logp, 6) AS logp_margin FROM pairs LEFT JOIN scores c ON c.k = chosen LEFT JOIN scores r ON r.k = rejected)
+SELECT *, round(ln(1 + exp(-0.1 * (logp_margin - 1.0))), 6) AS simpo, round(ln(1 + exp(-0.1 * logp_margin)), 6) AS dpo FROM m""")
+def q71_preference_losses(spark, sf_dir):
+    pairs = rank.mine_pairs(scored(spark, sf_dir)).select("prompt_id", "chosen", "rejected")
+    texts = candidates(spark, sf_dir).select(F.col("candidate_index").alias("k"), F.col("output").alias("text"))
+    model = preference.CharacterModel.of(docs(spark, sf_dir))
+    return preference.losses(pairs, preference.log_probabilities(texts, model))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 

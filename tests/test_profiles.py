@@ -119,3 +119,36 @@ def test_decode_without_candidates(spark, both):
     assert (r["output"], r["passed"], r["candidates"], r["regenerations"]) == (None, False, 0, 1)
     with pytest.raises(Exception, match="no model"):
         backends.generate(df.withColumn("seed", F.lit(1)), Broken()).collect()
+
+
+# --- preference losses ---
+
+
+def test_preference_losses(spark):
+    import collections
+    import math
+
+    from inkstone.operators import preference
+
+    corpus, texts = ["the cat sat", "The hat", None, "ab", ""], {1: "the cat", 2: "zzz the", 3: "ab", 4: None, 5: "hat hat"}
+    grams, heads = collections.Counter(), collections.Counter()
+    three = lambda t: [t.lower()[i : i + 3] for i in range(len(t or "") - 2)]
+    for t in corpus:
+        grams.update(three(t))
+    for g, n in grams.items():
+        heads[g[:2]] += n
+    v = len({g[2] for g in grams})
+    logp = lambda t: sum(math.log((grams[g] + 1) / (heads[g[:2]] + v)) for g in three(t)) / len(three(t)) if three(t) else None
+    model = preference.CharacterModel.of(spark.createDataFrame([(t,) for t in corpus], "text string"))
+    scores = preference.log_probabilities(spark.createDataFrame(list(texts.items()), "k long, text string"), model)
+    got = {r["k"]: (r["tokens"], r["mean_logp"]) for r in scores.collect()}
+    assert {k: n for k, (n, _) in got.items()} == {k: len(three(t)) for k, t in texts.items()}
+    assert {k: x for k, (_, x) in got.items()} == pytest.approx({k: logp(t) for k, t in texts.items()}, abs=1e-6)
+    pairs = spark.createDataFrame([(1, 2), (5, 1), (3, 1)], "chosen long, rejected long")
+    for r in preference.losses(pairs, scores, beta=0.5, gamma=0.2).collect():
+        if r["chosen"] == 3:
+            assert r["logp_margin"] is r["simpo"] is r["dpo"] is None
+            continue
+        margin = logp(texts[r["chosen"]]) - logp(texts[r["rejected"]])
+        sigmoid = lambda x: 1 / (1 + math.exp(-x))
+        assert (r["logp_margin"], r["simpo"], r["dpo"]) == pytest.approx((margin, -math.log(sigmoid(0.5 * (margin - 0.2))), -math.log(sigmoid(0.5 * margin))), abs=3e-6)
