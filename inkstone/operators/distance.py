@@ -30,9 +30,10 @@ class Counts:
     grams: DataFrame
 
     @classmethod
-    def of(cls, texts: DataFrame) -> Counts:
-        """Written to the shared folder, since all measures rest on them: texts are read once for each table."""
-        tables = {"sums": ft.sums(texts), "words": ft.word_counts(texts), "grams": ft.trigrams(texts)}
+    def of(cls, texts: DataFrame, *, order: str | None = None) -> Counts:
+        """Written to the shared folder, since all measures rest on them: texts are read once for each table. With `order`
+        trigrams cross from text to text, see `features.trigrams`."""
+        tables = {"sums": ft.sums(texts), "words": ft.word_counts(texts), "grams": ft.trigrams(texts, order=order)}
         return cls(*(staged(table, f"style-{name}") for name, table in tables.items()))
 
     def merged(self, key: Column) -> Counts:
@@ -99,10 +100,10 @@ def sentence_shift(mean: Column, sd: Column, own_mean: Column, own_sd: Column) -
     return clamp((by_mean + by_sd) / 2)
 
 
-def fingerprint(texts: DataFrame) -> DataFrame:
+def fingerprint(texts: DataFrame, *, order: str | None = None) -> DataFrame:
     """The whole profile by k: dense measures, lengths of words, sentences and paragraphs as structs, frequencies of
     function words as a map, the most frequent trigrams in order, vocabulary_size, banned and preferred words."""
-    counts = Counts.of(texts)
+    counts = Counts.of(texts, order=order)
     style = Style.of(counts)
     stats = F.struct("mean", "sd", "median", "p95")
     kinds = ("word", "sentence", "paragraph")

@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import tokens as K
 from ..functions.constants import BANNED_WORDS, FUNCTION_WORDS, HISTOGRAM_EDGES
-from . import textpass
+from . import borders, textpass
 from .sentences import bind, sentences
 
 DIGITS = 6
@@ -101,10 +101,10 @@ def _gram_rows(texts: list[str], key: np.ndarray) -> tuple[np.ndarray, list[str]
     return np.concatenate(keys), grams, np.concatenate(counts)
 
 
-def _term_counts(texts: DataFrame, name: str, rows: Callable[[list[str], np.ndarray], tuple[np.ndarray, list[str], np.ndarray]]) -> DataFrame:
-    """k, a term by that name, n: rows(texts, numbers of their keys) gives keys, terms and counts. Terms are counted in
-    arrays before they leave a task: a text has as many trigrams as characters, and sending each as a row costs ten times
-    as much."""
+def _term_rows(texts: DataFrame, name: str, rows: Callable[[list[str], np.ndarray], tuple[np.ndarray, list[str], np.ndarray]]) -> DataFrame:
+    """k, a term by that name, n, yet to be summed: rows(texts, numbers of their keys) gives keys, terms and counts. Terms are
+    counted in arrays before they leave a task: a text has as many trigrams as characters, and sending each as a row costs
+    ten times as much."""
     schema = T.StructType([texts.schema["k"], T.StructField(name, T.StringType()), T.StructField("n", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def _term_counts(texts: DataFrame, name: str, rows: Callable[[list[str], np.ndar
                 own = batch.column(0).take(pa.array(first[keys]))
                 yield pa.RecordBatch.from_arrays([own, pa.array(terms, pa.string()), pa.array(n, pa.int64())], schema.names)
 
-    return _texts(texts).mapInArrow(run, schema).groupBy("k", name).agg(F.sum("n").alias("n"))
+    return _texts(texts).mapInArrow(run, schema)
 
 
 def sums(texts: DataFrame) -> DataFrame:
@@ -126,7 +126,8 @@ def sums(texts: DataFrame) -> DataFrame:
 
 def word_counts(texts: DataFrame) -> DataFrame:
     """k, word (lower-cased), n."""
-    return _term_counts(texts, "word", lambda rows, key: word_rows(textpass.Words(rows), key))
+    rows = _term_rows(texts, "word", lambda rows, key: word_rows(textpass.Words(rows), key))
+    return rows.groupBy("k", "word").agg(F.sum("n").alias("n"))
 
 
 def richness(words: DataFrame) -> DataFrame:
@@ -180,9 +181,13 @@ def trigram_codes(text: str) -> np.ndarray:
     return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
 
 
-def trigrams(texts: DataFrame) -> DataFrame:
-    """k, gram, n: runs of three characters of the lower-cased texts."""
-    return _term_counts(texts, "gram", _gram_rows)
+def trigrams(texts: DataFrame, *, order: str | None = None) -> DataFrame:
+    """k, gram, n: runs of three characters of the lower-cased texts. With `order` (a column) a key's texts are one text in
+    that order, an empty line between them, and runs cross from one to the next."""
+    rows = _term_rows(texts, "gram", _gram_rows)
+    if order:
+        rows = rows.unionByName(borders.trigrams(texts, order))
+    return rows.groupBy("k", "gram").agg(F.sum("n").alias("n"))
 
 
 def top_trigrams(grams: DataFrame, limit: int = 500) -> DataFrame:

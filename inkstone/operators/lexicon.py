@@ -2,42 +2,58 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import tokens as K
 from ..functions.constants import LEXICON_STOPWORDS
+from . import borders
 from .terms import Terms
 
 _STOP = sorted(set(LEXICON_STOPWORDS))
 
 
-def entities(texts: DataFrame, *, min_count: int = 3) -> DataFrame:
+def _names(raw: Column, edge: Column | None) -> Callable[[DataFrame], DataFrame]:
+    """Adds `terms`: the names among plain words, with an edge those only that reach from the words up to it to those behind."""
+
+    def add(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("raw", raw).withColumn("words", F.transform("raw", K.trim_marks))
+        # flags of capitals, so that runs are found by position
+        rows = rows.withColumn("caps", F.transform("words", lambda w: w.rlike(r"^\p{Lu}")))
+
+        def run(size: int) -> Column:
+            first, last = F.lit(1), F.size("words") - size + 1
+            if edge is not None:
+                first, last = F.greatest(first, edge - size + 2), F.least(last, edge)
+            good = F.filter(F.sequence(first, last), lambda i: F.forall(F.slice("caps", i, size), lambda c: c))
+            return F.when(first <= last, F.transform(good, lambda i: F.array_join(F.slice("words", i, size), " ")))
+
+        places = F.sequence(F.lit(2), F.size("words")) if edge is None else F.array(edge + 1)
+        single = F.filter(
+            F.when(F.size("words") >= 2, places),
+            lambda i: F.element_at("caps", i)
+            & (F.octet_length(F.element_at("words", i)) >= 3)
+            & ~F.element_at("raw", i - 1).rlike("[.!?]$")
+            & ~F.lower(F.element_at("words", i)).isin(_STOP),
+        )
+        none = F.array().cast("array<string>")
+        runs = F.filter(F.concat(*[F.coalesce(run(k), none) for k in (2, 3, 4)]), lambda t: F.octet_length(t) >= 3)
+        singles = F.coalesce(F.transform(single, lambda i: F.element_at("words", i)), none)
+        return rows.select(F.explode(F.concat(runs, singles)).alias("term"))
+
+    return add
+
+
+def entities(texts: DataFrame, *, min_count: int = 3, order: str | None = None) -> DataFrame:
     """term, n: runs of two to four capitalised words, and single ones that don't start a sentence and are no stop
-    words. Runs stay within a text."""
-    rows = texts.select(K.plain_words(F.col("text")).alias("raw"))
-    rows = rows.withColumn("words", F.transform("raw", K.trim_marks))
-    # one string of flags, so that runs are found by position
-    rows = rows.withColumn("caps", F.transform("words", lambda w: w.rlike(r"^\p{Lu}")))
-
-    def run(size: int) -> Column:
-        starts = F.sequence(F.lit(1), F.size("words") - size + 1)
-        good = F.filter(starts, lambda i: F.forall(F.slice("caps", i, size), lambda c: c))
-        return F.when(F.size("words") >= size, F.transform(good, lambda i: F.array_join(F.slice("words", i, size), " ")))
-
-    places = F.sequence(F.lit(2), F.size("words"))
-    single = F.filter(
-        F.when(F.size("words") >= 2, places),
-        lambda i: F.element_at("caps", i)
-        & (F.octet_length(F.element_at("words", i)) >= 3)
-        & ~F.element_at("raw", i - 1).rlike("[.!?]$")
-        & ~F.lower(F.element_at("words", i)).isin(_STOP),
-    )
-    none = F.array().cast("array<string>")
-    runs = F.filter(F.concat(*[F.coalesce(run(k), none) for k in (2, 3, 4)]), lambda t: F.octet_length(t) >= 3)
-    singles = F.coalesce(F.transform(single, lambda i: F.element_at("words", i)), none)
-    terms = rows.select(F.explode(F.concat(runs, singles)).alias("term"))
+    words. Runs stay within a text; with `order` (a column) the texts are one text in that order, and runs cross."""
+    terms = texts.select("text").transform(_names(K.plain_words(F.col("text")), None))
+    if order:
+        rows = borders.words(texts.select(F.lit(0).alias("k"), F.col(order).alias("row"), "text"), "row", 4)
+        terms = terms.unionByName(rows.select(F.col("words").alias("around"), "edge").transform(_names(F.col("around"), F.col("edge"))))
     return terms.groupBy("term").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
 
 

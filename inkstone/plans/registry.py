@@ -852,6 +852,24 @@ def q71_preference_losses(spark, sf_dir):
     return preference.losses(pairs, preference.log_probabilities(texts, model))
 
 
+def in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by source, to be read as one text each in the order of doc_id."""
+    return docs(spark, sf_dir).select(F.col("source").alias("k"), F.col("doc_id").alias("row"), "text")
+
+
+_ONE_TEXT = lambda key: f"one AS (SELECT {key} AS k, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1)"
+
+
+@query(f"WITH {_ONE_TEXT('source')} SELECT k AS source, gram, count(*) AS n FROM {_TRIGRAMS('one', 'k, ')} GROUP BY k, gram")
+def q72_joined_trigrams(spark, sf_dir):
+    return ft.trigrams(in_order(spark, sf_dir), order="row").withColumnRenamed("k", "source")
+
+
+@query(f"WITH {_ONE_TEXT('0')}, {_ENTITIES.replace('FROM documents', 'FROM one')} SELECT * FROM ents")
+def q73_joined_entities(spark, sf_dir):
+    return lexicon.entities(docs(spark, sf_dir), order="doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
