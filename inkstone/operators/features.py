@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 
 from ..functions import tokens as K
 from ..functions.constants import BANNED_WORDS, FUNCTION_WORDS, HISTOGRAM_EDGES
-from . import borders, textpass
+from . import borders, frequent, textpass
 from .sentences import bind, sentences
 
 DIGITS = 6
@@ -91,12 +91,11 @@ def _gram_rows(texts: list[str], key: np.ndarray) -> tuple[np.ndarray, list[str]
     """Keys, trigrams and counts."""
     keys, grams, counts = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
     for k in np.unique(key).tolist():
-        packed = [trigram_codes(texts[i]) for i in np.flatnonzero(key == k) if len(texts[i]) > 2]
+        packed = [frequent.codes(texts[i]) for i in np.flatnonzero(key == k) if len(texts[i]) > 1]
         if packed:
             found, n = np.unique(np.concatenate(packed), return_counts=True)
-            points = np.stack([found >> 42, (found >> 21) & 0x1FFFFF, found & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
             keys.append(np.full(len(n), k))
-            grams += [points[i : i + 3] for i in range(0, len(points), 3)]
+            grams += frequent.spelled(found)
             counts.append(n)
     return np.concatenate(keys), grams, np.concatenate(counts)
 
@@ -175,12 +174,6 @@ def vocabulary(words: DataFrame) -> DataFrame:
     )
 
 
-def trigram_codes(text: str) -> np.ndarray:
-    """All runs of three characters of the lower-cased text, as numbers that sort as they do."""
-    c = np.frombuffer(text.lower().encode("utf-32-le"), "<u4").astype(np.int64)
-    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
-
-
 def trigrams(texts: DataFrame, *, order: str | None = None) -> DataFrame:
     """k, gram, n: runs of three characters of the lower-cased texts. With `order` (a column) a key's texts are one text in
     that order, an empty line between them, and runs cross from one to the next."""
@@ -191,7 +184,8 @@ def trigrams(texts: DataFrame, *, order: str | None = None) -> DataFrame:
 
 
 def top_trigrams(grams: DataFrame, limit: int = 500) -> DataFrame:
-    """The most frequent of each key, ties by the trigram; rank is limited before rows are gathered by key."""
+    """The most frequent of each key, ties by the trigram; rank is limited before rows are gathered by key. Of texts that need
+    no other counts, `frequent.top_trigrams` gives the same with less to shuffle."""
     order = Window.partitionBy("k").orderBy(F.desc("n"), F.asc("gram"))
     return grams.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 

@@ -25,6 +25,7 @@ from ..functions.constants import DISTANCE_WEIGHTS, FUNCTION_WORDS, HISTOGRAM_CE
 from ..grid import cells, pack_of
 from ..stage import discard, staged
 from . import features as ft
+from . import frequent
 from . import textpass
 from .distance import HALF_UP, Style, clamp, dense_parts, overall, slop
 from .features import rounded
@@ -53,7 +54,7 @@ def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The TOP most frequent trigrams and their counts, ties by trigram, sorted by trigram."""
     if len(text) < 3:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes, counts = np.unique(ft.trigram_codes(text), return_counts=True)
+    codes, counts = np.unique(frequent.codes(text), return_counts=True)
     if len(codes) > TOP:
         first = np.sort(np.argsort(-counts, kind="stable")[:TOP])
         codes, counts = codes[first], counts[first]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, prompts, tokens
 from ..functions.constants import BANNED_WORDS
-from ..operators import backends, corpus, decode, distance, evaluate, lexicon, preference, profiles, rank
+from ..operators import backends, corpus, decode, distance, evaluate, frequent, lexicon, preference, profiles, rank
 from ..operators import features as ft
 from ..operators.sentences import sentences
 from ..sources import readers, sinks, walk
@@ -99,7 +99,7 @@ def q03_function_words(spark, sf_dir):
 FROM (SELECT source, s[i] || s[i + 1] || s[i + 2] AS gram FROM (SELECT source, s, unnest(range(1, len(s) - 1)) AS i FROM (SELECT source, string_split(lower(text), '') AS s FROM documents)))
 GROUP BY source, gram) WHERE rank <= 500""")
 def q04_trigram_top500(spark, sf_dir):
-    return ft.top_trigrams(ft.trigrams(keyed(docs(spark, sf_dir), "source"))).withColumnRenamed("k", "source")
+    return frequent.top_trigrams(keyed(docs(spark, sf_dir), "source")).withColumnRenamed("k", "source")
 
 
 @query("SELECT doc_id, " + ", ".join(
