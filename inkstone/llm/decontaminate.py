@@ -6,11 +6,14 @@ necessary prefix is the rarest one: each window is filed under it. Where a docum
 of the token in the window bounds where the window would lie, its length must fit between the ends of the document, and
 what passes is compared word for word over the window.
 
-Up to BLOCK windows are sent to every task: documents are counted once and searched once, and none is shuffled. For more
-the join shuffles. Rarity is then taken from the counts of a shingle's rarest word. Documents give (token, place and the
-words around it) for tokens that a Bloom filter of 2**FILTER_BITS bits passes, whatever the size of the benchmark; these
-meet the windows by token, and are verified there. The more windows, the more the filter lets through for nothing, some
-0.1 % of all places at 1 million windows and 7 % at 10 million, which costs time and no row.
+Up to BLOCK windows, of at most 10 * BLOCK items in all, are sent to every task: documents are counted once and searched
+once, and none is shuffled. For more the join shuffles. Rarity is then taken from the counts of a shingle's rarest word.
+Documents give (token, place and the words around it) for tokens that a Bloom filter of 2**FILTER_BITS bits passes,
+whatever the size of the benchmark; these meet the windows by token, and are verified there. The more windows, the more the
+filter lets through for nothing, some 0.1 % of all places at 1 million windows and 7 % at 10 million, which costs time and
+no row. Windows whose token may occur HOT times or more (an item of one common word) would send each occurrence by one key:
+of these the BLOCK most frequent go to every task and are found there, and a document sends one row for each that it
+holds. Which items hold a window is joined last, to one row for each document and window.
 
 Words are lower-cased for A-Z and made of ASCII letters, digits and all characters beyond ASCII.
 
@@ -35,6 +38,8 @@ from .common import ALNUM_TABLE, arrow_schema, blobs, discard, keep_rows, map_ba
 SIZE, SHINGLE = 10, 3
 #: Windows sent to a task: some 60 MB at 10 words each.
 BLOCK = 100_000
+#: Occurrences of a token from which on its windows don't go by key; some 15 MB of words around it.
+HOT = 100_000
 FILTER_BITS = 26
 
 Words = list[bytes]
@@ -80,6 +85,12 @@ def merged(ranges: list[int]) -> list[int]:
     return out
 
 
+def few(windows: DataFrame, block: int) -> bool:
+    """Whether they can go to every task, with the items that hold them."""
+    seen = windows.agg(F.count(F.lit(1)).alias("windows"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("items")).first()
+    return seen["windows"] <= block and seen["items"] <= 10 * block
+
+
 OUT = "doc_id long, n_words long, n_hit long, spans array<int>, items array<string>"
 
 
@@ -164,26 +175,26 @@ def _word_counts(docs: DataFrame) -> DataFrame:
 
 
 def _filed(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """window, items, token (the hash of its rarest shingle), at, length."""
+    """window, token (the hash of its rarest shingle), n (the token occurs so often at most), at, length."""
     words = windows.select("window", F.posexplode(F.split("window", " ")).alias("at", "word")).join(counts, "word", "left")
     rated = words.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("n", F.lit(0)).alias("n")))).alias("w"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        tokens, places, lengths = [], [], []
-        for window, rates in zip(blobs(batch.column(0)), batch.column(2).to_pylist(), strict=True):
+        tokens, upto, places, lengths = [], [], [], []
+        for window, rates in zip(blobs(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             words = window.split(b" ")
             k = min(SHINGLE, len(words))
             rare = [min(r["n"] for r in rates[i : i + k]) for i in range(len(words) - k + 1)]
             at = min(range(len(rare)), key=lambda i: (rare[i], words[i : i + k], i))  # noqa: B023
             tokens.append(b" ".join(words[at : at + k]))
+            upto.append(rare[at])
             places.append(at)
             lengths.append(len(words))
         ends = np.cumsum([len(t) for t in tokens] or [0])
         hashes = range_hashes(padded(b"".join(tokens)), np.concatenate([[0], ends[:-1]])[: len(tokens)], ends[: len(tokens)])
-        return {"window": batch.column(0), "items": batch.column(1), "token": hashes.view(np.int64), "at": places, "length": lengths}
+        return {"window": batch.column(0), "token": hashes.view(np.int64), "n": upto, "at": places, "length": lengths}
 
-    rows = windows.join(rated, "window").select("window", "items", "w")
-    return map_batches(rows, run, "window string, items array<string>, token long, at int, length int")
+    return map_batches(rated, run, "window string, token long, n long, at int, length int")
 
 
 _BITS = [(7, (1 << FILTER_BITS) - 1), (33, (1 << FILTER_BITS) - 1)]
@@ -201,23 +212,42 @@ def _filter(filed: DataFrame) -> np.ndarray:
     return out.view(np.uint8)
 
 
-def _joined(docs: DataFrame, windows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text_key, n_words of all rows; and doc_id, text_key, ranges, items of those that hold a window."""
+def _common(filed: DataFrame, block: int, hot: int) -> tuple[Broadcast, DataFrame]:
+    """The windows that every task gets, at most `block`, with their prefix index; and the others."""
+    most = staged(filed.where(F.col("n") >= hot).orderBy(F.desc("n"), "window").limit(block), "decontam-hot")
+    table, index = {}, {}
+    for r in most.collect():
+        words = tuple(r["window"].encode().split(b" "))
+        table[words] = (r["window"],)
+        k = min(SHINGLE, len(words))
+        index.setdefault(k, {}).setdefault(words[r["at"] : r["at"] + k], set()).add((r["at"], len(words)))
+    index = {k: {t: sorted(v) for t, v in own.items()} for k, own in index.items()}
+    rest = staged(filed.join(F.broadcast(most.select("window")), "window", "left_anti"), "decontam-filed")
+    discard(most)
+    return filed.sparkSession.sparkContext.broadcast((table, index)), rest
+
+
+def _joined(docs: DataFrame, windows: DataFrame, size: int, block: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_key, n_words, ranges (of the hot windows, null if none) of all rows, staged; and doc_id, text_key, window,
+    start, stop of each hit, staged, without start and stop for hot windows."""
     filed = staged(_filed(windows, _word_counts(docs)), "decontam-windows")
-    lengths = [r["k"] for r in filed.select(F.least("length", F.lit(SHINGLE)).alias("k")).distinct().collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(filed))
-    schema = "doc_id long, text_key binary, n_words long, token long, place int, before string, after string"
+    common, rest = _common(filed, block, hot)
+    discard(filed)
+    lengths = [r["k"] for r in rest.select(F.least("length", F.lit(SHINGLE)).alias("k")).distinct().collect()]
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(rest))
+    schema = "doc_id long, text_key binary, n_words long, ranges array<int>, windows array<string>, token long, place int, before string, after string"
     target = arrow_schema(schema)
 
     def give(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = shared.value
+        held, (table, index) = shared.value, common.value
         for batch in batches:
             for part in slices(batch):
                 out: dict = {f.name: [] for f in target}
                 for doc, key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), blobs(part.column(2)), strict=True):
                     plain = text.translate(ALNUM_TABLE) if text else b""
                     words = plain.split()
-                    rows = [(doc, key, len(words), None, None, None, None)]
+                    ranges, found = hits_of(words, table, index)
+                    rows = [(doc, key, len(words), merged([x for r in ranges for x in r]) or None, sorted(found), None, None, None, None)]
                     whole = b" ".join(words)
                     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
                     starts = np.concatenate([[0], ends[:-1] + 1]) if words else ends
@@ -233,7 +263,7 @@ def _joined(docs: DataFrame, windows: DataFrame, size: int) -> tuple[DataFrame,
                             hit &= (held[(cells >> np.uint64(3)).astype(np.int64)] >> (cells & np.uint64(7)).astype(np.uint8)) & 1 > 0
                         for i in np.flatnonzero(hit).tolist():
                             before, after = b" ".join(words[max(0, i - size) : i]), b" ".join(words[i : i + size])
-                            rows.append((doc, key, len(words), int(tokens[i].view(np.int64)), i, before.decode(), after.decode()))
+                            rows.append((doc, key, len(words), None, None, int(tokens[i].view(np.int64)), i, before.decode(), after.decode()))
                     for r in rows:
                         for name, v in zip(out, r, strict=True):
                             out[name].append(v)
@@ -244,30 +274,43 @@ def _joined(docs: DataFrame, windows: DataFrame, size: int) -> tuple[DataFrame,
     near = F.concat(before, F.split("after", " "))
     first = F.size(before) - F.col("at")  # where the window would begin among the words around the token
     lies = F.when((first >= 0) & (first + F.col("length") <= F.size(near)), F.array_join(F.slice(near, first + 1, F.col("length")), " "))
-    hits = found.where("token is not null").join(filed, "token").where(lies == F.col("window"))
     start = F.col("place") - F.col("at")
-    hits = hits.select("doc_id", "text_key", start.alias("start"), (start + F.col("length")).alias("stop"), "items")
-    both = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return found.where("token is null").select("doc_id", "text_key", "n_words"), staged(both, "decontam-hits")
+    hits = found.where("token is not null").join(rest, "token").where(lies == F.col("window"))
+    hits = hits.select("doc_id", "text_key", "window", start.alias("start"), (start + F.col("length")).alias("stop"))
+    none = F.lit(None).cast("int")
+    own = found.where("token is null").select("doc_id", "text_key", F.explode("windows").alias("window"), none.alias("start"), none.alias("stop"))
+    rows = staged(found.where("token is null").select("doc_id", "text_key", "n_words", "ranges"), "decontam-rows")
+    every = staged(hits.unionByName(own), "decontam-hits")
+    discard(found, rest)
+    return rows, every
 
 
 # --- the operator ----------------------------------------------------------------------------------------------------
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block: int = BLOCK) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """doc_id, n_words, n_hit, spans (word starts and ends in turn, merged), items (sorted as strings) for each row."""
     windows = staged(_windows(benchmark, size), "decontam-windows")
-    if windows.count() > block:
-        rows, hits = _joined(docs, windows, size)
-        hits = hits.withColumnsRenamed({"doc_id": "id", "text_key": "key"})
-        rows = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key").eqNullSafe(F.col("key"))), "left")
+    if not few(windows, block):
+        rows, hits = _joined(docs, windows, size, block, hot)
+        of = [F.col("doc_id").alias("id"), F.col("text_key").alias("key")]
+        ranges = hits.where("start is not null").groupBy(*of).agg(F.collect_set(F.struct("start", "stop")).alias("more"))
+        # an item once for each document, before lists are made
+        items = hits.select("doc_id", "text_key", "window").distinct().join(windows, "window").select(*of, F.explode("items").alias("item")).distinct()
+        items = items.groupBy("id", "key").agg(F.array_sort(F.collect_list("item")).alias("items"))
+        for table in (ranges, items):
+            same = F.col("doc_id").eqNullSafe(table["id"]) & F.col("text_key").eqNullSafe(table["key"])
+            rows = rows.join(table, same, "left").drop("id", "key")
 
         def merge(batch: pa.RecordBatch) -> dict:
-            spans = [merged([x for r in ranges or [] for x in (r["start"], r["stop"])]) for ranges in batch.column(2).to_pylist()]
+            spans = [
+                merged([*(hot or []), *(x for r in cold or [] for x in (r["start"], r["stop"]))])
+                for hot, cold in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
             n_hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            return {"doc_id": batch.column(0), "n_words": batch.column(1), "n_hit": n_hit, "spans": spans, "items": [x or [] for x in batch.column(3).to_pylist()]}
+            return {"doc_id": batch.column(0), "n_words": batch.column(1), "n_hit": n_hit, "spans": spans, "items": [x or [] for x in batch.column(4).to_pylist()]}
 
-        return map_batches(rows.select("doc_id", "n_words", "ranges", "items"), merge, OUT)
+        return map_batches(rows.select("doc_id", "n_words", "ranges", "more", "items"), merge, OUT)
     shared = _index(docs, windows)
     discard(windows)
 
@@ -285,12 +328,13 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, b
     return map_batches(docs.select("doc_id", "text"), run, OUT)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block: int = BLOCK) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, *, size: int = SIZE, block: int = BLOCK, hot: int = HOT) -> DataFrame:
     """The rows of docs without a benchmark window, with all their columns."""
     windows = staged(_windows(benchmark, size), "decontam-windows")
-    if windows.count() > block:
-        _, hits = _joined(docs, windows, size)
-        return without(docs, hits.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")))
+    if not few(windows, block):
+        rows, hits = _joined(docs, windows, size, block, hot)
+        discard(rows, windows)
+        return without(docs, hits.select(F.col("doc_id").alias("gone_id"), F.col("text_key").alias("gone_key")).distinct())
     shared = _index(docs, windows)
     discard(windows)
 

@@ -306,8 +306,8 @@ def test_deep_shallow_sort_of_strings_of_all_sizes():
 # --- decontamination ---
 
 
-@pytest.mark.parametrize("block", [100_000, 7])
-def test_benchmark_hits(spark, corpus, words, block):
+@pytest.mark.parametrize(("block", "hot"), [(100_000, 100_000), (7, 100_000), (7, 20), (20, 0)])
+def test_benchmark_hits(spark, corpus, words, block, hot):
     rng = random.Random(5)
     texts = {d: t for d, t in corpus}
     long = [t for t in texts.values() if t and len(t.split()) > 60]
@@ -315,7 +315,7 @@ def test_benchmark_hits(spark, corpus, words, block):
     items += [(100, "One"), (101, words[3] + "!! " + words[4].upper()), (102, ""), (103, None), (104, "ha " * 40), (105, items[0][1]), (None, words[0])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    got = {r["doc_id"]: r for r in decontaminate.benchmark_hits(documents(spark, corpus), bench, block=block).collect()}
+    got = {r["doc_id"]: r for r in decontaminate.benchmark_hits(documents(spark, corpus), bench, block=block, hot=hot).collect()}
     for d, t in corpus:
         w, hit, found = split(t), set(), set()
         for item, text in items:
@@ -328,15 +328,42 @@ def test_benchmark_hits(spark, corpus, words, block):
                     found.add(str(item))
         r = got[d]
         assert (r["n_words"], r["n_hit"], r["items"]) == (len(w), len(hit), sorted(found))
-    clean = decontaminate.decontaminate(documents(spark, corpus), bench, block=block)
+    clean = decontaminate.decontaminate(documents(spark, corpus), bench, block=block, hot=hot)
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(d for d, r in got.items() if not r["n_hit"])
-    assert decontaminate.benchmark_hits(documents(spark, []), bench, block=block).count() == 0
+    assert decontaminate.benchmark_hits(documents(spark, []), bench, block=block, hot=hot).count() == 0
     rows = [(1, long[0]), (1, "a"), (1, long[0]), (None, long[0]), (None, None)]
-    again = collections.Counter((r["doc_id"], r["n_words"]) for r in decontaminate.benchmark_hits(documents(spark, rows), bench, block=block).collect())
+    again = collections.Counter((r["doc_id"], r["n_words"]) for r in decontaminate.benchmark_hits(documents(spark, rows), bench, block=block, hot=hot).collect())
     assert again == collections.Counter((d, len(split(t))) for d, t in rows)
     assert decontaminate.benchmark_hits(documents(spark, corpus[:3]), bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_hot_words_and_many_windows(spark):
+    """An item of one word that each document holds many times, one of a frequent pair, and windows beyond the block."""
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(("the", "of", *rng.sample(vocabulary, 2))) for _ in range(80)) for _ in range(60)]
+    items = [(0, "the"), (1, "of the"), *((2 + i, " ".join(rng.sample(vocabulary, 12))) for i in range(300)), (999, " ".join(texts[7].split()[20:35])), (1000, "The")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r["doc_id"]: r for r in decontaminate.benchmark_hits(docs, bench, block=100, hot=100).collect()}
+    want = {r["doc_id"]: r for r in decontaminate.benchmark_hits(docs, bench).collect()}
+    assert got == want and all({"0", "1000"} <= set(r["items"]) for r in got.values()) and "999" in got[7]["items"]
+    windows = decontaminate._windows(bench, 10).cache()
+    _, hits = decontaminate._joined(docs, windows, 10, 100, 100)
+    sent = {r["window"]: r["n"] for r in hits.groupBy("window").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sent["the"] == 60 < sum(t.split().count("the") for t in texts) / 10
+    assert decontaminate.decontaminate(docs, bench, block=100, hot=100).count() == 0
+
+
+def test_a_window_of_many_items(spark):
+    """Boilerplate that all items hold: too many items to send, so they are joined."""
+    bench = spark.createDataFrame([(i, "a b c d e f g h i j") for i in range(50)], "item_id long, text string")
+    assert not decontaminate.few(decontaminate._windows(bench, 10), 4) and decontaminate.few(decontaminate._windows(bench, 10), 5)
+    docs = documents(spark, [(1, "x a b c d e f g h i j a b c d e f g h i j"), (2, "a b c")])
+    got = {r["doc_id"]: (r["n_hit"], len(r["items"]), r["spans"]) for r in decontaminate.benchmark_hits(docs, bench, block=4, hot=1).collect()}
+    assert got == {1: (20, 50, [1, 21]), 2: (0, 0, [])}
+
+
 # --- chat ---
 
 
