@@ -152,3 +152,17 @@ def test_preference_losses(spark):
         margin = logp(texts[r["chosen"]]) - logp(texts[r["rejected"]])
         sigmoid = lambda x: 1 / (1 + math.exp(-x))
         assert (r["logp_margin"], r["simpo"], r["dpo"]) == pytest.approx((margin, -math.log(sigmoid(0.5 * (margin - 0.2))), -math.log(sigmoid(0.5 * margin))), abs=3e-6)
+
+
+def test_few_profiles_write_nothing_of_texts(texts, both, monkeypatch):
+    """Up to PROFILES profiles go with the task: no table of the texts is staged, whose rows of many texts filled executors."""
+    style, _ = both
+    monkeypatch.setattr(profiles, "staged", lambda *_: pytest.fail("staged"))
+    assert profiles.nearest(texts.select("k", "text"), style, top=2).count() == 2 * texts.count()
+
+
+def test_blocks_are_small(spark):
+    """A block of texts with all the trigrams they can have is no row of megabytes."""
+    rng = random.Random(4)
+    long = spark.createDataFrame([(i, "".join(chr(97 + rng.randrange(26)) for _ in range(3000))) for i in range(600)], "k long, text string").coalesce(1)
+    assert max(len(r["rows"]) for r in profiles._blocks(long).collect()) < 1 << 20
