@@ -840,3 +840,21 @@ def test_pipeline_odd_tables(spark, tmp_path):
     pieces = collections.Counter(p["doc_id"] for p in corpus_pipeline.run(spark, str(tmp_path)).collect() if p["start"] == 0)
     # (1) and the unique text of (2) stay, of the empty ones (3), of the long ones (5); rows without doc_id equal others
     assert pieces == {1: 1, 2: 1, 3: 1, 5: 1}
+
+
+def test_toxicity_learns_from_every_row(spark, monkeypatch):
+    """All labelled rows and whole texts count, in several shards: rows that a sample of 3600 doc_ids and 64 KiB left out."""
+    monkeypatch.setattr(toxicity, "SHARD", 60)
+    learnt = [k for k in range(400) if zlib.crc32(str(k).encode()) % 3 != 1]
+    rng = random.Random(2)
+    make = lambda bad: " ".join([*("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(30)), *(["vexq"] * bad)])
+    docs = documents(spark, [(k, make(k % 3 == 0)) for k in learnt] + [(learnt[0], "again")] * 5 + [(learnt[1], "pad " * 40_000 + "vexq")])
+    marks = spark.createDataFrame([(k, int(k % 3 == 0)) for k in learnt], "doc_id long, toxic int")
+    rows = toxicity.labelled(docs, marks)
+    shards = toxicity._dealt(rows)
+    assert rows.count() == len(learnt) + 6 == shards.count() and shards.select("shard").distinct().count() > 3
+    assert max(len(r["cells"]) for r in shards.collect()) == 6 * (40_001 + 2 * toxicity.PAD)
+    model, again = toxicity.train(docs, marks), toxicity.train(docs.repartition(5), marks)
+    assert np.array_equal(model.table, again.table) and model.scale == again.scale
+    bad, good = model.scores([make(True).encode() for _ in range(50)]), model.scores([make(False).encode() for _ in range(50)])
+    assert (bad > 0.5).mean() > 0.9 and (good < 0.5).mean() > 0.9
