@@ -11,13 +11,9 @@ summed counts when a style is asked for."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import clean
 from ..operators import features as ft
@@ -28,32 +24,25 @@ NEW = "content_hash string, author string, text string"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _first(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """A text that no batch had before, under the smallest author of this one; rows go by and are not held."""
-    if state.exists:
-        return
-    author = text = None
-    for rows in frames:
-        authors = rows["author"].dropna()
-        if len(authors):
-            author = min(authors) if author is None else min(author, *authors)
-        text = rows["text"].iloc[0] if text is None else text
-    state.update((True,))
-    yield pd.DataFrame({"content_hash": [key[0]], "author": [author], "text": [text]})
-
-
 def unseen(rows: DataFrame) -> DataFrame:
-    """content_hash, author and text of the texts (author, text) that come for the first time; null texts are
-    left out."""
+    """Of texts (author, text): content_hash, author, text and `new`. A text that comes for the first time gives one row
+    that is new, without author, and each of its authors a row without text. What is kept by key is hashes and authors,
+    by Spark's own state; null texts are left out."""
     cleaned = content_hash(rows.where("text is not null").withColumn("text", clean.clean(F.col("text"))))
-    return cleaned.select("content_hash", "author", "text").groupBy("content_hash").applyInPandasWithState(_first, NEW, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+    none = F.lit(None).cast("string")
+    text = F.struct(none.alias("author"), F.col("text"), F.lit(True).alias("new"))
+    author = F.struct(F.col("author"), none.alias("text"), F.lit(False).alias("new"))
+    both = cleaned.select("content_hash", F.explode(F.array(text, author)).alias("r")).select("content_hash", "r.*")
+    return both.dropDuplicates(["content_hash", "author", "new"])
 
 
 def absorb(batch: DataFrame, number: int, store: str) -> None:
-    """Adds the new texts of one batch (content_hash, author, text) to the store."""
+    """Adds the new texts of one batch (see `unseen`) to the store, each under its smallest author. An author that an old text
+    gets has no new row beside it, and is left out."""
     spark = batch.sparkSession
     own = lambda name: f"{store}/{name}/batch={number}"
-    batch.select("content_hash", "author", "text").write.mode("overwrite").parquet(own("texts"))
+    texts = batch.groupBy("content_hash").agg(F.min("author").alias("author"), F.max("text").alias("text"), F.max("new").alias("new"))
+    texts.where("new").select("content_hash", "author", "text").write.mode("overwrite").parquet(own("texts"))
     new = spark.read.schema(NEW).parquet(own("texts"))
     texts = new.select(F.col("author").alias("k"), "text")
     for name, table in {"words": ft.word_counts(texts), "sums": ft.sums(texts), "trigrams": ft.trigrams(texts)}.items():

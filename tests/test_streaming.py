@@ -148,3 +148,19 @@ def test_files_are_written(spark, tmp_path):
     rows = spark.createDataFrame([("a/b.txt", b"one"), ("a/c.md", None), ("d.txt.gz", b"not packed")], "name string, data binary")
     assert sorted(r["name"] for r in sinks.write_files(rows, str(tmp_path / "out")).collect()) == ["a/b.txt", "a/c.md", "d.txt.gz"]
     assert (tmp_path / "out/a/b.txt").read_bytes() == b"one" and (tmp_path / "out/a/c.md").read_bytes() == b"" and (tmp_path / "out/d.txt.gz").read_bytes() == b"not packed"
+
+
+def test_smallest_author_of_a_batch(spark, tmp_path):
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    put(source, 0, [(a, f"text {k}") for k in range(300) for a in ("m", None, f"c{k % 7}", "z")])
+    run(spark, source, store)
+    put(source, 1, [("a", f"text {k}") for k in range(300)] + [(None, "later")])
+    run(spark, source, store)
+    found = learn.stored(spark, store, "texts").select("author", "text").collect()
+    assert sorted(map(tuple, found), key=repr) == sorted([*((f"c{k % 7}", f"text {k}") for k in range(300)), (None, "later")], key=repr)
+
+
+def test_learning_keeps_no_text_and_calls_no_python_by_text(spark, tmp_path):
+    stream = spark.readStream.schema(learn.SCHEMA).json(str(tmp_path))
+    plan = learn.unseen(stream)._jdf.queryExecution().logical().toString()
+    assert "Deduplicate" in plan and "Pandas" not in plan

@@ -98,3 +98,13 @@ def test_sentences_keep_all_text(evaluate):
     for text, got in zip(texts, evaluate(sentences, *texts), strict=True):
         assert squeeze("".join(got)) == squeeze(text)
         assert all(s == s.strip() and s for s in got)
+
+
+def test_cleaning_names_each_step_once(spark):
+    from pyspark.sql import functions as F
+
+    from inkstone.functions import clean
+
+    rows = spark.range(1).select(F.col("id").cast("string").alias("text")).select(clean.clean(F.col("text")).alias("t"))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("<svg") == 1
