@@ -214,3 +214,10 @@ def test_ingest_counts_what_it_leaves_out(spark):
     got = {r["context"]: (r["samples"], r["skipped"], r["chunks"]) for r in report.collect()}
     assert got["x"] == (1, 1, 1) and got["none"] == (0, 1, 0) and got["y"][:2] == (1, 0) and got["y"][2] > 2
     assert got[None] == (2, 2, got["y"][2] + 1) and chunks.count() == got[None][2]
+
+
+def test_relevance_cuts_the_output_into_words_once(spark):
+    rows = spark.createDataFrame([("Tell of cats and dogs, ok", "cat dogged")], "p string, o string")
+    found = rows.select(rank.relevance(F.col("p"), F.col("o")).alias("r"))
+    assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
+    assert rows.select(rank.relevance(F.col("p"), F.lit(None).cast("string")).alias("r")).first()["r"] == 0.0
