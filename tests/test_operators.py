@@ -221,3 +221,20 @@ def test_relevance_cuts_the_output_into_words_once(spark):
     found = rows.select(rank.relevance(F.col("p"), F.col("o")).alias("r"))
     assert found._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 2
     assert rows.select(rank.relevance(F.col("p"), F.lit(None).cast("string")).alias("r")).first()["r"] == 0.0
+
+
+def test_lexicon_counts_leave_the_task_summed(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "HELD", 3)  # counts are sent, and forms forgotten, again and again
+    text = "we met Ann Lee, in Élan City. Then \x1cAnn Lee Ohm Ray Box went. Bo (Ann) x"
+    rows = spark.createDataFrame([(text,), (None,), ("",), (text,)], "text string").coalesce(1)
+    found = {r["term"]: r["n"] for r in lexicon.entities(rows, min_count=1).collect()}
+    # a separator that is no white space stands before a trimmed word
+    assert found == {k: 2 for k in ("Ann", "Lee", "Élan", "City", "Ohm", "Ray", "Box", "Ann Lee", "Élan City", "Élan City Then", "Élan City Then Ann", "City Then", "City Then Ann", "City Then Ann Lee", "Then Ann", "Then Ann Lee", "Then Ann Lee Ohm", "Ann Lee Ohm", "Ann Lee Ohm Ray", "Lee Ohm", "Lee Ohm Ray", "Lee Ohm Ray Box", "Ohm Ray", "Ohm Ray Box", "Ray Box", "Bo Ann")} | {"Ann": 6, "Ann Lee": 4, "Lee": 4}
+    words = {r["term"]: r["n"] for r in lexicon.frequent_words(rows, min_count=1).collect()}
+    assert words["ann"] == 6 and words["lee"] == 4 and words["élan"] == 2 and "in" not in words
+
+
+def test_lexicon_texts_are_not_exploded(spark):
+    rows = spark.createDataFrame([("One Two",)], "text string")
+    plan = lexicon.entities(rows)._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
