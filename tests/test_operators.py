@@ -206,6 +206,21 @@ def test_bench_of_few_samples(spark):
     assert evaluate.voice_fidelity(none).first()["voice"] == 1.0
 
 
+def test_bench_deals_out_what_it_holds_out(spark, monkeypatch):
+    """The first tenth lies in the first partition, but is no single task's work."""
+    rows = spark.createDataFrame([(k, f"{PLAIN} {k}") for k in range(400)], "doc_id long, text string")
+    assert rows.where("doc_id < 40").select(F.spark_partition_id()).distinct().count() == 1
+    seen, against = [], evaluate.profiles.against
+    monkeypatch.setattr(evaluate.profiles, "against", lambda texts, profile: seen.append(texts) or against(texts, profile))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert evaluate.bench(rows).first()["samples"] == 40
+        sizes = [r["count"] for r in seen[0].groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 40 and max(sizes) < 30
+
+
 def test_ingest_counts_what_it_leaves_out(spark):
     long = "\n\n".join(f"{PLAIN} part {k}" for k in range(6))
     rows = [(1, "a <b>short</b> text of five", "x"), (2, "a short text of five", "x"), (3, long, "y"), (4, "known before it came", None)]

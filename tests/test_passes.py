@@ -6,6 +6,7 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from inkstone.operators import distance
 from inkstone.operators import features as ft
 from inkstone.operators import frequent, textpass
 
@@ -46,3 +47,23 @@ def test_lengths_are_counts(spark):
         ("a", "word", 3, 6), ("a", "word", 4, 4), ("a", "word", 5, 6),
     ]
     assert ft.length_table(rows).where(F.col("kind") == "word").select("median").first()["median"] == 4
+
+
+def test_a_style_goes_through_the_texts_once(spark, monkeypatch):
+    """Sums, words and trigrams come from one pass, and are those that each has on its own."""
+    draw = random.Random(5)
+    make = lambda: " ".join(draw.choice(["The", "the", "ÉTÉ", "of", "Σ", "x1", "a—b", "İs", "no. 5!"]) for _ in range(draw.randint(0, 30)))
+    texts = [(draw.choice(["a", "b", None]), make()) for _ in range(200)] + [("a", None), ("none", None), ("two", "ab"), ("empty", "")]
+    rows = spark.createDataFrame(texts, "k string, text string").coalesce(2)
+    got = lambda df: sorted(map(repr, df.collect()))
+    want = [got(ft.sums(rows)), got(ft.word_counts(rows)), got(ft.trigrams(rows))]
+    passes = []
+    keep = distance.staged
+    monkeypatch.setattr(distance, "staged", lambda df, name: passes.append(df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")) or keep(df, name))
+    own = distance.Counts.of(rows)
+    assert sum(passes) == 1 and [got(own.sums), got(own.words), got(own.grams)] == want
+    for held in (1, 20):  # counts are sent again and again
+        every = ft.counts(rows, held=held)
+        assert got(every.where(F.col("kind") == ft.WORD).select("k", F.col("term").alias("word"), "n")) == want[1]
+        assert got(every.where(F.col("kind") == ft.GRAM).select("k", F.col("term").alias("gram"), "n")) == want[2]
+    assert not ft.counts(rows.limit(0)).collect()
