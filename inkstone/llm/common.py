@@ -84,6 +84,19 @@ def _libc() -> ctypes.CDLL | None:
         return None
 
 
+#: Bytes of an Arrow batch from an executor to a Python worker, about.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From the session's next query on, workers get their rows in Arrow batches of some ARROW_BYTES. Executor and worker both
+    hold a whole batch, with Spark's 10,000 rows 35 MB of texts, and twice that while it grows; freed blocks of that size
+    don't all go back to the system. A setting of the session's own stays. Results don't depend on it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def map_batches(df: DataFrame, rows: Callable[[pa.RecordBatch], dict], schema: str, keeps: Callable | None = None) -> DataFrame:
     """mapInArrow with one output batch, given as columns by name, for each part of an input batch. keeps: what makes the
     things that `rows` has `kept`."""
